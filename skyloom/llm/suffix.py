@@ -9,13 +9,13 @@ three steps, none of which loses a repeat:
    theirs. Such a run of suffixes is one row. Runs whose anchor string occurs once in the corpus hold no repeat.
 2. Equal runs (same anchor, same bytes) repeat as a whole: all but the first are removed entirely.
 3. Of the anchors with several different runs, the first of each such run lays open its suffixes. They are reduced to
-   one row per content and task, range-partitioned by their leading 8 bytes (sampled splitters: Spark's range
+   one row per content and task, range-partitioned by their leading 4 bytes (sampled splitters: Spark's range
    partitioning), sorted in each bucket by multikey quicksort (leading token, then the hash of the whole string), and
    compared with their neighbours; the last group of a bucket cannot go on in the next, as a range partitioner keeps
    equal keys together, and the reduction before keeps hot keys short. Suffixes that are not the first of their
    content are repeats.
 
-Contents are told apart by 64-bit hashes of the 100 bytes plus their leading 8 bytes.
+Contents are told apart by 64-bit hashes of all their bytes plus their leading 4 bytes.
 
 Nulls: a null text is empty. A null doc_id counts as larger than all others. Rows with the same doc_id and text count
 as one document and get the same result; one doc_id with different texts counts as several documents that start
@@ -124,6 +124,7 @@ def _suffixes(length: int):
     names = ["lead", "content", "doc", "start"]
 
     def run(batches):
+        out: list[tuple] = []
         for b in batches:
             for doc, t, want in zip(b.column(0).to_numpy(), b.column(1), b.column(2)):
                 data = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -136,8 +137,13 @@ def _suffixes(length: int):
                     continue
                 at = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
                 content = Rolling(data).of(at, at + length)
-                lead = data[at[:, None] + np.arange(8)].copy().view(">u8").ravel().astype(U).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(content.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at)], names=names)
+                lead = data[at[:, None] + np.arange(4)].copy().view(">u4").ravel().astype(np.uint32).view(np.int32)
+                out.append((lead, content.view(np.int64), np.full(len(at), doc), at.astype(np.int32)))
+                if sum(len(x[0]) for x in out) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
     return run
 
@@ -169,17 +175,16 @@ def _least(batches):
         order = multikey_order([lead, content, doc, start])
         lead, content = lead[order], content[order]
         new = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (content[1:] != content[:-1])])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead[new], content[new], doc[order][new], start[order][new], np.add.reduceat(c[order], new))], names=["lead", "content", "doc", "start", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead[new], content[new], doc[order][new], start[order][new], np.add.reduceat(c[order], new).astype(np.int32))], names=["lead", "content", "doc", "start", "c"])
 
 
 def _neighbours(batches):
-    """A sorted-by-range bucket -> first place of each content that has several. Batches of a bucket are put together
-    pairwise by their last group, so a content never goes unseen at a border between batches."""
-    held = None
-    for b in _least(batches):
-        held = b if held is None else next(_least([pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]]))
-    if held is not None:
-        yield held.filter(pc.greater(held.column(4), 1))
+    """A bucket of the range partitioning -> first place of each content that has several."""
+    parts = [b for b in batches if len(b)]
+    if parts:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        for b in _least([whole]):
+            yield b.filter(pc.greater(b.column(4), 1))
 
 
 def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -227,14 +232,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
     repeats = shared.join(first.where("c > 1").select("anchor", "run", "at"), ["anchor", "run"]).where(F.struct("doc", "first") != F.col("at"))
     repeats = table(repeats.select("doc", "first", (F.col("first") + F.col("more")).cast("int").alias("last")), "suffix-repeats")
     want = first.where("several").groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("at.first").cast("long").alias("first"), (F.col("at.first") + F.col("more")).cast("long").alias("last"))).alias("want"))
-    opened = docs.join(want, "doc").select("doc", "text", "want").mapInArrow(_suffixes(length), "lead long, content long, doc long, start long")
+    opened = docs.join(want, "doc").select("doc", "text", "want").mapInArrow(_suffixes(length), "lead int, content long, doc long, start int")
     opened = table(opened, "suffix-open")
     drop_table(shared)
     release(spark)
-    schema = "lead long, content long, doc long, start long, c long"
-    least = opened.withColumn("c", F.lit(1).cast("long")).mapInArrow(_least, schema)
+    schema = "lead int, content long, doc long, start int, c int"
+    least = opened.withColumn("c", F.lit(1).cast("int")).mapInArrow(_least, schema)
     found = least.repartitionByRange(partitions(spark), "lead", "content").mapInArrow(_neighbours, schema)
+    release(spark)
     found = table(found.select("lead", "content", F.col("doc").alias("d0"), F.col("start").alias("s0")), "suffix-found")
+    release(spark)
     later = opened.join(found, ["lead", "content"]).where("doc <> d0 or start <> s0").select("doc", F.col("start").cast("int").alias("first"), F.col("start").cast("int").alias("last"))
     spans = table(repeats.unionByName(later).groupBy("doc").agg(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))).alias("want")), "suffix-spans")
     for x in (first, opened, found, repeats):
