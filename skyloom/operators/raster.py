@@ -36,7 +36,10 @@ def bilinear(coarse: DataFrame, targets: DataFrame, value: str = "v") -> DataFra
 
 
 def boxcar(df: DataFrame, before: int, after: int, value: str = "v", part: tuple[str, ...] = ()) -> DataFrame:
-    """Focal mean of what is not null, separable: along the row, then along the column. Adds ``focal``."""
+    """Focal mean of what is not null, separable: along the row, then along the column. Adds ``focal``.
+
+    Needs a row for every cell of the extent (null where there is no value), as both passes look along rows.
+    """
     row = Window.partitionBy(*part, "ilat").orderBy("ilon").rangeBetween(-before, after)
     col = Window.partitionBy(*part, "ilon").orderBy("ilat").rangeBetween(-before, after)
     x = df.withColumns({"_s": F.sum(value).over(row), "_c": F.count(value).over(row)})

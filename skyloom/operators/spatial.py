@@ -53,7 +53,7 @@ def knn_join(queries: DataFrame, sites: DataFrame, k: int, first_km: float = 50.
         out = part if out is None else out.unionByName(part)
         if km >= most_km:
             return out
-        left = left.join(full, "site", "left_anti").checkpoint() if left.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else left.join(full, "site", "left_anti")
+        left = left.join(full, "site", "left_anti")
         if not left.take(1):
             return out
         km *= 4 if km < most_km / 4 else most_km

@@ -1,0 +1,3 @@
+"""Registered queries. Importing the package fills :mod:`skyloom.plans.registry`."""
+
+from skyloom.plans import fields, label, model  # noqa: F401
