@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 
 def binned_rrmse(df: DataFrame, width: float, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """RMSE (2 dp) over mean observation by distance bin, residual ratios outside [low, high] quantiles left out."""
-    x = df.where("obs is not null and pred is not null").withColumn("bin", F.floor(F.col("distance") / width)).withColumn("ratio", F.try_divide(F.col("pred") - F.col("obs"), F.col("obs")))
+    """RMSE (2 dp) over mean observation by distance bin, residual ratios (9 dp, so that equal ones tie) outside
+    [low, high] quantiles left out."""
+    x = df.where("obs is not null and pred is not null").withColumn("bin", F.floor(F.col("distance") / width)).withColumn("ratio", F.bround(F.try_divide(F.col("pred") - F.col("obs"), F.col("obs")), 9))
     q = x.groupBy("bin").agg(F.percentile("ratio", F.lit(low)).alias("lo"), F.percentile("ratio", F.lit(high)).alias("hi"))
     kept = x.join(F.broadcast(q), "bin").where("ratio between lo and hi")
     return kept.groupBy("bin").agg(F.count("*").alias("n"), (F.bround(F.sqrt(F.avg(F.pow(F.col("pred") - F.col("obs"), 2))), 2) / F.avg("obs")).alias("rrmse"))

@@ -22,8 +22,8 @@ _SEASON = "case when mon in (12,1,2) then 'DJF' when mon in (3,4,5) then 'MAM' w
 @query("k1_patches", with_("grid", "sites") + ", g as (select ilat, ilon, avg(gchp) as v from grid group by ilat, ilon) select s.site, dy, dx, round_even(g.v,6) as v from sites s, range(-1,2) a(dy), range(-1,2) b(dx), g where g.ilat = s.site % 20 + dy and g.ilon = s.site % 25 + dx")
 def k1(spark, d):
     g = frame(spark, d, "grid").groupBy("ilat", "ilon").agg(F.avg("gchp").alias("v"))
-    off = F.sequence(F.lit(-1), F.lit(1))
-    s = frame(spark, d, "sites").select("site", F.explode(off).cast("long").alias("dy")).withColumn("dx", F.explode(off).cast("long"))
+    off = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    s = frame(spark, d, "sites").select("site", F.explode(off).alias("dy")).withColumn("dx", F.explode(off))
     s = s.withColumns({"ilat": col("site") % 20 + col("dy"), "ilon": col("site") % 25 + col("dx")})
     return s.join(g, ["ilat", "ilon"]).select("site", "dy", "dx", R("v").alias("v"))
 
@@ -248,7 +248,7 @@ def n14(spark, d):
     return frame(spark, d, "cv").groupBy(F.floor(col("obs") / 1000).alias("bx"), F.floor(col("pred") / 1000).alias("bp")).agg(F.count("*").alias("n"))
 
 
-_DIST = with_("cv") + ", x as (select *, pop as distance, (pred-obs)/obs as ratio, cast(floor(pop/5) as bigint) as bin from cv where obs is not null and pred is not null)"
+_DIST = with_("cv") + ", x as (select *, pop as distance, round_even((pred-obs)/obs, 9) as ratio, cast(floor(pop/5) as bigint) as bin from cv where obs is not null and pred is not null)"
 
 
 @query("o1_distance_bins", _DIST + ", q as (select bin, quantile_cont(ratio,0.05) as lo, quantile_cont(ratio,0.95) as hi from x group by bin) select x.bin, count(*) as n, round_even(round_even(sqrt(avg((pred-obs)*(pred-obs))),2)/avg(obs),6) as rrmse from x join q using (bin) where ratio between lo and hi group by x.bin")
