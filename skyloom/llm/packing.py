@@ -140,7 +140,8 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_ids:
     counts = {r.length: r.c for r in sizes.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # at most size rows
     rows = spark.createDataFrame(plan(counts, size), "pl long, lo long, hi long, copies long, s0 long, o0 long")
     ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("before") + F.col("r"))
+    ranked = ranked.join(before, ["length", "part"])  # both sides are dealt by these keys already
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("r"))
     placed = ranked.join(F.broadcast(rows), (F.col("length") == F.col("pl")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     k = F.col("rank") - F.col("lo")
     return placed.select(
