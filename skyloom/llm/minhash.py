@@ -9,8 +9,9 @@ fewer words is one shingle; without words it is empty and linked with nothing).
    ``rank + fraction``; a document stops as soon as no later rank can lower its signature.
 3. Bands of the signature are bucket keys. In each bucket all members are compared with one centre at a time
    (a star, not all pairs): first the smallest id, then other centres from the largest component of the bucket.
-   What is still outside its bucket's largest component is at last compared with every member of other components,
-   so no link between components is lost that shares a bucket.
+   What is still outside its bucket's largest component is at last compared with the members of other components by
+   an exact prefix filter: sets that are similar enough share one of their rarest shingles. So no link between
+   components is lost that shares a bucket, and texts that merely resemble a large group form no pairs with it.
 4. Every link is verified on the full sets; components are found by distributed union-find.
 
 With ``bands=40, rows=5`` a pair at similarity 0.8 shares no bucket with probability 1e-7.
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import U, connected_components, drop_table, merge_components, mix, table
 
 BANDS, ROWS = 40, 5
+#: 64-bit words of the parity sketch that bounds the difference of two sets from below.
+PARITY = 8
 #: Elements that are signed at once; their permutations take this many times BANDS * ROWS bytes.
 CHUNK = 150_000
 
@@ -141,6 +144,50 @@ def _verify(num: int, den: int):
     return run
 
 
+def _grams(batches):
+    for b in batches:
+        for at in range(0, len(b), 100):
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1).slice(at, 100)]
+            size = np.array([len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).slice(at, 100).to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets))], names=["node", "n", "g"])
+
+
+def _parity(batches):
+    """One bit for each residue of the shingle hashes: is the number of shingles there odd?"""
+    for b in batches:
+        size, words = [], []
+        for x in b.column(1):
+            g = np.frombuffer(x.as_buffer(), U)
+            odd = np.bincount(((g >> U(17)) % U(64 * PARITY)).astype(np.intp), minlength=64 * PARITY) & 1
+            size.append(len(g))
+            words.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["node", "n", "w"])
+
+
+def rare_first_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that can reach the similarity, b outside the largest one of a bucket.
+
+    ``members`` (rep, component, top) are bucket entries, ``sets`` (node, s) their shingles. Sets with the similarity
+    share at least ceil(similarity * n) of n shingles, so in any common order their first n - ceil(similarity * n) + 1
+    shingles meet. The order is by number of sets, rarest first; shingles of one set alone meet nothing. A meeting
+    counts only if the parity sketches allow the similarity: they differ in at most as many bits as the sets differ in
+    shingles, so this loses nothing.
+    """
+    part = members.groupBy(F.col("rep").alias("node"), "component").agg(F.max(F.col("component") != F.col("top")).alias("out"))
+    mine = sets.join(part.select("node"), "node", "left_semi")
+    grams = mine.mapInArrow(_grams, "node long, n long, g long")
+    sketch = mine.mapInArrow(_parity, "node long, n long, w array<long>")
+    common = grams.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    held = grams.join(common, "g").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("s"))
+    first = F.expr(f"cast(greatest(0, n - ({num} * n + {den - 1}) div {den} + 1 - (n - size(s))) as int)")
+    lead = table(held.select("node", "n", F.explode(F.slice("s", F.lit(1), first)).alias("x")).join(part, "node").join(sketch, ["node", "n"]).select("node", "n", "component", "out", "w", F.col("x.g").alias("g")), "mh-lead")
+    a, b = (lead.select("g", *[F.col(c).alias(c + "_" + side) for c in ("node", "n", "component", "out", "w")]) for side in "ab")
+    fits = f"component_a <> component_b and (not out_a or node_a < node_b) and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
+    differ = " + ".join(f"bit_count(w_a[{i}] ^ w_b[{i}])" for i in range(PARITY))
+    near = f"{den + num} * ({differ}) <= {den - num} * (n_a + n_b)"
+    return a.join(b.where("out_b"), "g").where(fits).where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, bands: int = BANDS, rows: int = ROWS, stars: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text); see the module's text.
 
@@ -183,9 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, ban
         if turn < stars:
             pairs = small.where("rep <> centre and other <> centre and " + size_ok).groupBy(F.col("rep").alias("b")).agg(F.max_by("other", F.xxhash64("other", F.lit(turn))).alias("a"))
         else:
-            mine = small.where("rep <> centre").select("key", F.col("rep").alias("b"), F.col("n"), F.col("component").alias("cb"), "top")
-            rest = open_.where("rep <> centre").select("key", F.col("rep").alias("a"), F.col("n").alias("nb"), F.col("component").alias("ca"))
-            pairs = mine.join(rest, "key").where(size_ok + " and ca <> cb and (ca = top or a < b)").select("a", "b").distinct()
+            pairs = rare_first_pairs(open_, sets, num, den)
         labels = link(labels, pairs)
     drop_table(bucket)
     drop_table(sets)
