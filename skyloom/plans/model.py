@@ -306,3 +306,15 @@ def p10(spark, d):
     g = frame(spark, d, "grid")
     u = g.where("year = 1996").groupBy("ilat", "ilon").agg((F.avg("gchp") / 100).alias("u"))
     return g.where("year = 1997").join(u, ["ilat", "ilon"], "left").select("ilat", "ilon", "mon", R(F.when(col("sat").isNotNull(), col("u"))).alias("u"))
+
+
+@query("k4_load_transforms", with_("sites", "grid") + ", g as (select ilat, ilon, avg(sat) as v from grid group by ilat, ilon) select s.site, round_even(s.lon+181e0,6) as lon, round_even(s.lat+91e0,6) as lat, round_even(g.v*1e16/2.69e16,6) as sat_du from sites s left join g on g.ilat = s.site % 20 and g.ilon = s.site % 25")
+def k4(spark, d):
+    g = frame(spark, d, "grid").groupBy("ilat", "ilon").agg(F.avg("sat").alias("v"))
+    s = frame(spark, d, "sites").withColumns({"ilat": col("site") % 20, "ilon": col("site") % 25})
+    return s.join(g, ["ilat", "ilon"], "left").select("site", R(col("lon") + 181).alias("lon"), R(col("lat") + 91).alias("lat"), R(col("v") * 1e16 / 2.69e16).alias("sat_du"))
+
+
+@query("m12_annual_map", with_("grid") + "select ilat, ilon, year, count(gchp) as months, round_even(avg(gchp),6) as v from grid group by ilat, ilon, year")
+def m12(spark, d):
+    return frame(spark, d, "grid").groupBy("ilat", "ilon", "year").agg(F.count("gchp").alias("months"), R(F.avg("gchp")).alias("v"))
