@@ -87,3 +87,43 @@ def tiered_fill(value: Column, model: Column, tiers: list[tuple[Column, Column]]
     for k, g in enumerate(guesses, 1):
         label = label.when(g.isNotNull(), k)
     return F.coalesce(value, *guesses, last), label.otherwise(F.when(last.isNotNull(), len(tiers) + 1))
+
+
+def partial_columns(vmr: Column, airden: Column, boxh: Column) -> Column:
+    """Column amount of each level of the arrays. 28.97 g/mol, Avogadro."""
+    return F.zip_with(F.zip_with(vmr, airden, lambda a, b: a * b), boxh, lambda x, h: x * h * F.lit(1e3 / 28.97 * 1e-4 * 6.023e23))
+
+
+def bilinear_zero(coarse: DataFrame, targets: DataFrame, value: str = "v") -> DataFrame:
+    """Bilinear values at (fy, fx) where a missing corner counts as 0 and weights stay in 0..1."""
+    corners = [F.struct((F.floor("fy") + a).alias("ilat"), (F.floor("fx") + b).alias("ilon"), ((1 - F.abs(F.col("fy") - F.floor("fy") - a)) * (1 - F.abs(F.col("fx") - F.floor("fx") - b))).alias("w")) for a in (0, 1) for b in (0, 1)]
+    c = targets.select("*", F.explode(F.array(*corners)).alias("c")).select(*targets.columns, "c.*")
+    w = F.least(F.greatest("w", F.lit(0.0)), F.lit(1.0))
+    return c.join(coarse.select(*CELL, value), list(CELL), "left").groupBy(*targets.columns).agg(F.sum(w * F.coalesce(value, F.lit(0.0))).alias(value))
+
+
+def fine_ratio(df: DataFrame, before: int, after: int, value: str = "v") -> DataFrame:
+    """Cells with ``r``: value over its focal mean where the whole window is positive, else 1."""
+    both = focal_min(boxcar(df, before, after, value), before, after, value)
+    return both.select(*CELL, F.when(F.col("focal_min") > 0, F.col(value) / F.col("focal")).otherwise(1.0).alias("r"))
+
+
+def backcast(annual: DataFrame, months: DataFrame, base: int, floor: float = 0.01, most: float = 10.0) -> DataFrame:
+    """Months ``m`` of the base year, scaled by each other year's annual ratio to it, which is held in 0..``most``."""
+    ref = annual.where(F.col("year") == base).select(*CELL, F.col("v").alias("r"))
+    ratio = F.least(F.greatest(F.col("v") / F.greatest("r", F.lit(floor)), F.lit(0.0)), F.lit(most))
+    scaled = annual.where(F.col("year") != base).join(ref, list(CELL)).select(*CELL, "year", ratio.alias("k"))
+    return months.join(scaled, list(CELL)).select(*CELL, "year", "mon", (F.col("k") * F.col("m")).alias("v"))
+
+
+def inside_rings(cells: DataFrame, edges: DataFrame, lat0: float, step: float) -> DataFrame:
+    """Cells with ``land``: 1 if inside any ring, by the parity of the edges east of it.
+
+    ``edges``: ring, y1, x1, y2, x2. An edge becomes one row for each grid row it may cross (``lat0 + i * step``), so
+    cells meet edges in an equi-join on their row.
+    """
+    at = lambda y: F.floor((y - lat0) / step)
+    rows = edges.withColumn("ilat", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")) + 1)))
+    crossed = cells.join(rows, "ilat").where(((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))))
+    inside = crossed.groupBy("site", "ring").agg(F.count("*").alias("c")).where("c % 2 = 1").select("site").distinct()
+    return cells.join(inside.withColumn("land", F.lit(1)), "site", "left").withColumn("land", F.coalesce("land", F.lit(0)))
