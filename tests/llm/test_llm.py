@@ -137,6 +137,41 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup(odd).count() == odd.count() and line_dedup(empty).count() == 0
 
 
+def lines_left(rows):
+    """Brute force of line dedup: pairs of lines (one with a word) and long lines, at their first places."""
+    out, seen = {}, {}
+    for i, t in sorted(rows):
+        x, gone = t.split("\n"), set()
+        for k in range(len(x)):
+            for n in (1, 2):
+                s = tuple(x[k : k + n])
+                if len(s) < n or not "".join(s).strip(" \t\n\v\f\r") or (n == 1 and len(x[k]) < 200):
+                    continue
+                if s in seen:
+                    gone |= {k + 1} if seen[s] == (i, k - 1) and n == 2 else set(range(k, k + n))
+                seen.setdefault(s, (i, k))
+        out[i] = "\n".join(v for k, v in enumerate(x) if k not in gone), len(gone), sum(k - 1 not in gone for k in gone)
+    return out
+
+
+def test_line_dedup_recall_by_length(spark, docs):
+    """Passages of L lines between different neighbours are removed whole; so are single long lines, short ones stay."""
+    from skyloom.llm.linededup import line_dedup
+
+    rows, lengths = [], [1, 2, 3, 4, 5, 6, 8, 10, 15, 30]
+    for n in lengths:
+        for c in range(20):
+            shared = [f"shared {n} {c} {j}" for j in range(n)]
+            rows += [(len(rows) + d, "\n".join([f"before {n} {c} {d}", *shared, "", f"after {n} {c} {d}"])) for d in range(2)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # the empty line after the passage makes a pair with its last line
+    assert all(got[40 * k + 2 * c + 1].n_removed_lines == n + 1 for k, n in enumerate(lengths) for c in range(20))
+    odd = [(1, "x\n" + "long " * 50 + "\ny"), (2, "p\n" + "long " * 50 + "\nq"), (3, "same\nsame\nsame\nsame"), (4, "a\nshort\nb"), (5, "c\nshort\nd"), (6, "a\nb\n\nc\nd\n\na\nb"), (7, "\n\n\n\n"), (8, "only\nsame\nsame")]
+    for part in (rows, odd, texts(docs)):
+        got = line_dedup(spark.createDataFrame(part, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.text, r.n_removed_lines, r.n_removed_chunks) for r in got} == lines_left(part)
+
+
 def test_packing(docs, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
