@@ -19,7 +19,8 @@ Contents are told apart by 64-bit hashes of all their bytes plus their leading 4
 
 Nulls: a null text is empty. A null doc_id counts as larger than all others. Rows with the same doc_id and text count
 as one document and get the same result; one doc_id with different texts counts as several documents that start
-equally early, of which none removes the other's bytes. Other columns are ignored.
+equally early, of which none removes the other's bytes. So rows are known by doc_id and a hash of the text, and only
+doc_id decides what is earlier. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,16 +100,16 @@ def runs_of(data: np.ndarray, length: int, gram: int):
 
 
 def _runs(length: int, gram: int):
-    names = ["doc", "first", "last", "anchor", "run"]
+    names = ["doc", "v", "first", "last", "anchor", "run"]
 
     def run(batches):
         for b in batches:
             out, total = [], 0
-            for doc, t in zip(b.column(0).to_numpy(), b.column(1)):
+            for doc, v, t in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)):
                 data = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
                 for lo, hi in blocks_of(len(data), length):
                     first, last, anchor, h = runs_of(data[lo:hi], length, gram)
-                    out.append((np.full(len(first), doc), first + lo, last + lo, anchor.view(np.int64), h.view(np.int64)))
+                    out.append((np.full(len(first), doc), np.full(len(first), v), first + lo, last + lo, anchor.view(np.int64), h.view(np.int64)))
                     total += len(first)
                 if total > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
@@ -120,13 +121,13 @@ def _runs(length: int, gram: int):
 
 
 def _suffixes(length: int):
-    """Texts with the runs to lay open -> (lead, content, doc, start) of each suffix."""
-    names = ["lead", "content", "doc", "start"]
+    """Texts with the runs to lay open -> (lead, content, doc, v, start) of each suffix."""
+    names = ["lead", "content", "doc", "v", "start"]
 
     def run(batches):
         out: list[tuple] = []
         for b in batches:
-            for doc, t, want in zip(b.column(0).to_numpy(), b.column(1), b.column(2)):
+            for doc, v, t, want in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3)):
                 data = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
                 first = want.values.field(0).to_numpy()
                 last = want.values.field(1).to_numpy()
@@ -138,7 +139,7 @@ def _suffixes(length: int):
                 at = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
                 content = Rolling(data).of(at, at + length)
                 lead = data[at[:, None] + np.arange(4)].copy().view(">u4").ravel().astype(np.uint32).view(np.int32)
-                out.append((lead, content.view(np.int64), np.full(len(at), doc), at.astype(np.int32)))
+                out.append((lead, content.view(np.int64), np.full(len(at), doc), np.full(len(at), v), at.astype(np.int32)))
                 if sum(len(x[0]) for x in out) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
                     out = []
@@ -169,13 +170,13 @@ def multikey_order(keys: list[np.ndarray], least: int = 4096) -> np.ndarray:
 def _least(batches):
     """One row per content and batch: its first place, and how many places there are."""
     for b in batches:
-        lead, content, doc, start, c = (b.column(i).to_numpy() for i in range(5))
+        lead, content, doc, v, start, c = (b.column(i).to_numpy() for i in range(6))
         if not len(lead):
             continue
-        order = multikey_order([lead, content, doc, start])
+        order = multikey_order([lead, content, doc, v, start])
         lead, content = lead[order], content[order]
         new = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (content[1:] != content[:-1])])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead[new], content[new], doc[order][new], start[order][new], np.add.reduceat(c[order], new).astype(np.int32))], names=["lead", "content", "doc", "start", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead[new], content[new], doc[order][new], v[order][new], start[order][new], np.add.reduceat(c[order], new).astype(np.int32))], names=["lead", "content", "doc", "v", "start", "c"])
 
 
 def _neighbours(batches):
@@ -184,7 +185,7 @@ def _neighbours(batches):
     if parts:
         whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         for b in _least([whole]):
-            yield b.filter(pc.greater(b.column(4), 1))
+            yield b.filter(pc.greater(b.column(5), 1))
 
 
 def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -218,34 +219,53 @@ def _cut(length: int, with_text: bool):
     return run
 
 
+def _later(joined: DataFrame, keys: list[str], carry: list[str], name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places (doc, v, first) after the first one of their keys (``at``) -> a table, its repeats, and its heads.
+
+    Places in other texts of the first place's doc_id are equally early: the first of each such text is a head and no
+    repeat. Keys are kept for those rows only.
+    """
+    twin = (F.col("doc") == F.col("at.doc")) & (F.col("v") != F.col("at.v"))
+    rest = joined.where((F.col("doc") != F.col("at.doc")) | (F.col("v") != F.col("at.v")) | (F.col("first") != F.col("at.first")))
+    rest = table(rest.select("doc", "v", "first", *carry, F.when(twin, F.struct(*keys)).alias("twin")), name)
+    twins = rest.where("twin is not null")
+    heads = twins.groupBy("twin", "doc", "v").agg(F.min("first").alias("head"), *[F.first(c).alias(c) for c in carry])
+    behind = twins.join(heads.select("twin", "doc", "v", "head"), ["twin", "doc", "v"]).where("first > head")
+    return rest, rest.where("twin is null").drop("twin").unionByName(behind.select("doc", "v", "first", *carry)), heads
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining bytes) of every row; see the module's text."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "doc_id", "text")
-    runs = docs.select("doc", "text").mapInArrow(_runs(length, gram), "doc long, first long, last long, anchor long, run long")
-    runs = runs.select("doc", F.col("first").cast("int").alias("first"), (F.col("last") - F.col("first")).cast("short").alias("more"), "anchor", "run")
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("v"), "doc_id", "text")
+    runs = docs.select("doc", "v", "text").mapInArrow(_runs(length, gram), "doc long, v long, first long, last long, anchor long, run long")
+    runs = runs.select("doc", "v", F.col("first").cast("int").alias("first"), (F.col("last") - F.col("first")).cast("short").alias("more"), "anchor", "run")
     again = runs.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("run") != F.max("run")).alias("several")).where("c > 1").select("anchor", "several")
     shared = table(runs.join(again, "anchor"), "suffix-runs")
     release(spark)
-    first = shared.groupBy("anchor", "run").agg(F.min(F.struct("doc", "first")).alias("at"), F.count("*").alias("c"), F.first("several").alias("several"), F.min("more").alias("more"))
+    first = shared.groupBy("anchor", "run").agg(F.min(F.struct("doc", "v", "first")).alias("at"), F.count("*").alias("c"), F.first("several").alias("several"), F.min("more").alias("more"))
     first = table(first.where("c > 1 or several"), "suffix-first")
-    repeats = shared.join(first.where("c > 1").select("anchor", "run", "at"), ["anchor", "run"]).where(F.struct("doc", "first") != F.col("at"))
-    repeats = table(repeats.select("doc", "first", (F.col("first") + F.col("more")).cast("int").alias("last")), "suffix-repeats")
-    want = first.where("several").groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("at.first").cast("long").alias("first"), (F.col("at.first") + F.col("more")).cast("long").alias("last"))).alias("want"))
-    opened = docs.join(want, "doc").select("doc", "text", "want").mapInArrow(_suffixes(length), "lead int, content long, doc long, start int")
+    joined = shared.join(first.where("c > 1").select("anchor", "run", "at"), ["anchor", "run"])
+    after, repeats, heads = _later(joined, ["anchor", "run"], ["more", "several"], "suffix-repeats")
+    span = F.struct(F.col("first").cast("long").alias("first"), (F.col("first") + F.col("more")).cast("long").alias("last"))
+    lay = first.where("several").select("at.doc", "at.v", "at.first", "more").unionByName(heads.where("several").select("doc", "v", F.col("head").alias("first"), "more"))
+    want = lay.groupBy("doc", "v").agg(F.collect_list(span).alias("want"))
+    opened = docs.join(want, ["doc", "v"]).select("doc", "v", "text", "want").mapInArrow(_suffixes(length), "lead int, content long, doc long, v long, start int")
     opened = table(opened, "suffix-open")
     drop_table(shared)
     release(spark)
-    schema = "lead int, content long, doc long, start int, c int"
+    schema = "lead int, content long, doc long, v long, start int, c int"
     least = opened.withColumn("c", F.lit(1).cast("int")).mapInArrow(_least, schema)
     found = least.repartitionByRange(partitions(spark), "lead", "content").mapInArrow(_neighbours, schema)
     release(spark)
-    found = table(found.select("lead", "content", F.col("doc").alias("d0"), F.col("start").alias("s0")), "suffix-found")
+    found = table(found.select("lead", "content", F.struct("doc", "v", F.col("start").alias("first")).alias("at")), "suffix-found")
     release(spark)
-    later = opened.join(found, ["lead", "content"]).where("doc <> d0 or start <> s0").select("doc", F.col("start").cast("int").alias("first"), F.col("start").cast("int").alias("last"))
-    spans = table(repeats.unionByName(later).groupBy("doc").agg(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))).alias("want")), "suffix-spans")
-    for x in (first, opened, found, repeats):
+    single = opened.withColumnRenamed("start", "first").join(found, ["lead", "content"]).withColumn("more", F.lit(0).cast("short"))
+    beyond, later, _ = _later(single, ["lead", "content"], ["more"], "suffix-later")
+    spans = repeats.select("doc", "v", "first", "more").unionByName(later)
+    spans = table(spans.groupBy("doc", "v").agg(F.collect_list(span).alias("want")), "suffix-spans")
+    for x in (first, opened, found, after, beyond):
         drop_table(x)
     release(spark)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return docs.join(spans, "doc", "left").select("doc_id", "text", "want").mapInArrow(_cut(length, with_text), schema)
+    return docs.join(spans, ["doc", "v"], "left").select("doc_id", "text", "want").mapInArrow(_cut(length, with_text), schema)

@@ -249,6 +249,30 @@ def test_suffix(docs, odd, empty):
     assert (multikey_order(list(x), 16) >= 0).all() and (x[:, multikey_order(list(x), 16)] == x[:, np.lexsort(x[::-1])]).all()
 
 
+def test_suffix_same_id(spark):
+    """Different texts under null or under one id: none removes the other's bytes, earlier documents and own repeats do."""
+    from skyloom.llm.suffix import LAST, suffix_dedup
+
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    a, b, c, d = (word(n) for n in (400, 300, 250, 500))
+    rows = [(1, a + word(50)), (2, word(90) + b + word(200) + b), (2, word(500) + b[:200] + word(30) + c), (2, c + word(300) + a[100:350])]
+    rows += [(None, word(600) + d), (None, d + word(20) + a[:180] + word(100) + d[:300]), (None, word(40) + c[50:] + word(800)), (7, d[:150] + word(700)), rows[2]]
+    seen, want = {}, Counter()
+    for i, t in sorted({(LAST if i is None else i, t) for i, t in rows}):
+        own, gone = set(), bytearray(len(t))
+        for k in range(len(t) - 99):
+            s = t[k : k + 100]
+            if s in own or seen.get(s, i) < i:
+                gone[k : k + 100] = b"\1" * 100
+            own.add(s)
+            seen.setdefault(s, i)
+        kept = "".join(x for x, f in zip(t, gone) if not f)
+        want[i, len(t), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] += rows.count((None if i == LAST else i, t))
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((LAST if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == want
+
+
 def test_main_text(spark):
     from html import unescape
 
