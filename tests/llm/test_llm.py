@@ -119,6 +119,39 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontaminate(empty, bench).count() == 0 and decontaminate(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_windows(spark, docs):
+    """Against a brute force over all item-sized windows: swapped halves, reordered sentences, edits, cut ends, repeats."""
+    from skyloom.llm.decontam import decontaminate
+
+    rng = np.random.default_rng(7)
+    own = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    items = {1: own(50), 2: own(59), 3: own(30), 4: own(90), 5: own(20) + ["a"] * 12 + own(20), 6: own(24)}
+    rows = []
+    for w in items.values():
+        n = len(w)
+        third = n // 3
+        sub = [*w[: n // 2], "changed", *w[n // 2 + 1 :]]
+        for x in (w, w[n // 2 :] + w[: n // 2], w[third : 2 * third] + w[:third] + w[2 * third :], w[2 * third :] + w[:third] + w[third : 2 * third], sub, w[3:], w[:-4], [*w[: n // 2], "in", "serted", *w[n // 2 :]], ["a", *w[:-1]], w[:-1] + ["b"]):
+            rows += [" ".join([*own(7), *x, *own(9)]), " ".join([*own(4), *x]), " ".join(x)]
+    rows += ["a " * 300, " ".join(items[1][:20] * 5)]
+    table = [(i if i else None, t) for i, t in enumerate(rows)]
+    bag = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or [tuple(w)]
+    want = {}
+    for d, t in table:
+        s = bag(t.split())
+        for k, w in items.items():
+            x = bag(w)
+            best = (0, 0)
+            for a in range(len(s)):
+                y = s[a : a + len(x)]
+                m = sum((Counter(x) & Counter(y)).values())
+                best = max(best, (round(m / (len(x) + len(y) - m), 6), -a))
+            if best[0] >= 0.8:
+                want[d, k] = best[0], -best[1]
+    got = decontaminate(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string"))
+    assert len(want) > 100 and {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in got.collect()} == want
+
+
 def test_line_dedup(spark, odd, empty):
     from skyloom.llm.linededup import line_dedup
 
