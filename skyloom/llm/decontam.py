@@ -14,8 +14,8 @@ item the shingles stand; this bound loses none that could pass. For these window
    verifies candidates: 0.8 or more is a leak.
 
 Items with fewer words than a shingle count as one shingle of their whole text; an item without words matches nothing.
-The radius is generous (0.8 similar bags differ in 13 bits of 64 at
-most in all but 1 of 1e4 cases).
+At similarity 0.8 a bit of two fingerprints differs with p = acos(8/9) / pi = 0.151, so more than ``RADIUS`` of 64
+differ in 8e-7 of all cases (binomial).
 
 Nulls: a null text has no words; a null doc_id is reported like any other; an item with null text or item_id matches
 nothing. Repeated rows are reported once per (doc_id, item). Other columns are ignored.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import table
 
-K, RADIUS, LEAST = 5, 15, 0.8
+K, RADIUS, LEAST = 5, 25, 0.8
 #: Most shingle rows of the benchmark that are broadcast (24 bytes each); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 

@@ -152,6 +152,22 @@ def test_decontamination_windows(spark, docs):
     assert len(want) > 100 and {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in got.collect()} == want
 
 
+def test_simhash_radius(spark):
+    """Bags at similarity 0.8 (8 of 9 shingles shared) stay inside the radius."""
+    from pyspark.sql import functions as F
+
+    from skyloom.llm.decontam import RADIUS, simhash
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(4000):
+        n = 9 * (2 + k % 5)
+        x = rng.integers(-(2**63), 2**63 - 1, n + n // 9)
+        rows.append((x[:n].tolist(), x[n // 9 :].tolist()))
+    apart = spark.createDataFrame(rows, "a array<long>, b array<long>").select(F.bit_count(simhash(F.col("a")).bitwiseXOR(simhash(F.col("b")))).alias("d"))
+    assert apart.where(F.col("d") > RADIUS).count() == 0
+
+
 def test_line_dedup(spark, odd, empty):
     from skyloom.llm.linededup import line_dedup
 
