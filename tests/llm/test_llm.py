@@ -381,3 +381,13 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     docs = dict(texts(spark.read.parquet(f"{SF}/documents.parquet")))
     assert kept < set(docs) and len(kept) > 100 and [n for n, _ in corpus_pipeline.STAGES][2] == "minhash near-dedup"
+
+
+def test_suffix_hot(spark, docs, monkeypatch):
+    """Anchors with more runs than ``HOT`` are compared by the hash of each suffix; the result is the same."""
+    from skyloom.llm import suffix
+
+    want = sorted(map(tuple, suffix.suffix_dedup(docs).collect()))
+    monkeypatch.setattr(suffix, "HOT", 1)
+    monkeypatch.setattr(suffix, "ROWS", 5000)
+    assert sorted(map(tuple, suffix.suffix_dedup(docs).collect())) == want
