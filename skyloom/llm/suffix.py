@@ -279,7 +279,7 @@ def _runs(length: int, gram: int, splitters, n: int):
     return run
 
 
-def _compare(length: int, n: int):
+def _compare(length: int, n: int, most: int):
     """A range of runs -> intervals of repeated runs, and the runs to lay open."""
 
     def run(batches):
@@ -306,7 +306,7 @@ def _compare(length: int, n: int):
         edge = (group == 0) | (group == group[-1])
         opened = (different > 1) | edge
         r = rows[opened]
-        o = made(OPEN, **{k: r[k] for k in ("doc", "v", "first", "off", "more", "key")}, hot=(edge | (different > HOT))[opened], bucket=np.full(len(r), bucket))
+        o = made(OPEN, **{k: r[k] for k in ("doc", "v", "first", "off", "more", "key")}, hot=(edge | (different > most))[opened], bucket=np.full(len(r), bucket))
         out += dealt(home(o["doc"], o["v"], n), o, WORK)
         if out:
             yield parcels(out)
@@ -455,7 +455,7 @@ def _cut(with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining bytes) of every row; see the module's text."""
     spark = docs.sparkSession
     n = partitions(spark)
@@ -468,7 +468,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
     cut = order[(np.arange(1, n) * len(order)) // n] if len(order) else order
     splitters = key[cut], run[cut]
     runs = texts.mapInArrow(_runs(length, gram, splitters, n), PARCEL).repartitionById(n, "bucket")
-    found = table(runs.mapInArrow(_compare(length, n), PARCEL), "suffix-runs")
+    found = table(runs.mapInArrow(_compare(length, n, hot), PARCEL), "suffix-runs")
     del runs
     release(spark)
     whole = docs.select(home_column(n).alias("bucket"), F.lit(TEXT).alias("kind"), "doc", "v", "doc_id", "data")
