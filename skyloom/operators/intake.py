@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from skyloom.functions.units import sensor_type
+
 #: Byte order mark, zero-width characters and line ends that names are freed of.
 INVISIBLE = r"[\x{FEFF}\x{200B}\x{200C}\x{200D}\r\n]"
 
@@ -48,3 +50,114 @@ def routed(df: DataFrame, routes: list[tuple]) -> DataFrame:
 def select_channels(columns: list[str], include: list[str] | None = None, exclude: list[str] = ()) -> list[str]:
     """Channels to train on, in the order of ``columns``."""
     return [c for c in columns if (include is None or c in include) and c not in exclude]
+
+
+def picked(columns: list[str], keys: list[str]) -> str | None:
+    """The first column whose folded name holds one of the keywords, in the order of the keywords."""
+    folded = {c: "".join(x for x in unicodedata.normalize("NFD", c).casefold().strip() if not unicodedata.combining(x)) for c in columns}
+    return next((c for k in keys for c in columns if k in folded[c]), None)
+
+
+def date_column(df: DataFrame, columns: list[str] | None = None, share: float = 0.8, form: str | None = None) -> str | None:
+    """The first column of which over ``share`` of the values parse as timestamps; one aggregation looks at all of them."""
+    columns = columns or [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+    parsed = lambda c: F.try_to_timestamp(F.col(c), F.lit(form)) if form else F.try_to_timestamp(F.col(c))
+    if not columns:
+        return None
+    row = df.agg(*[F.avg(parsed(c).isNotNull().cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return next((c for i, c in enumerate(columns) if (row[f"c{i}"] or 0) > share), None)
+
+
+def resolved(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """Columns renamed by keyword: {target: keywords}; a target without a match is null."""
+    found = {t: picked(df.columns, keys) for t, keys in wanted.items()}
+    return df.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(t) for t, c in found.items()])
+
+
+#: Units by parameter number.
+SENSOR_UNITS = {5: "µg/m³", 7: "ppm", 15: "ppb"}
+LOCATION = "id long, name string, coordinates struct<latitude: double, longitude: double>, bounds array<double>, isMobile boolean, isMonitor boolean, sensors array<struct<id: long, parameter: struct<id: int>>>"
+
+
+def sensors_of(df: DataFrame, json: str = "json") -> DataFrame:
+    """Locations as JSON -> one row per sensor of a known parameter, with its unit; coordinates fall back to the bounds."""
+    x = df.select(F.from_json(json, LOCATION).alias("x")).select("x.*").withColumn("s", F.explode("sensors"))
+    unit = F.lit(None).cast("string")
+    for k, u in SENSOR_UNITS.items():
+        unit = F.when(F.col("s.parameter.id") == k, u).otherwise(unit)
+    missing = F.col("coordinates.latitude").isNull() | F.col("coordinates.longitude").isNull()
+    bound = lambda i: F.get("bounds", F.lit(i))
+    usable = missing & (F.size("bounds") >= 2)
+    lat = F.when(usable, bound(1)).otherwise(F.col("coordinates.latitude"))
+    lon = F.when(usable, bound(0)).otherwise(F.col("coordinates.longitude"))
+    return x.select(F.col("s.id").alias("sensor_id"), F.col("id").alias("location_id"), F.col("name").alias("location_name"), lat.alias("lat"), lon.alias("lon"), unit.alias("unit"), sensor_type(F.coalesce("isMobile", F.lit(False)), F.coalesce("isMonitor", F.lit(False))).alias("sensor_type")).where("unit is not null")
+
+
+def fuzzy_sites(names: DataFrame, sites: DataFrame, group: str, least: float = 0.7) -> DataFrame:
+    """(group, name, site_name, score): the site of equal name in the group, else the most similar one of at least
+    ``least`` (1 - Levenshtein distance over the longer length; ties go to the smaller name), else no row.
+
+    Exact matches leave by an equi-join first, so only the distinct rest of a group meets its sites.
+    """
+    n, s = names.select(group, "name").distinct(), sites.select(group, F.col("name").alias("site_name")).distinct()
+    exact = n.join(s, (n[group] == s[group]) & (n["name"] == s["site_name"])).select(n[group], "name", "site_name", F.lit(1.0).alias("score"))
+    rest = n.join(exact.select(group, "name"), [group, "name"], "left_anti").join(s, group)
+    score = 1 - F.levenshtein("name", "site_name") / F.greatest(F.length("name"), F.length("site_name"))
+    best = rest.withColumn("score", F.bround(score, 6)).where(F.col("score") >= least).groupBy(group, "name").agg(F.min(F.struct((-F.col("score")).alias("k"), "site_name")).alias("b"))
+    return exact.unionByName(best.select(group, "name", "b.site_name", (-F.col("b.k")).alias("score")))
+
+
+def raster_cells(files: DataFrame, keys: list[str], lat0: float, step: float, low: float = -60.0, high: float = 70.0) -> DataFrame:
+    """Rasters in files (keys, ``content`` in NumPy's format, rows from ``lat0`` upwards) -> (keys, ilat, ilon, v) of the
+    latitudes in [low, high); NaN becomes null. A file is read by one task, its rows go out in batches."""
+    import io
+
+    import numpy as np
+
+    def read(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                a = np.load(io.BytesIO(row.content), allow_pickle=False)
+                for i in range(len(a)):
+                    if low <= lat0 + i * step < high:
+                        yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "ilat": i, "ilon": np.arange(a.shape[1]), "v": a[i].astype(float)})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema if f.name in keys)
+    return files.select(*keys, "content").mapInPandas(read, f"{schema}, ilat long, ilon long, v double").withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+
+
+def rasters_of(cells: DataFrame, keys: list[str], rows: int, columns: int) -> DataFrame:
+    """The reverse: (keys, ilat, ilon, v) -> (keys, content), one raster of fixed size per key."""
+    import io
+
+    import numpy as np
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.full((rows, columns), np.nan)
+        a[pdf.ilat, pdf.ilon] = pdf.v
+        out = io.BytesIO()
+        np.save(out, a)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "content": [out.getvalue()]})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in keys)
+    return cells.groupBy(*keys).applyInPandas(write, f"{schema}, content binary")
+
+
+def catalogued(grid: DataFrame, catalog: list[tuple[str, str, str]], months: DataFrame, switch: int) -> DataFrame:
+    """(channel, year, mon, ilat, ilon, v) of a catalog of (channel, column, kind) for the wanted ``months`` (year, mon).
+
+    Kinds: ``static`` (mean of all time), ``annual`` (mean of the year), ``monthly``, and ``early`` or ``late`` (monthly,
+    up to the month ``switch`` = year * 100 + month, or after it), so two products can share a channel's name.
+    """
+    wanted, out = F.broadcast(months.distinct()), None  # one row per month
+    for channel, column, kind in catalog:
+        if kind == "static":
+            part = grid.groupBy("ilat", "ilon").agg(F.avg(column).alias("v")).crossJoin(wanted)
+        elif kind == "annual":
+            part = grid.groupBy("ilat", "ilon", "year").agg(F.avg(column).alias("v")).join(wanted, "year")
+        else:
+            at = F.col("year") * 100 + F.col("mon")
+            part = grid.where({"monthly": F.lit(True), "early": at <= switch, "late": at > switch}[kind]).join(wanted, ["year", "mon"]).withColumn("v", F.col(column))
+        part = part.select(F.lit(channel).alias("channel"), "year", "mon", "ilat", "ilon", "v")
+        out = part if out is None else out.unionByName(part)
+    return out

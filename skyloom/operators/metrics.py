@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,16 @@ def rma(x: Column, y: Column) -> tuple[Column, Column]:
     a, b = F.regr_slope(y, x), 1 / F.regr_slope(x, y)
     slope = F.when(a * b >= 0, F.signum(a) * F.sqrt(a * b))
     return slope, F.avg(y) - slope * F.avg(x)
+
+
+def concordance(df: DataFrame, time: str, risk: str, event: str) -> DataFrame:
+    """(pairs, c): over the pairs of an event and a later row, the share where the earlier one's risk is higher.
+
+    Pairs are counted, not made: rows become counts by (time, risk), every later time's risks are ranked against the
+    event's by a range join of those counts. Meant for one row per subject.
+    """
+    j = df.where(event).groupBy(F.col(time).alias("_t"), F.col(risk).alias("_r")).agg(F.count("*").alias("_n"))
+    i = df.groupBy(F.col(time).alias("_u"), F.col(risk).alias("_q")).agg(F.count("*").alias("_m"))
+    n = F.col("_n") * F.col("_m")
+    both = j.join(i, F.col("_t") < F.col("_u")).agg(F.sum(n).alias("pairs"), F.sum(F.when(F.col("_r") > F.col("_q"), n).otherwise(0)).alias("_c"))
+    return both.select(F.coalesce("pairs", F.lit(0)).alias("pairs"), F.try_divide(F.col("_c"), F.col("pairs")).alias("c"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions.units import haversine
+
 CELL = ("ilat", "ilon")
 
 
@@ -26,24 +30,39 @@ def upsample(coarse: DataFrame, factor: int) -> DataFrame:
     return fine.withColumns({"ilat": F.col("ilat") * factor + F.col("dy"), "ilon": F.col("ilon") * factor + F.col("dx")}).drop("dy", "dx")
 
 
+def _corners(targets: DataFrame) -> DataFrame:
+    """A row per corner around (fy, fx) of each target row, which ``_row`` tells apart from equal ones."""
+    y, x = F.floor("fy"), F.floor("fx")
+    corner = [F.struct((y + a).alias("ilat"), (x + b).alias("ilon"), ((1 - F.abs(F.col("fy") - y - a)) * (1 - F.abs(F.col("fx") - x - b))).alias("w")) for a in (0, 1) for b in (0, 1)]
+    rows = targets.select(F.monotonically_increasing_id().alias("_row"), F.struct(*targets.columns).alias("_t"), F.array(*corner).alias("_c"))
+    return rows.select("_row", "_t", F.explode("_c").alias("_c")).select("_row", "_t", "_c.*")
+
+
 def bilinear(coarse: DataFrame, targets: DataFrame, value: str = "v") -> DataFrame:
-    """Values at fractional indices (fy, fx) of the targets, from the four corners; null if a corner is missing."""
-    t = targets.withColumns({"y0": F.floor("fy"), "x0": F.floor("fx")})
-    corner = t.select("*", F.explode(F.array(*[F.struct((F.col("y0") + a).alias("ilat"), (F.col("x0") + b).alias("ilon"), ((1 - F.abs(F.col("fy") - F.col("y0") - a)) * (1 - F.abs(F.col("fx") - F.col("x0") - b))).alias("w")) for a in (0, 1) for b in (0, 1)])).alias("c"))
-    used = corner.select(*targets.columns, "c.ilat", "c.ilon", "c.w").where("w > 0")
-    j = used.join(coarse.select(*CELL, value), list(CELL), "left").groupBy(*targets.columns).agg(F.sum(F.col("w") * F.col(value)).alias("s"), F.count(value).alias("c"), F.count("*").alias("n"))
-    return j.select(*targets.columns, F.when(F.col("c") == F.col("n"), F.col("s")).alias(value))
+    """Values at fractional indices (fy, fx) of each target row, from the four corners; null if a corner is missing."""
+    j = _corners(targets).where("w > 0").join(coarse.select(*CELL, value), list(CELL), "left")
+    j = j.groupBy("_row").agg(F.first("_t").alias("_t"), F.sum(F.col("w") * F.col(value)).alias("s"), F.count(value).alias("c"), F.count("*").alias("n"))
+    return j.select("_t.*", F.when(F.col("c") == F.col("n"), F.col("s")).alias(value))
 
 
 def boxcar(df: DataFrame, before: int, after: int, value: str = "v", part: tuple[str, ...] = ()) -> DataFrame:
     """Focal mean of what is not null, separable: along the row, then along the column. Adds ``focal``.
 
-    Needs a row for every cell of the extent (null where there is no value), as both passes look along rows.
+    Beyond the border its cells repeat (edge mode nearest), so they count once more for each step outside. Needs a row for
+    every cell of the extent (null where there is no value), as both passes look along rows.
     """
-    row = Window.partitionBy(*part, "ilat").orderBy("ilon").rangeBetween(-before, after)
-    col = Window.partitionBy(*part, "ilon").orderBy("ilat").rangeBetween(-before, after)
-    x = df.withColumns({"_s": F.sum(value).over(row), "_c": F.count(value).over(row)})
-    return x.withColumn("focal", F.try_divide(F.sum("_s").over(col), F.sum("_c").over(col))).drop("_s", "_c")
+
+    def summed(x: Column, keys: tuple[str, ...], at: str) -> Column:
+        w = Window.partitionBy(*keys).orderBy(at)
+        ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        low, high = F.first(at).over(ends), F.last(at).over(ends)
+        outside = lambda n, end: F.greatest(n, F.lit(0)) * F.coalesce(end, F.lit(0.0))
+        inside = F.coalesce(F.sum(x).over(w.rangeBetween(-before, after)), F.lit(0.0))
+        return inside + outside(low - F.col(at) + before, F.first(x).over(ends)) + outside(F.col(at) + after - high, F.last(x).over(ends))
+
+    row, column = (*part, "ilat"), (*part, "ilon")
+    x = df.withColumns({"_s": summed(F.col(value).cast("double"), row, "ilon"), "_c": summed(F.col(value).isNotNull().cast("double"), row, "ilon")})
+    return x.withColumn("focal", F.try_divide(summed(F.col("_s"), column, "ilat"), summed(F.col("_c"), column, "ilat"))).drop("_s", "_c")
 
 
 def focal_min(df: DataFrame, before: int, after: int, value: str = "v", part: tuple[str, ...] = ()) -> DataFrame:
@@ -95,11 +114,10 @@ def partial_columns(vmr: Column, airden: Column, boxh: Column) -> Column:
 
 
 def bilinear_zero(coarse: DataFrame, targets: DataFrame, value: str = "v") -> DataFrame:
-    """Bilinear values at (fy, fx) where a missing corner counts as 0 and weights stay in 0..1."""
-    corners = [F.struct((F.floor("fy") + a).alias("ilat"), (F.floor("fx") + b).alias("ilon"), ((1 - F.abs(F.col("fy") - F.floor("fy") - a)) * (1 - F.abs(F.col("fx") - F.floor("fx") - b))).alias("w")) for a in (0, 1) for b in (0, 1)]
-    c = targets.select("*", F.explode(F.array(*corners)).alias("c")).select(*targets.columns, "c.*")
+    """Bilinear values at (fy, fx) of each target row where a missing corner counts as 0 and weights stay in 0..1."""
     w = F.least(F.greatest("w", F.lit(0.0)), F.lit(1.0))
-    return c.join(coarse.select(*CELL, value), list(CELL), "left").groupBy(*targets.columns).agg(F.sum(w * F.coalesce(value, F.lit(0.0))).alias(value))
+    j = _corners(targets).join(coarse.select(*CELL, value), list(CELL), "left")
+    return j.groupBy("_row").agg(F.first("_t").alias("_t"), F.sum(w * F.coalesce(value, F.lit(0.0))).alias(value)).select("_t.*", value)
 
 
 def fine_ratio(df: DataFrame, before: int, after: int, value: str = "v") -> DataFrame:
@@ -127,3 +145,82 @@ def inside_rings(cells: DataFrame, edges: DataFrame, lat0: float, step: float) -
     crossed = cells.join(rows, "ilat").where(((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))))
     inside = crossed.groupBy("site", "ring").agg(F.count("*").alias("c")).where("c % 2 = 1").select("site").distinct()
     return cells.join(inside.withColumn("land", F.lit(1)), "site", "left").withColumn("land", F.coalesce("land", F.lit(0)))
+
+
+def cell_lengths(lines: DataFrame, keys: list[str], lat0: float, lon0: float, step: float) -> DataFrame:
+    """(keys, ilat, ilon, km): length of lines (lat1, lon1, lat2, lon2) inside each cell, great-circle per piece.
+
+    A line is cut where it crosses grid lines: the crossings' parameters are sorted, and each piece lies in the cell of its
+    middle. Rows grow with the cells that lines cross, not with the grid.
+    """
+    def crossings(a: str, b: str, origin: float) -> Column:
+        at = lambda c: (F.col(c) - origin) / F.lit(step)
+        first, last = F.floor(F.least(at(a), at(b))) + 1, F.ceil(F.greatest(at(a), at(b))) - 1
+        on = F.transform(F.sequence(first, last), lambda k: (k - at(a)) / (at(b) - at(a)))
+        return F.when(first <= last, on).otherwise(F.array().cast("array<double>"))
+
+    t = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("lat1", "lat2", lat0), crossings("lon1", "lon2", lon0))))
+    cut = lines.withColumn("_t", t).withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_t") - 2)))
+    place = lambda a, b, u: F.col(a) + (F.col(b) - F.col(a)) * u
+    u, v = F.get("_t", F.col("_i")), F.get("_t", F.col("_i") + 1)
+    km = haversine(place("lat1", "lat2", u), place("lon1", "lon2", u), place("lat1", "lat2", v), place("lon1", "lon2", v))
+    middle = (u + v) / 2
+    cell = lambda a, b, origin: F.floor((place(a, b, middle) - origin) / F.lit(step))
+    return cut.select(*keys, cell("lat1", "lat2", lat0).alias("ilat"), cell("lon1", "lon2", lon0).alias("ilon"), km.alias("km")).groupBy(*keys, *CELL).agg(F.sum("km").alias("km"))
+
+
+def overlap_area(x: np.ndarray, y: np.ndarray, cx: float, cy: float, step: float) -> float:
+    """Area of a convex polygon inside the cell from (cx, cy): half-plane clipping, then the shoelace formula."""
+    for axis, bound, keep in ((0, cx, 1), (0, cx + step, -1), (1, cy, 1), (1, cy + step, -1)):
+        if len(x) == 0:
+            return 0.0
+        d = keep * ((x if axis == 0 else y) - bound)
+        nx, ny, nd = np.roll(x, -1), np.roll(y, -1), np.roll(d, -1)
+        cross = (d > 0) != (nd > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            f = np.where(cross, d / (d - nd), 0.0)
+        px = np.stack([x, x + f * (nx - x)], 1)[np.stack([d > 0, cross], 1)]
+        y = np.stack([y, y + f * (ny - y)], 1)[np.stack([d > 0, cross], 1)]
+        x = px
+    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2) if len(x) else 0.0
+
+
+def tessellate(pixels: DataFrame, keys: list[str], values: list[str], lat0: float, lon0: float, step: float) -> DataFrame:
+    """(keys, ilat, ilon, values, area, n): area-weighted means of quadrilateral pixels on the grid.
+
+    ``pixels``: keys, values and four corners ``lats``, ``lons`` in order. Corners of a pixel across the date line are
+    shifted to one side; its cells wrap. Each pixel is exploded to the cells of its bounding box, areas come from batches
+    of (pixel, cell) pairs, and null values take no area.
+    """
+    span = F.array_max("lons") - F.array_min("lons")
+    p = pixels.withColumn("lons", F.when(span > 180, F.transform("lons", lambda x: F.when(x < 0, x + 360).otherwise(x))).otherwise(F.col("lons")))
+    cells = lambda c, origin: F.sequence(F.floor((F.array_min(c) - origin) / F.lit(step)), F.floor((F.array_max(c) - origin) / F.lit(step)))
+    each = p.withColumn("ilat", F.explode(cells("lats", lat0))).withColumn("ilon", F.explode(cells("lons", lon0)))
+
+    @F.pandas_udf("double")
+    def area(lats: pd.Series, lons: pd.Series, ilat: pd.Series, ilon: pd.Series) -> pd.Series:
+        return pd.Series([overlap_area(np.asarray(b, float), np.asarray(a, float), lon0 + j * step, lat0 + i * step, step) for a, b, i, j in zip(lats, lons, ilat, ilon)])
+
+    n = round(360 / step)
+    each = each.withColumn("_a", area("lats", "lons", "ilat", "ilon")).where("_a > 0").withColumn("ilon", F.pmod(F.col("ilon"), F.lit(n)))
+    means = [F.try_divide(F.sum(F.col("_a") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("_a")))).alias(v) for v in values]
+    return each.groupBy(*keys, *CELL).agg(*means, F.sum("_a").alias("area"), F.count("*").alias("n"))
+
+
+def interpolated(at: Column, xs: Column, ys: Column, outside_zero: bool = False) -> Column:
+    """Piecewise-linear values of (xs, ys) at the points of an array; xs ascend. Beyond the ends the end segments go on,
+    or, if ``outside_zero``, values are 0."""
+    def one(x: Column) -> Column:
+        below = F.size(F.filter(xs, lambda v: v <= x))
+        i = F.greatest(F.least(below, F.size(xs) - 1), F.lit(1))
+        x0, x1, y0, y1 = F.get(xs, i - 1), F.get(xs, i), F.get(ys, i - 1), F.get(ys, i)
+        line = y0 + (x - x0) / (x1 - x0) * (y1 - y0)
+        return F.when((x < F.get(xs, F.lit(0))) | (x > F.get(xs, F.size(xs) - 1)), 0.0).otherwise(line) if outside_zero else line
+
+    return F.transform(at, one)
+
+
+def shape_factor(profile: Column, kernel: Column) -> Column:
+    """Sum of profile * averaging kernel over the sum of the profile; null where that is 0."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return F.try_divide(total(F.zip_with(profile, kernel, lambda a, b: a * b)), total(profile))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.units import haversine
+from skyloom.sources.tables import settled
 
 KM_PER_DEGREE = 111.19492664455873
 
@@ -16,14 +17,15 @@ def _band(cell_km: float) -> float:
     return cell_km / KM_PER_DEGREE
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float, suffix: str = "2") -> DataFrame:
-    """Pairs within ``km``. Both sides have site, lat, lon; the right side's columns get ``suffix``.
+def radius_join(left: DataFrame, right: DataFrame, km: float, suffix: str = "2", on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within ``km`` (and of equal columns ``on``). Both sides have site, lat, lon; the right side's other columns
+    get ``suffix``.
 
     The right side is bucketed by latitude bands of ``km`` and longitude cells that are as wide in their band; the left
     side looks into the cells around it. Cells wrap at the date line; bands at the poles are one cell.
     """
     step = _band(km)
-    r = right.select(*[F.col(c).alias(c + suffix) for c in right.columns])
+    r = right.select(*[F.col(c).alias(c if c in on else c + suffix) for c in right.columns])
 
     def cells(band):
         """Number of longitude cells of a band: their width is km at the band's edge nearer to a pole."""
@@ -35,28 +37,32 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, suffix: str = "2")
     r = r.withColumn("_b", band(F.col("lat" + suffix))).withColumn("_n", cells(F.col("_b"))).withColumn("_x", spot(F.col("lon" + suffix), F.col("_n"))).drop("_n")
     l = left.withColumn("_b", F.explode(F.array(*[band(F.col("lat")) + d for d in (-1, 0, 1)]))).withColumn("_n", cells(F.col("_b")))  # noqa: E741
     l = l.withColumn("_x", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(spot(F.col("lon"), F.col("_n")) + d, F.col("_n")))))).drop("_n")  # noqa: E741
-    near = l.join(r, ["_b", "_x"]).drop("_b", "_x")
+    near = l.join(r, ["_b", "_x", *on]).drop("_b", "_x")
     return near.withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("lat" + suffix), F.col("lon" + suffix))).where(F.col("km") <= km)
 
 
-def knn_join(queries: DataFrame, sites: DataFrame, k: int, first_km: float = 50.0, not_closer: float = 0.0, most_km: float = math.pi * 6371.0) -> DataFrame:
-    """The k nearest sites of each query point: radius joins with rings that double for those without k partners yet.
+def knn_join(queries: DataFrame, sites: DataFrame, k: int, first_km: float = 50.0, not_closer: float = 0.0, most_km: float = math.pi * 6371.0, on: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest sites of each query point (among those of equal columns ``on``): radius joins whose radius grows
+    fourfold for those without k partners yet.
 
-    ``not_closer``: partners at or under this distance do not count (0 keeps only other places).
+    ``not_closer``: partners at or under this distance do not count (0 keeps only other places). Each ring's pairs and
+    the points left over are tables, so no ring repeats the ones before it. The last radius is the whole sphere; it meets
+    only points with fewer than k sites within a quarter of it.
     """
-    left, km, out = queries, first_km, None
-    w = Window.partitionBy("site").orderBy("km", "site2")
+    left, km, out, key = queries, first_km, None, ["site", *on]
+    w = Window.partitionBy(*key).orderBy("km", "site2")
     while True:
-        found = radius_join(left, sites, km).where(F.col("km") > not_closer).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        full = found.groupBy("site").agg(F.count("*").alias("n")).where((F.col("n") >= k) | F.lit(km >= most_km)).select("site")
-        part = found.join(full, "site", "left_semi")
+        last = km >= most_km
+        found = radius_join(left, sites, km, on=on).where(F.col("km") > not_closer).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        counted = found.withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
+        part = settled(counted.where((F.col("_n") >= k) | F.lit(last)).drop("_n"), "knn-ring")
         out = part if out is None else out.unionByName(part)
-        if km >= most_km:
+        if last:
             return out
-        left = left.join(full, "site", "left_anti")
+        left = settled(left.join(part.select(*key).distinct(), key, "left_anti"), "knn-left")
         if not left.take(1):
             return out
-        km *= 4 if km < most_km / 4 else most_km
+        km = km * 4 if km * 4 < most_km else most_km
 
 
 def buffered_train(test: DataFrame, train: DataFrame, km: float) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.units import fold_of
+from skyloom.functions.units import fold_of, haversine
+from skyloom.sources.tables import settled
 
 
-def hash_order(key: str, seed: int):
+def hash_order(key: str, seed: int | str):
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
 
 
@@ -37,3 +38,43 @@ def fixed_test(sites: DataFrame, n: int, seed: int = 20230130, key: str = "site"
 def roles(folds: DataFrame, k: int, key: str = "site") -> DataFrame:
     """(fold, key, role): 1 in the own fold, -1 in the others."""
     return folds.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(F.col("f").alias("fold"), key, F.when(F.col("f") == F.col("fold"), 1).otherwise(-1).alias("role"))
+
+
+def cluster_folds(sites: DataFrame, k: int, seeds: int, seed: int = 20230130, key: str = "site") -> DataFrame:
+    """(key, fold) by leave-cluster-out: fold after fold, ``seeds`` unused sites in hash order become cluster seeds, and
+    the unused sites nearest to a seed are its test sites, up to the distance of the fold's quota-th (ties included).
+
+    A quota under the number of seeds takes the first seeds alone. Sites that no quota reached stay without a fold.
+    Each fold is a table, so that the next one does not repeat it; only the quotas (of one count) reach the driver.
+    """
+    n = sites.count()
+    rest, out = sites.select(key, "lat", "lon"), None
+    for i in range(k):
+        quota = n // k + (i < n % k)
+        if not quota:
+            break
+        order = hash_order(key, f"{seed}-{i}")
+        picked = rest.withColumn("_h", order).orderBy("_h", key).limit(min(seeds, quota)).select(F.col("lat").alias("_a"), F.col("lon").alias("_o"), F.col(key).alias("_k"))
+        if quota < seeds:
+            test = rest.join(F.broadcast(picked.select(F.col("_k").alias(key))), key, "left_semi").select(key)
+        else:
+            # at most ``seeds`` rows are broadcast, whatever the number of sites
+            near = rest.crossJoin(F.broadcast(picked)).groupBy(key).agg(F.min(F.bround(haversine(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_o")), 6)).alias("_d"))
+            radius = near.orderBy("_d").limit(quota).agg(F.max("_d").alias("_r"))
+            test = near.join(F.broadcast(radius), F.col("_d") <= F.col("_r")).select(key)
+        fold = settled(test.withColumn("fold", F.lit(i)), "cluster-fold")
+        out = fold if out is None else out.unionByName(fold)
+        rest = settled(rest.join(fold, key, "left_anti"), "cluster-rest")
+    return sites.select(key, F.lit(0).alias("fold")).where("false") if out is None else out
+
+
+def cluster_roles(sites: DataFrame, folds: DataFrame, k: int, km: float, key: str = "site") -> DataFrame:
+    """(fold, key, role): 1 test, -1 train, 0 within ``km`` of a test site of the fold and so left out."""
+    from skyloom.operators.spatial import radius_join
+
+    each = sites.select(key, "lat", "lon").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    test = folds.join(sites.select(key, "lat", "lon"), key).select(key, "lat", "lon", "fold")
+    near = radius_join(each, test, km, on=("fold",)).select("fold", key).distinct().withColumn("_near", F.lit(True))
+    own = folds.select("fold", key).withColumn("_own", F.lit(True))
+    joined = each.select("fold", key).join(own, ["fold", key], "left").join(near, ["fold", key], "left")
+    return joined.select("fold", key, F.when(F.col("_own"), 1).when(F.col("_near"), 0).otherwise(-1).alias("role"))

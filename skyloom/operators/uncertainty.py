@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,14 @@ def covariance(df: DataFrame, vector: str, n: int) -> np.ndarray:
     return np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
 
 
+def inverse_of(covariance: np.ndarray) -> np.ndarray:
+    """Inverse, or pseudo-inverse where channels depend on each other."""
+    try:
+        return np.linalg.inv(covariance)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(covariance)
+
+
 def mahalanobis(a: Column, b: Column, inverse: np.ndarray) -> Column:
     """sqrt(max(0, d S^-1 d)) of two array columns."""
     n = len(inverse)
@@ -49,3 +58,66 @@ def mahalanobis(a: Column, b: Column, inverse: np.ndarray) -> Column:
             inner = inner + d[j] * F.lit(float(inverse[i, j]))
         total = total + d[i] * inner
     return F.sqrt(F.greatest(total, F.lit(0.0)))
+
+
+def lowess(x: np.ndarray, y: np.ndarray, frac: float, passes: int = 3) -> np.ndarray:
+    """Locally weighted regression at each x: tricube weights over the nearest share of points, bisquare robust passes."""
+    n = len(x)
+    k = max(2, min(n, int(frac * n + 1e-10)))
+    out, robust = np.zeros(n), np.ones(n)
+    for _ in range(passes + 1):
+        for i in range(n):
+            d = np.abs(x - x[i])
+            h = np.sort(d)[k - 1]
+            w = robust * (np.where(d < 0.999 * h, (1 - np.minimum(d / h, 1) ** 3) ** 3, 0.0) if h > 0 else (d == 0))
+            if w.sum() <= 0:
+                out[i] = y[i]
+                continue
+            mx, my = np.average(x, weights=w), np.average(y, weights=w)
+            var = np.average((x - mx) ** 2, weights=w)
+            out[i] = my + (np.average((x - mx) * (y - my), weights=w) / var * (x[i] - mx) if var > 1e-12 * (np.ptp(x) ** 2 + 1e-300) else 0.0)
+        r = y - out
+        s = np.median(np.abs(r))
+        robust = np.clip(1 - (r / (6 * s)) ** 2, 0, None) ** 2 if s > 0 else np.ones(n)
+    return out
+
+
+def smoothed(curve: DataFrame, part: str, x: str, y: str, frac: float) -> DataFrame:
+    """Adds ``smooth`` to a curve of some tens of points per ``part``; parts are smoothed side by side."""
+    kept = curve.columns
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(x)
+        p["smooth"] = lowess(p[x].to_numpy(float), p[y].to_numpy(float), frac)
+        return p
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in curve.schema)
+    return curve.groupBy(part).applyInPandas(one, f"{schema}, smooth double").select(*kept, "smooth")
+
+
+def log_binned_rrmse(df: DataFrame, part: str, low: float = 0.3, high: float = 2.0, bins: int = 30, trim: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
+    """RMSE over mean prediction by bins of log(1 + distance) between ``low`` and ``high``; relative residuals (9 dp)
+    outside the quantiles ``trim`` of their bin are left out."""
+    step = (high - low) / bins
+    at = F.log1p("distance")
+    x = df.where("obs is not null and pred is not null").where((at >= low) & (at < high)).withColumn("bin", F.floor((at - low) / F.lit(step))).withColumn("ratio", F.bround((F.col("pred") - F.col("obs")) / (F.col("obs") + F.lit(1e-4)), 9))
+    q = x.groupBy(part, "bin").agg(F.bround(F.percentile("ratio", F.lit(trim[0])), 9).alias("lo"), F.bround(F.percentile("ratio", F.lit(trim[1])), 9).alias("hi"))
+    kept = x.join(F.broadcast(q), [part, "bin"]).where("ratio between lo and hi")  # at most parts * bins rows
+    return kept.groupBy(part, "bin").agg(F.count("*").alias("n"), (F.sqrt(F.avg(F.pow(F.col("pred") - F.col("obs"), 2))) / F.avg("pred")).alias("rrmse"))
+
+
+def extrapolated(df: DataFrame, at: str, curve: DataFrame, x: str, y: str, part: str, low_slope: float = 0.05, high_slope: float = 0.1, cap: float = 1.0) -> DataFrame:
+    """Adds ``fitted``: linear inside the curve of the row's ``part``; beyond its ends the end segment goes on if the curve
+    rises there, else it rises by a fixed slope; never over ``cap``."""
+    w = Window.partitionBy(part).orderBy(x)
+    s = curve.select(part, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1"), F.row_number().over(w).alias("i")).where("x1 is not null")
+    s = s.withColumn("last", F.max("i").over(Window.partitionBy(part)))
+    one = s.groupBy(part).agg(F.sort_array(F.collect_list(F.struct("i", "x0", "y0", "x1", "y1", "last"))).alias("_s"))  # some tens of segments
+    j = df.join(F.broadcast(one), part, "left")
+    v = F.col(at)
+    g = F.get(F.filter("_s", lambda z: ((v >= z["x0"]) | (z["i"] == 1)) & ((v < z["x1"]) | (z["i"] == z["last"]))), 0)
+    slope = (g["y1"] - g["y0"]) / (g["x1"] - g["x0"])
+    low = F.when(g["y1"] >= g["y0"], slope).otherwise(low_slope) * (v - g["x0"]) + g["y0"]
+    high = F.when(g["y1"] >= g["y0"], slope).otherwise(high_slope) * (v - g["x1"]) + g["y1"]
+    fitted = F.when(v < g["x0"], low).when(v >= g["x1"], high).otherwise(g["y0"] + slope * (v - g["x0"]))
+    return j.withColumn("fitted", F.least(fitted, F.lit(cap))).drop("_s")

@@ -9,7 +9,7 @@ from skyloom.operators import metrics as N
 from skyloom.operators import raster as G
 from skyloom.operators import spatial as J
 from skyloom.operators import splits as S
-from skyloom.plans.fields import _MEAN, _PAIRS, R, split_sites, year_grid
+from skyloom.plans.fields import _EDGE, _MEAN, _PAIRS, R, split_sites, year_grid
 from skyloom.plans.model import _FOLD, _SEASON
 from skyloom.plans.registry import query
 from skyloom.sources.fixtures import frame, with_
@@ -48,13 +48,6 @@ def a12(spark, d):
     return I.routed(frame(spark, d, "lineitem"), routes).withColumn("value", R("value", 4))
 
 
-@query("a7_channel_catalog", with_("grid") + "select ilat, ilon, mon, round_even(gchp,6) as monthly, round_even(avg(gchp) over (partition by ilat, ilon),6) as annual from grid where year = 1996")
-def a7(spark, d):
-    y = frame(spark, d, "grid").where("year = 1996")
-    annual = y.groupBy("ilat", "ilon").agg(R(F.avg("gchp")).alias("annual"))
-    return y.select("ilat", "ilon", "mon", R("gchp").alias("monthly")).join(annual, ["ilat", "ilon"])
-
-
 @query("g8_zero_filled_bilinear", with_("grid", "sites") + ", " + _MEAN + """, q as (select site, cast(site % 43 as double)/2e0 as fy, cast(site % 53 as double)/2e0 as fx from sites),
  c as (select site, floor(fy)+a.i as y, floor(fx)+b.i as x, (1-abs(fy-floor(fy)-a.i))*(1-abs(fx-floor(fx)-b.i)) as w from q, range(2) a(i), range(2) b(i))
  select c.site, round_even(sum(least(greatest(w,0),1)*coalesce(g.v,0)),6) as v from c left join g on g.ilat=c.y and g.ilon=c.x group by c.site""")
@@ -63,7 +56,7 @@ def g8(spark, d):
     return G.bilinear_zero(year_grid(spark, d), q).select("site", R("v").alias("v"))
 
 
-_FINE = ", t as (select ilat, ilon, avg(case when year in (1996,1997,1998) then gchp end) as v from grid group by ilat, ilon), f as (select a.ilat, a.ilon, case when min(coalesce(b.v,-1)) > 0 then any_value(a.v)/avg(b.v) else 1 end as r from t a join t b on b.ilat between a.ilat-2 and a.ilat+1 and b.ilon between a.ilon-2 and a.ilon+1 group by a.ilat, a.ilon)"
+_FINE = ", t as (select ilat, ilon, avg(case when year in (1996,1997,1998) then gchp end) as v from grid group by ilat, ilon), f as (select a.ilat, a.ilon, case when min(coalesce(b.v,-1)) > 0 then any_value(a.v)/avg(b.v) else 1 end as r from t a " + _EDGE.format(g="t") + " group by a.ilat, a.ilon)"
 
 
 def fine_structure(spark, d):
@@ -77,7 +70,7 @@ def g19(spark, d):
 
 
 @query("g20_downscale", with_("grid") + _FINE + """, y as (select ilat, ilon, w.y as year, avg(case when grid.year = w.y then gchp end) as v from grid, (values (1995),(1999)) w(y) group by all),
- b as (select a.ilat, a.ilon, a.year, any_value(a.v) as v, avg(b.v) as m from y a join y b on a.year=b.year and b.ilat between a.ilat-2 and a.ilat+1 and b.ilon between a.ilon-2 and a.ilon+1 group by all)
+ b as (select a.ilat, a.ilon, a.year, any_value(a.v) as v, avg(b.v) as m from y a """ + _EDGE.format(g="y") + """ and a.year = b.year group by all)
  select b.ilat, b.ilon, year, round_even(case when year < 1997 then coalesce(r,1)*m else v end,6) as v from b left join f using (ilat, ilon)""")
 def g20(spark, d):
     both = frame(spark, d, "grid").groupBy("ilat", "ilon").pivot("year", [1995, 1999]).agg(F.avg("gchp"))

@@ -114,7 +114,11 @@ def g16(spark, d):
 _BOX = "join g b on b.ilat between a.ilat-2 and a.ilat+1 and b.ilon between a.ilon-2 and a.ilon+1 group by a.ilat, a.ilon"
 
 
-@query("g17_boxcar", with_("grid") + ", " + _MEAN + f" select a.ilat, a.ilon, round_even(avg(b.v),6) as focal from g a {_BOX}")
+#: The window with the border cells repeated outside: the cell of each step is the nearest one of the extent.
+_EDGE = "cross join range(-2,2) r(y) cross join range(-2,2) c(x) cross join (select min(ilat) as y0, max(ilat) as y1, min(ilon) as x0, max(ilon) as x1 from {g}) e join {g} b on b.ilat = least(greatest(a.ilat+r.y, y0), y1) and b.ilon = least(greatest(a.ilon+c.x, x0), x1)"
+
+
+@query("g17_boxcar", with_("grid") + ", " + _MEAN + f" select a.ilat, a.ilon, round_even(avg(b.v),6) as focal from g a {_EDGE.format(g='g')} group by a.ilat, a.ilon")
 def g17(spark, d):
     return G.boxcar(year_grid(spark, d), 2, 1).select("ilat", "ilon", R("focal").alias("focal"))
 
@@ -209,11 +213,6 @@ _CAND = ", cand(mon, tier, c) as (values " + ", ".join(map(str, candidate_months
 _REF = """, y as (select * from grid where year = 1996), r as (select a.ilat, a.ilon, cand.mon, cand.tier, avg(a.sat) as s, avg(a.gchp) as m from y a join cand on a.mon = cand.c where a.sat > 0 and a.gchp is not null group by all)"""
 
 
-@query("h12_candidate_months", with_("grid") + _CAND + " select cand.mon, cand.tier, count(*) as n from cand group by cand.mon, cand.tier")
-def h12(spark, d):
-    return spark.createDataFrame(candidate_months(), "mon int, tier int, c int").groupBy("mon", "tier").agg(F.count("*").alias("n"))
-
-
 def reference_means(spark, d):
     y = frame(spark, d, "grid").where("year = 1996")
     cand = F.broadcast(spark.createDataFrame(candidate_months(), "m int, tier int, c int"))

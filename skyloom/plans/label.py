@@ -24,11 +24,6 @@ def flagship(spark, d):
     return x.groupBy("year", U.season(col("mon")).alias("season")).agg(F.count("*").alias("months"), F.countDistinct("site").alias("sites"), R(F.avg("no2")).alias("mean_no2"))
 
 
-@query("a5_nested_json", """select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where cast(json_extract(props, '$.k') as bigint) in (5, 7, 15)""")
-def a5(spark, d):
-    return frame(spark, d, "events").select("event_id", F.from_json("props", "k long").k.alias("k")).where(col("k").isin(5, 7, 15))
-
-
 @query("a8_era_routing", with_("obs") + "select site, year, mon, case when year*100+mon <= 199806 then 'OMI' else 'TROPOMI' end as source from obs")
 def a8(spark, d):
     return frame(spark, d, "obs").select("site", "year", "mon", U.era(col("year"), col("mon"), 199806).alias("source"))

@@ -149,12 +149,19 @@ def m10(spark, d):
     return frame(spark, d, "embeddings").select("label", s.alias("s")).groupBy("label").agg(R(F.avg(F.abs("s")), 4).alias("importance"))
 
 
+#: The fixture's channels are the first elements of the vectors (FIXTURES.md).
+CHANNELS = 8
+
+
 @query("m11_vif")
 def m11(spark, d):
-    """Variance inflation of the first eight channels: the diagonal of the inverse correlation matrix."""
-    c = V.covariance(frame(spark, d, "embeddings"), "embedding", 8)
+    """Variance inflation of every channel: the diagonal of the inverse correlation matrix; constant channels get the bound."""
+    e = frame(spark, d, "embeddings")
+    c = V.covariance(e, "embedding", CHANNELS)
     sd = np.sqrt(np.diag(c))
-    vif = np.clip(np.diag(np.linalg.inv(c / np.outer(sd, sd))), 1, 1e9)
+    vary = np.flatnonzero(sd > 0)
+    vif = np.full(len(sd), 1e9)
+    vif[vary] = np.clip(np.diag(V.inverse_of((c / np.outer(np.where(sd > 0, sd, 1), np.where(sd > 0, sd, 1)))[np.ix_(vary, vary)])), 1, 1e9)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(vif)], "feature int, vif double")
 
 
@@ -283,10 +290,11 @@ def p3(spark, d):
 
 @query("p4_mahalanobis")
 def p4(spark, d):
-    """Distance of every vector to its label's mean over the first eight channels, with the pooled covariance."""
+    """Distance of every vector to its label's mean over all channels, with the pooled covariance."""
     e = frame(spark, d, "embeddings")
-    mean = e.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(8)]).alias("m"))
-    inv = np.linalg.inv(V.covariance(e, "embedding", 8))
+    n = CHANNELS
+    mean = e.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(n)]).alias("m"))
+    inv = V.inverse_of(V.covariance(e, "embedding", n))
     return e.join(F.broadcast(mean), "label").select("vec_id", "label", R(V.mahalanobis(col("embedding"), col("m"), inv)).alias("distance"))
 
 

@@ -25,6 +25,20 @@ def scan_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", encodi
     return parsed.where(F.col("n") == len(names)).select("r.*")
 
 
+def scan_csv_any(spark: SparkSession, path: str, schema: str, encodings: list[str], sep: str = ",") -> DataFrame:
+    """CSV in the first of the encodings that decodes every text without a replacement character; lines that do not fit
+    the schema are left out. Only a yes or no per encoding reaches the driver."""
+    for encoding in encodings:
+        df = scan_csv(spark, path, schema, sep, encoding)
+        text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+        broken = F.lit(False)
+        for c in text:
+            broken = broken | F.coalesce(F.contains(F.col(c), F.lit("\ufffd")), F.lit(False))
+        if encoding == encodings[-1] or not df.where(broken).limit(1).count():
+            return df
+    raise ValueError("no encoding")
+
+
 def write_monthly(df: DataFrame, path: str, slim: list[str] | None = None, about: dict[str, dict] | None = None) -> None:
     """Maps partitioned by year and month; only the months in ``df`` are overwritten. ``about``: metadata by column."""
     keep = df if slim is None else df.select(*dict.fromkeys([*slim, "year", "mon"]))
