@@ -386,6 +386,29 @@ def test_main_text(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+def test_main_text_template(spark):
+    """The template decides: equal tags on three hosts, of which other slots are boilerplate, content or teasers."""
+    from skyloom.llm.htmltext import main_text
+
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    rows, want = [], {}
+    for k in range(6):
+        a, b, c = word(50), word(50), word(50)
+        rows.append((k, "https://a.example/1", f"<body><div class=x1>{a}</div><div class=x2>one and the same text</div><div class='share-price'>{b}</div></body>", "x", 1))
+        want[k] = f"{a} {b}"
+        rows.append((10 + k, "https://b.example/1", f"<body><div class=x1>one and the same text</div><div class=x2>{a}</div><div class='share-price'>tell all your friends</div></body>", "x", 1))
+        want[10 + k] = a
+        rows.append((20 + k, "https://c.example/1", f"<body><article class=main><h1>{a}</h1><p>{b}</article><div class=x3><article class=teaser>{c}</article><article class=teaser>{a}</article></div></body>", "x", 1))
+        want[20 + k] = f"{a} {b}"
+    long = word(60_000)
+    rows += [(30, "https://d.example/", f"<p title=don't>hi</p><div>{long}</div>", None, None), (31, "https://e.example/", "<form><article><header><h1>T</h1></header><p class='related-work'>r<section class='comments-on-law'>s</section></article></form>", "x", 1)]
+    want |= {30: "hi " + long, 31: "T r s"}
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, host string, main long")
+    got = [(r.page_id, r.text, r.n_chars) for r in main_text(pages).collect()]
+    assert len(got) == len(rows) + 1 and all(want[i] == t and len(t) == n for i, t, n in got)
+
+
 def test_toxicity(spark, odd, empty):
     from skyloom.llm.toxicity import toxicity
 
