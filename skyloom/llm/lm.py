@@ -33,10 +33,10 @@ from skyloom.llm.common import U, drop_table, mix, partitions, release, table
 
 FOLDS, HELD = 5, 1
 BASE, BITS, PROBES, TRUST = 1.5, 10, 4, 0.8
-HEAD, MOST_BROADCAST = 200_000, 192 << 20
+HEAD, MOST_BROADCAST = 200_000, 96 << 20
 END_TOKEN = U(xxhash.xxh3_64_intdigest(b" "))  # no word holds a space
 #: Tokens that are scored, and counted, at once (a longer text is a chunk of its own).
-TOKENS, COUNTED = 200_000, 2_000_000
+TOKENS, COUNTED = 200_000, 1_000_000
 
 ONE = np.dtype([("key", "<u8"), ("c", "<u4")])
 SHARD, ASK, ANSWER, CHUNK = range(4)
