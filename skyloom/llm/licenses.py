@@ -1,18 +1,21 @@
 """License scans by a positional rare-token index.
 
-Words are runs of a-z, 0-9 and characters from U+0080 on, after lower-casing A-Z. Every phrase below is a template.
-The document frequencies of all template words are counted over the whole corpus (a table of at most as many rows as
-the templates have words); each template is indexed by its ``RARE`` words of highest IDF, with their positions. In a
-text, every index word votes for the place where its template would start; where all rare words of a template agree on
-one relative position, the whole phrase is verified word by word. Every place of a phrase is found, as it holds the
-rare words at their positions.
+Words are runs of a-z, 0-9 and characters from U+0080 on, after lower-casing A-Z. Every phrase and licence text below is
+a template: mandatory key phrases at relative positions. The document frequencies of all words of key phrases are counted
+over the whole corpus (a table of at most as many rows as there are such words). The ``RARE`` words of highest IDF of
+each template are indexed with their positions. In a file, every template is looked up by its words that the file holds,
+those of highest IDF first: the rarest one proposes where the template would start, the others must agree with a start
+within ``SLACK`` words, and then the key phrases are verified word by word. A licence text may gain or lose words between
+its key phrases, ``SLACK`` in all. As indexed words are parts of key phrases, no place of a template is lost: a label is
+there if and only if the key phrases stand at shifts that differ by ``SLACK`` at most (a test's brute force).
 
 Results by row: n_words, n_base (places of the base phrases), first_word and last_word (smallest and largest start of
-those, else null), base_labels, labels (with those of the other phrases), score: 1 if any phrase is there, else the
-largest share of one template's rare words that agree on a start.
+those, else null), base_labels, labels (with those of the other templates), score: 1 if any template is there, else half
+the largest share of one template's rare words that agree on a start.
 
-Nulls: a null text is empty (no words, no labels, score 0); a null doc_id is kept. Repeated rows come out as often as
-they come in. Other columns are ignored.
+Nulls: a null text is empty (no words, no labels, score 0); a null doc_id is kept. Very long texts are scanned whole. Ties
+of IDF go to the word that stands first in its template; overlapping places all count. Repeated rows come out as often
+as they come in; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-RARE = 2
+RARE, SLACK = 3, 12
 
 #: Base phrases and their labels.
 BASE = {
@@ -34,7 +37,7 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Mandatory key phrases of other licences.
+#: Phrases that name other licences.
 MORE = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license": "apache-2",
@@ -42,19 +45,61 @@ MORE = {
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
     "mozilla public license version 2": "mpl-2",
-    "redistribution and use in source and binary forms": "bsd",
     "creative commons attribution": "cc-by",
     "creative commons zero": "cc0",
-    "permission to use copy modify and or distribute this software": "isc",
     "released into the public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
 }
+#: Licence texts with their mandatory key phrases in brackets.
+TEXTS = {
+    "[permission is hereby granted] free of charge to any person obtaining a copy of this software and associated documentation files the software [to deal in the software without restriction] including without limitation the rights [to use copy modify merge publish distribute sublicense] and or sell copies of the software": "mit",
+    "[redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met redistributions of source code must [retain the above copyright notice] this list of conditions and the following disclaimer redistributions in binary form must [reproduce the above copyright notice] this list of conditions": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors [may be used to endorse or promote products] derived from this software [without specific prior written permission]": "bsd-3",
+    "[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice [appear in all copies]": "isc",
+    "you may not use this file except [in compliance with the license] you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is [distributed on an as is basis]": "apache-2",
+    "this program is free software [you can redistribute it and or modify it] under the terms of the gnu general public license as published by the [free software foundation] either version 3 of the license": "gpl",
+    "this source code form is [subject to the terms of the mozilla public license] v 2 0 if a copy of the mpl was not distributed with this file [you can obtain one at]": "mpl-2",
+    "[this is free and unencumbered software] released into the public domain anyone is free to [copy modify publish use compile sell or distribute] this software": "unlicense",
+}
+
+
+class Template:
+    """Key phrases (shift from the template's start, words), label, and whether it is a base phrase."""
+
+    def __init__(self, text: str, label: str, is_base: bool):
+        self.label, self.is_base, self.phrases, at = label, is_base, [], 0
+        for k, part in enumerate(re.split(r"[\[\]]", text if "[" in text else f"[{text}]")):
+            w = tuple(part.encode().split())
+            if k % 2:
+                self.phrases.append((at, w))
+            at += len(w)
+        self.slack = SLACK if len(self.phrases) > 1 else 0
+
+    def spots(self) -> dict[bytes, list[int]]:
+        """Positions of every word of the key phrases."""
+        out = defaultdict(list)
+        for at, phrase in self.phrases:
+            for i, w in enumerate(phrase):
+                out[w].append(at + i)
+        return dict(out)
+
+    def stands(self, w: list[bytes], start: int) -> bool:
+        """Do all key phrases stand at shifts around ``start`` that differ by ``slack`` at most?"""
+        found = []
+        for at, phrase in self.phrases:
+            near = range(max(start - self.slack, -at), start + self.slack + 1)
+            found.append([s for s in near if w[s + at : s + at + len(phrase)] == list(phrase)])
+        return all(found) and any(all(any(low <= s <= low + self.slack for s in f) for f in found) for low in range(start - self.slack, start + 1))
 
 
 def words(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
+def templates_of(base: dict[str, str], more: dict[str, str], texts: dict[str, str]) -> list[Template]:
+    return [Template(p, label, is_base) for part, is_base in ((base, True), (more, False), (texts, False)) for p, label in part.items()]
+
+
 def _frequencies(vocabulary: frozenset):
     def run(batches):
         seen, n = Counter(), 0
@@ -68,57 +113,64 @@ def _frequencies(vocabulary: frozenset):
     return run
 
 
-def index_of(templates: list[tuple[tuple[bytes, ...], str, bool]], idf: dict[bytes, float], rare: int) -> dict[bytes, list[tuple[int, int]]]:
-    """Rare word -> (template, position) postings."""
-    out = defaultdict(list)
-    for k, (phrase, _, _) in enumerate(templates):
-        for at in sorted(range(len(phrase)), key=lambda i: (-idf[phrase[i]], i))[:rare]:
-            out[phrase[at]].append((k, at))
-    return dict(out)
+def index_of(templates: list[Template], idf: dict[bytes, float], rare: int) -> list[list[tuple[bytes, list[int]]]]:
+    """For each template its rare words, rarest first, with their positions."""
+    out = []
+    for t in templates:
+        spots = t.spots()
+        out.append([(w, spots[w]) for w in sorted(spots, key=lambda w: (-idf[w], spots[w][0]))[:rare]])
+    return out
 
 
-def scan(w: list[bytes], templates, index, rare: int = RARE) -> tuple:
-    votes = Counter()
+def scan(w: list[bytes], templates: list[Template], index, wanted: frozenset) -> tuple:
+    places = defaultdict(list)
     for at, word in enumerate(w):
-        if word in index:
-            for k, i in index[word]:
-                votes[k, at - i] += 1
-    base, labels, own, score, starts = 0, set(), set(), 0.0, []
-    for (k, start), n in votes.items():
-        phrase, label, is_base = templates[k]
-        need = min(rare, len(phrase))
-        if n == need and start >= 0 and tuple(w[start : start + len(phrase)]) == phrase:
-            score = 1.0
-            labels.add(label)
-            if is_base:
-                base += 1
-                own.add(label)
+        if word in wanted:
+            places[word].append(at)
+    labels, own, score, starts = set(), set(), 0.0, []
+    for t, rare in zip(templates, index) if places else ():
+        here = [(places[word], spots) for word, spots in rare if word in places]
+        if not here:
+            continue
+        rarest, spots = here[0]
+        if len(here) < len(rare):  # a key phrase lacks a word
+            score = max(score, 0.5 / len(rare))
+            continue
+        others = [{at - i for at in found for i in spot} for found, spot in here[1:]]
+        for start in sorted({at - i for at in rarest for i in spots}):
+            agree = sum(any(s in o for s in range(start - t.slack, start + t.slack + 1)) for o in others)
+            if agree == len(others) and t.stands(w, start):
+                labels.add(t.label)
+                score = 1.0
+                if not t.is_base:
+                    break
+                own.add(t.label)
                 starts.append(start)
-        else:
-            score = max(score, 0.9 * n / (need + 1))
-    return len(w), base, min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), score
+            else:
+                score = max(score, 0.5 * (agree + 1) / len(rare))
+    return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), score
 
 
-def _scan(templates, index, rare: int):
+def _scan(templates, index):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    wanted = frozenset(word for rare in index for word, _ in rare)
 
     def run(batches):
         for b in batches:
-            out = [scan(words(t.as_py()), templates, index, rare) for t in b.column(1)]
+            out = [scan(words(t.as_py()), templates, index, wanted) for t in b.column(1)]
             columns = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=names)
 
     return run
 
 
-def license_scan(docs: DataFrame, base: dict[str, str] = BASE, more: dict[str, str] = MORE, rare: int = RARE) -> DataFrame:
-    templates = [(tuple(p.encode().split()), label, is_base) for part, is_base in ((base, True), (more, False)) for p, label in part.items()]
-    vocabulary = frozenset(w for p, _, _ in templates for w in p)
+def license_scan(docs: DataFrame, base: dict[str, str] = BASE, more: dict[str, str] = MORE, texts: dict[str, str] = TEXTS, rare: int = RARE) -> DataFrame:
+    templates = templates_of(base, more, texts)
+    vocabulary = frozenset(w for t in templates for _, p in t.phrases for w in p)
     counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "word binary, df long").groupBy("word").agg(F.sum("df").alias("df"))
     df = {bytes(r.word): r.df for r in counted.collect()}  # at most the templates' words
     n = df.get(b"", 0)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary}
-    index = index_of(templates, idf, rare)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select("doc_id", "text").mapInArrow(_scan(templates, index, rare), schema)
+    return docs.select("doc_id", "text").mapInArrow(_scan(templates, index_of(templates, idf, rare)), schema)
