@@ -52,6 +52,47 @@ def test_quality(odd, empty):
     assert quality(empty).count() == 0
 
 
+def test_quality_verdict(odd, docs, spark):
+    """Distances and verdicts against references summed up in Python; every language, null too, has its own."""
+    from skyloom.llm.quality import COMMON, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, quality
+
+    def histograms(t, lang):
+        c = [0] * 7
+        for x in t:
+            c[0 if "a" <= x <= "z" else 1 if x in " \t\n\x0b\x0c\r" else 2 if "A" <= x <= "Z" else 3 if "0" <= x <= "9" else 4 if x in "#*$%&|<>" else 5 if ord(x) < 128 else 6] += 1
+        w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        listed = COMMON.get(lang, [])
+        counts = [w.count(v) for v in listed]
+        return c, ([*counts, len(w) - sum(counts)] if listed else []), len(w)
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0
+        p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+        m = (p + q) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return math.sqrt(max(0.0, (np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(q > 0, q * np.log2(q / m), 0).sum()) / 2))
+
+    other = spark.createDataFrame([(1, "ÄÖ " * 300, "xx"), (2, "word and " * 200, "xx"), (3, "word and " * 200, None)], "doc_id long, text string, lang string")
+    for df in (docs, odd, other):
+        rows = [(r.doc_id, r.text or "", r.lang or "") for r in df.select("doc_id", "text", "lang").collect()]
+        made = [(i, t, g, *histograms(t, g)) for i, t, g in rows]
+        sums = {}
+        for _, _, g, c, w, _ in made:
+            a, b = sums.setdefault(g, (np.zeros(7), np.zeros(len(w))))
+            a += c
+            b += w
+        want = {}
+        for i, t, g, c, w, n in made:
+            want.setdefault(i, []).append((distance(c, sums[g][0]) if len(t) >= MIN_CHARS else None, distance(w, sums[g][1]) if n >= MIN_WORDS and w else None))
+        got = quality(df, "doc_id", "lang").collect()
+        assert len(got) == len(rows)
+        same = lambda x, y: x is y if x is None or y is None else abs(x - y) < 2e-6
+        for r in got:
+            want[r.doc_id].remove(next(p for p in want[r.doc_id] if same(p[0], r.char_distance) and same(p[1], r.word_distance)))
+        assert all(r.kept == (not r.base_failed and (r.char_distance or 0) <= MAX_CHAR_DISTANCE and (r.word_distance or 0) <= MAX_WORD_DISTANCE) for r in got)
+
+
 def components(rows, k, num=4, den=5):
     sets = {}
     for i, t in rows:
@@ -423,18 +464,39 @@ def test_toxicity(spark, odd, empty):
 
 
 def test_licenses(odd, docs, empty, spark):
-    from skyloom.llm.licenses import BASE, license_scan
+    """Base places and all labels against a search at every position, without an index."""
+    from skyloom.llm.licenses import BASE, MORE, SLACK, TEXTS, license_scan
+
+    full = [re.sub(r"[\[\]]", "", t) for t in TEXTS]
+    extra = [(1, "Released Under the MIT-License.  CC BY-NC; under the mit license"), (2, "Apache License, Version 2.0"), (3, None), (None, "GNU General Public License"), (5, "mit"), (6, "")]
+    extra += [(10 + k, "intro words " + t.upper().replace(" ", "\n# ", 5) + " and then " + t) for k, t in enumerate(full)]
+    extra += [(30 + k, re.sub("software", "one two three four software", t)) for k, t in enumerate(full)]
+    extra += [(50 + k, re.sub("copy|the", "", t)) for k, t in enumerate(full)]
+    extra += [(70 + k, " ".join(reversed(t.split("]")))) for k, t in enumerate(TEXTS)]
+
+    def labels_of(w):
+        out = {lab for p, lab in [*BASE.items(), *MORE.items()] if any(w[k : k + len(p.split())] == p.split() for k in range(len(w)))}
+        for t, lab in TEXTS.items():
+            at, shifts = 0, []
+            for k, part in enumerate(re.split(r"[\[\]]", t)):
+                p = part.split()
+                if k % 2:
+                    shifts.append([i - at for i in range(len(w)) if w[i : i + len(p)] == p])
+                at += len(p)
+            if any(all(any(low <= s <= low + SLACK for s in f) for f in shifts) for low in (shifts[0] + [s - SLACK for s in shifts[0]] + [s for f in shifts for s in f])):
+                out.add(lab)
+        return ",".join(sorted(out))
 
-    extra = [(1, "Released Under the MIT-License.  CC BY-NC; under the mit license"), (2, "Apache License, Version 2.0"), (3, None), (None, "GNU General Public License"), (5, "mit")]
     for df in (docs, odd, spark.createDataFrame(extra, "doc_id long, text string")):
         want = Counter()
         for i, t in texts(df):
             w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
             at = [(k, lab) for p, lab in BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-            want[i, len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))] += 1
+            want[i, len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at})), labels_of(w)] += 1
         got = license_scan(df).collect()
-        assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == want
-        assert all(set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} and 0 <= r.score <= 1 for r in got)
+        assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got) == want
+        assert all(set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} and 0 <= r.score <= 1 and (r.score == 1) == bool(r.labels) for r in got)
+    assert {r.labels.split(",")[0] != "" for r in got if r.doc_id and 10 <= r.doc_id < 20} == {True}
     assert license_scan(empty).count() == 0
 
 
@@ -452,3 +514,23 @@ def test_suffix_hot(docs):
     from skyloom.llm.suffix import suffix_dedup
 
     assert sorted(map(tuple, suffix_dedup(docs, hot=1).collect())) == sorted(map(tuple, suffix_dedup(docs).collect()))
+
+
+def test_pipeline_stages_odd(spark, odd, empty, docs):
+    """Nulls, empty and repeated rows, empty tables, and extra columns named like results of the stages."""
+    import corpus_pipeline
+
+    clash = "kept boolean, n_words long, base_failed boolean, n_lines string, n_removed_lines long, judged int, carried int, similarity double, start long, _doc int"
+    names = [c.split()[0] for c in clash.split(", ")]
+    extra = {c.split()[0]: c.split()[1] for c in clash.split(", ")}
+    good = docs.unionByName(odd.select(docs.columns))
+    for df in (good, odd.limit(0).select(docs.columns), empty.select(docs.columns)):
+        for k, t in extra.items():
+            df = df.selectExpr("*", f"cast(7 as {t}) as {k}")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, SF)
+            assert out.columns == df.columns
+            for c in names:
+                assert out.select(c).distinct().count() <= 1
+            df = spark.createDataFrame(out.collect(), out.schema)
+        corpus_pipeline.STAGES[-1][1](spark, df, SF).count()
