@@ -4,35 +4,40 @@ from __future__ import annotations
 
 from skyloom.llm.decontam import K, LEAST
 
-_WORDS = r"list_filter(string_split_regex(lower({t}), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_SHINGLES = f"case when len(w) >= {K} then list_transform(range(1, len(w) - {K - 2}), lambda i: array_to_string(w[i:i+{K - 1}], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
 
-#: op3: the best window of every (document, item) that share a shingle, by exact weighted similarity alone.
+#: op3: every window with as many hits as its similarity needs, by exact weighted similarity alone.
 OP3 = f"""
 with items as (
-  select item_id, {_WORDS.format(t="text")} as w from benchmark where item_id is not null and text is not null
+  select item_id, {_WORDS.format(t="min(text)")} as w from benchmark where item_id is not null group by item_id having min(text) is not null
 ), it as (
-  select item_id, len(w) as n_words, [array_to_string(w[i:i+{K - 1}], ' ') for i in range(1, greatest(len(w) - {K - 2}, 2))] as s from items where len(w) >= {K}
+  select item_id, len(w) as n_words, {_SHINGLES} as s from items where len(w) > 0
 ), docs as (
-  select doc_id, {_WORDS.format(t="coalesce(text, '')")} as w from documents
+  select distinct doc_id, text, {_WORDS.format(t="coalesce(text, '')")} as w from documents
 ), d as (
-  select doc_id, [array_to_string(w[i:i+{K - 1}], ' ') for i in range(1, len(w) - {K - 2})] as s from docs where len(w) >= {K}
-), dp as (
-  select doc_id, unnest(s) as h, generate_subscripts(s, 1) - 1 as pos from d
+  select row_number() over () as row, doc_id, {_SHINGLES} as s from docs where len(w) > 0
 ), ip as (
-  select item_id, n_words, unnest(s) as h, generate_subscripts(s, 1) - 1 as at from it
-), win as (
-  select distinct dp.doc_id, ip.item_id, greatest(pos - at, 0) as start from dp join ip using (h)
+  select distinct item_id, unnest(s) as h from it
+), dp as (
+  select row, unnest(s) as h, generate_subscripts(s, 1) - 1 as pos from d
+), hits as (
+  select row, item_id, pos, len(it.s) as n from dp join ip using (h) join it using (item_id)
+), starts as (
+  select row, item_id, unnest(range(greatest(pos - n + 1, 0), pos + 1)) as start, n from hits
+), laid as (
+  select row, item_id, start from starts group by row, item_id, start, n having count(*) >= {LEAST} * n - 1e-9
 ), bags as (
-  select win.doc_id, win.item_id, win.start, it.n_words, it.s as item, d.s[start + 1 : start + len(it.s)] as wnd
-  from win join it using (item_id) join d on d.doc_id is not distinct from win.doc_id
+  select d.doc_id, laid.item_id, laid.start, it.n_words, it.s as item, d.s[start + 1 : start + len(it.s)] as part
+  from laid join it using (item_id) join d using (row)
 ), sim as (
-  select *, list_sum([least(len(list_filter(item, y -> y = x)), len(list_filter(wnd, y -> y = x))) for x in list_distinct(item)]) as m from bags
+  select *, list_sum(list_transform(list_distinct(item), lambda x: least(len(list_filter(item, lambda y: y = x)), len(list_filter(part, lambda y: y = x))))) as m from bags
 ), scored as (
-  select doc_id, item_id, start, n_words, m / greatest(len(item) + len(wnd) - m, 1) as similarity from sim
+  select doc_id, item_id, start, n_words, m / greatest(len(item) + len(part) - m, 1) as similarity from sim
 )
 select doc_id, item_id, cast(start as bigint) as start_word, cast(n_words as bigint) as n_words, round(similarity, 6) as similarity
 from scored where similarity >= {LEAST}
 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1
 """
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3}

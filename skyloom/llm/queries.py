@@ -36,7 +36,7 @@ def op2_near_duplicates(spark, sf_dir):
 
 
 def op3_decontamination(spark, sf_dir):
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("distance")
 
 
 def op4_best_fit_packing(spark, sf_dir):
