@@ -13,18 +13,18 @@ from skyloom.llm.decontam import decontaminate
 from skyloom.llm.linededup import line_dedup
 from skyloom.llm.minhash import near_duplicates
 from skyloom.llm.packing import pack
-from skyloom.llm.quality import quality
+from skyloom.llm.quality import judged
 from skyloom.llm.queries import bpe_path, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the divergence rule keep."""
-    return quality(docs, *docs.columns).where("kept").select(*docs.columns)
+    return judged(docs, *docs.columns).where("judged.kept").select("carried.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without repeated multi-line chunks; n_chars counts what is left."""
-    return line_dedup(docs).select(*docs.columns)
+    return line_dedup(docs, counts=False).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
