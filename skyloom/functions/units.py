@@ -27,10 +27,14 @@ def in_range(value: Column, low: float, high: float | None, closed: bool = True)
     return ok if high is None else ok & (value <= high if closed else value < high)
 
 
-def plain_name(name: Column) -> Column:
-    """Folded site name: no marks of order or width, no line breaks, no common accents, lower case."""
-    bare = F.trim(F.regexp_replace(name, "[﻿​‌‍\r\n]+", ""))
-    return F.translate(F.lower(bare), "áàâãäåçéèêëíìîïñóòôõöúùûüý", "aaaaaaceeeeiiiinooooouuuuy")
+def any_timestamp(text: Column) -> Column:
+    """Timestamps from texts with slashes or dashes, fractions, or a leading HH:MM before a date; null if none fits."""
+    bare = F.substring(F.replace(F.regexp_replace(F.trim(text), r"^\d{1,2}:\d{2} +", ""), F.lit("/"), F.lit("-")), 1, 19)
+    return F.coalesce(F.try_to_timestamp(bare, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd")))
+
+
+def from_parts(year: Column, month: Column, day: Column, hour: Column) -> Column:
+    return F.try_make_timestamp(year, month, day, hour, F.lit(0), F.lit(0))
 
 
 def dms(degrees: Column, minutes: Column, seconds: Column) -> Column:

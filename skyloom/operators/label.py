@@ -52,9 +52,10 @@ def standardise(df: DataFrame, names: dict[str, str], country: str | None = None
 
 
 def priority_union(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Primary rows, and those secondary ones whose coordinates the primary does not have."""
-    keys = primary.select("lat", "lon").distinct()
-    return primary.unionByName(secondary.join(keys, ["lat", "lon"], "left_anti"))
+    """Primary rows, and those secondary ones whose coordinates, rounded to 4 places, the primary does not have."""
+    at = [F.bround("lat", 4).alias("_a"), F.bround("lon", 4).alias("_o")]
+    rest = secondary.select("*", *at).join(primary.select(*at).distinct(), ["_a", "_o"], "left_anti")
+    return primary.unionByName(rest.select(*secondary.columns))
 
 
 def overlap_report(primary: DataFrame, secondary: DataFrame) -> DataFrame:

@@ -55,3 +55,24 @@ def prediction_map(model: GBTRegressionModel, cells: DataFrame, names: list[str]
     """(keys, pred) of all cells: predicted on land where no feature is missing, ``NO_DATA`` elsewhere."""
     on_land = predicted(model, cells.where(land), names).select(*keys, "pred")
     return cells.select(*keys).join(on_land, keys, "left").withColumn("pred", F.coalesce("pred", F.lit(NO_DATA)))
+
+
+OBJECTIVES = ["bias", "norm_bias", "norm_species", "species", "logged"]
+
+
+def objective_scales(train: DataFrame, species: str, geo: str) -> DataFrame:
+    """One row: mean and deviation (1 where it is 0) of the bias and of the species over the training rows."""
+    bias = F.col(species) - F.col(geo)
+    one = lambda x: F.when(x == 0, 1.0).otherwise(x)
+    return train.agg(F.avg(bias).alias("_mb"), one(F.stddev_pop(bias)).alias("_sb"), F.avg(species).alias("_mo"), one(F.stddev_pop(species)).alias("_so"))
+
+
+def objective(kind: str, species: Column, geo: Column) -> Column:
+    """What a model learns; needs the columns of :func:`objective_scales` for the normalised kinds."""
+    bias = species - geo
+    return {"bias": bias, "norm_bias": (bias - F.col("_mb")) / F.col("_sb"), "norm_species": (species - F.col("_mo")) / F.col("_so"), "species": species, "logged": F.log1p(species)}[kind]
+
+
+def inverse_objective(kind: str, out: Column, geo: Column) -> Column:
+    """Species from a model's output."""
+    return {"bias": out + geo, "norm_bias": out * F.col("_sb") + F.col("_mb") + geo, "norm_species": out * F.col("_so") + F.col("_mo"), "species": out, "logged": F.expm1(out)}[kind]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,43 @@ def concordance(df: DataFrame, time: str, risk: str, event: str) -> DataFrame:
     n = F.col("_n") * F.col("_m")
     both = j.join(i, F.col("_t") < F.col("_u")).agg(F.sum(n).alias("pairs"), F.sum(F.when(F.col("_r") > F.col("_q"), n).otherwise(0)).alias("_c"))
     return both.select(F.coalesce("pairs", F.lit(0)).alias("pairs"), F.try_divide(F.col("_c"), F.col("pairs")).alias("c"))
+
+
+def type_two(x: Column, y: Column) -> dict[str, Column]:
+    """Aggregates of y ~ x: reduced major axis (slope, icpt, r, standard errors), its slope without intercept, the major
+    axis and the arithmetic mean of both OLS slopes. Null where the two OLS slopes differ in sign."""
+    x, y = _pair(x, y)
+    a, b = F.regr_slope(y, x), F.try_divide(F.lit(1.0), F.regr_slope(x, y))
+    n, sxx, syy, sxy = F.count(x), F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
+    slope = F.when(a * b >= 0, F.signum(a) * F.sqrt(a * b))
+    s2 = F.try_divide(syy - 2 * slope * sxy + slope * slope * sxx, n - 2)
+    xx, xy, yy = F.sum(x * x), F.sum(x * y), F.sum(y * y)
+    return {
+        "slope": slope,
+        "icpt": F.avg(y) - slope * F.avg(x),
+        "r": F.signum(a) * F.sqrt(F.try_divide(a, b)),
+        "se_slope": F.sqrt(F.try_divide(s2, sxx)),
+        "se_icpt": F.sqrt(F.try_divide(xx * s2, n * sxx)),
+        "slope0": F.signum(xy) * F.sqrt(F.try_divide(yy, xx)),
+        "major": F.try_divide(syy - sxx + F.sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy), 2 * sxy),
+        "arithmetic": (a + b) / 2,
+    }
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, q: float, buckets: int = 4096) -> DataFrame:
+    """(by, q): exact, interpolated quantiles by rank. Values become counts, counts become bucket sums over the range of
+    the group, and only the buckets that hold the wanted ranks are sorted; no task sees a whole group."""
+    g = by or ["_all"]
+    x = df.where(F.col(value).isNotNull())
+    x = x if by else x.withColumn("_all", F.lit(0))
+    v = x.groupBy(*g, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    lim = v.groupBy(*g).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    at = F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * buckets), F.lit(buckets - 1))
+    b = v.join(lim, g).withColumns({"_b": at, "_pos": F.lit(q) * (F.col("_total") - 1)})
+    before = lambda w: F.sum("_n").over(w) - F.col("_n")
+    wanted = (F.col("_c") <= F.ceil("_pos")) & (F.col("_c") + F.col("_n") > F.floor("_pos"))
+    sums = b.groupBy(*g, "_b", "_pos").agg(F.sum("_n").alias("_n")).withColumn("_c", before(Window.partitionBy(*g).orderBy("_b"))).where(wanted)
+    inside = b.join(sums.select(*g, "_b", F.col("_c").alias("_base")), [*g, "_b"]).withColumn("_c", F.col("_base") + before(Window.partitionBy(*g, "_b").orderBy("_v"))).where(wanted)
+    holds = lambda r: F.max(F.when((F.col("_c") <= r) & (F.col("_c") + F.col("_n") > r), F.col("_v")))
+    out = inside.groupBy(*g, "_pos").agg(holds(F.floor("_pos")).alias("_x"), holds(F.ceil("_pos")).alias("_y"))
+    return out.select(*by, (F.col("_x") + (F.col("_y") - F.col("_x")) * (F.col("_pos") - F.floor("_pos"))).alias("q"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.operators import intake as I
+from skyloom.operators import learn as M
 from skyloom.operators import metrics as N
 from skyloom.operators import raster as G
 from skyloom.operators import spatial as J
@@ -121,12 +122,6 @@ def h2(spark, d):
     return frame(spark, d, "lineitem").where(_OMI).select("l_orderkey", "l_linenumber")
 
 
-@query("h4_profile_cell", with_("grid", "sites") + "select site, mon, round_even(gchp,6) as gchp from sites s join grid g on g.ilat = cast(round_even((s.lat-30)/1.6e0,0) as int) and g.ilon = cast(round_even((s.lon+10)/1.7e0,0) as int) where year = 1996")
-def h4(spark, d):
-    s = frame(spark, d, "sites").select("site", F.rint((col("lat") - 30) / F.lit(1.6)).cast("int").alias("ilat"), F.rint((col("lon") + 10) / F.lit(1.7)).cast("int").alias("ilon"))
-    return frame(spark, d, "grid").where("year = 1996").join(s, ["ilat", "ilon"]).select("site", "mon", R("gchp").alias("gchp"))
-
-
 @query("h5_partial_columns", "select vec_id, i-1 as level, round_even(embedding[i]::double*(2e0+i)*3e0*(1e3/28.97e0*1e-4*6.023e23)/1e23,3) as c from embeddings, range(1,9) t(i)")
 def h5(spark, d):
     e = frame(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
@@ -163,24 +158,12 @@ def j7(spark, d):
     return land.unionByName(c.where("ilat % 3 = 0").select("site", F.lit(1000.0).alias("km")))
 
 
-@query("k2_channel_table", with_("grid") + "select ilat, ilon, year, mon, round_even(sat,6) as sat, round_even(gchp,6) as gchp from grid")
-def k2(spark, d):
-    long = frame(spark, d, "grid").unpivot(["ilat", "ilon", "year", "mon"], ["sat", "gchp"], "channel", "v")
-    return long.groupBy("ilat", "ilon", "year", "mon").pivot("channel", ["sat", "gchp"]).agg(R(F.first("v")))
-
-
 @query("k5_channel_selection", "select l_orderkey, l_linenumber, l_quantity, l_tax from lineitem")
 def k5(spark, d):
     df = frame(spark, d, "lineitem")
     return df.select(*I.select_channels(df.columns, ["l_tax", "l_quantity", "l_discount", "l_linenumber", "l_orderkey"], ["l_discount"]))
 
 
-@query("k8_inverse_transform", with_("cv") + "select site, year, mon, round_even(avg(pred),6) as bias, round_even(avg(pred),6) as logged from cv group by site, year, mon")
-def k8(spark, d):
-    cv = frame(spark, d, "cv").withColumns({"b": col("pred") - col("geo"), "l": F.log1p("pred")})
-    return cv.groupBy("site", "year", "mon").agg(R(F.avg(col("b") + col("geo")), 6).alias("bias"), R(F.avg(F.expm1("l")), 6).alias("logged"))
-
-
 @query("l6_buffered_leave_out", _PAIRS + f", o as (select site, {_FOLD.format(k='site', n=10)} as own from sites), x as (select distinct o.own as fold, p.site from p join o on o.site = p.site2 where km <= 120) select f as fold, count(*) filter (where own = f) as test, count(*) filter (where own <> f and x.site is null) as train from o cross join range(10) t(f) left join x on x.fold = f and x.site = o.site group by f")
 def l6(spark, d):
     s = frame(spark, d, "sites").select("site", "lat", "lon")
@@ -193,15 +176,6 @@ def l6(spark, d):
     return out.select("fold", F.coalesce("test", F.lit(0)).alias("test"), F.coalesce("train", F.lit(0)).alias("train"))
 
 
-@query("n12_split_metrics", with_("cv") + "select year, mon, round_even(pow(corr(obs,pred),2),6) as r2, round_even(regr_slope(pred,obs),6) as slope, round_even(sqrt(avg((obs-pred)*(obs-pred))),2) as rmse from cv where split='test' group by grouping sets ((year), (year, mon)) having count(*) > 2")
-def n12(spark, d):
-    cv = frame(spark, d, "cv").where("split = 'test'")
-    p = F.when(col("kind") == 1, col("mon")).alias("mon")
-    both = cv.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).select("year", p, "kind", "obs", "pred")
-    g = both.groupBy("year", "mon", "kind").agg(R(N.r2(col("obs"), col("pred"))).alias("r2"), R(F.regr_slope("pred", "obs")).alias("slope"), N.rmse(col("obs"), col("pred")).alias("rmse"), F.count("*").alias("n"))
-    return g.where("n > 2").drop("kind", "n")
-
-
 @query("o2_period_pool", with_("cv") + f", p as (select site, cast(mon as varchar) as period, obs, pred from cv union all select site, {_SEASON}, obs, pred from cv union all select site, 'annual', obs, pred from cv) select site, period, count(*) as n, round_even(avg(obs),7) as obs, round_even(avg(pred),7) as pred from p group by site, period")
 def o2(spark, d):
     cv = frame(spark, d, "cv").withColumn("period", F.explode(F.array(col("mon").cast("string"), F.expr(_SEASON), F.lit("annual"))))
@@ -219,3 +193,44 @@ def p2(spark, d):
     test, train = split_sites(spark, d)
     channel = frame(spark, d, "customer").select(col("c_custkey").alias("site2"), "c_acctbal")
     return J.knn_join(test, train, 5, 200.0).join(channel, "site2").groupBy("site").agg(R(F.avg("c_acctbal"), 4).alias("mean"), R(F.percentile("c_acctbal", F.lit(0.5)), 4).alias("median"))
+
+
+@query("h4_profile_cell", with_("grid", "sites") + "select site, year, mon, round_even(gchp,6) as gchp from sites s join grid g on g.ilat = cast(round_even((s.lat-30)/1.6e0,0) as int) and g.ilon = cast(round_even((s.lon+10)/1.7e0,0) as int)")
+def h4(spark, d):
+    s = frame(spark, d, "sites").select("site", F.rint((col("lat") - 30) / F.lit(1.6)).cast("int").alias("ilat"), F.rint((col("lon") + 10) / F.lit(1.7)).cast("int").alias("ilon"))
+    return frame(spark, d, "grid").join(s, ["ilat", "ilon"]).select("site", "year", "mon", R("gchp").alias("gchp"))
+
+
+@query("k2_channel_table", with_("grid") + ", m as (select distinct year, mon from grid), c as (select distinct ilat, ilon from grid), y as (select ilat, ilon, year, avg(gchp) as v from grid group by all), s as (select ilat, ilon, avg(sat) as v from grid group by all) select c.ilat, c.ilon, m.year, m.mon, round_even(g.gchp,6) as geo, round_even(y.v,6) as annual_geo, round_even(s.v,6) as base from c cross join m left join grid g using (ilat, ilon, year, mon) left join y using (ilat, ilon, year) left join s using (ilat, ilon)")
+def k2(spark, d):
+    """All channels by month in one table: monthly, annual and static sources of a catalog, pivoted."""
+    g = frame(spark, d, "grid")
+    long = I.catalogued(g, [("geo", "gchp", "monthly"), ("annual_geo", "gchp", "annual"), ("base", "sat", "static")], g.select("year", "mon"), 0)
+    return long.groupBy("ilat", "ilon", "year", "mon").pivot("channel", ["geo", "annual_geo", "base"]).agg(R(F.first("v")))
+
+
+_OBJ = with_("cv") + ", s as (select avg(obs-geo) as mb, stddev_pop(obs-geo) as sb, avg(obs) as mo, stddev_pop(obs) as so from cv where split = 'train')"
+
+
+@query("k7_objectives", _OBJ + " select site, year, mon, count(*) as n, round_even(avg(obs-geo),4) as bias, round_even(avg((obs-geo-mb)/sb),6) as norm_bias, round_even(avg((obs-mo)/so),6) as norm_species, round_even(avg(obs),4) as species, round_even(avg(ln(1+obs)),6) as logged from cv, s group by all")
+def k7(spark, d):
+    cv = frame(spark, d, "cv")
+    s = F.broadcast(M.objective_scales(cv.where("split = 'train'"), "obs", "geo"))  # one row
+    x = cv.crossJoin(s).select("site", "year", "mon", *[M.objective(k, col("obs"), col("geo")).alias(k) for k in M.OBJECTIVES])
+    return x.groupBy("site", "year", "mon").agg(F.count("*").alias("n"), *[R(F.avg(k), 4 if k in ("bias", "species") else 6).alias(k) for k in M.OBJECTIVES])
+
+
+@query("k8_inverse_transform", _OBJ + " select site, year, mon, round_even(avg(pred/1e5+geo),4) as bias, round_even(avg(pred/1e5*sb+mb+geo),4) as norm_bias, round_even(avg(pred/1e5*so+mo),4) as norm_species, round_even(avg(pred/1e5),6) as species, round_even(avg(exp(pred/1e5)-1),6) as logged from cv, s where split = 'test' group by all")
+def k8(spark, d):
+    """Model outputs of each objective (a stand-in: pred / 1e5) back to species, with the scales of the training rows."""
+    cv = frame(spark, d, "cv")
+    s = F.broadcast(M.objective_scales(cv.where("split = 'train'"), "obs", "geo"))
+    x = cv.where("split = 'test'").crossJoin(s).select("site", "year", "mon", *[M.inverse_objective(k, col("pred") / 1e5, col("geo")).alias(k) for k in M.OBJECTIVES])
+    return x.groupBy("site", "year", "mon").agg(*[R(F.avg(k), 6 if k in ("species", "logged") else 4).alias(k) for k in M.OBJECTIVES])
+
+
+@query("n12_split_metrics", with_("cv") + ", t as (select year, mon, count(*) as n, corr(obs,pred) as c, regr_slope(pred,obs) as a, 1/regr_slope(obs,pred) as b, sqrt(avg((obs-pred)*(obs-pred))) as e from cv where split='test' group by grouping sets ((year), (year, mon))) select year, mon, round_even(c*c,6) as r2, round_even(case when a*b >= 0 then sign(a)*sqrt(a*b) end,6) as slope, round_even(e,2) as rmse from t where n > 2")
+def n12(spark, d):
+    g = frame(spark, d, "cv").where("split = 'test'").groupingSets([["year"], ["year", "mon"]], "year", "mon")
+    slope, _ = N.rma(col("obs"), col("pred"))
+    return g.agg(F.count("*").alias("n"), R(N.r2(col("obs"), col("pred"))).alias("r2"), R(slope).alias("slope"), N.rmse(col("obs"), col("pred")).alias("rmse")).where("n > 2").drop("n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyloom.operators import metrics as N
 from skyloom.operators import raster as G
 from skyloom.operators import spatial as J
 from skyloom.plans.registry import query
@@ -72,11 +73,6 @@ def g9(spark, d):
     return frame(spark, d, "lineitem").groupBy("l_orderkey").agg(R(F.sum(col("l_quantity") + col("l_discount") + col("l_tax"))).alias("total"))
 
 
-@query("g10_month_reversal", with_("grid") + "select ilat, ilon, year, 13-mon as mon, round_even(gchp,6) as v from grid where year = 1996")
-def g10(spark, d):
-    return frame(spark, d, "grid").where("year = 1996").select("ilat", "ilon", "year", (13 - col("mon")).alias("mon"), R("gchp").alias("v"))
-
-
 @query("g11_copy_forward", with_("grid") + "select ilat, ilon, m.b as year, mon, round_even(gchp,6) as v from grid join (values (1996,2001),(1996,2002)) m(a,b) on year = m.a")
 def g11(spark, d):
     m = spark.createDataFrame([(1996, 2001), (1996, 2002)], "a int, b int")
@@ -106,11 +102,6 @@ def g15(spark, d):
     return x.select("ilat", "ilon", R(G.ratio_where_positive(col("a"), col("b"))).alias("ratio"))
 
 
-@query("g16_percentile_limits", with_("grid") + "select year, round_even(quantile_cont(sat,0.02),6) as lo, round_even(quantile_cont(sat,0.98),6) as hi from grid group by year")
-def g16(spark, d):
-    return frame(spark, d, "grid").groupBy("year").agg(R(F.percentile("sat", F.lit(0.02))).alias("lo"), R(F.percentile("sat", F.lit(0.98))).alias("hi"))
-
-
 _BOX = "join g b on b.ilat between a.ilat-2 and a.ilat+1 and b.ilon between a.ilon-2 and a.ilon+1 group by a.ilat, a.ilon"
 
 
@@ -123,12 +114,6 @@ def g17(spark, d):
     return G.boxcar(year_grid(spark, d), 2, 1).select("ilat", "ilon", R("focal").alias("focal"))
 
 
-@query("g18_focal_min", with_("grid") + ", g as (select ilat, ilon, avg(case when year=1996 then sat end) as v from grid group by ilat, ilon) select a.ilat, a.ilon, round_even(min(coalesce(b.v,-1)),6) as focal_min from g a " + _BOX)
-def g18(spark, d):
-    g = frame(spark, d, "grid").groupBy("ilat", "ilon").agg(F.avg(F.when(col("year") == 1996, col("sat"))).alias("v"))
-    return G.focal_min(g, 2, 1).select("ilat", "ilon", R("focal_min").alias("focal_min"))
-
-
 @query("g22_mosaic", with_("grid") + ", p as (select ilat, ilon, gchp as v from grid where year = 1996 union all select ilat+10, ilon, gchp from grid where year = 1997) select ilat, ilon, round_even(sum(v),6) as v from p group by ilat, ilon")
 def g22(spark, d):
     g = frame(spark, d, "grid")
@@ -143,12 +128,6 @@ def g23(spark, d):
     return frame(spark, d, "lineitem").join(F.broadcast(m), "l_linenumber").groupBy("l_suppkey", "grp").agg(R(F.sum("l_quantity")).alias("density"), R(F.min("l_extendedprice")).alias("dist"))
 
 
-@query("g25_buffer_indicator", with_("grid") + "select ilat, ilon, year, mon, r as radius, case when sat/10000e0 <= r then 1 else 0 end as inside from grid, (values (2),(5)) t(r) where year = 1996")
-def g25(spark, d):
-    g = frame(spark, d, "grid").where("year = 1996").withColumn("radius", F.explode(F.array(F.lit(2), F.lit(5))))
-    return g.select("ilat", "ilon", "year", "mon", "radius", F.when(col("sat") / 10000.0 <= col("radius"), 1).otherwise(0).alias("inside"))
-
-
 @query("g27_linear_index", with_("grid") + "select distinct ilat, ilon, ilon*20+ilat+1 as i, (ilon*20+ilat) % 20 as y, (ilon*20+ilat) // 20 as x from grid")
 def g27(spark, d):
     i = col("ilon") * 20 + col("ilat") + 1
@@ -167,12 +146,6 @@ def g30(spark, d):
     return frame(spark, d, "grid").select("ilat", "ilon", "year", "mon", R(F.when(col("sat").isNull() & (col("ilat") % 3 == 0), 0.0).otherwise(col("sat"))).alias("v"))
 
 
-@query("g31_class_bands", "select vec_id, i as class, round_even(embedding[i+1]::double,6) as pct from embeddings, range(4) t(i)")
-def g31(spark, d):
-    e = frame(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("class", "p"))
-    return e.select("vec_id", col("class").cast("long").alias("class"), R(col("p").cast("double")).alias("pct"))
-
-
 _QC = ("l_quantity < 40", "l_discount > 0.02", "l_tax <= 0.06")
 
 
@@ -210,27 +183,18 @@ def candidate_months() -> list[tuple[int, int, int]]:
 
 
 _CAND = ", cand(mon, tier, c) as (values " + ", ".join(map(str, candidate_months())) + ")"
-_REF = """, y as (select * from grid where year = 1996), r as (select a.ilat, a.ilon, cand.mon, cand.tier, avg(a.sat) as s, avg(a.gchp) as m from y a join cand on a.mon = cand.c where a.sat > 0 and a.gchp is not null group by all)"""
-
-
-def reference_means(spark, d):
-    y = frame(spark, d, "grid").where("year = 1996")
-    cand = F.broadcast(spark.createDataFrame(candidate_months(), "m int, tier int, c int"))
-    return y.where("sat > 0 and gchp is not null").join(cand, col("mon") == col("c")).groupBy("ilat", "ilon", col("m").alias("mon"), "tier").agg(F.avg("sat").alias("s"), F.avg("gchp").alias("g"))
+#: Reference means by year; a tier counts where enough of its months have any valid cell.
+_REF = """, v as (select * from grid where sat > 0 and gchp is not null), k as (select v.year, cand.mon, cand.tier, count(distinct v.mon) as c from v join cand on v.mon = cand.c group by all),
+ r as (select v.ilat, v.ilon, v.year, cand.mon, cand.tier, avg(v.sat) as s, avg(v.gchp) as m from v join cand on v.mon = cand.c join k on k.year = v.year and k.mon = cand.mon and k.tier = cand.tier where k.c >= case cand.tier when 2 then 2 else 1 end group by all)"""
 
 
-@query("h13_reference_means", with_("grid") + _CAND + _REF + " select ilat, ilon, mon, tier, round_even(s,6) as s, round_even(m,6) as g from r")
-def h13(spark, d):
-    return reference_means(spark, d).select("ilat", "ilon", "mon", "tier", R("s").alias("s"), R("g").alias("g"))
-
-
-@query("h14_tiered_fill", with_("grid") + _CAND + _REF + """, p as (select ilat, ilon, mon, max(case when tier=1 then s end) s1, max(case when tier=1 then m end) m1, max(case when tier=2 then s end) s2, max(case when tier=2 then m end) m2, max(case when tier=3 then s end) s3, max(case when tier=3 then m end) m3 from r group by all)
- select y.ilat, y.ilon, y.mon, round_even(coalesce(sat, gchp/nullif(m1,0)*s1, gchp/nullif(m2,0)*s2, gchp/nullif(m3,0)*s3, gchp),6) as v, case when sat is not null then 0 when gchp/nullif(m1,0)*s1 is not null then 1 when gchp/nullif(m2,0)*s2 is not null then 2 when gchp/nullif(m3,0)*s3 is not null then 3 when gchp is not null then 4 end as tier from y left join p using (ilat, ilon, mon)""")
-def h14(spark, d):
-    p = reference_means(spark, d).groupBy("ilat", "ilon", "mon").pivot("tier", [1, 2, 3]).agg(F.first("s").alias("s"), F.first("g").alias("g"))
-    y = frame(spark, d, "grid").where("year = 1996").join(p, ["ilat", "ilon", "mon"], "left")
-    v, tier = G.tiered_fill(col("sat"), col("gchp"), [(col(f"{k}_g"), col(f"{k}_s")) for k in (1, 2, 3)], col("gchp"))
-    return y.select("ilat", "ilon", "mon", R(v).alias("v"), tier.alias("tier"))
+def reference_means(spark, d, least=(1, 2, 1)):
+    """Means of the candidate months of each tier, for tiers with at least ``least`` months that have any valid cell."""
+    v = frame(spark, d, "grid").where("sat > 0 and gchp is not null").withColumnRenamed("mon", "c")
+    cand = F.broadcast(spark.createDataFrame(candidate_months(), "mon int, tier int, c int"))  # 12 months, three tiers
+    j = v.join(cand, "c")
+    enough = j.groupBy("year", "mon", "tier").agg(F.countDistinct("c").alias("k")).where(col("k") >= F.get(F.array(*map(F.lit, least)), col("tier") - 1)).drop("k")
+    return j.join(F.broadcast(enough), ["year", "mon", "tier"]).groupBy("ilat", "ilon", "year", "mon", "tier").agg(F.avg("sat").alias("s"), F.avg("gchp").alias("g"))
 
 
 @query("h16_annual_mean", with_("grid") + "select ilat, ilon, year, round_even(avg(sat),6) as sat from grid group by ilat, ilon, year")
@@ -295,7 +259,74 @@ def j9(spark, d):
     return s.join(m, ["y", "x"]).select("site", "region")
 
 
-@query("j10_fold_report", _PAIRS + ", n as (select site, min(km) as km from p where km > 0.01 and site % 5 = 0 and site2 % 5 <> 0 group by site) select site % 3 as fold, count(*) as n, round_even(avg(km),3) as km from n group by 1")
+@query("g10_month_reversal", with_("grid") + "select ilat, ilon, year, 13-mon as mon, round_even(gchp,6) as v from grid")
+def g10(spark, d):
+    return frame(spark, d, "grid").select("ilat", "ilon", "year", (13 - col("mon")).alias("mon"), R("gchp").alias("v"))
+
+
+@query("g16_percentile_limits", with_("grid") + "select year, round_even(quantile_cont(sat,0.02),6) as lo, round_even(quantile_cont(sat,0.98),6) as hi from grid group by year")
+def g16(spark, d):
+    g = frame(spark, d, "grid")
+    lo, hi = (N.quantiles(g, ["year"], "sat", q).withColumnRenamed("q", n) for n, q in (("lo", 0.02), ("hi", 0.98)))
+    return g.select("year").distinct().join(lo, "year", "left").join(hi, "year", "left").select("year", R("lo").alias("lo"), R("hi").alias("hi"))
+
+
+@query("g18_focal_min", with_("grid") + ", g as (select ilat, ilon, avg(case when mon <= 2 and year <= 1997 then sat end) as v from grid group by ilat, ilon) select a.ilat, a.ilon, round_even(min(coalesce(b.v,-1)),6) as focal_min from g a " + _BOX)
+def g18(spark, d):
+    g = frame(spark, d, "grid").groupBy("ilat", "ilon").agg(F.avg(F.when((col("mon") <= 2) & (col("year") <= 1997), col("sat"))).alias("v"))
+    return G.focal_min(g, 2, 1).select("ilat", "ilon", R("focal_min").alias("focal_min"))
+
+
+@query("g25_buffer_indicator", with_("grid") + "select ilat, ilon, year, mon, r as radius, case when sat/10000e0 <= r then 1 else 0 end as inside from grid, (values (2),(5)) t(r)")
+def g25(spark, d):
+    g = frame(spark, d, "grid").withColumn("radius", F.explode(F.array(F.lit(2), F.lit(5))))
+    return g.select("ilat", "ilon", "year", "mon", "radius", F.when(col("sat") / 10000.0 <= col("radius"), 1).otherwise(0).alias("inside"))
+
+
+_CLASSES = ["urban", "cropland", "forest", "water"]
+
+
+@query("g31_class_bands", "select vec_id, n.name as class, round_even(embedding[n.i+1]::double,6) as pct from embeddings, (values " + ", ".join(f"({i},'{n}')" for i, n in enumerate(_CLASSES)) + ") n(i, name)")
+def g31(spark, d):
+    """One channel per named class; the names are a dimension of as many rows as there are bands."""
+    names = F.broadcast(spark.createDataFrame(list(enumerate(_CLASSES)), "i int, class string"))
+    e = frame(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "p"))
+    return e.join(names, "i").select("vec_id", "class", R(col("p").cast("double")).alias("pct"))
+
+
+@query("h13_reference_means", with_("grid") + _CAND + _REF + " select ilat, ilon, year, mon, tier, round_even(s,6) as s, round_even(m,6) as g from r")
+def h13(spark, d):
+    return reference_means(spark, d).select("ilat", "ilon", "year", "mon", "tier", R("s").alias("s"), R("g").alias("g"))
+
+
+_H14 = with_("grid") + _CAND + _REF + """, p as (select ilat, ilon, year, mon, max(case when tier=1 then s end) s1, max(case when tier=1 then m end) m1, max(case when tier=2 then s end) s2, max(case when tier=2 then m end) m2, max(case when tier=3 then s end) s3, max(case when tier=3 then m end) m3 from r group by all),
+ f as (select y.ilat, y.ilon, y.year, y.mon, round_even(coalesce(sat, gchp/nullif(m1,0)*s1, gchp/nullif(m2,0)*s2, gchp/nullif(m3,0)*s3, gchp),6) as v, case when sat is not null then 0 when gchp/nullif(m1,0)*s1 is not null then 1 when gchp/nullif(m2,0)*s2 is not null then 2 when gchp/nullif(m3,0)*s3 is not null then 3 when gchp is not null then 4 end as tier from grid y left join p using (ilat, ilon, year, mon))"""
+
+
+def filled(spark, d):
+    p = reference_means(spark, d).groupBy("ilat", "ilon", "year", "mon").pivot("tier", [1, 2, 3]).agg(F.first("s").alias("s"), F.first("g").alias("g"))
+    y = frame(spark, d, "grid").join(p, ["ilat", "ilon", "year", "mon"], "left")
+    v, tier = G.tiered_fill(col("sat"), col("gchp"), [(col(f"{k}_g"), col(f"{k}_s")) for k in (1, 2, 3)], col("gchp"))
+    return y.select("ilat", "ilon", "year", "mon", R(v).alias("v"), tier.alias("tier"))
+
+
+@query("h14_tiered_fill", _H14 + " select * from f")
+def h14(spark, d):
+    return filled(spark, d)
+
+
+@query("h14_fill_counts", _H14 + " select year, mon, tier, count(*) as n from f group by all")
+def h14_counts(spark, d):
+    return filled(spark, d).groupBy("year", "mon", "tier").agg(F.count("*").alias("n"))
+
+
+@query("j10_fold_report", _PAIRS + ", s as (select site from sites), n as (select site % 3 as fold, site, min(km) as km from p where km > 0.01 and site2 % 3 <> site % 3 group by all), x as (select distinct site2 % 3 as fold, site from p where km <= 40 and site2 % 3 <> site % 3), t as (select f.f as fold, sum(case when site % 3 = f.f then 1 else 0 end) as test, sum(case when site % 3 <> f.f then 1 else 0 end) as other from s, range(3) f(f) group by all) select t.fold, cast(test as bigint) as test, cast(other - (select count(*) from x where x.fold = t.fold) as bigint) as train, (select count(*) from x where x.fold = t.fold) as excluded, (select round_even(avg(km),3) from n where n.fold = t.fold) as km from t")
 def j10(spark, d):
-    test, train = split_sites(spark, d)
-    return J.knn_join(test, train, 1, 100.0, 0.01).groupBy((col("site") % 3).alias("fold")).agg(F.count("*").alias("n"), R(F.avg("km"), 3).alias("km"))
+    """Per fold: test, training and excluded sites (within 40 km of a test site), and the mean distance to the nearest."""
+    s = frame(spark, d, "sites").select("site", "lat", "lon")
+    test = s.withColumn("fold", col("site") % 3)
+    other = s.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).where("fold <> site % 3")
+    near = J.knn_join(test, other, 1, 100.0, 0.01, on=("fold",)).groupBy("fold").agg(R(F.avg("km"), 3).alias("km"))
+    gone = J.radius_join(other, test, 40.0, on=("fold",)).select("fold", "site").distinct().groupBy("fold").agg(F.count("*").alias("excluded"))
+    counts = test.groupBy("fold").agg(F.count("*").alias("test")).join(other.groupBy("fold").agg(F.count("*").alias("other")), "fold")
+    return counts.join(gone, "fold", "left").join(near, "fold", "left").select("fold", "test", (col("other") - F.coalesce("excluded", F.lit(0))).alias("train"), F.coalesce("excluded", F.lit(0)).alias("excluded"), "km")

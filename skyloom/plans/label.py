@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import units as U
 from skyloom.operators import label as L
+from skyloom.operators import metrics as N
 from skyloom.plans.registry import query
 from skyloom.sources.fixtures import frame, with_
 
@@ -54,12 +55,6 @@ def b7(spark, d):
     return frame(spark, d, "sites").select("site", R(U.dms(F.floor("lat"), F.lit(30), F.lit(15))).alias("x"))
 
 
-@query("b8_timestamp", "select event_id, year(ts) as y, month(ts) as m, day(ts) as dd, hour(ts) as h from events")
-def b8(spark, d):
-    t = F.try_to_timestamp(F.regexp_replace(F.substring(col("ts").cast("string"), 1, 19), "/", "-"), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return frame(spark, d, "events").select("event_id", F.year(t).alias("y"), F.month(t).alias("m"), F.dayofmonth(t).alias("dd"), F.hour(t).alias("h"))
-
-
 @query("b9_coordinates", with_("sites") + "select site, round_even(lat,4) as lat, round_even(lon,4) as lon from sites where lat is not null and lon is not null")
 def b9(spark, d):
     return frame(spark, d, "sites").dropna(subset=["lat", "lon"]).select("site", R("lat", 4).alias("lat"), R("lon", 4).alias("lon"))
@@ -86,12 +81,6 @@ def b13(spark, d):
     return frame(spark, d, "obs").select("year", "mon", U.days_in_month(col("year"), col("mon")).alias("days")).distinct()
 
 
-@query("b15_solar_window", with_("sites", "hourly") + "select h.site, count(*) as n from hourly h join sites s using (site) where ((hour(h.ts) + cast(round_even(s.lon/15e0, 0) as bigint) + 24) % 24) in (13,14,15) group by h.site")
-def b15(spark, d):
-    j = frame(spark, d, "hourly").join(frame(spark, d, "sites").select("site", "lon"), "site")
-    return j.where(F.pmod(F.hour("ts") + U.solar_offset(col("lon")), F.lit(24)).isin(13, 14, 15)).groupBy("site").agg(F.count("*").alias("n"))
-
-
 @query("b16_log_density", "select p_partkey, round_even(ln(1+p_retailprice),6) as x from part")
 def b16(spark, d):
     return frame(spark, d, "part").select("p_partkey", R(F.log1p("p_retailprice")).alias("x"))
@@ -123,13 +112,6 @@ def b20(spark, d):
     return frame(spark, d, "customer").select("c_custkey", F.coalesce(F.nullif(F.regexp_extract("c_name", "#0*([0-9]+)$", 1), F.lit("")), "c_name").alias("station"))
 
 
-@query("c1_wide_hours", with_("obs") + "select site, year, count(no2) as n, round_even(avg(no2),6) as mean from obs where mon <= 4 group by site, year")
-def c1(spark, d):
-    wide = frame(spark, d, "obs").groupBy("site", "year").pivot("mon", [1, 2, 3, 4]).agg(F.first("no2"))
-    a = F.filter(F.array("1", "2", "3", "4"), lambda x: x.isNotNull())
-    return wide.select("site", "year", F.size(a).cast("long").alias("n"), R(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))).alias("mean")).where("n > 0")
-
-
 @query("c2_melt", "select p_partkey, 'p_size' as name, cast(p_size as double) as v from part union all select p_partkey, 'p_retailprice', p_retailprice from part")
 def c2(spark, d):
     return frame(spark, d, "part").select("p_partkey", col("p_size").cast("double").alias("p_size"), "p_retailprice").unpivot("p_partkey", ["p_size", "p_retailprice"], "name", "v")
@@ -141,23 +123,11 @@ def c4(spark, d):
     return L.standardise(x, {"Latitude": "lat", "Longitude": "lon", "value": "no2"}, "X").withColumn("no2", R("no2"))
 
 
-@query("c5_dense_panel", with_("obs") + ", s as (select distinct site from obs), m as (select distinct year, mon from obs where year = 1996) select s.site, m.year, m.mon, round_even(o.no2,6) as no2 from s cross join m left join obs o on o.site=s.site and o.year=m.year and o.mon=m.mon")
-def c5(spark, d):
-    o = frame(spark, d, "obs")
-    return L.dense_panel(o.select("site").distinct(), o.where("year = 1996").select("year", "mon").distinct(), o.select("site", "year", "mon", R("no2").alias("no2")))
-
-
 @query("c6_flat_index", with_("obs") + "select site, year, mon, ((year-1995)*12+(mon-1))*10000+site as i from obs")
 def c6(spark, d):
     return frame(spark, d, "obs").select("site", "year", "mon", U.flat_index(col("year"), col("mon"), col("site"), 10000, 1995).alias("i"))
 
 
-@query("c7_channel_pivot", with_("obs") + "select site, year, round_even(max(case when mon=1 then no2 end),6) as m1, round_even(max(case when mon=7 then no2 end),6) as m7 from obs group by site, year")
-def c7(spark, d):
-    p = frame(spark, d, "obs").groupBy("site", "year").pivot("mon", [1, 7]).agg(F.first("no2"))
-    return p.select("site", "year", R("1").alias("m1"), R("7").alias("m7"))
-
-
 @query("d1_daily", with_("hourly") + "select site, day, count(value) as n, round_even(avg(value),6) as mean from hourly group by site, day")
 def d1(spark, d):
     return L.daily(frame(spark, d, "hourly")).withColumn("mean", R("mean"))
@@ -217,11 +187,6 @@ def d10(spark, d):
     return g.agg(F.count("*").alias("all_sites"), F.count_if("kept").alias("kept"), F.count_if(~col("kept")).alias("dropped"))
 
 
-@query("e2_priority_dedup", with_("obs", "obs2") + "select site, lat, lon, year, mon, round_even(no2,6) as no2, country from obs union all select site, lat, lon, year, mon, round_even(no2,6), country from obs2 where not exists (select 1 from obs where obs.lat=obs2.lat and obs.lon=obs2.lon)")
-def e2(spark, d):
-    return L.priority_union(frame(spark, d, "obs"), frame(spark, d, "obs2")).withColumn("no2", R("no2"))
-
-
 @query("e3_overlap_report", with_("obs", "obs2") + "select country, count(*) as records, count(distinct (lat, lon)) as sites from obs2 where exists (select 1 from obs where obs.lat=obs2.lat and obs.lon=obs2.lon) group by country")
 def e3(spark, d):
     return L.overlap_report(frame(spark, d, "obs"), frame(spark, d, "obs2"))
@@ -233,13 +198,6 @@ def e4(spark, d):
     return frame(spark, d, "obs2").agg(F.count_if(n <= 0).alias("nonpositive"), F.count_if(n > 500).alias("over_500"), F.count_if(n > 300).alias("over_300"), F.count_if((n > 0) & (n <= 300)).alias("kept"))
 
 
-@query("e5_outlier_report", with_("obs2") + ", t as (select quantile_cont(no2, 0.99) as p from obs2) select country, count(*) as n, round_even(min(t.p),6) as threshold from obs2, t where no2 > t.p group by country")
-def e5(spark, d):
-    o = frame(spark, d, "obs2")
-    t = o.agg(F.percentile("no2", F.lit(0.99)).alias("p"))
-    return o.join(F.broadcast(t), col("no2") > col("p")).groupBy("country").agg(F.count("*").alias("n"), R(F.min("p")).alias("threshold"))
-
-
 @query("e6_spikes", with_("obs") + """, t as (select *, year*12+mon as t from obs), n as (select *, case when lag(t) over w = t-1 then lag(no2) over w end as p, case when lead(t) over w = t+1 then lead(no2) over w end as x from t window w as (partition by lat, lon order by t)), m as (select *, case when p is null then x when x is null then p else (p+x)/2 end as nb from n)
  select site, year, mon, round_even(no2,6) as no2, round_even(nb,6) as neighbours from m where no2 > 1.5*nb and nb > 3""")
 def e6(spark, d):
@@ -297,12 +255,6 @@ def f4(spark, d):
     return L.snap(frame(spark, d, "obs"), 30.0, -10.0, 0.5, 60, 80).groupBy("ilat", "ilon", "year", "mon").agg(R(F.avg("no2")).alias("no2"))
 
 
-@query("f5_raster_lookup", with_("sites", "grid") + "select s.site, g.year, g.mon, round_even(g.gchp,6) as v from sites s join grid g on g.ilat = s.site % 20 and g.ilon = s.site % 25 where g.year = 1996")
-def f5(spark, d):
-    s = frame(spark, d, "sites").select("site", (col("site") % 20).alias("ilat"), (col("site") % 25).alias("ilon"))
-    return s.join(frame(spark, d, "grid").where("year = 1996"), ["ilat", "ilon"]).select("site", "year", "mon", R("gchp").alias("v"))
-
-
 @query("f6_interference", "select l_orderkey, l_linenumber, round_even(case when l_quantity+l_tax+0.15e0*l_discount+0.95e0*l_tax=0 then l_extendedprice else l_extendedprice*l_quantity/(l_quantity+l_tax+0.15e0*l_discount+0.95e0*l_tax) end,4) as v from lineitem")
 def f6(spark, d):
     x = L.correct_interference(col("l_extendedprice"), col("l_quantity"), col("l_tax"), col("l_discount"), col("l_tax"))
@@ -323,3 +275,63 @@ def f8(spark, d):
 def f9(spark, d):
     s = frame(spark, d, "sites").select("site", "kind", col("lat").alias("slat"))
     return frame(spark, d, "obs2").join(s, "site", "left").dropna(subset=["slat"]).select("site", "year", "mon", "kind")
+
+
+@query("b8_timestamp", "select event_id, case when event_id % 3 = 2 then null else year(ts) end as y, case when event_id % 3 = 2 then null else month(ts) end as m, case when event_id % 3 = 2 then null else day(ts) end as dd, case when event_id % 3 = 2 then null when event_id % 3 = 1 then 0 else hour(ts) end as h from events")
+def b8(spark, d):
+    """Slashes and fractions, a leading HH:MM before a date, and text that is no date."""
+    e, k = frame(spark, d, "events"), col("event_id") % 3
+    forms = F.when(k == 0, F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(".123"))).when(k == 1, F.concat(F.date_format("ts", "HH:mm"), F.lit(" "), F.date_format("ts", "yyyy-MM-dd"))).otherwise(F.lit("no date"))
+    t = U.any_timestamp(forms)
+    again = U.from_parts(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t))
+    return e.select("event_id", F.year(again).alias("y"), F.month(again).alias("m"), F.dayofmonth(again).alias("dd"), F.hour(again).alias("h"))
+
+
+@query("b15_solar_window", with_("sites", "hourly") + ", l as (select h.site, h.ts + to_hours(cast(round_even(s.lon/15e0, 0) as bigint)) as t from hourly h join sites s using (site)) select site, cast(t as date) as day, count(*) as n from l where hour(t) in (13,14,15) group by all")
+def b15(spark, d):
+    """Rows in the overpass window by local date, which may be the next or the previous day."""
+    j = frame(spark, d, "hourly").join(frame(spark, d, "sites").select("site", "lon"), "site")
+    local = j.select("site", (col("ts") + F.make_dt_interval(hours=U.solar_offset(col("lon")).cast("int"))).alias("t"))
+    return local.where(F.hour("t").isin(13, 14, 15)).groupBy("site", F.to_date("t").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("c1_wide_hours", with_("obs") + "select site, year, count(no2) as n, round_even(avg(no2),6) as mean from obs group by site, year")
+def c1(spark, d):
+    names = [str(k) for k in range(1, 13)]
+    wide = frame(spark, d, "obs").groupBy("site", "year").pivot("mon", list(range(1, 13))).agg(F.first("no2"))
+    a = F.filter(F.array(*names), lambda x: x.isNotNull())
+    return wide.select("site", "year", F.size(a).cast("long").alias("n"), R(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))).alias("mean")).where("n > 0")
+
+
+@query("c5_dense_panel", with_("obs") + ", s as (select distinct site from obs), m as (select distinct year, mon from obs) select s.site, m.year, m.mon, round_even(o.no2,6) as no2 from s cross join m left join obs o on o.site=s.site and o.year=m.year and o.mon=m.mon")
+def c5(spark, d):
+    o = frame(spark, d, "obs")
+    return L.dense_panel(o.select("site").distinct(), o.select("year", "mon").distinct(), o.select("site", "year", "mon", R("no2").alias("no2")))
+
+
+@query("c7_channel_pivot", with_("obs") + "select site, year, " + ", ".join(f"round_even(max(case when mon={k} then no2 end),6) as m{k}" for k in range(1, 13)) + " from obs group by site, year")
+def c7(spark, d):
+    p = frame(spark, d, "obs").groupBy("site", "year").pivot("mon", list(range(1, 13))).agg(F.first("no2"))
+    return p.select("site", "year", *[R(str(k)).alias(f"m{k}") for k in range(1, 13)])
+
+
+@query("e2_priority_dedup", with_("obs", "obs2") + "select site, lat, lon, year, mon, round_even(no2,6) as no2, country from obs union all select site, lat, lon, year, mon, round_even(no2,6), country from obs2 where not exists (select 1 from obs where round_even(obs.lat,4)=round_even(obs2.lat,4) and round_even(obs.lon,4)=round_even(obs2.lon,4))")
+def e2(spark, d):
+    return L.priority_union(frame(spark, d, "obs"), frame(spark, d, "obs2")).withColumn("no2", R("no2"))
+
+
+@query("e5_outlier_report", with_("obs2") + ", t as (select quantile_cont(no2, 0.9999) as p from obs2), c as (select country, count(*) as n from obs2, t where no2 > t.p group by country) select o.country, o.site, o.year, o.mon, round_even(o.no2,6) as no2, round_even(t.p,6) as threshold, c.n, row_number() over (order by o.no2 desc, o.site, o.year, o.mon) as place from obs2 o, t, c where o.no2 > t.p and c.country = o.country")
+def e5(spark, d):
+    """Rows over the exact P99.99 in order, with their country's count."""
+    o = frame(spark, d, "obs2")
+    t = N.quantiles(o, [], "no2", 0.9999).select(col("q").alias("p"))
+    over = o.join(F.broadcast(t), col("no2") > col("p"))
+    c = over.groupBy("country").agg(F.count("*").alias("n"))
+    w = Window.orderBy(F.desc("no2"), "site", "year", "mon")  # one row in ten thousand
+    return over.withColumn("place", F.row_number().over(w)).join(c, "country").select("country", "site", "year", "mon", R("no2").alias("no2"), R("p").alias("threshold"), "n", "place")
+
+
+@query("f5_raster_lookup", with_("sites", "grid") + "select s.site, g.year, g.mon, round_even(g.gchp,6) as v from sites s join grid g on g.ilat = s.site % 20 and g.ilon = s.site % 25")
+def f5(spark, d):
+    s = frame(spark, d, "sites").select("site", (col("site") % 20).alias("ilat"), (col("site") % 25).alias("ilon"))
+    return s.join(frame(spark, d, "grid"), ["ilat", "ilon"]).select("site", "year", "mon", R("gchp").alias("v"))

@@ -21,11 +21,15 @@ _SEASON = "case when mon in (12,1,2) then 'DJF' when mon in (3,4,5) then 'MAM' w
 
 @query("k1_patches", with_("grid", "sites") + ", g as (select ilat, ilon, avg(gchp) as v from grid group by ilat, ilon) select s.site, dy, dx, round_even(g.v,6) as v from sites s, range(-1,2) a(dy), range(-1,2) b(dx), g where g.ilat = s.site % 20 + dy and g.ilon = s.site % 25 + dx")
 def k1(spark, d):
+    return k1_patches(spark, d).withColumn("v", R("v"))
+
+
+def k1_patches(spark, d):
     g = frame(spark, d, "grid").groupBy("ilat", "ilon").agg(F.avg("gchp").alias("v"))
     off = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
     s = frame(spark, d, "sites").select("site", F.explode(off).alias("dy")).withColumn("dx", F.explode(off))
     s = s.withColumns({"ilat": col("site") % 20 + col("dy"), "ilon": col("site") % 25 + col("dx")})
-    return s.join(g, ["ilat", "ilon"]).select("site", "dy", "dx", R("v").alias("v"))
+    return s.join(g, ["ilat", "ilon"]).select("site", "dy", "dx", "v")
 
 
 @query("k3_append_channels", with_("obs", "obs2") + "select o.site, o.year, o.mon, round_even(o.no2,6) as no2, round_even(coalesce(b.no2,0),6) as extra from obs o left join obs2 b using (site, year, mon)")
@@ -34,18 +38,6 @@ def k3(spark, d):
     return frame(spark, d, "obs").select("site", "year", "mon", R("no2").alias("no2")).join(b, ["site", "year", "mon"], "left").fillna(0.0, ["extra"])
 
 
-@query("k6_normalise", with_("obs") + ", m as (select mon, avg(no2) as a, stddev_pop(no2) as s from obs group by mon) select site, year, mon, round_even((no2-a)/case when s = 0 then 1 else s end,6) as z from obs join m using (mon)")
-def k6(spark, d):
-    o = frame(spark, d, "obs")
-    m = o.groupBy("mon").agg(F.avg("no2").alias("a"), F.stddev_pop("no2").alias("s"))
-    return o.join(F.broadcast(m), "mon").select("site", "year", "mon", R((col("no2") - col("a")) / F.when(col("s") == 0, 1.0).otherwise(col("s"))).alias("z"))
-
-
-@query("k7_objectives", "select l_orderkey, l_linenumber, round_even(l_extendedprice-l_quantity*1000,4) as bias, round_even(ln(1+l_extendedprice),6) as logged from lineitem")
-def k7(spark, d):
-    return frame(spark, d, "lineitem").select("l_orderkey", "l_linenumber", R(col("l_extendedprice") - col("l_quantity") * 1000, 4).alias("bias"), R(F.log1p("l_extendedprice")).alias("logged"))
-
-
 @query("k9_period_slice", with_("obs") + "select site, year, mon from obs where year between 1996 and 1998")
 def k9(spark, d):
     return frame(spark, d, "obs").where("year between 1996 and 1998").select("site", "year", "mon")
@@ -69,11 +61,6 @@ def k12(spark, d):
     return f.crossJoin(F.broadcast(s)).select("ilat", "ilon", "year", "mon", R((col("v") - col("a")) / col("s")).alias("z"))
 
 
-@query("l1_random_folds", with_("sites") + f"select site, {_FOLD.format(k='site', n=10)} as fold from sites")
-def l1(spark, d):
-    return S.random_folds(frame(spark, d, "sites"), 10).select("site", "fold")
-
-
 @query("l2_stratified_folds", with_("sites") + "select site, region, (row_number() over (partition by region order by md5(concat('20230130-', site)), site) - 1) % 5 as fold from sites")
 def l2(spark, d):
     return S.stratified_folds(frame(spark, d, "sites"), 5).select("site", "region", "fold")
@@ -116,15 +103,6 @@ def m6(spark, d):
     return frame(spark, d, "cv").withColumn("c", c).groupBy("site", "year", "mon", "split").agg(R(F.avg((1 - col("c")) * col("pred") + col("c") * col("geo")), 4).alias("v"))
 
 
-@query("m7_ensemble", with_("cv") + ", w as (select greatest(pow(corr(obs,pred),2),0) as a, greatest(pow(corr(obs,geo),2),0) as b from cv) select site, count(*) as n, round_even(avg((pred*a+geo*b)/(a+b)),4) as v from cv, w group by site")
-def m7(spark, d):
-    cv = frame(spark, d, "cv")
-    w = cv.agg(N.r2(col("obs"), col("pred")).alias("a"), N.r2(col("obs"), col("geo")).alias("b"))
-    j = cv.crossJoin(F.broadcast(w))
-    v = F.when(col("a") + col("b") == 0, (col("pred") + col("geo")) / 2).otherwise((col("pred") * col("a") + col("geo") * col("b")) / (col("a") + col("b")))
-    return j.groupBy("site").agg(F.count("*").alias("n"), R(F.avg(v), 4).alias("v"))
-
-
 _SEL = with_("hist") + ", p as (select step, feature, avg(selected) as p from hist group by step, feature), r as (select *, min(p) over (partition by feature order by step) as run from p) "
 
 
@@ -143,12 +121,6 @@ def m9(spark, d):
     return frame(spark, d, "hist").groupBy("model", "feature").agg(F.min(F.when(col("selected") == 0, col("step"))).alias("exit_step"))
 
 
-@query("m10_attribution", "with a as (select vec_id, label, list_sum(embedding[1:8])::double as s from embeddings) select label, round_even(avg(abs(s)),4) as importance from a group by label")
-def m10(spark, d):
-    s = F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda a, x: a + x)
-    return frame(spark, d, "embeddings").select("label", s.alias("s")).groupBy("label").agg(R(F.avg(F.abs("s")), 4).alias("importance"))
-
-
 #: The fixture's channels are the first elements of the vectors (FIXTURES.md).
 CHANNELS = 8
 
@@ -170,13 +142,6 @@ def m13(spark, d):
     return frame(spark, d, "cv").groupBy("region", "year").agg(R(N.weighted_mean(col("pred"), col("pop")), 4).alias("pwm"))
 
 
-@query("m14_area_under_path", _SEL + ", l as (select feature, p, step, lag(p) over w as q, lag(step) over w as ps from p window w as (partition by feature order by step)) select feature, round_even(sum(0.5*(p+q)*(step-ps)),4) as area from l where q is not null group by feature")
-def m14(spark, d):
-    w = Window.partitionBy("feature").orderBy("step")
-    x = selection(spark, d).withColumns({"q": F.lag("p").over(w), "ps": F.lag("step").over(w)}).where("q is not null")
-    return x.groupBy("feature").agg(R(F.sum(0.5 * (col("p") + col("q")) * (col("step") - col("ps"))), 4).alias("area"))
-
-
 @query("n1_r2", with_("cv") + "select region, round_even(pow(corr(obs,pred),2),6) as r2 from cv group by region")
 def n1(spark, d):
     return frame(spark, d, "cv").groupBy("region").agg(R(N.r2(col("obs"), col("pred"))).alias("r2"))
@@ -207,32 +172,11 @@ def n6(spark, d):
     return frame(spark, d, "cv").groupBy("region").agg(R(F.regr_slope("pred", "obs")).alias("slope"), R(F.regr_intercept("pred", "obs"), 3).alias("icpt"))
 
 
-@query("n7_rma", with_("cv") + ", t as (select region, regr_slope(pred,obs) as a, 1/regr_slope(obs,pred) as b, avg(pred) as y, avg(obs) as x from cv group by region) select region, round_even(sign(a)*sqrt(a*b),6) as slope, round_even(y-sign(a)*sqrt(a*b)*x,3) as icpt from t where a*b >= 0")
-def n7(spark, d):
-    slope, icpt = N.rma(col("obs"), col("pred"))
-    return frame(spark, d, "cv").groupBy("region").agg(R(slope).alias("slope"), R(icpt, 3).alias("icpt")).where("slope is not null")
-
-
 @query("n8_fold_merge", with_("cv") + "select site, year, mon, round_even(sum(case when split='test' then pred end),4) as pred from cv group by site, year, mon")
 def n8(spark, d):
     return frame(spark, d, "cv").groupBy("site", "year", "mon").agg(R(F.sum(F.when(col("split") == "test", col("pred"))), 4).alias("pred"))
 
 
-_N9 = with_("cv") + f""", m as (select site, year, cast(mon as string) as period, avg(obs) as o, avg(pred) as p from cv where split='test' group by all union all
- select site, year, {_SEASON}, avg(obs), avg(pred) from cv where split='test' group by all union all select site, year, 'Annual', avg(obs), avg(pred) from cv where split='test' group by all union all select site, year, 'AllPoints', obs, pred from cv where split='test')
- select period, year, count(*) as n, round_even(pow(corr(o,p),2),6) as r2, round_even(sqrt(avg((o-p)*(o-p))),2) as rmse from m group by grouping sets ((period, year), (period)) having count(*) > 2"""
-
-
-@query("n9_metric_grid", _N9)
-def n9(spark, d):
-    cv = frame(spark, d, "cv").where("split = 'test'")
-    x = cv.select("site", "year", "obs", "pred", F.explode(F.array(col("mon").cast("string"), season(col("mon")), F.lit("Annual"))).alias("period"))
-    m = x.groupBy("site", "year", "period").agg(F.avg("obs").alias("o"), F.avg("pred").alias("p"))
-    m = m.unionByName(cv.select("site", "year", F.lit("AllPoints").alias("period"), col("obs").alias("o"), col("pred").alias("p")))
-    g = m.groupingSets([["period", "year"], ["period"]], "period", "year")
-    return g.agg(F.count("*").alias("n"), R(N.r2(col("o"), col("p"))).alias("r2"), N.rmse(col("o"), col("p")).alias("rmse")).where("n > 2")
-
-
 @query("n10_all_time", with_("cv") + ", y as (select year, avg(obs) as v from cv group by year) select round_even(avg(v),4) as mean, round_even(min(v),4) as lo, round_even(max(v),4) as hi, round_even(stddev_pop(v),4) as sd from y")
 def n10(spark, d):
     y = frame(spark, d, "cv").groupBy("year").agg(F.avg("obs").alias("v"))
@@ -250,11 +194,6 @@ def n13(spark, d):
     return g.where("n > 2").drop("n")
 
 
-@query("n14_density_histogram", with_("cv") + "select cast(floor(obs/1000) as bigint) as bx, cast(floor(pred/1000) as bigint) as bp, count(*) as n from cv group by 1, 2")
-def n14(spark, d):
-    return frame(spark, d, "cv").groupBy(F.floor(col("obs") / 1000).alias("bx"), F.floor(col("pred") / 1000).alias("bp")).agg(F.count("*").alias("n"))
-
-
 _DIST = with_("cv") + ", x as (select *, pop as distance, round_even((pred-obs)/obs, 9) as ratio, cast(floor(pop/5) as bigint) as bin from cv where obs is not null and pred is not null)"
 
 
@@ -276,12 +215,6 @@ def o5(spark, d):
     return cv.join(F.broadcast(r), "region").groupBy("site").agg(R(F.avg(col("rr") * col("pred")), 4).alias("u"))
 
 
-@query("o6_report_pivot", with_("cv") + ", m as (select region, year, mon, sqrt(avg((obs-pred)*(obs-pred)))/avg(obs) as rr from cv group by all) select region, round_even(avg(rr),6) as mean, round_even(stddev_pop(rr),6) as sd from m group by region")
-def o6(spark, d):
-    m = frame(spark, d, "cv").groupBy("region", "year", "mon").agg((F.sqrt(F.avg(F.pow(col("obs") - col("pred"), 2))) / F.avg("obs")).alias("rr"))
-    return m.groupBy("region").agg(R(F.avg("rr")).alias("mean"), R(F.stddev_pop("rr")).alias("sd"))
-
-
 @query("p3_covariance", "select " + ", ".join(f"round_even(covar_samp(embedding[{i + 1}]::double, embedding[{j + 1}]::double),9) as c{i}_{j}" for i in range(4) for j in range(i, 4)) + " from embeddings")
 def p3(spark, d):
     c = V.covariance(frame(spark, d, "embeddings"), "embedding", 4)
@@ -309,13 +242,6 @@ def p9(spark, d):
     return frame(spark, d, "grid").groupBy("ilat", "ilon").agg(R(F.avg("gchp")).alias("v"))
 
 
-@query("p10_attach_uncertainty", with_("grid") + ", u as (select ilat, ilon, avg(gchp)/100 as u from grid where year = 1996 group by ilat, ilon) select g.ilat, g.ilon, g.mon, round_even(case when g.sat is not null then u.u end,6) as u from grid g left join u using (ilat, ilon) where g.year = 1997")
-def p10(spark, d):
-    g = frame(spark, d, "grid")
-    u = g.where("year = 1996").groupBy("ilat", "ilon").agg((F.avg("gchp") / 100).alias("u"))
-    return g.where("year = 1997").join(u, ["ilat", "ilon"], "left").select("ilat", "ilon", "mon", R(F.when(col("sat").isNotNull(), col("u"))).alias("u"))
-
-
 @query("k4_load_transforms", with_("sites", "grid") + ", g as (select ilat, ilon, avg(sat) as v from grid group by ilat, ilon) select s.site, round_even(s.lon+181e0,6) as lon, round_even(s.lat+91e0,6) as lat, round_even(g.v*1e16/2.69e16,6) as sat_du from sites s left join g on g.ilat = s.site % 20 and g.ilon = s.site % 25")
 def k4(spark, d):
     g = frame(spark, d, "grid").groupBy("ilat", "ilon").agg(F.avg("sat").alias("v"))
@@ -326,3 +252,131 @@ def k4(spark, d):
 @query("m12_annual_map", with_("grid") + "select ilat, ilon, year, count(gchp) as months, round_even(avg(gchp),6) as v from grid group by ilat, ilon, year")
 def m12(spark, d):
     return frame(spark, d, "grid").groupBy("ilat", "ilon", "year").agg(F.count("gchp").alias("months"), R(F.avg("gchp")).alias("v"))
+
+
+_PATCH = with_("grid", "sites") + ", g as (select ilat, ilon, avg(gchp) as v from grid group by ilat, ilon), p as (select s.site, dy, dx, g.v from sites s, range(-1,2) a(dy), range(-1,2) b(dx), g where g.ilat = s.site % 20 + dy and g.ilon = s.site % 25 + dx)"
+
+
+@query("k6_normalise", _PATCH + ", m as (select dy, dx, avg(v) as a, stddev_pop(v) as s, min(v) as lo, max(v) as hi from p where site % 2 = 0 group by all) select site, dy, dx, round_even((v-a)/case when s = 0 then 1 else s end,6) as gaussian, round_even((v-lo)/case when hi = lo then 1 else hi-lo end,6) as minmax, round_even(v,6) as plain from p join m using (dy, dx)")
+def k6(spark, d):
+    """Per patch position, with the scales of labelled rows (even sites)."""
+    p = k1_patches(spark, d)
+    m = p.where("site % 2 = 0").groupBy("dy", "dx").agg(F.avg("v").alias("a"), F.stddev_pop("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    one = lambda x: F.when(x == 0, 1.0).otherwise(x)
+    return p.join(F.broadcast(m), ["dy", "dx"]).select("site", "dy", "dx", R((col("v") - col("a")) / one(col("s"))).alias("gaussian"), R((col("v") - col("lo")) / one(col("hi") - col("lo"))).alias("minmax"), R("v").alias("plain"))
+
+
+_FOLD2 = _FOLD.replace("20230130", "20230131")
+
+
+@query("l1_random_folds", with_("sites", "obs") + f", v as (select distinct site from obs where year between 1996 and 1998) select site, 0 as repeat, {_FOLD.format(k='site', n=10)} as fold from sites join v using (site) union all select site, 1, {_FOLD2.format(k='site', n=10)} from sites join v using (site)")
+def l1(spark, d):
+    """Two repeats over the sites that have a label in the period."""
+    v = frame(spark, d, "obs").where("year between 1996 and 1998").select("site").distinct()
+    return S.random_folds(frame(spark, d, "sites").join(v, "site", "left_semi"), 10, 2).select("site", "repeat", "fold")
+
+
+@query("m7_ensemble", with_("cv") + """, w as (select greatest(pow(corr(obs,pred),2),0) as a, greatest(pow(corr(obs,geo),2),0) as b, sum((obs-geo)*(pred-geo))/sum((pred-geo)*(pred-geo)) as e,
+ sum(pred*pred)+1e0 as pp, sum(pred*geo) as pg, sum(geo*geo)+1e0 as gg, sum(pred*obs) as po, sum(geo*obs) as go from cv where split = 'train'), r as (select *, (po*gg-go*pg)/(pp*gg-pg*pg) as u, (go*pp-po*pg)/(pp*gg-pg*pg) as v from w)
+ select site, count(*) as n, round_even(avg((pred+geo)/2),4) as mean, round_even(avg((pred*a+geo*b)/(a+b)),4) as by_r2, round_even(avg(least(greatest(e,0),1)*pred+(1-least(greatest(e,0),1))*geo),4) as by_rmse, round_even(avg(u*pred+v*geo),4) as ridge from cv, r group by site""")
+def m7(spark, d):
+    """Mean, R2-weighted, RMSE-optimal and ridge-stacked ensembles; the weights are one row, made from training rows."""
+    cv = frame(spark, d, "cv")
+    o, p, g = col("obs"), col("pred"), col("geo")
+    w = cv.where("split = 'train'").agg(N.r2(o, p).alias("a"), N.r2(o, g).alias("b"), F.try_divide(F.sum((o - g) * (p - g)), F.sum((p - g) * (p - g))).alias("e"), *[F.sum(x).alias(n) for n, x in (("pp", p * p), ("pg", p * g), ("gg", g * g), ("po", p * o), ("go", g * o))])
+    w = w.withColumns({"pp": col("pp") + 1.0, "gg": col("gg") + 1.0, "e": F.least(F.greatest("e", F.lit(0.0)), F.lit(1.0))}).withColumn("det", col("pp") * col("gg") - col("pg") * col("pg"))
+    w = w.withColumns({"u": (col("po") * col("gg") - col("go") * col("pg")) / col("det"), "v": (col("go") * col("pp") - col("po") * col("pg")) / col("det")})
+    j = cv.crossJoin(F.broadcast(w))
+    r2 = F.when(col("a") + col("b") == 0, (p + g) / 2).otherwise((p * col("a") + g * col("b")) / (col("a") + col("b")))
+    return j.groupBy("site").agg(F.count("*").alias("n"), R(F.avg((p + g) / 2), 4).alias("mean"), R(F.avg(r2), 4).alias("by_r2"), R(F.avg(col("e") * p + (1 - col("e")) * g), 4).alias("by_rmse"), R(F.avg(col("u") * p + col("v") * g), 4).alias("ridge"))
+
+
+@query("m10_attribution", "with e as (select vec_id, (i - 1) % 8 as feature, sum(embedding[i]::double) as s from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by all), m as (select feature, min(s) as lo, max(s) as hi from e group by feature), a as (select feature, avg((s-lo)/nullif(hi-lo,0)) as v from e join m using (feature) group by feature) select feature, round_even(v,6) as importance, row_number() over (order by round_even(v,6) desc, feature) as place from a")
+def m10(spark, d):
+    """Attributions summed over the patch, scaled to 0..1 per feature, averaged and ranked."""
+    e = frame(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).groupBy("vec_id", (col("i") % 8).cast("long").alias("feature")).agg(F.sum(col("x").cast("double")).alias("s"))
+    m = e.groupBy("feature").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    a = e.join(F.broadcast(m), "feature").groupBy("feature").agg(R(F.avg(F.try_divide(col("s") - col("lo"), col("hi") - col("lo")))).alias("importance"))
+    return a.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))  # one row per feature
+
+
+@query("m14_area_under_path", _SEL + ", l as (select feature, p, log10(step) as x, lag(p) over w as q, lag(log10(step)) over w as px from p where step > 0 window w as (partition by feature order by step)), a as (select feature, feature % 3 as kind, round_even(sum(0.5*(p+q)*(x-px)),4) as area from l where q is not null group by feature) select feature, kind, area from a qualify row_number() over (partition by kind order by area desc, feature) <= 3")
+def m14(spark, d):
+    """Area over the logarithm of the penalty's step; the three largest of each group of features."""
+    w = Window.partitionBy("feature").orderBy("step")
+    x = selection(spark, d).where("step > 0").withColumn("x", F.log10("step")).withColumns({"q": F.lag("p").over(w), "px": F.lag("x").over(w)}).where("q is not null")
+    a = x.groupBy("feature", (col("feature") % 3).alias("kind")).agg(R(F.sum(0.5 * (col("p") + col("q")) * (col("x") - col("px"))), 4).alias("area"))
+    return a.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("area"), "feature"))).where("_r <= 3").drop("_r")
+
+
+@query("n7_type_two", with_("cv") + """, t as (select region, count(*) as n, regr_slope(pred,obs) as a, 1/regr_slope(obs,pred) as b, avg(pred) as y, avg(obs) as x, regr_sxx(pred,obs) as sxx, regr_syy(pred,obs) as syy, regr_sxy(pred,obs) as sxy, sum(obs*obs) as xx, sum(obs*pred) as xy, sum(pred*pred) as yy from cv group by region),
+ s as (select *, sign(a)*sqrt(a*b) as slope from t where a*b >= 0), e as (select *, (syy-2*slope*sxy+slope*slope*sxx)/(n-2) as s2 from s)
+ select region, round_even(slope,6) as slope, round_even(y-slope*x,3) as icpt, round_even(sign(a)*sqrt(a/b),6) as r, round_even(sqrt(s2/sxx),6) as se_slope, round_even(sqrt(xx*s2/(n*sxx)),3) as se_icpt, round_even(sign(xy)*sqrt(yy/xx),6) as slope0, round_even((syy-sxx+sqrt((syy-sxx)*(syy-sxx)+4*sxy*sxy))/(2*sxy),6) as major, round_even((a+b)/2,6) as arithmetic from e""")
+def n7(spark, d):
+    """Reduced major axis with errors, the form without intercept, the major axis and the arithmetic mean."""
+    t = N.type_two(col("obs"), col("pred"))
+    digits = {"icpt": 3, "se_icpt": 3}
+    return frame(spark, d, "cv").groupBy("region").agg(*[R(x, digits.get(k, 6)).alias(k) for k, x in t.items()]).where("slope is not null")
+
+
+def _r2_sql(x, y):
+    return f"case when regr_count({y},{x}) > 0 then case when regr_sxx({y},{x}) = 0 or regr_syy({y},{x}) = 0 then 0 else coalesce(pow(corr({x},{y}),2),0) end end"
+
+
+_PICK = ", ".join(f"avg(case when split='{s}' then {c} end) as {n}" for n, s, c in (("o", "test", "obs"), ("p", "test", "pred"), ("g", "test", "geo"), ("w", "test", "pop"), ("fo", "train", "obs"), ("fp", "train", "pred")))
+_N9 = with_("cv") + f""", x as (select *, unnest([cast(mon as varchar), {_SEASON}, 'Annual']) as period from cv), m as (select site, year, period, {_PICK} from x group by site, year, period union all
+ select site, year, 'AllPoints', case when split='test' then obs end, case when split='test' then pred end, case when split='test' then geo end, case when split='test' then pop end, case when split='train' then obs end, case when split='train' then pred end from cv)
+ select period, year, count(o) as n, round_even({_r2_sql('o', 'p')},6) as r2, round_even({_r2_sql('fo', 'fp')},6) as train_r2, round_even({_r2_sql('o', 'g')},6) as geo_r2, round_even(sqrt(avg((o-p)*(o-p))),2) as rmse, round_even(round_even(sqrt(avg((o-p)*(o-p))),2)/avg(o),6) as nrmse,
+ round_even(sqrt(sum(w*(p-o)*(p-o))/sum(w))/(sum(w*p)/sum(w)),3) as pwm_rrmse, round_even(case when regr_slope(p,o)/nullif(regr_slope(o,p),0) >= 0 then sign(regr_slope(p,o))*sqrt(regr_slope(p,o)/nullif(regr_slope(o,p),0)) end,5) as slope, round_even(sum(case when p > 0 then w*p end)/nullif(sum(case when p > 0 then w end),0),3) as pwm_model, round_even(sum(case when o > 0 then w*o end)/nullif(sum(case when o > 0 then w end),0),3) as pwm_monitor
+ from m group by grouping sets ((period, year), (period)) having count(o) > 10"""
+
+
+@query("n9_metric_grid", _N9)
+def n9(spark, d):
+    """The main report: one pass makes site means of every period and split, one grouping makes all metrics."""
+    cv = frame(spark, d, "cv")
+    side = lambda s, c: F.when(col("split") == s, col(c))
+    parts = (("o", "test", "obs"), ("p", "test", "pred"), ("g", "test", "geo"), ("w", "test", "pop"), ("fo", "train", "obs"), ("fp", "train", "pred"))
+    x = cv.withColumn("period", F.explode(F.array(col("mon").cast("string"), season(col("mon")), F.lit("Annual"))))
+    m = x.groupBy("site", "year", "period").agg(*[F.avg(side(s, c)).alias(n) for n, s, c in parts])
+    m = m.unionByName(cv.select("site", "year", F.lit("AllPoints").alias("period"), *[side(s, c).alias(n) for n, s, c in parts]))
+    o, p, g, w = (col(n) for n in "opgw")
+    slope, _ = N.rma(o, p)
+    out = m.groupingSets([["period", "year"], ["period"]], "period", "year").agg(
+        F.count("o").alias("n"), R(N.r2(o, p)).alias("r2"), R(N.r2(col("fo"), col("fp"))).alias("train_r2"), R(N.r2(o, g)).alias("geo_r2"), N.rmse(o, p).alias("rmse"), R(N.nrmse(p, o)).alias("nrmse"),
+        N.weighted_rrmse(p, o, w).alias("pwm_rrmse"), R(slope, 5).alias("slope"), R(N.weighted_mean(p, w), 3).alias("pwm_model"), R(N.weighted_mean(o, w), 3).alias("pwm_monitor"),
+    )
+    return out.where("n > 10")
+
+
+_BIN = "cast(least(floor(({v}-lo)/(hi-lo)*100),99) as bigint)"
+
+
+@query("n14_density_histogram", with_("cv") + f", l as (select min(least(obs,pred,geo)) as lo, max(greatest(obs,pred,geo)) as hi from cv), x as (select year, 'pred' as field, obs, pred as v from cv union all select year, 'geo', obs, geo from cv), s as (select year, field, count(*) as total, round_even(pow(corr(obs,v),2),6) as r2, round_even(sqrt(avg((obs-v)*(obs-v))),2) as rmse from x group by all) select year, field, {_BIN.format(v='obs')} as bx, {_BIN.format(v='v')} as bp, count(*) as n, any_value(total) as total, any_value(r2) as r2, any_value(rmse) as rmse from x join s using (year, field), l group by all")
+def n14(spark, d):
+    """100 x 100 bins over the common range, per year, for the prediction and the geophysical field, with their label."""
+    cv = frame(spark, d, "cv")
+    lim = F.broadcast(cv.agg(F.min(F.least("obs", "pred", "geo")).alias("lo"), F.max(F.greatest("obs", "pred", "geo")).alias("hi")))
+    x = cv.select("year", "obs", "pred", "geo").unpivot(["year", "obs"], ["pred", "geo"], "field", "v")
+    s = x.groupBy("year", "field").agg(F.count("*").alias("total"), R(N.r2(col("obs"), col("v"))).alias("r2"), N.rmse(col("obs"), col("v")).alias("rmse"))
+    at = lambda c: F.least(F.floor((col(c) - col("lo")) / (col("hi") - col("lo")) * 100), F.lit(99)).alias
+    b = x.crossJoin(lim).groupBy("year", "field", at("obs")("bx"), at("v")("bp")).agg(F.count("*").alias("n"))
+    return b.join(F.broadcast(s), ["year", "field"])
+
+
+@query("o6_report_pivot", with_("cv") + ", x as (select *, unnest([0, 15, 30]) as radius from cv), m as (select radius, region, year, mon, sqrt(avg((obs-pred)*(obs-pred)))/avg(obs) as rr, pow(corr(obs,pred),2) as r2 from x where pop >= radius group by all having count(*) > 5) select radius, region, round_even(avg(rr),6) as rrmse_mean, round_even(stddev_pop(rr),6) as rrmse_sd, round_even(avg(r2),6) as r2_mean, round_even(stddev_pop(r2),6) as r2_sd from m group by all")
+def o6(spark, d):
+    """Mean and deviation of a long report (radius, region, period, metric, value), pivoted by metric."""
+    x = frame(spark, d, "cv").withColumn("radius", F.explode(F.array(F.lit(0), F.lit(15), F.lit(30)))).where("pop >= radius")
+    m = x.groupBy("radius", "region", "year", "mon").agg((F.sqrt(F.avg(F.pow(col("obs") - col("pred"), 2))) / F.avg("obs")).alias("rrmse"), N.r2(col("obs"), col("pred")).alias("r2"), F.count("*").alias("n")).where("n > 5")
+    report = m.unpivot(["radius", "region", "year", "mon"], ["rrmse", "r2"], "metric", "value")
+    return report.groupBy("radius", "region").pivot("metric", ["rrmse", "r2"]).agg(R(F.avg("value")).alias("mean"), R(F.stddev_pop("value")).alias("sd"))
+
+
+@query("p10_attach_uncertainty", with_("grid") + ", u as (select ilat, ilon, year, avg(gchp)/100 as u from grid group by all) select g.ilat-2 as ilat, g.ilon-2 as ilon, g.year, g.mon, round_even(case when g.sat is not null then u.u end,6) as u from grid g left join u using (ilat, ilon, year) where g.ilat between 2 and 17 and g.ilon between 2 and 22")
+def p10(spark, d):
+    """The product's centre crop with its uncertainty, null where the product is."""
+    g = frame(spark, d, "grid")
+    u = g.groupBy("ilat", "ilon", "year").agg((F.avg("gchp") / 100).alias("u"))
+    inside = g.where("ilat between 2 and 17 and ilon between 2 and 22")
+    return inside.join(u, ["ilat", "ilon", "year"], "left").select((col("ilat") - 2).alias("ilat"), (col("ilon") - 2).alias("ilon"), "year", "mon", R(F.when(col("sat").isNotNull(), col("u"))).alias("u"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _LAT = "cast((({k}*7919)%3000) as double)/100e0+30e0"
 _LON = "cast((({k}*104729)%4000) as double)/100e0-10e0"
@@ -37,8 +36,3 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_(*names: str) -> str:
     """The WITH clause of the named fixtures, for DuckDB."""
     return "with " + ", ".join(f"{n} as ({ALL[n]})" for n in names) + " "
-
-
-def null_if(df: DataFrame, *columns: str, sentinel: float = -999.0) -> DataFrame:
-    """NaN and a sentinel value become null, at the edge of the system."""
-    return df.withColumns({c: F.when(~F.isnan(c) & (F.col(c) != sentinel), F.col(c)) for c in columns})
