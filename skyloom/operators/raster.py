@@ -90,9 +90,14 @@ def interpolate_years(df: DataFrame, year: int, left: int, right: int) -> DataFr
     return a.join(b, list(CELL)).select(*CELL, F.lit(year).alias("year"), (F.col("a") * (1 - w) + F.col("b") * w).alias("v"))
 
 
+def partial_columns(vmr: Column, airden: Column, boxh: Column) -> Column:
+    """Column amount of each level of the arrays. 28.97 g/mol, Avogadro."""
+    return F.zip_with(F.zip_with(vmr, airden, lambda a, b: a * b), boxh, lambda x, h: x * h * F.lit(1e3 / 28.97 * 1e-4 * 6.023e23))
+
+
 def column_amount(vmr: Column, airden: Column, boxh: Column, pressure: Column | None = None, tropopause: Column | None = None) -> Column:
-    """Vertical column of level arrays (all levels, or those at or below the tropopause). 28.97 g/mol, Avogadro."""
-    part = F.zip_with(F.zip_with(vmr, airden, lambda a, b: a * b), boxh, lambda x, h: x * h * F.lit(1e3 / 28.97 * 1e-4 * 6.023e23))
+    """Vertical column of level arrays (all levels, or those at or below the tropopause)."""
+    part = partial_columns(vmr, airden, boxh)
     if pressure is not None:
         part = F.zip_with(part, pressure, lambda x, p: F.when(p >= tropopause, x).otherwise(0.0))
     return F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
@@ -108,11 +113,6 @@ def tiered_fill(value: Column, model: Column, tiers: list[tuple[Column, Column]]
     return F.coalesce(value, *guesses, last), label.otherwise(F.when(last.isNotNull(), len(tiers) + 1))
 
 
-def partial_columns(vmr: Column, airden: Column, boxh: Column) -> Column:
-    """Column amount of each level of the arrays. 28.97 g/mol, Avogadro."""
-    return F.zip_with(F.zip_with(vmr, airden, lambda a, b: a * b), boxh, lambda x, h: x * h * F.lit(1e3 / 28.97 * 1e-4 * 6.023e23))
-
-
 def bilinear_zero(coarse: DataFrame, targets: DataFrame, value: str = "v") -> DataFrame:
     """Bilinear values at (fy, fx) of each target row where a missing corner counts as 0 and weights stay in 0..1."""
     w = F.least(F.greatest("w", F.lit(0.0)), F.lit(1.0))
@@ -126,11 +126,20 @@ def fine_ratio(df: DataFrame, before: int, after: int, value: str = "v") -> Data
     return both.select(*CELL, F.when(F.col("focal_min") > 0, F.col(value) / F.col("focal")).otherwise(1.0).alias("r"))
 
 
-def backcast(annual: DataFrame, months: DataFrame, base: int, floor: float = 0.01, most: float = 10.0) -> DataFrame:
-    """Months ``m`` of the base year, scaled by each other year's annual ratio to it, which is held in 0..``most``."""
-    ref = annual.where(F.col("year") == base).select(*CELL, F.col("v").alias("r"))
-    ratio = F.least(F.greatest(F.col("v") / F.greatest("r", F.lit(floor)), F.lit(0.0)), F.lit(most))
-    scaled = annual.where(F.col("year") != base).join(ref, list(CELL)).select(*CELL, "year", ratio.alias("k"))
+def mixed_year(sums: DataFrame, fine: DataFrame, before: int, after: int, months: int = 12) -> DataFrame:
+    """Annual mean ``v`` of a year whose early months are coarse: the fine ratio times their focal mean, plus late ones.
+
+    ``sums``: sums ``early`` and ``late`` of every cell (null counts as 0); ``fine``: the cells' ratio ``r`` (else 1).
+    """
+    smooth = boxcar(sums.withColumn("early", F.coalesce("early", F.lit(0.0))), before, after, "early").join(fine, list(CELL), "left")
+    return smooth.select(*CELL, ((F.coalesce("r", F.lit(1.0)) * F.col("focal") + F.coalesce("late", F.lit(0.0))) / months).alias("v"))
+
+
+def backcast(annual: DataFrame, base: DataFrame, months: DataFrame, floor: float = 0.01, most: float = 10.0) -> DataFrame:
+    """Months ``m`` of the base year, scaled by each other year's annual ``v`` over the base's ``r``, held in 0..``most``;
+    cells whose base is not over ``floor`` have no ratio and no row."""
+    ratio = F.least(F.greatest(F.col("v") / F.col("r"), F.lit(0.0)), F.lit(most))
+    scaled = annual.join(base.where(F.col("r") > floor), list(CELL)).select(*CELL, "year", ratio.alias("k"))
     return months.join(scaled, list(CELL)).select(*CELL, "year", "mon", (F.col("k") * F.col("m")).alias("v"))
 
 

@@ -23,13 +23,35 @@ def segments(curve: DataFrame, x: str, y: str, part: tuple[str, ...] = ()) -> Da
     return curve.select(*part, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1"), F.row_number().over(w).alias("i"))
 
 
-def piecewise(df: DataFrame, at: str, curve: DataFrame, x: str = "x", y: str = "y", cap: float | None = None) -> DataFrame:
-    """Adds ``fitted``: linear inside the curve, the first value before it, the last one after it."""
-    s = F.broadcast(segments(curve, x, y))
-    j = df.join(s, ((F.col(at) >= F.col("x0")) | (F.col("i") == 1)) & ((F.col(at) < F.col("x1")) | F.col("x1").isNull()), "left")
+def piecewise(df: DataFrame, at: str, curve: DataFrame, x: str = "x", y: str = "y", cap: float | None = None, tail: bool = False) -> DataFrame:
+    """Adds ``fitted``: linear inside the curve, the first value before it; after it the last value, or, with ``tail``, the
+    last segment if it rises and else the slope of a line through all points."""
+    line = curve.agg(F.regr_slope(y, x).alias("_all"))
+    s = segments(curve, x, y)
+    s = s.withColumn("_up", F.lag("y0").over(Window.orderBy("i"))).withColumn("_px", F.lag("x0").over(Window.orderBy("i"))).crossJoin(line)  # some tens of rows
+    j = df.join(F.broadcast(s), ((F.col(at) >= F.col("x0")) | (F.col("i") == 1)) & ((F.col(at) < F.col("x1")) | F.col("x1").isNull()), "left")
     inside = F.col("y0") + (F.greatest(F.col(at), F.col("x0")) - F.col("x0")) / (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    v = F.when(F.col("x1").isNull(), F.col("y0")).otherwise(inside)
-    return j.withColumn("fitted", F.least(v, F.lit(cap)) if cap is not None else v).drop("x0", "y0", "x1", "y1", "i")
+    slope = F.when(F.col("y0") >= F.col("_up"), (F.col("y0") - F.col("_up")) / (F.col("x0") - F.col("_px"))).otherwise(F.col("_all")) if tail else F.lit(0.0)
+    v = F.when(F.col("x1").isNull(), F.col("y0") + slope * (F.col(at) - F.col("x0"))).otherwise(inside)
+    return j.withColumn("fitted", F.least(v, F.lit(cap)) if cap is not None else v).drop("x0", "y0", "x1", "y1", "i", "_up", "_px", "_all")
+
+
+def expected_wrong(path: DataFrame, most: float) -> DataFrame:
+    """(feature, wrong, place, oracle) from the running minimum ``run`` of each feature's selection probability by step.
+
+    ``wrong``: the least over steps of features * mean(run)^2 / (2 run - 1) where run is over one half, else null (none);
+    ``oracle``: how many features stand before the largest relative jump, 0 if the first is over ``most``.
+    """
+    n = F.broadcast(path.agg(F.countDistinct("feature").alias("_f")))
+    mean = path.groupBy("step").agg(F.avg("run").alias("_m"))
+    x = path.join(mean, "step").crossJoin(n)
+    w = x.groupBy("feature").agg(F.min(F.when(F.col("run") > 0.5, F.col("_f") * F.col("_m") * F.col("_m") / (2 * F.col("run") - 1))).alias("wrong"))
+    order = Window.orderBy(F.asc_nulls_last("wrong"), "feature")  # one row per feature
+    o = w.withColumn("place", F.row_number().over(order)).withColumn("_w", F.coalesce("wrong", F.lit(1e300)))
+    jump = F.try_divide(F.col("_w"), F.lag("_w").over(Window.orderBy("place")))
+    best = o.withColumn("_r", jump).agg(F.max(F.when(F.col("place") == 1, F.col("_w"))).alias("_first"), F.max(F.struct(F.coalesce("_r", F.lit(-1.0)).alias("r"), (-F.col("place")).alias("p"))).alias("_b"))
+    oracle = F.when(F.col("_first") > most, 0).otherwise(-F.col("_b.p") - 1)
+    return o.crossJoin(F.broadcast(best)).select("feature", "wrong", "place", oracle.alias("oracle"))
 
 
 def covariance(df: DataFrame, vector: str, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from skyloom.operators import metrics as N
 from skyloom.operators import raster as G
 from skyloom.operators import spatial as J
 from skyloom.operators import splits as S
-from skyloom.plans.fields import _EDGE, _MEAN, _PAIRS, R, split_sites, year_grid
+from skyloom.plans.fields import _EDGE, _KM, _MEAN, _PAIRS, R, split_sites, year_grid
 from skyloom.plans.model import _FOLD, _SEASON
 from skyloom.plans.registry import query
 from skyloom.sources.fixtures import frame, with_
@@ -80,13 +80,6 @@ def g20(spark, d):
     return j.select("ilat", "ilon", "year", R(F.when(col("year") < 1997, F.coalesce("r", F.lit(1.0)) * col("focal")).otherwise(col("v"))).alias("v"))
 
 
-@query("g21_ratio_backcast", with_("grid") + ", a as (select ilat, ilon, year, avg(gchp) as v from grid group by all), m as (select ilat, ilon, mon, gchp from grid where year = 1998) select m.ilat, m.ilon, y.year, m.mon, round_even(least(greatest(y.v/greatest(r.v,0.01e0),0),10)*m.gchp,6) as v from m join a r on r.ilat=m.ilat and r.ilon=m.ilon and r.year=1998 join a y on y.ilat=m.ilat and y.ilon=m.ilon and y.year in (1995,1996,1997)")
-def g21(spark, d):
-    g = frame(spark, d, "grid")
-    a = g.groupBy("ilat", "ilon", "year").agg(F.avg("gchp").alias("v"))
-    return G.backcast(a, g.where("year = 1998").select("ilat", "ilon", "mon", col("gchp").alias("m")), 1998).where(col("year").between(1995, 1997)).withColumn("v", R("v"))
-
-
 _CELLS = "cell as (select distinct ilat*25+ilon as site, ilat, ilon, ilat*1.5e0+30.003e0 as lat, ilon*1.6e0-9.997e0 as lon from grid)"
 _KM2 = "2*6371e0*asin(sqrt(least(pow(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2),2),1.0)))"
 
@@ -96,13 +89,6 @@ def cells(spark, d):
     return g.select((col("ilat") * 25 + col("ilon")).alias("site"), (col("ilat") * F.lit(1.5) + F.lit(30.003)).alias("lat"), (col("ilon") * F.lit(1.6) - F.lit(9.997)).alias("lon"), "ilat", "ilon")
 
 
-@query("g24_class_distance", with_("grid") + f", {_CELLS}, p as (select a.site, min({_KM2}) as km from cell a, cell b where b.ilat % 4 = 0 and b.ilon % 5 = 0 group by a.site) select site, round_even(km,3) as km from p")
-def g24(spark, d):
-    c = cells(spark, d)
-    present = c.where("ilat % 4 = 0 and ilon % 5 = 0")
-    return J.knn_join(c.select("site", "lat", "lon"), present.select("site", "lat", "lon"), 1, 400.0, -1.0).select("site", R("km", 3).alias("km"))
-
-
 @query("g28_land_mask", with_("grid", "sites") + f""", {_CELLS}, e as (select a.site // 8 as ring, a.lat as y1, a.lon as x1, b.lat as y2, b.lon as x2 from sites a join sites b on b.site = (a.site // 8)*8 + (a.site + 1) % 8),
  x as (select cell.site, ring, count(*) as c from cell join e on (y1 > cell.lat) <> (y2 > cell.lat) and cell.lon < x1 + (cell.lat-y1)*(x2-x1)/(y2-y1) group by cell.site, ring)
  select cell.site, max(case when c % 2 = 1 then 1 else 0 end) as land from cell left join x using (site) group by cell.site""")
@@ -176,18 +162,6 @@ def l6(spark, d):
     return out.select("fold", F.coalesce("test", F.lit(0)).alias("test"), F.coalesce("train", F.lit(0)).alias("train"))
 
 
-@query("o2_period_pool", with_("cv") + f", p as (select site, cast(mon as varchar) as period, obs, pred from cv union all select site, {_SEASON}, obs, pred from cv union all select site, 'annual', obs, pred from cv) select site, period, count(*) as n, round_even(avg(obs),7) as obs, round_even(avg(pred),7) as pred from p group by site, period")
-def o2(spark, d):
-    cv = frame(spark, d, "cv").withColumn("period", F.explode(F.array(col("mon").cast("string"), F.expr(_SEASON), F.lit("annual"))))
-    return cv.groupBy("site", "period").agg(F.count("*").alias("n"), R(F.avg("obs"), 7).alias("obs"), R(F.avg("pred"), 7).alias("pred"))
-
-
-@query("p1_fold_roles", with_("sites", "obs") + f", o as (select site, {_FOLD.format(k='site', n=10)} as own from sites) select f as fold, case when f = own then 1 else -1 end as role, year, mon, count(*) as n, round_even(avg(no2),6) as v from obs join o using (site) cross join range(10) t(f) group by all")
-def p1(spark, d):
-    roles = S.roles(S.random_folds(frame(spark, d, "sites"), 10), 10)
-    return frame(spark, d, "obs").join(roles, "site").groupBy("fold", "role", "year", "mon").agg(F.count("*").alias("n"), R(F.avg("no2")).alias("v"))
-
-
 @query("p2_local_reference", _PAIRS + ", k as (select site, site2 from p where km > 0 and site % 5 = 0 and site2 % 5 <> 0 qualify row_number() over (partition by site order by km, site2) <= 5) select k.site, round_even(avg(c_acctbal),4) as mean, round_even(quantile_cont(c_acctbal,0.5),4) as median from k join customer on c_custkey = site2 group by k.site")
 def p2(spark, d):
     test, train = split_sites(spark, d)
@@ -234,3 +208,58 @@ def n12(spark, d):
     g = frame(spark, d, "cv").where("split = 'test'").groupingSets([["year"], ["year", "mon"]], "year", "mon")
     slope, _ = N.rma(col("obs"), col("pred"))
     return g.agg(F.count("*").alias("n"), R(N.r2(col("obs"), col("pred"))).alias("r2"), R(slope).alias("slope"), N.rmse(col("obs"), col("pred")).alias("rmse")).where("n > 2").drop("n")
+
+
+_MIXED = """, e as (select ilat, ilon, sum(case when mon <= 5 then gchp end) as early, sum(case when mon > 5 then gchp end) as late from grid where year = 1998 group by all),
+ x as (select c.ilat, c.ilon, early, late from (select distinct ilat, ilon from grid) c left join e using (ilat, ilon)), b as (select a.ilat, a.ilon, any_value(a.late) as late, avg(coalesce(b.early,0)) as m from x a """ + _EDGE.format(g="x") + """ group by a.ilat, a.ilon),
+ n as (select ilat, ilon, (coalesce(r,1)*m+coalesce(late,0))/12 as v from b left join f using (ilat, ilon))"""
+
+
+@query("g21_ratio_backcast", with_("grid") + _FINE + _MIXED + ", a as (select ilat, ilon, year, avg(gchp) as v from grid where year < 1998 group by all union all select ilat, ilon, 1998, v from n), base as (select ilat, ilon, avg(gchp) as r from grid where year = 1999 group by all having avg(gchp) > 0.01), m as (select ilat, ilon, mon, gchp from grid where year = 1999) select ilat, ilon, a.year, m.mon, round_even(least(greatest(a.v/r,0),10)*m.gchp,6) as v from m join base using (ilat, ilon) join a using (ilat, ilon)")
+def g21(spark, d):
+    """Years before the switch from annual means; the switch year joins smoothed early months and late ones."""
+    g = frame(spark, d, "grid")
+    plain = g.where("year < 1998").groupBy("ilat", "ilon", "year").agg(F.avg("gchp").alias("v"))
+    cells = g.select("ilat", "ilon").distinct()
+    y = g.where("year = 1998").groupBy("ilat", "ilon").agg(F.sum(F.when(col("mon") <= 5, col("gchp"))).alias("early"), F.sum(F.when(col("mon") > 5, col("gchp"))).alias("late"))
+    sums = cells.join(y, ["ilat", "ilon"], "left")
+    mixed = G.mixed_year(sums, fine_structure(spark, d), 2, 1).select("ilat", "ilon", F.lit(1998).alias("year"), "v")
+    base = g.where("year = 1999")
+    return G.backcast(plain.unionByName(mixed), base.groupBy("ilat", "ilon").agg(F.avg("gchp").alias("r")), base.select("ilat", "ilon", "mon", col("gchp").alias("m"))).withColumn("v", R("v"))
+
+
+@query("g24_class_distance", with_("grid") + f", {_CELLS}, k as (select unnest(['urban','absent']) as class), p as (select a.site, min({_KM2}) as km from cell a, cell b where b.ilat % 4 = 0 and b.ilon % 5 = 0 group by a.site) select k.class, a.site, round_even(case when k.class = 'urban' then p.km end,3) as km from cell a cross join k left join p using (site)")
+def g24(spark, d):
+    """Distance of every cell to the nearest cell of a class; null for a class that no cell has."""
+    c = cells(spark, d)
+    classes = F.broadcast(spark.createDataFrame([("urban",), ("absent",)], "class string"))
+    present = c.where("ilat % 4 = 0 and ilon % 5 = 0").select("site", "lat", "lon", F.lit("urban").alias("class"))
+    every = c.select("site", "lat", "lon").crossJoin(classes)  # one row per cell and class
+    has = every.join(F.broadcast(present.select("class").distinct()), "class", "left_semi")
+    near = J.knn_join(has, present, 1, 400.0, -1.0, on=("class",)).select("class", "site", R("km", 3).alias("km"))
+    return every.select("class", "site").join(near, ["class", "site"], "left")
+
+
+_RADII = [0, 10, 25]
+
+
+@query("o2_period_pool", with_("cv") + f", x as (select site, obs, pred, pop as distance, unnest({_RADII}) as radius, [cast(mon as varchar), {_SEASON}, 'annual'] as periods from cv), p as (select radius, site, unnest(periods) as period, obs, pred, distance from x where distance > radius) select radius, site, period, count(*) as n, round_even(avg(obs),7) as obs, round_even(avg(pred),7) as pred, round_even(avg(distance),7) as distance from p group by all")
+def o2(spark, d):
+    cv = frame(spark, d, "cv").withColumn("distance", col("pop")).withColumn("radius", F.explode(F.array(*map(F.lit, _RADII)))).where("distance > radius")
+    p = cv.withColumn("period", F.explode(F.array(col("mon").cast("string"), F.expr(_SEASON), F.lit("annual"))))
+    return p.groupBy("radius", "site", "period").agg(F.count("*").alias("n"), *[R(F.avg(c), 7).alias(c) for c in ("obs", "pred", "distance")])
+
+
+@query("p1_fold_roles", with_("sites", "obs") + f""", t as (select site, lat, lon, {_FOLD.format(k='site', n=4)} as own from sites where site % 3 = 0), near as (select distinct b.own as fold, a.site, r.r as radius from t a, t b, (values (0),(60)) r(r) where a.own <> b.own and {_KM} <= r.r),
+ o as (select r.r as radius, f.f as fold, t.site, case when t.own = f.f then 1 when n.site is not null then 0 else -1 end as role from t cross join range(4) f(f) cross join (values (0),(60)) r(r) left join near n on n.fold = f.f and n.site = t.site and n.radius = r.r)
+ select radius, fold, role, year, mon, count(*) as n, round_even(avg(no2),6) as v from obs join o using (site) group by all""")
+def p1(spark, d):
+    """Channel values with their role per buffer radius and fold: test, train, or left out within the radius."""
+    s = frame(spark, d, "sites").where("site % 3 = 0").select("site", "lat", "lon")
+    folds = S.random_folds(s, 4).select("site", "fold")
+    out = None
+    for radius in (0, 60):
+        r = S.cluster_roles(s, folds, 4, float(radius)) if radius else S.roles(folds, 4)
+        part = r.select(F.lit(radius).alias("radius"), "fold", "site", "role")
+        out = part if out is None else out.unionByName(part)
+    return frame(spark, d, "obs").join(out, "site").groupBy("radius", "fold", "role", "year", "mon").agg(F.count("*").alias("n"), R(F.avg("no2")).alias("v"))

@@ -202,12 +202,6 @@ def o1(spark, d):
     return V.binned_rrmse(frame(spark, d, "cv").withColumn("distance", col("pop")), 5).withColumn("rrmse", R("rrmse"))
 
 
-@query("o4_piecewise", with_("cv") + ", c(x, y) as (values (10e0, 0.2e0), (20e0, 0.3e0), (40e0, 0.5e0)) select site, year, mon, split, count(*) as n, round_even(avg(case when pop < 10 then 0.2 when pop < 20 then 0.2+(pop-10)/10*0.1 when pop < 40 then 0.3+(pop-20)/20*0.2 else 0.5 end),6) as u from cv group by all")
-def o4(spark, d):
-    curve = spark.createDataFrame([(10.0, 0.2), (20.0, 0.3), (40.0, 0.5)], "x double, y double")
-    return V.piecewise(frame(spark, d, "cv"), "pop", curve).groupBy("site", "year", "mon", "split").agg(F.count("*").alias("n"), R(F.avg("fitted")).alias("u"))
-
-
 @query("o5_absolute_uncertainty", with_("cv") + ", r as (select region, sqrt(avg((obs-pred)*(obs-pred)))/avg(obs) as rr from cv group by region) select site, round_even(avg(rr*pred),4) as u from cv join r using (region) group by site")
 def o5(spark, d):
     cv = frame(spark, d, "cv")
@@ -380,3 +374,21 @@ def p10(spark, d):
     u = g.groupBy("ilat", "ilon", "year").agg((F.avg("gchp") / 100).alias("u"))
     inside = g.where("ilat between 2 and 17 and ilon between 2 and 22")
     return inside.join(u, ["ilat", "ilon", "year"], "left").select((col("ilat") - 2).alias("ilat"), (col("ilon") - 2).alias("ilon"), "year", "mon", R(F.when(col("sat").isNotNull(), col("u"))).alias("u"))
+
+
+_WRONG = _SEL + """, f as (select count(distinct feature) as c from hist), w as (select feature, min(case when run > 0.5 then c*m*m/(2*run-1) end) as wrong from (select r.*, f.c, avg(run) over (partition by step) as m from r, f) group by feature),
+ o as (select feature, wrong, row_number() over (order by wrong nulls last, feature) as place from w), q as (select place, coalesce(wrong, 1e300)/nullif(lag(coalesce(wrong, 1e300)) over (order by place), 0) as ratio, wrong from o)
+ select o.feature, round_even(o.wrong,6) as wrong, o.place, (select case when max(case when place = 1 then coalesce(wrong, 1e300) end) > 0.5 then 0 else arg_max(place, ratio*1e6-place*1e-6)-1 end from q) as oracle from o"""
+
+
+@query("m8_expected_wrong", _WRONG)
+def m8_wrong(spark, d):
+    """Features by the expected number of wrong ones, and the size where it jumps most (0 if the first is over one half)."""
+    return V.expected_wrong(selection(spark, d).select("step", "feature", "run"), 0.5).withColumn("wrong", R("wrong"))
+
+
+@query("o4_piecewise", with_("cv") + ", c(x, y) as (values (10e0, 0.2e0), (20e0, 0.3e0), (40e0, 0.25e0)), l as (select regr_slope(y, x) as s from c) select site, year, mon, split, count(*) as n, round_even(avg(case when pop < 10 then 0.2 when pop < 20 then 0.2+(pop-10)/10*0.1 when pop < 40 then 0.3-(pop-20)/20*0.05 else 0.25+(pop-40)*l.s end),6) as u from cv, l group by all")
+def o4(spark, d):
+    """Head clamp; the tail goes on with the last segment if it rises, else with the slope of a line through all points."""
+    curve = spark.createDataFrame([(10.0, 0.2), (20.0, 0.3), (40.0, 0.25)], "x double, y double")
+    return V.piecewise(frame(spark, d, "cv"), "pop", curve, tail=True).groupBy("site", "year", "mon", "split").agg(F.count("*").alias("n"), R(F.avg("fitted")).alias("u"))
