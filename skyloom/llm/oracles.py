@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from skyloom.llm.decontam import K, LEAST
+from skyloom.llm.linededup import LAST, LONG_LINE
+from skyloom.llm.quality import COMMON, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS
+from skyloom.llm.suffix import LENGTH
 
 _WORDS = r"list_filter(string_split_regex(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _SHINGLES = f"case when len(w) >= {K} then list_transform(range(1, len(w) - {K - 2}), lambda i: array_to_string(w[i:i+{K - 1}], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
@@ -40,4 +43,91 @@ from scored where similarity >= {LEAST}
 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": OP3}
+_WORD = r"[^\x20\x09-\x0D]"
+_LISTS = "case lang " + " ".join(f"when '{g}' then {w}" for g, w in COMMON.items()) + " else [] end"
+_CLASSES = ["[a-z]", r"[\x20\x09-\x0D]", "[A-Z]", "[0-9]", r"[#*$%&|<>]", r"[\x00-\x08\x0E-\x1F!\x22'()+,\-./:;=?@\x5B-\x60{}~\x7F]"]
+_COUNTS = ", ".join("cast(length(t) - length(regexp_replace(t, '{}', '', 'g')) as double)".format(c.replace("'", "''")) for c in _CLASSES)
+
+
+def _distance(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of counts; 0 if one of them is empty."""
+    x, y = f"({p}[i]/list_sum({p}))", f"({q}[i]/list_sum({q}))"
+    term = "(case when {a} > 0 then {a} * log2({a} / (({x} + {y}) / 2)) else 0 end)"
+    both = f"({term.format(a=x, x=x, y=y)} + {term.format(a=y, x=x, y=y)}) / 2"
+    return f"case when coalesce(list_sum({p}), 0) > 0 and coalesce(list_sum({q}), 0) > 0 then sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {both})), 0)) else 0 end"
+
+
+#: op1: counts, both histograms of every text, their sums by language, and the verdict.
+OP1 = f"""
+with t as (
+  select row_number() over () as row, doc_id, coalesce(text, '') as t, coalesce(lang, '') as lang from documents
+), w as (
+  select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as lines, list_filter(regexp_split_to_array(lower(t), '[\\x20\\x09-\\x0D]+'), lambda x: list_contains({_LISTS}, x)) as listed from t
+), three as (
+  select row, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) as s from w where len(w) >= 3
+), seen as (
+  select row, i, count(*) over (partition by row, s) as c from three
+), cover as (
+  select row, count(distinct k) as n from (select row, unnest([i, i+1, i+2]) as k from seen where c > 1) group by row
+), h as (
+  select w.row, doc_id, lang, length(t) as n_chars, len(w) as n_words, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(cover.n, 0) as n_repeat_words, [{_COUNTS}] as c,
+    list_transform({_LISTS}, lambda v: cast(len(list_filter(listed, lambda x: x = v)) as double)) as g from w left join cover using (row)
+), f as (
+  select *, list_concat(c, [n_chars - list_sum(c)]) as hc, case when len(g) > 0 then list_concat(g, [n_words - list_sum(g)]) else [] end as hw from h
+), r as (
+  select lang, [{", ".join(f"sum(hc[{i}])" for i in range(1, 8))}] as rc, [{", ".join(f"sum(hw[{i}])" for i in range(1, 14))}] as rw from f group by lang
+), j as (
+  select f.*, case when n_chars >= {MIN_CHARS} then {_distance("hc", "rc")} end as dc, case when n_words >= {MIN_WORDS} and len(hw) > 0 then {_distance("hw", "rw")} end as dw from f join r using (lang)
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(n_chars - hc[2] as bigint) as word_chars, cast(hc[5] as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(dc, 0) <= {MAX_CHAR_DISTANCE} and coalesce(dw, 0) <= {MAX_WORD_DISTANCE} as kept,
+  round(dc, 6) as char_distance, round(dw, 6) as word_distance from j
+"""
+
+#: op7: all pairs of neighbouring lines and long lines by their bytes; all but the first place of each go.
+OP7 = f"""
+with d as (
+  select row_number() over (order by coalesce(doc_id, {LAST})) as row, doc_id, text, string_split(text, chr(10)) as l from documents
+), ln as (
+  select row, unnest(l) as line, generate_subscripts(l, 1) - 1 as k from d
+), p as (
+  select a.row, a.k, 2 as n, a.line || chr(10) || b.line as t from ln a join ln b on a.row = b.row and b.k = a.k + 1 where regexp_matches(a.line, '{_WORD}') or regexp_matches(b.line, '{_WORD}')
+  union all select row, k, 1, line from ln where length(line) >= {LONG_LINE} and regexp_matches(line, '{_WORD}')
+), f as (
+  select *, first_value(row) over s as fr, first_value(k) over s as fk from p window s as (partition by n, t order by row, k)
+), x as (
+  select distinct row, unnest(range(case when n = 2 and row = fr and k = fk + 1 then k + 1 else k end, k + n)) as k from f where row <> fr or k <> fk
+), m as (
+  select ln.row, ln.k, line, x.k is not null as gone, lag(x.k is not null, 1, false) over (partition by ln.row order by ln.k) as before from ln left join x on x.row = ln.row and x.k = ln.k
+), a as (
+  select row, count(*) as n_lines, count(*) filter (gone) as n_removed_lines, count(*) filter (gone and not before) as n_removed_chunks, coalesce(string_agg(line, chr(10) order by k) filter (not gone), '') as t from m group by row
+)
+select d.doc_id, case when d.text is null then null when coalesce(a.n_removed_lines, 0) = 0 then d.text else a.t end as text, coalesce(a.n_lines, 0) as n_lines, coalesce(a.n_removed_lines, 0) as n_removed_lines, coalesce(a.n_removed_chunks, 0) as n_removed_chunks from d left join a using (row)
+"""
+
+#: op6: every 100-byte string (as hexadecimal digits) but the first of its content, merged to spans.
+OP6 = f"""
+with t as (
+  select row_number() over (order by coalesce(doc_id, {LAST})) as row, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), s as (
+  select row, b + k as k, md5(substr(h, 2 * k + 1, {2 * LENGTH})) as m from (select row, b, h, unnest(range(0, least(400, len(h) // 2 - {LENGTH - 1}))) as k
+    from (select row, b, substr(h, 2 * b + 1, {2 * (400 + LENGTH - 1)}) as h from (select row, h, unnest(range(0, len(h) // 2, 400)) as b from t)) where len(h) >= {2 * LENGTH})
+), later as (
+  select row, k from (select row, k, row_number() over (partition by m order by row, k) as r from s) where r > 1
+), i as (
+  select row, k, case when k <= lag(k) over (partition by row order by k) + {LENGTH} then 0 else 1 end as new from later
+), g as (
+  select row, k, sum(new) over (partition by row order by k) as island from i
+), sp as (
+  select row, min(k) as lo, max(k) + {LENGTH} as hi from g group by row, island
+), parts as (
+  select row, coalesce(lag(hi) over (partition by row order by lo), 0) as a, lo as b from sp union all select row, max(hi), null from sp group by row
+), kept as (
+  select row, string_agg(substr(h, 2 * a + 1, coalesce(2 * (b - a), len(h))), '' order by a) as x from parts join t using (row) group by row
+), n as (
+  select row, count(*) as n_spans, sum(hi - lo) as n_removed from sp group by row
+)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.x, h))) as kept_sha256 from t left join n using (row) left join kept using (row)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_decontamination": OP3, "op6_suffix_dedup": OP6, "op7_line_dedup": OP7}
