@@ -130,4 +130,38 @@ with t as (
 select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.x, h))) as kept_sha256 from t left join n using (row) left join kept using (row)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_decontamination": OP3, "op6_suffix_dedup": OP6, "op7_line_dedup": OP7}
+#: op11: units by the contract's pattern, cut and joined as text.
+OP11 = r"""
+with t as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as x from documents
+), h as (
+  select *, len(u) as n, ('0x' || substr(x, 1, 8))::bigint as h1, ('0x' || substr(x, 9, 8))::bigint as h2, ('0x' || substr(x, 17, 8))::bigint as h3, ('0x' || substr(x, 25, 8))::bigint as h4 from t
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from h
+), p as (
+  select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:n], '') as suf from c
+)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+from p
+"""
+
+#: op13: all pairs of an anchor and a row.
+OP13 = """
+with v as (
+  select vec_id, min({'label': label, 'e': e}) as r from (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+    from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)) group by vec_id
+), s as (
+  select a.vec_id as anchor_id, v.vec_id, a.r.label = v.r.label as same, cast(list_dot_product(a.r.e, v.r.e) as bigint) as score from v as a join v on a.vec_id <> v.vec_id where a.vec_id % 100 = 0
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as r from s where same) where r <= 5
+), n as (
+  select anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_decontamination": OP3, "op6_suffix_dedup": OP6, "op7_line_dedup": OP7, "op11_fill_in_middle": OP11, "op13_hard_negatives": OP13}

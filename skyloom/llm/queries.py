@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyloom.llm.decontam import decontaminate
+from skyloom.llm.fim import fill_in_middle, restored
 from skyloom.llm.htmltext import main_text
+from skyloom.llm.langid import language_id
 from skyloom.llm.licenses import license_scan
 from skyloom.llm.linededup import line_dedup
 from skyloom.llm.lm import lm_scores
 from skyloom.llm.minhash import near_duplicates
+from skyloom.llm.negatives import hard_negatives
 from skyloom.llm.oracles import ORACLES
 from skyloom.llm.packing import pack
 from skyloom.llm.quality import quality
@@ -68,5 +72,24 @@ def op10_license_scan(spark, sf_dir):
     return license_scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_decontamination, op4_best_fit_packing, op5_lm_scores, op6_suffix_dedup, op7_line_dedup, op8_main_text, op9_toxicity, op10_license_scan)}
+def op11_fill_in_middle(spark, sf_dir):
+    out = fill_in_middle(read(spark, sf_dir, "documents"))
+    digests = [F.sha2(x, 256).alias(c) for x, c in ((F.col("output"), "output_sha256"), (restored(F.col("output"), F.col("form")), "restored_sha256"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_language_id(spark, sf_dir):
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    x = F.col("embedding")
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    whole = F.transform(x, lambda v: F.floor(256 * v.cast("double")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").where(finite).select("vec_id", label.alias("label"), whole.alias("vector"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_decontamination, op4_best_fit_packing, op5_lm_scores, op6_suffix_dedup, op7_line_dedup, op8_main_text, op9_toxicity, op10_license_scan, op11_fill_in_middle, op12_language_id, op13_hard_negatives)}
 

@@ -22,6 +22,6 @@ def test_oracle(spark, name):
     assert names == sorted(df.columns)
     want = result.fetchdf()[names]
     got = df.select(names).toPandas()
-    order = [c for c in ("doc_id", "item_id", "start_word") if c in names]
+    order = [c for c in ("doc_id", "item_id", "start_word", "anchor_id", "positive_id", "rank") if c in names]
     want, got = (x.sort_values(order).reset_index(drop=True) for x in (want, got))
     assert len(want) == len(got) and want.astype(object).where(want.notna(), None).equals(got.astype(object).where(got.notna(), None))
