@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,40 +176,53 @@ def cell_lengths(lines: DataFrame, keys: list[str], lat0: float, lon0: float, st
     return cut.select(*keys, cell("lat1", "lat2", lat0).alias("ilat"), cell("lon1", "lon2", lon0).alias("ilon"), km.alias("km")).groupBy(*keys, *CELL).agg(F.sum("km").alias("km"))
 
 
-def overlap_area(x: np.ndarray, y: np.ndarray, cx: float, cy: float, step: float) -> float:
-    """Area of a convex polygon inside the cell from (cx, cy): half-plane clipping, then the shoelace formula."""
-    for axis, bound, keep in ((0, cx, 1), (0, cx + step, -1), (1, cy, 1), (1, cy + step, -1)):
-        if len(x) == 0:
-            return 0.0
-        d = keep * ((x if axis == 0 else y) - bound)
-        nx, ny, nd = np.roll(x, -1), np.roll(y, -1), np.roll(d, -1)
-        cross = (d > 0) != (nd > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            f = np.where(cross, d / (d - nd), 0.0)
-        px = np.stack([x, x + f * (nx - x)], 1)[np.stack([d > 0, cross], 1)]
-        y = np.stack([y, y + f * (ny - y)], 1)[np.stack([d > 0, cross], 1)]
-        x = px
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2) if len(x) else 0.0
+def _mean_clamped(a: Column, b: Column, top: float) -> Column:
+    """Mean of a straight line from ``a`` to ``b``, held between 0 and ``top``, in closed form."""
+    below = lambda t: F.when(t <= 0, 0.0).when(t >= top, top * t - top * top / 2).otherwise(t * t / 2)
+    level = F.least(F.greatest((a + b) / 2, F.lit(0.0)), F.lit(top))
+    return F.when(F.abs(b - a) < 1e-7, level).otherwise((below(b) - below(a)) / (b - a))
 
 
-def tessellate(pixels: DataFrame, keys: list[str], values: list[str], lat0: float, lon0: float, step: float) -> DataFrame:
+def overlap_area(edges: Column, lat: Column, lon: Column, step: float) -> Column:
+    """Area of a polygon inside the cell from (lat, lon); ``edges``: its sides in order (y, x, to: the next x, slope).
+
+    By Green's theorem the area is the sum over sides of the integral of the side's height above the cell's south, held
+    between the cell's south and north. Each side is cut at the cell's west and east; what is left has a closed form, so no
+    polygon is clipped and nothing leaves the JVM.
+    """
+    hold = lambda x: F.least(F.greatest(x - lon, F.lit(0.0)), F.lit(step))
+    cut = F.transform(edges, lambda e: F.struct(hold(e["x"]).alias("u"), hold(e["to"]).alias("v"), (e["y"] - lat + (lon - e["x"]) * e["slope"]).alias("y"), e["slope"].alias("slope")))
+    part = lambda c: (c["v"] - c["u"]) * _mean_clamped(c["y"] + c["u"] * c["slope"], c["y"] + c["v"] * c["slope"], step)
+    return F.abs(F.aggregate(cut, F.lit(0.0), lambda s, c: s + part(c)))
+
+
+def tessellate(pixels: DataFrame, keys: list[str], values: list[str], lat0: float, lon0: float, step: float, rows: int | None = None) -> DataFrame:
     """(keys, ilat, ilon, values, area, n): area-weighted means of quadrilateral pixels on the grid.
 
-    ``pixels``: keys, values and four corners ``lats``, ``lons`` in order. Corners of a pixel across the date line are
-    shifted to one side; its cells wrap. Each pixel is exploded to the cells of its bounding box, areas come from batches
-    of (pixel, cell) pairs, and null values take no area.
+    ``pixels``: keys, values and four corners ``lats``, ``lons``, which are put in order around their middle. Longitudes are
+    brought to -180..180; corners of a pixel across the date line are shifted to one side, and its cells wrap. With ``rows``,
+    pixels that touch the first or last parallel of the grid, or lie beyond it, are left out whole, as the part outside
+    would be lost. So are pixels with a missing corner. Each pixel is exploded to the cells of its bounding box; values
+    that are null take no area.
     """
+    known = lambda c: (F.size(c) == 4) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    p = pixels.where(known("lats") & known("lons")).withColumn("lons", F.transform("lons", lambda x: F.when(x > 180, x - 360).otherwise(x)))
+    if rows is not None:
+        p = p.where((F.array_max("lats") < lat0 + rows * step) & (F.array_min("lats") > lat0))
     span = F.array_max("lons") - F.array_min("lons")
-    p = pixels.withColumn("lons", F.when(span > 180, F.transform("lons", lambda x: F.when(x < 0, x + 360).otherwise(x))).otherwise(F.col("lons")))
+    p = p.withColumn("lons", F.when(span > 180, F.transform("lons", lambda x: F.when(x < 0, x + 360).otherwise(x))).otherwise(F.col("lons")))
+    middle = lambda c: (F.get(c, F.lit(0)) + F.get(c, F.lit(1)) + F.get(c, F.lit(2)) + F.get(c, F.lit(3))) / 4
+    p = p.withColumns({"_my": middle("lats"), "_mx": middle("lons")})
+    around = F.array_sort(F.zip_with("lats", "lons", lambda y, x: F.struct(F.atan2(y - F.col("_my"), x - F.col("_mx")).alias("t"), y.alias("y"), x.alias("x"))))
+    turned = F.transform("_c", lambda c, i: F.struct(c.alias("a"), F.get("_c", (i + 1) % 4).alias("b")))
+    slope = lambda e: F.when(e["a"]["x"] == e["b"]["x"], 0.0).otherwise((e["b"]["y"] - e["a"]["y"]) / (e["b"]["x"] - e["a"]["x"]))
+    edges = F.transform(turned, lambda e: F.struct(e["a"]["y"].alias("y"), e["a"]["x"].alias("x"), e["b"]["x"].alias("to"), slope(e).alias("slope")))
     cells = lambda c, origin: F.sequence(F.floor((F.array_min(c) - origin) / F.lit(step)), F.floor((F.array_max(c) - origin) / F.lit(step)))
-    each = p.withColumn("ilat", F.explode(cells("lats", lat0))).withColumn("ilon", F.explode(cells("lons", lon0)))
-
-    @F.pandas_udf("double")
-    def area(lats: pd.Series, lons: pd.Series, ilat: pd.Series, ilon: pd.Series) -> pd.Series:
-        return pd.Series([overlap_area(np.asarray(b, float), np.asarray(a, float), lon0 + j * step, lat0 + i * step, step) for a, b, i, j in zip(lats, lons, ilat, ilon)])
-
-    n = round(360 / step)
-    each = each.withColumn("_a", area("lats", "lons", "ilat", "ilon")).where("_a > 0").withColumn("ilon", F.pmod(F.col("ilon"), F.lit(n)))
+    p = p.withColumn("_c", around).withColumn("_e", edges)
+    p = p.select(*keys, *values, "_e", F.explode(cells("lats", lat0)).alias("ilat"), "lons")
+    each = p.select(*keys, *values, "_e", "ilat", F.explode(cells("lons", lon0)).alias("ilon"))
+    each = each.withColumn("_a", overlap_area(F.col("_e"), lat0 + F.col("ilat") * step, lon0 + F.col("ilon") * step, step))
+    each = each.where(F.col("_a") > 1e-12 * step * step).withColumn("ilon", F.pmod(F.col("ilon"), F.lit(round(360 / step))))
     means = [F.try_divide(F.sum(F.col("_a") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("_a")))).alias(v) for v in values]
     return each.groupBy(*keys, *CELL).agg(*means, F.sum("_a").alias("area"), F.count("*").alias("n"))
 
@@ -229,7 +240,46 @@ def interpolated(at: Column, xs: Column, ys: Column, outside_zero: bool = False)
     return F.transform(at, one)
 
 
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
 def shape_factor(profile: Column, kernel: Column) -> Column:
     """Sum of profile * averaging kernel over the sum of the profile; null where that is 0."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    return F.try_divide(total(F.zip_with(profile, kernel, lambda a, b: a * b)), total(profile))
+    return F.try_divide(_total(F.zip_with(profile, kernel, lambda a, b: a * b)), _total(profile))
+
+
+def by_pressure(pressure: Column, values: Column) -> tuple[Column, Column]:
+    """Levels of a profile with their pressures rising, as :func:`interpolated` wants them."""
+    order = F.array_sort(F.zip_with(pressure, values, lambda p, v: F.struct(p.alias("p"), v.alias("v"))))
+    return F.transform(order, lambda z: z["p"]), F.transform(order, lambda z: z["v"])
+
+
+def corrected_column(df: DataFrame, to: str, slant: str, amf: str, kernel: str, sensor: str, pressure: str, profile: str, tropopause: str | None = None, floor: float | None = None) -> DataFrame:
+    """Vertical column of a pixel by the model's profile shape: ``<to>_amf`` and ``to`` (null where they cannot be had).
+
+    The profile (on ``pressure``) is interpolated to the sensor's levels; the air-mass factor times the kernel's mean over
+    it is the new factor, and the slant column over that is the result. Without a tropopause the profile goes on beyond its
+    ends along the end segments. With one it is the tropospheric column: layers above the tropopause (lower pressure) count
+    0 in profile and kernel, and so do levels outside the profile. A new factor under ``floor`` gives no result. A pixel
+    with any missing level has none either.
+    """
+    whole = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    shape, weights = F.col(profile), F.col(kernel)
+    if tropopause:
+        shape = F.zip_with(profile, pressure, lambda v, p: F.when(p >= F.col(tropopause), v).otherwise(0.0))
+        weights = F.zip_with(kernel, sensor, lambda k, p: F.when(p >= F.col(tropopause), k).otherwise(0.0))
+    x, y = by_pressure(F.col(pressure), shape)
+    df = df.withColumns({"_x": x, "_y": y, "_k": weights})
+    df = df.withColumn("_s", interpolated(F.col(sensor), F.col("_x"), F.col("_y"), tropopause is not None))
+    if tropopause:
+        df = df.withColumn("_s", F.zip_with("_s", sensor, lambda v, p: F.when(p >= F.col(tropopause), v).otherwise(0.0)))
+    ok = whole(profile) & whole(pressure) & whole(sensor)
+    if tropopause:
+        ok = ok & (_total(F.col("_y")) > 0) & (_total(F.col("_s")) > 0)
+    new = F.when(ok, F.col(amf) * shape_factor(F.col("_s"), F.col("_k")))
+    df = df.withColumn(f"{to}_amf", F.when(~F.isnan(new), new))
+    usable = F.col(f"{to}_amf") != 0
+    if floor is not None:
+        usable = usable & (F.col(f"{to}_amf") >= floor)
+    return df.withColumn(to, F.when(usable, F.col(slant) / F.col(f"{to}_amf"))).drop("_x", "_y", "_k", "_s")

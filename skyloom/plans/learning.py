@@ -206,29 +206,64 @@ def h12(spark, d):
     return j.groupBy("ilat", "ilon", "year", "mon", "tier").agg(F.count("h").alias("n"))
 
 
-@query("h6_profile_correction")
+_L = 32  # levels of a profile: half of a vector
+_H6_FRAME = f"""with e as (select vec_id, label, list_transform(embedding, lambda x: abs(cast(x as double))) as v, cast(round_even(cast((vec_id*7919)%3000 as double)/100e0/5e0, 0) as int) as ilat, cast(round_even(cast((vec_id*104729)%4000 as double)/100e0/5e0, 0) as int) as ilon from embeddings),
+ m as (select ilat, ilon, l, 1000e0-30e0*l as x, 200e0+40e0*ilat as tp, avg(v[l+1]) as y from e, range({_L}) t(l) group by all),
+ s as (select *, lead(x) over w as xe, lead(y) over w as ye, row_number() over w as i, count(*) over (partition by ilat, ilon) as n from m window w as (partition by ilat, ilon order by x)),
+ z as (select ilat, ilon, tp, x, xe, case when x >= tp then y else 0e0 end as y, case when xe >= tp then ye else 0e0 end as ye, i, n, (select sum(case when b.x >= b.tp then b.y else 0e0 end) from m b where b.ilat = s.ilat and b.ilon = s.ilon) as zy from s),
+ a as (select vec_id, ilat, ilon, 990e0-29.5e0*l as p, v[{_L}+1+l] as k from e, range({_L}) t(l)),
+ t as (select vec_id, sum((y+(p-x)*(ye-y)/(xe-x))*k)/sum(y+(p-x)*(ye-y)/(xe-x)) as f from a join s using (ilat, ilon) where xe is not null and (p >= x or i = 1) and (p < xe or i = n-1) group by vec_id),
+ r as (select vec_id, sum((y+(p-x)*(ye-y)/(xe-x))*k)/sum(y+(p-x)*(ye-y)/(xe-x)) as f from a join z using (ilat, ilon) where xe is not null and p >= x and (p < xe or (i = n-1 and p <= xe)) and p >= tp and zy > 0 group by vec_id)"""
+
+
+def footprints(spark, d):
+    """Pixels with kernels on the sensor's levels (a vector's second half), and the profile of the model's cell that each
+    one's nearest index gives (the mean of its pixels' first halves), with a tropopause for each row of cells."""
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    near = lambda k: F.rint(((col("vec_id") * k[0]) % k[1]).cast("double") / F.lit(100.0) / F.lit(5.0)).cast("int")
+    e = frame(spark, d, "embeddings").select("vec_id", "label", v.alias("v"), near((7919, 3000)).alias("ilat"), near((104729, 4000)).alias("ilon"))
+    levels = e.select("ilat", "ilon", F.posexplode(F.slice("v", 1, _L)).alias("l", "y")).groupBy("ilat", "ilon", "l").agg(F.avg("y").alias("y"))
+    order = F.sort_array(F.collect_list(F.struct("l", "y")))
+    cells = levels.groupBy("ilat", "ilon").agg(F.transform(order, lambda z: z["y"]).alias("profile"), F.transform(order, lambda z: 1000.0 - 30.0 * z["l"]).alias("p_model"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(_L - 1)), lambda i: 990.0 - 29.5 * i)
+    x = e.join(cells.withColumn("troppt", 200.0 + 40.0 * col("ilat")), ["ilat", "ilon"])
+    return x.select("vec_id", (10.0 + col("label")).alias("sc"), (1.0 + F.get("v", F.lit(0))).alias("amf"), F.slice("v", _L + 1, _L).alias("kernel"), at.alias("p_sensor"), "p_model", "profile", "troppt")
+
+
+@query("h6_profile_correction", _H6_FRAME + """ select vec_id, round_even((1+v[1])*t.f,6) as total_amf, round_even((10+label)/nullif((1+v[1])*t.f,0),4) as total, round_even((1+v[1])*r.f,6) as trop_amf, round_even(case when (1+v[1])*r.f >= 0.05 then (10+label)/((1+v[1])*r.f) end,4) as trop
+ from e left join t using (vec_id) left join r using (vec_id)""")
 def h6(spark, d):
-    """Profiles on own levels (the vector's first half), averaging kernels on the sensor's (its second half)."""
-    e = frame(spark, d, "embeddings").withColumn("v", F.transform("vec" if "vec" in frame(spark, d, "embeddings").columns else "embedding", lambda x: F.abs(x).cast("double")))
-    half = F.floor(F.size("v") / 2).cast("int")
-    model = F.transform(F.sequence(F.lit(1), half), lambda i: i.cast("double"))
-    sensor = F.transform(F.sequence(F.lit(1), half), lambda i: i * 1.1 - 0.05)
-    x = e.select(e.columns[0], F.slice("v", F.lit(1), half).alias("p"), F.slice("v", half + 1, half).alias("k"), model.alias("m"), sensor.alias("s"))
-    total, trop = (G.shape_factor(G.interpolated(col("s"), col("m"), col("p"), z), col("k")) for z in (False, True))
-    return x.select(e.columns[0], R(total, 5).alias("total"), R(trop, 5).alias("trop"), R(F.try_divide(F.lit(1.0), trop), 4).alias("column_factor"))
-
-
-_BOXES = "select c_custkey as pix, c_nationkey as day, c_acctbal as v, cast((c_custkey*7919)%3000 as double)/100e0+30e0 as y0, cast((c_custkey*104729)%4000 as double)/100e0-10e0 as x0, 0.7e0+cast(c_custkey%5 as double)/4e0 as h, 0.9e0+cast(c_custkey%7 as double)/3e0 as w from customer"
-
-
-@query("h8_tessellation", f"""with b as ({_BOXES}), e as (select b.*, y.i as ilat, x.i as ilon, (least(y0+h, 30e0+y.i+1)-greatest(y0, 30e0+y.i))*(least(x0+w, -10e0+x.i+1)-greatest(x0, -10e0+x.i)) as a from b, range(0,70) y(i), range(0,70) x(i) where 30e0+y.i < y0+h and 30e0+y.i+1 > y0 and -10e0+x.i < x0+w and -10e0+x.i+1 > x0)
- select day, ilat, ilon, round_even(sum(a*v)/sum(a),4) as v, round_even(sum(a),5) as area, count(*) as n from e where a > 1e-9 group by all""")
+    """Total and tropospheric columns of all pixels by the shape of the model's profile, the latter with a floor for the factor."""
+    x = footprints(spark, d)
+    x = G.corrected_column(x, "total", "sc", "amf", "kernel", "p_sensor", "p_model", "profile")
+    x = G.corrected_column(x, "trop", "sc", "amf", "kernel", "p_sensor", "p_model", "profile", "troppt", 0.05)
+    return x.select("vec_id", *[R(c, n).alias(c) for c, n in (("total_amf", 6), ("total", 4), ("trop_amf", 6), ("trop", 4))])
+
+
+#: Pixels turned by 0 to 85 degrees, on a grid from 35 to 60 N: those that touch its first or last parallel are left out.
+_SOUTH, _ROWS = 35.0, 25
+_HOLD = "least(greatest({0}-cx, 0e0), 1e0)"
+_BELOW = "(case when {0} <= 0 then 0e0 when {0} >= 1 then {0}-0.5e0 else {0}*{0}/2 end)"
+_TILES = f"""with c as (select c_nationkey as day, c_acctbal as v, c_custkey as pix, cast((c_custkey*7919)%3000 as double)/100e0+30e0 as yc, cast((c_custkey*104729)%4000 as double)/100e0-10e0 as xc, (0.7e0+cast(c_custkey%5 as double)/4e0)/2 as h, (0.9e0+cast(c_custkey%7 as double)/3e0)/2 as w, radians(5e0*(c_custkey%18)) as t from customer),
+ k(i, sx, sy) as (values (0, -1e0, -1e0), (1, 1e0, -1e0), (2, 1e0, 1e0), (3, -1e0, 1e0)),
+ q as (select c.*, i, xc+sx*w*cos(t)-sy*h*sin(t) as x, yc+sx*w*sin(t)+sy*h*cos(t) as y from c, k),
+ b as (select pix, day, v, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from q group by all having min(y) > {_SOUTH} and max(y) < {_SOUTH + _ROWS}),
+ e as (select a.pix, a.x as xa, a.y as ya, b.x as xb, b.y as yb from q a join q b on a.pix = b.pix and b.i = (a.i+1) % 4),
+ g as (select b.*, i.i as ilat, j.j as ilon, {_SOUTH}e0+i.i as cy, -10e0+j.j as cx from b, range(0, {_ROWS}) i(i), range(-4, 46) j(j) where {_SOUTH}e0+i.i < y1 and {_SOUTH}e0+i.i+1 > y0 and -10e0+j.j < x1 and -10e0+j.j+1 > x0),
+ u as (select g.day, g.v, g.pix, g.ilat, g.ilon, {_HOLD.format('xb')}-{_HOLD.format('xa')} as w, ya-cy+({_HOLD.format('xa')}+cx-xa)*(case when xa = xb then 0e0 else (yb-ya)/(xb-xa) end) as p, ya-cy+({_HOLD.format('xb')}+cx-xa)*(case when xa = xb then 0e0 else (yb-ya)/(xb-xa) end) as q from g join e using (pix)),
+ o as (select day, pix, v, ilat, ilon, abs(sum(w*case when abs(q-p) < 1e-7 then least(greatest((p+q)/2, 0e0), 1e0) else ({_BELOW.format('q')}-{_BELOW.format('p')})/(q-p) end)) as a from u group by all)"""
+
+
+@query("h8_tessellation", _TILES + " select day, ilat, (ilon + 360) % 360 as ilon, round_even(sum(a*v)/sum(a),4) as v, round_even(sum(a),5) as area, count(*) as n from o where a > 1e-9 group by all")
 def h8(spark, d):
     k = col("c_custkey")
-    y0, x0 = ((k * 7919) % 3000).cast("double") / 100 + 30, ((k * 104729) % 4000).cast("double") / 100 - 10
-    h, w = (k % 5).cast("double") / 4 + 0.7, (k % 7).cast("double") / 3 + 0.9
-    p = frame(spark, d, "customer").select(col("c_nationkey").alias("day"), col("c_acctbal").alias("v"), F.array(y0, y0, y0 + h, y0 + h).alias("lats"), F.array(x0, x0 + w, x0 + w, x0).alias("lons"))
-    return G.tessellate(p, ["day"], ["v"], 30.0, -10.0, 1.0).withColumns({"v": R("v", 4), "area": R("area", 5)})
+    yc, xc = ((k * 7919) % 3000).cast("double") / 100 + 30, ((k * 104729) % 4000).cast("double") / 100 - 10
+    h, w, t = (F.lit(0.7) + (k % 5).cast("double") / 4) / 2, (F.lit(0.9) + (k % 7).cast("double") / 3) / 2, F.radians(5.0 * (k % 18))
+    corners = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]
+    lons = F.array(*[xc + sx * w * F.cos(t) - sy * h * F.sin(t) for sx, sy in corners])
+    lats = F.array(*[yc + sx * w * F.sin(t) + sy * h * F.cos(t) for sx, sy in corners])
+    p = frame(spark, d, "customer").select(col("c_nationkey").alias("day"), col("c_acctbal").alias("v"), lats.alias("lats"), lons.alias("lons"))
+    return G.tessellate(p, ["day"], ["v"], _SOUTH, -10.0, 1.0, _ROWS).withColumns({"v": R("v", 4), "area": R("area", 5)})
 
 
 _ROADS = "select c_custkey as id, c_mktsegment as fclass, cast((c_custkey*7919)%3000 as double)/100e0+30.003e0 as lat1, cast((c_custkey*104729)%4000 as double)/100e0-10.003e0 as lon1, cast((c_custkey*7919)%3000 as double)/100e0+30.003e0+cast(c_custkey%11-5 as double)/3.1e0 as lat2, cast((c_custkey*104729)%4000 as double)/100e0-10.003e0+cast(c_custkey%13-6 as double)/2.7e0 as lon2 from customer"

@@ -387,8 +387,10 @@ def m8_wrong(spark, d):
     return V.expected_wrong(selection(spark, d).select("step", "feature", "run"), 0.5).withColumn("wrong", R("wrong"))
 
 
-@query("o4_piecewise", with_("cv") + ", c(x, y) as (values (10e0, 0.2e0), (20e0, 0.3e0), (40e0, 0.25e0)), l as (select regr_slope(y, x) as s from c) select site, year, mon, split, count(*) as n, round_even(avg(case when pop < 10 then 0.2 when pop < 20 then 0.2+(pop-10)/10*0.1 when pop < 40 then 0.3-(pop-20)/20*0.05 else 0.25+(pop-40)*l.s end),6) as u from cv, l group by all")
+@query("o4_piecewise", with_("cv") + ", c(x, y) as (values (10e0, 0.2e0), (20e0, 0.3e0), (40e0, 0.25e0)), l as (select regr_slope(y, x) as s from c), f as (select site, year, mon, split, count(*) as n, sum(cast(round_even((case when pop < 10 then 0.2e0 when pop < 20 then 0.2e0+(pop-10)/10*0.1e0 when pop < 40 then 0.3e0-(pop-20)/20*0.05e0 else 0.25e0+(pop-40)*l.s end)*1e9,0) as bigint)) as t from cv, l group by all) select site, year, mon, split, n, ((2*t+n)//(2*n))/1e9 as u from f")
 def o4(spark, d):
-    """Head clamp; the tail goes on with the last segment if it rises, else with the slope of a line through all points."""
+    """Head clamp; the tail goes on with the last segment if it rises, else with the slope of a line through all points.
+    Means are of whole billionths, in whole numbers: neither the order of a sum nor a tie can change them."""
     curve = spark.createDataFrame([(10.0, 0.2), (20.0, 0.3), (40.0, 0.25)], "x double, y double")
-    return V.piecewise(frame(spark, d, "cv"), "pop", curve, tail=True).groupBy("site", "year", "mon", "split").agg(F.count("*").alias("n"), R(F.avg("fitted")).alias("u"))
+    f = V.piecewise(frame(spark, d, "cv"), "pop", curve, tail=True).groupBy("site", "year", "mon", "split").agg(F.count("*").alias("n"), F.sum(F.rint(col("fitted") * 1e9).cast("long")).alias("t"))
+    return f.select("site", "year", "mon", "split", "n", (F.expr("(2 * t + n) div (2 * n)") / 1e9).alias("u"))
