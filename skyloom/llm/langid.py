@@ -6,10 +6,11 @@ most frequent n-grams over all the texts that are learnt from; that of a documen
 sums up, over the n-grams of the document, how far apart the two ranks are; an n-gram that the language does not have
 counts ``PROFILE``. The nearest language is predicted.
 
-Words are counted first, in the tasks that read the texts, and only then broken up into n-grams, which are summed up over
-the cluster: all texts count whole, and what a task holds is bounded by the words it remembers. Profiles are broadcast
-``AT_ONCE`` languages at a time (16 bytes an n-gram); with more languages than that, each text's ranked n-grams go on to
-the next group of profiles in the same task, so every language counts, however many there are.
+Texts are arrays of code points, from which the hashes of all n-grams are made at once, in parts of ``PART`` characters
+that end between words. N-grams are counted in the tasks that read the texts and summed up over the cluster: all texts count
+whole, and what a task holds is bounded. Profiles are broadcast ``AT_ONCE`` languages at a time (16 bytes an n-gram); with
+more languages than that, each text's ranked n-grams go on to the next group of profiles in the same task, so every language
+counts, however many there are.
 
 Results by row: doc_id, held_out, lang_pred, score (1 minus the share of the greatest distance the document could have;
 0 for ``und``). Only rows with text, language and doc_id that are not held out are learnt from; a prediction reads the text
@@ -21,83 +22,137 @@ every row is ``und``; an empty table gives an empty result. Other columns are ig
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from itertools import islice
+import sys
+import unicodedata
+from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import table
+from skyloom.llm.common import U, table
 
-WORD = regex.compile(r"[\p{L}\p{M}]+")
-LETTER = regex.compile(r"\p{L}")
 MOST, PROFILE, FOLDS, UNKNOWN = 4, 400, 3, "und"
-#: Languages whose profiles are broadcast together, and words that a task counts or remembers at once.
-AT_ONCE, REMEMBERED = 1000, 200_000
+#: Languages whose profiles are broadcast together, characters read at once, n-grams gathered and counted ones held by a task.
+AT_ONCE, PART, GATHERED, HELD = 1000, 1 << 20, 1 << 21, 1 << 20
+_STEP, _EDGE = 0x9E3779B97F4A7C15, ord("_")
 
 
-def grams(word: str, most: int = MOST) -> list[str]:
-    w = f"_{word}_"
-    return [w[i : i + n] for n in range(1, most + 1) for i in range(len(w) - n + 1) if n > 1 or w[i] != "_"]
+@cache
+def kinds() -> np.ndarray:
+    """For every code point: 2 for a letter, 1 for a mark, else 0."""
+    return np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), np.uint8)
 
 
 def hashed(gram: str) -> int:
-    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass"))
-
-
-def counted(text: str | None) -> Counter:
-    """Lower-case words of a text."""
-    return Counter(WORD.findall(text.lower())) if text else Counter()
+    """The 64-bit hash of an n-gram, moved to the range of a long."""
+    h = 0
+    for c in gram:
+        h = (h * _STEP + ord(c) + 1) % (1 << 64)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _part(codes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Hashes of all n-grams of some words; ``inside``: which code points are in a word."""
+    # one edge before the first word, and after each word
+    keep = inside | np.r_[False, inside[:-1]]
+    c = np.r_[_EDGE, np.where(inside, codes, _EDGE)[keep]]
+    edge = np.r_[True, ~inside[keep]]
+    if inside[-1]:
+        c, edge = np.r_[c, _EDGE], np.r_[edge, True]
+    h, made, crossed = c.astype(U) + U(1), [], np.zeros(len(c), bool)
+    made.append(h[~edge])
+    for n in range(2, MOST + 1):
+        if len(c) < n:
+            break
+        h = h[:-1] * U(_STEP) + (c[n - 1 :].astype(U) + U(1))
+        crossed = crossed[:-1] | edge[n - 2 : len(c) - 1] if n > 2 else crossed[:-1]  # an edge within, not at an end
+        made.append(h[~crossed])
+    return np.concatenate(made)
+
+
+def grams(text: str | None):
+    """Hashes of the n-grams of a text, with repeats, in parts; nothing if the text has no letter."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    kind = kinds()[codes]
+    if not (kind == 2).any():
+        return
+    inside, at = kind > 0, 0
+    while at < len(codes):
+        end = min(len(codes), at + PART)
+        if end < len(codes):
+            gap = np.flatnonzero(~inside[end:])
+            end = end + int(gap[0]) if len(gap) else len(codes)
+        if inside[at:end].any():
+            yield _part(codes[at:end], inside[at:end])
+        at = end
+
+
+def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in their order, and the sums of their counts."""
+    h, n = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[first], np.add.reduceat(n, first)
+
+
+def counted(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text by their hash, and how often each occurs."""
+    found = [np.unique(p, return_counts=True) for p in parts]
+    if not found:
+        return np.empty(0, U), np.empty(0, np.int64)
+    return found[0] if len(found) == 1 else summed(*zip(*found))
 
 
 def _learn(batches):
-    """(lang, gram, n): n-grams of all words of the partition, in parts of a bounded number of words."""
+    """(lang, gram, n): n-grams of all words of the partition, in parts of bounded size."""
+    gathered: dict[str, list[np.ndarray]] = defaultdict(list)
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
+
+    def settle():
+        for lang, parts in gathered.items():
+            new = np.unique(np.concatenate(parts), return_counts=True)
+            held[lang] = summed(*zip(held[lang], new)) if lang in held else new
+        gathered.clear()
 
     def sent():
-        for lang, words in held.items():
-            sums: Counter = Counter()
-            for w, c in words.items():
-                for g in grams(w):
-                    sums[g] += c
-            items = iter(sums.items())
-            while part := list(islice(items, 50_000)):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([g for g, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64())], names=["lang", "gram", "n"])
-
-    held: dict[str, Counter] = defaultdict(Counter)
-    size = 0
+        for lang, (h, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+        held.clear()
+
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-            words = counted(text.as_py())
-            size += len(words)
-            held[lang].update(words)
-            if size > REMEMBERED:
-                size = sum(map(len, held.values()))
-                if size > REMEMBERED // 2:
-                    yield from sent()
-                    held.clear()
+            for part in grams(text.as_py()):
+                gathered[lang].append(part)
+                size += len(part)
+                if size > GATHERED:
+                    settle()
                     size = 0
+                    if sum(len(h) for h, _ in held.values()) > HELD:
+                        yield from sent()
+    settle()
     yield from sent()
 
 
 def profiles(docs: DataFrame, most: int = PROFILE) -> DataFrame:
-    """(lang, rank from 0, gram): the most frequent n-grams of every language of ``docs`` (lang, text)."""
-    sums = docs.select("lang", "text").mapInArrow(_learn, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("gram"), "gram"))
+    """(lang, rank from 0, gram): the most frequent n-grams of every language of ``docs`` (lang, text), by their hashes."""
+    sums = docs.select("lang", "text").mapInArrow(_learn, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return sums.withColumn("rank", place - 1).where(F.col("rank") < most).select("lang", "rank", "gram")
 
 
 class Profiles:
     """Profiles of some languages as one sorted table of hashes; :meth:`nearest` compares a document with all of them."""
 
-    def __init__(self, rows: list[tuple[str, int, str]]):
+    def __init__(self, rows: list[tuple[str, int, int]]):
         self.langs = sorted({lang for lang, _, _ in rows})
         number = {lang: k for k, lang in enumerate(self.langs)}
-        found = sorted((hashed(g), number[lang], rank) for lang, rank, g in rows)
-        self.hash = np.array([x[0] for x in found], np.uint64)
+        found = sorted((g, number[lang], rank) for lang, rank, g in rows)
+        self.hash = np.array([x[0] for x in found], np.int64)
         self.lang = np.array([x[1] for x in found], np.int64)
         self.rank = np.array([x[2] for x in found], np.int64)
 
@@ -112,51 +167,34 @@ class Profiles:
         return int(total[k]), self.langs[k]
 
 
-class Ranker:
-    """Documents -> hashes of their most frequent n-grams. Remembers the n-grams of a bounded number of words."""
-
-    def __init__(self, most: int = PROFILE):
-        self.most, self.known = most, {}
-
-    def hashes(self, word: str) -> np.ndarray:
-        if word not in self.known:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = np.fromiter(map(hashed, grams(word)), np.uint64)
-        return self.known[word]
-
-    def ranked(self, text: str | None) -> np.ndarray:
-        words = counted(text)
-        if not any(map(LETTER.search, words)):
-            return np.empty(0, np.uint64)
-        parts = [self.hashes(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        found, place = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(place, times).astype(np.int64)
-        order = np.argsort(-n, kind="stable")
-        return found[order[: self.most]]
+def ranked(text: str | None, most: int = PROFILE) -> np.ndarray:
+    """Hashes of a document's most frequent n-grams, in their order."""
+    h, n = counted(grams(text))
+    h = h.view(np.int64)
+    order = np.lexsort((h, -n))
+    return h[order[:most]]
 
 
 def _nearest(shared, first: bool, most: int):
     """Batches of (doc_id, text or ranked n-grams, distance, language) -> the same with nearer languages."""
 
     def run(batches):
-        ranker, own = Ranker(most), shared.value
+        own = shared.value
         for b in batches:
             for at in range(0, len(b), 200):
                 p = b.slice(at, 200)
                 if first:
-                    ranked = [ranker.ranked(x.as_py()) for x in p.column(1)]
+                    made = [ranked(x.as_py(), most) for x in p.column(1)]
                     best = [(None, None)] * len(p)
                 else:
-                    ranked = [np.frombuffer(x.as_py(), np.uint64) for x in p.column(1)]
+                    made = [np.frombuffer(x.as_py(), np.int64) for x in p.column(1)]
                     best = list(zip(p.column(2).to_pylist(), p.column(3).to_pylist()))
-                for k, r in enumerate(ranked):
+                for k, r in enumerate(made):
                     if len(r) and own.langs:
                         found = own.nearest(r, most)
                         best[k] = found if best[k][0] is None or found < best[k] else best[k]
                 yield pa.RecordBatch.from_arrays(
-                    [p.column(0).cast(pa.int64()), pa.array([r.tobytes() for r in ranked], pa.binary()), pa.array([d for d, _ in best], pa.int64()), pa.array([g for _, g in best], pa.string())],
+                    [p.column(0).cast(pa.int64()), pa.array([r.tobytes() for r in made], pa.binary()), pa.array([d for d, _ in best], pa.int64()), pa.array([g for _, g in best], pa.string())],
                     names=["doc_id", "ranked", "distance", "lang_pred"],
                 )
 

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 import regex
 
-from skyloom.llm.langid import PROFILE, grams, hashed, identify, language_id, profiles
+from skyloom.llm import langid
+from skyloom.llm.langid import MOST, PROFILE, counted, hashed, identify, language_id, profiles
 
 SCHEMA = "doc_id long, text string, lang string, score double, held_out string"
 
@@ -15,13 +16,22 @@ def words(t):
     return regex.findall(r"[\p{L}\p{M}]+", (t or "").lower())
 
 
-def ranked(texts, order):
-    n = Counter(g for t in texts for w in words(t) for g in grams(w))
-    return sorted(n, key=lambda g: (-n[g], order(g)))[:PROFILE], n
+def grams(word):
+    w = f"_{word}_"
+    return [w[i : i + n] for n in range(1, MOST + 1) for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1]
 
 
-def test_grams():
-    assert grams("ab") == ["a", "b", "_a", "ab", "b_", "_ab", "ab_", "_ab_"]
+def ranked(texts):
+    n = Counter(hashed(g) for t in texts for w in words(t) for g in grams(w))
+    return sorted(n, key=lambda g: (-n[g], g))[:PROFILE], n
+
+
+@pytest.mark.parametrize("part", [1 << 20, 7])
+@pytest.mark.parametrize("text", ["ab", "a", " a b", "Ab, cd-efghi! j.", "x" * 30 + " yz 12 é日本 मराठी ", "İI ſ a\u0301", "_a_ b__c", "1 2", "", None, "word " * 500])
+def test_grams(monkeypatch, text, part):
+    monkeypatch.setattr(langid, "PART", part)
+    h, n = counted(langid.grams(text))
+    assert dict(zip(h.view("int64").tolist(), n.tolist())) == ranked([text])[1]
 
 
 def test_profiles(spark):
@@ -32,10 +42,25 @@ def test_profiles(spark):
     rows = docs.collect()
     assert set(got) == {r.lang for r in rows}
     for lang, p in got.items():
-        _, n = ranked([r.text for r in rows if r.lang == lang], str)
-        assert sorted(p) == list(range(min(PROFILE, len(n))))
-        counts = [n[p[k]] for k in range(len(p))]
-        assert counts == sorted(n.values(), reverse=True)[: len(p)]
+        assert [p[k] for k in range(len(p))] == ranked([r.text for r in rows if r.lang == lang])[0]
+
+
+def test_profiles_in_small_parts(spark, monkeypatch):
+    """What a task gathers and holds does not change the sums."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("lang", "text").toPandas()
+    import pyarrow as pa
+
+    def sums():
+        out = Counter()
+        for b in langid._learn([pa.RecordBatch.from_pandas(docs[k : k + 50], preserve_index=False) for k in range(0, len(docs), 50)]):
+            for lang, g, n in zip(*(c.to_pylist() for c in b.columns)):
+                out[lang, g] += n
+        return out
+
+    whole = sums()
+    monkeypatch.setattr(langid, "GATHERED", 3000)
+    monkeypatch.setattr(langid, "HELD", 500)
+    assert sums() == whole
 
 
 @pytest.mark.parametrize("at_once", [1000, 1])
@@ -53,7 +78,7 @@ def test_distances(spark, at_once):
         if not any(regex.search(r"\p{L}", x) for x in w):
             want.append((r.doc_id, "und", 0.0))
             continue
-        mine, _ = ranked([r.text], hashed)
+        mine, _ = ranked([r.text])
         far = {g: sum(abs(p[x] - k) if x in p else PROFILE for k, x in enumerate(mine)) for g, p in own.items()}
         best = min(far, key=lambda g: (far[g], g))
         want.append((r.doc_id, best, round(1 - far[best] / (PROFILE * len(mine)), 9)))
