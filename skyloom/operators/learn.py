@@ -1,31 +1,67 @@
-"""Gradient-boosted regression with MLlib: fits, gains, cross-validated predictions and prediction maps."""
+"""Gradient-boosted regression with MLlib on patch features: samples, fits that stop early, gains, tuning over a fold
+column, cross-validated predictions and prediction maps."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Value of map cells without a prediction.
 NO_DATA = -999.0
+SEED = 20230130
 
 
-def assembled(df: DataFrame, names: list[str]) -> DataFrame:
-    """Adds ``features``; rows with a null feature are left out, as the trees cannot route them."""
-    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(df)
+def patches(sites: DataFrame, grid: DataFrame, channels: list[str], reach: int = 1, when: tuple[str, ...] = ("year", "mon")) -> DataFrame:
+    """(site, when, a column per channel): the cells around each site's own as an array, row by row from the south-west.
 
+    ``sites``: site, ilat, ilon; ``grid``: ilat, ilon, when, channels. Cells that the grid does not have are null. Each
+    site asks for its window's cells in one equi-join, and a window's rows meet in one group of bounded size.
+    """
+    side = 2 * reach + 1
+    at = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("_i")
+    asked = sites.select("site", "ilat", "ilon", at).withColumns({"ilat": F.col("ilat") + F.floor(F.col("_i") / side) - reach, "ilon": F.col("ilon") + F.col("_i") % side - reach})
+    met = asked.join(grid.select("ilat", "ilon", *when, *channels), ["ilat", "ilon"])
+    window = met.groupBy("site", *when).agg(F.map_from_entries(F.collect_list(F.struct("_i", F.struct(*channels)))).alias("_m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.try_element_at("_m", i))
+    return window.withColumn("_c", cells).select("site", *when, *[F.col(f"_c.{c}").cast("array<double>").alias(c) for c in channels])
+
+
+def flattened(channels: list[str], reach: int = 1, mode: str = "centre") -> Column:
+    """One array of features from the patches of all channels: their middle cells, or all cells of one after the other."""
+    if mode == "flatten":
+        return F.concat(*channels)
+    side = 2 * reach + 1
+    return F.array(*[F.get(c, F.lit(side * side // 2)) for c in channels])
 
-def boosted(train: DataFrame, names: list[str], label: str, trees: int = 8, depth: int = 4, step: float = 0.3, share: float = 1.0, seed: int = 20230130) -> GBTRegressionModel:
-    """A model of ``label`` from the rows where it is not null."""
-    rows = assembled(train.where(F.col(label).isNotNull()).select(*names, F.col(label).cast("double").alias("label")), names).select("features", "label")
-    return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=share, seed=seed, checkpointInterval=-1).fit(rows)
 
+def filled_vector(df: DataFrame, train: DataFrame, size: int, values: str = "values", to: str = "features") -> DataFrame:
+    """``to``: the array ``values`` as a vector, nulls filled with the means over ``train`` (0 where all are null)."""
+    means = train.agg(*[F.coalesce(F.avg(F.get(values, F.lit(i))), F.lit(0.0)).alias(f"m{i}") for i in range(size)])
+    both = df.crossJoin(F.broadcast(means.select(F.array(*means.columns).alias("_m"))))  # one row
+    return both.withColumn(to, array_to_vector(F.zip_with(values, "_m", lambda v, m: F.coalesce(v, m)))).drop("_m")
 
-def predicted(model: GBTRegressionModel, df: DataFrame, names: list[str], to: str = "pred") -> DataFrame:
-    return model.transform(assembled(df, names)).withColumnRenamed("prediction", to).drop("features")
+
+def boosted(train: DataFrame, label: str, features: str = "features", validation: str | None = None, tolerance: float = 0.01, trees: int = 12, depth: int = 4, step: float = 0.3, share: float = 1.0, bins: int = 32, seed: int = SEED) -> GBTRegressionModel:
+    """A model of ``label`` from the rows where it is not null.
+
+    With a boolean column ``validation``, boosting ends once a tree lessens the error of the rows marked there by less than
+    ``tolerance`` of it, and the trees up to the best stay; those rows are not learnt from.
+    """
+    rows = train.where(F.col(label).isNotNull())
+    gbt = GBTRegressor(featuresCol=features, labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=share, maxBins=bins, seed=seed, checkpointInterval=-1, validationTol=tolerance)
+    return (gbt.setValidationIndicatorCol(validation) if validation else gbt).fit(rows)
+
+
+def predicted(model: GBTRegressionModel, df: DataFrame, to: str = "pred") -> DataFrame:
+    return model.transform(df).withColumnRenamed("prediction", to)
 
 
 def gains(model: GBTRegressionModel, names: list[str]) -> DataFrame:
@@ -36,24 +72,57 @@ def gains(model: GBTRegressionModel, names: list[str]) -> DataFrame:
     return SparkSession.active().createDataFrame([(n, float(g)) for n, g in zip(names, found)], "feature string, gain double")
 
 
-def cross_validated(samples: DataFrame, names: list[str], label: str, folds: int, spans: list[tuple[int, int]], fold: str = "fold", **params) -> DataFrame:
+def cross_validated(samples: DataFrame, label: str, folds: int, spans: list[tuple[int, int]], fold: str = "fold", **params) -> DataFrame:
     """Rows of the years of each span with ``span``, ``model`` (the fold left out), ``role`` (1 test, -1 train) and ``pred``.
 
-    One fit per span and fold; predictions stay lazy, so the union is one job over the samples.
+    One fit per span and fold. Predictions of all models of a span are made in one pass over its rows.
     """
     parts = []
     for first, last in spans:
         rows = samples.where(F.col("year").between(first, last))
-        for k in range(folds):
-            model = boosted(rows.where(F.col(fold) != k), names, label, **params)
-            out = predicted(model, rows, names)
-            parts.append(out.withColumns({"span": F.lit(f"{first}-{last}"), "model": F.lit(k), "role": F.when(F.col(fold) == k, 1).otherwise(-1)}))
+        models = [boosted(rows.where(F.col(fold) != k), label, **params) for k in range(folds)]
+        made = reduce(lambda df, k: predicted(models[k], df, f"_p{k}"), range(folds), rows)
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.col(f"_p{k}").alias("pred")) for k in range(folds)]))
+        kept = made.withColumn("_e", each).select(*samples.columns, F.lit(f"{first}-{last}").alias("span"), "_e.*")
+        parts.append(kept.withColumn("role", F.when(F.col(fold) == F.col("model"), 1).otherwise(-1)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def prediction_map(model: GBTRegressionModel, cells: DataFrame, names: list[str], land: Column, keys: list[str]) -> DataFrame:
-    """(keys, pred) of all cells: predicted on land where no feature is missing, ``NO_DATA`` elsewhere."""
-    on_land = predicted(model, cells.where(land), names).select(*keys, "pred")
+def tuned(samples: DataFrame, label: str, size: int, variants: dict[str, dict], folds: int, fold: str = "fold", validation: str | None = None, parallelism: int = 4, **fixed):
+    """Cross-validation of named variants over a fold column: (held-out predictions with ``variant`` and ``pred``, the best
+    variant's name, its model of all rows).
+
+    A variant is a set of GBTRegressor parameters (maxDepth, stepSize, ...) and, under ``without``, of places in the features
+    vector that it does without. One tuner fits all variants on each fold's rows, several at a time; the models it fits on
+    the way give the predictions, in one pass over the rows of each fold.
+    """
+    slicer = VectorSlicer(inputCol="features", outputCol="_used")
+    gbt = GBTRegressor(featuresCol="_used", labelCol=label, predictionCol="pred", seed=SEED, checkpointInterval=-1, **fixed)
+    if validation:
+        gbt = gbt.setValidationIndicatorCol(validation)
+    grid = []
+    for v in variants.values():
+        used = [i for i in range(size) if i not in v.get("without", ())]
+        grid.append({slicer.indices: used} | {gbt.getParam(k): x for k, x in v.items() if k != "without"})
+    judge = RegressionEvaluator(labelCol=label, predictionCol="pred", metricName="rmse")
+    cv = CrossValidator(estimator=Pipeline(stages=[slicer, gbt]), estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol=fold, parallelism=parallelism, collectSubModels=True)
+    rows = samples.where(F.col(label).isNotNull())
+    model = cv.fit(rows)
+    parts = []
+    for k in range(folds):
+        made = rows.where(F.col(fold) == k)
+        for i in range(len(variants)):
+            made = model.subModels[k][i].transform(made).withColumnRenamed("pred", f"_p{i}").drop("_used")
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(f"_p{i}").alias("pred")) for i, n in enumerate(variants)]))
+        parts.append(made.withColumn("_e", each).select(*samples.columns, "_e.*"))
+    best = min(range(len(variants)), key=lambda i: model.avgMetrics[i])
+    return reduce(DataFrame.unionByName, parts), list(variants)[best], model.bestModel
+
+
+def prediction_map(model: GBTRegressionModel, cells: DataFrame, land: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pred) of all ``cells`` (keys, features): predicted where ``land`` has the cell's (ilat, ilon), ``NO_DATA``
+    elsewhere."""
+    on_land = predicted(model, cells.join(land.select("ilat", "ilon").distinct(), ["ilat", "ilon"], "left_semi")).select(*keys, "pred")
     return cells.select(*keys).join(on_land, keys, "left").withColumn("pred", F.coalesce("pred", F.lit(NO_DATA)))
 
 

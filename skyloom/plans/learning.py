@@ -19,72 +19,115 @@ from skyloom.plans.model import _SEASON
 from skyloom.plans.registry import query
 from skyloom.sources import files as E
 from skyloom.sources.fixtures import frame, with_
-from skyloom.sources.tables import shared_path
+from skyloom.sources.tables import settled, shared_path
 
 R = lambda c, n=6: F.bround(c, n)
 col = F.col
-NAMES, FOLDS = ["qty", "discount", "tax", "orders", "mon"], 3
+FOLDS = 3
+CHANNELS = ["sat", "qty", "orders"]
+SCALARS = ["lat", "lon", "mon"]
+NAMES = [*CHANNELS, *SCALARS]
+#: The sites' fields on a grid of 40 x 50 cells; a site stands in the cell that its number gives. As a satellite sees a part
+#: of the day only, ``sat`` is the mean price of the rows that were not returned: the label, of all rows, is near it at best.
+_FIELD = "select l_suppkey % 40 as ilat, (l_suppkey // 40) % 50 as ilon, year(l_shipdate) as year, month(l_shipdate) as mon, avg(case when l_returnflag <> 'R' then l_extendedprice end)/1000e0 as sat, avg(l_quantity) as qty, count(*) as orders from lineitem group by all"
 
 
-def samples(spark, d, folds: int = FOLDS):
-    """Site-months with features and a label that depends on them."""
-    x = frame(spark, d, "lineitem").groupBy(col("l_suppkey").alias("site"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("mon"))
-    x = x.agg(F.avg("l_quantity").alias("qty"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"), F.count("*").alias("orders"), F.avg(col("l_quantity") * (1 - col("l_discount")) * (10 + F.month("l_shipdate"))).alias("obs"))
-    return x.withColumn("fold", fold_of(col("site"), folds))
+def field(spark, d):
+    k = col("l_suppkey")
+    x = frame(spark, d, "lineitem").groupBy((k % 40).alias("ilat"), (F.floor(k / 40) % 50).alias("ilon"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("mon"))
+    return x.agg((F.avg(F.when(col("l_returnflag") != "R", col("l_extendedprice"))) / 1000).alias("sat"), F.avg("l_quantity").alias("qty"), F.count("*").cast("double").alias("orders"))
+
+
+def patched(spark, d):
+    """Labelled site-months with their patches: what is learnt (the mean price) is no function of what is seen."""
+    k = col("site")
+    obs = frame(spark, d, "obs").select("site", "lat", "lon", "year", "mon", col("no2").alias("obs"))
+    sites = obs.select("site").distinct().select("site", (k % 40).alias("ilat"), (F.floor(k / 40) % 50).alias("ilon"))
+    return obs.join(M.patches(sites, field(spark, d), CHANNELS), ["site", "year", "mon"])
+
+
+def samples(spark, d, mode: str = "centre"):
+    """Vectors of patch and site features, ``fold``, and ``early``: the quarter of the rows that ends boosting. Written
+    once, as many fits read it. Gaps are filled by means of the rows that are learnt from in every fold's model alike."""
+    x = patched(spark, d).withColumn("values", F.concat(M.flattened(CHANNELS, mode=mode), F.array(*[col(c).cast("double") for c in SCALARS])))
+    x = x.withColumn("fold", fold_of(col("site"), FOLDS).cast("int")).withColumn("early", F.pmod(F.xxhash64("site", "year", "mon"), F.lit(4)) == 0)
+    size = len(NAMES) if mode == "centre" else 9 * len(CHANNELS) + len(SCALARS)
+    return settled(M.filled_vector(x, x, size).select("site", "year", "mon", "obs", "fold", "early", "features"), "samples")
+
+
+_WINDOW = f"""{with_("obs")}, f as ({_FIELD}), w as (select o.site, o.year, o.mon, o.no2, a.i*3+b.i as i, f.sat, f.qty, f.orders from obs o cross join range(3) a(i) cross join range(3) b(i) left join f on f.ilat = o.site % 40 + a.i - 1 and f.ilon = (o.site // 40) % 50 + b.i - 1 and f.year = o.year and f.mon = o.mon)"""
+
+
+@query("m1_patch_features", _WINDOW + " select site, year, mon, round_even(no2,10) as obs, count(qty) as known, round_even(max(case when i = 4 then qty end),6) as qty, round_even(max(case when i = 4 then sat end),10) as sat, round_even(sum(coalesce(qty,0)*(i+1)),4) as weighted from w group by all")
+def m1_features(spark, d):
+    x = patched(spark, d)
+    known = F.size(F.filter("qty", lambda v: v.isNotNull())).cast("long")
+    weighted = F.aggregate(F.transform("qty", lambda v, i: F.coalesce(v, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return x.select("site", "year", "mon", R("obs", 10).alias("obs"), known.alias("known"), *[R(F.get(c, F.lit(4)), n).alias(c) for c, n in (("qty", 6), ("sat", 10))], R(weighted, 4).alias("weighted"))
 
 
 @query("m1_boosted_trees")
 def m1(spark, d):
+    """Fold 0 is predicted by a model of the other sites, whose early rows end its boosting."""
     x = samples(spark, d)
-    return M.predicted(M.boosted(x.where("fold <> 0"), NAMES, "obs"), x, NAMES).select("site", "year", "mon", "fold", "obs", R("pred", 4).alias("pred"))
+    model = M.boosted(x.where("fold <> 0"), "obs", validation="early")
+    return M.predicted(model, x.where("fold = 0")).select("site", "year", "mon", "fold", "obs", R("pred", 4).alias("pred"))
 
 
-@query("m2_gain_importance")
-def m2(spark, d):
-    return M.gains(M.boosted(samples(spark, d), NAMES, "obs"), NAMES).withColumn("gain", R("gain"))
+@query("m1_flattened_patches")
+def m1_flat(spark, d):
+    """As m1_boosted_trees, with all cells of the patches as features."""
+    x = samples(spark, d, "flatten")
+    model = M.boosted(x.where("fold <> 0"), "obs", validation="early", trees=8)
+    return M.predicted(model, x.where("fold = 0")).select("site", "year", "mon", "fold", "obs", R("pred", 4).alias("pred"))
 
 
-def cv_pred(spark, d, names=NAMES, **params):
-    return M.cross_validated(samples(spark, d), names, "obs", FOLDS, [(1992, 1996), (1997, 2002)], **({"trees": 4, "depth": 3} | params))
+@query("m2_gain_importance")
+def m2(spark, d):
+    return M.gains(M.boosted(samples(spark, d), "obs", validation="early"), NAMES).withColumn("gain", R("gain"))
 
 
 @query("m3_cross_validated")
 def m3(spark, d):
-    return cv_pred(spark, d).select("span", "model", "role", "site", "year", "mon", "obs", R("pred", 4).alias("pred"))
+    out = M.cross_validated(samples(spark, d), "obs", FOLDS, [(1992, 1996), (1997, 2002)], validation="early", trees=6, depth=3)
+    return out.select("span", "model", "role", "site", "year", "mon", "obs", R("pred", 4).alias("pred"))
 
 
 @query("m4_prediction_map")
 def m4(spark, d):
-    g = frame(spark, d, "grid")
-    names = ["gchp", "ilat", "ilon", "mon"]
-    model = M.boosted(g, names, "sat", trees=5)
-    land = (col("ilat") + col("ilon")) % 3 != 0
-    return M.prediction_map(model, g, names, land, ["ilat", "ilon", "year", "mon"]).withColumn("pred", R("pred", 4))
+    """A model of all sites on every cell and month of the field: cells of two classes are sea."""
+    x = samples(spark, d)
+    model = M.boosted(x, "obs", validation="early", trees=8)
+    f = field(spark, d)
+    cells = f.select("ilat", "ilon").distinct().withColumn("site", col("ilat") * 50 + col("ilon"))
+    at = {"lat": ((col("site") * 7919) % 3000).cast("double") / 100 + 30, "lon": ((col("site") * 104729) % 4000).cast("double") / 100 - 10}
+    p = M.patches(cells, f, CHANNELS).withColumns(at).join(cells, "site")
+    p = p.withColumn("values", F.concat(M.flattened(CHANNELS), F.array(*[col(c).cast("double") for c in SCALARS])))
+    return M.prediction_map(model, M.filled_vector(p, p, len(NAMES)), cells.where("(ilat + ilon) % 3 <> 0"), ["ilat", "ilon", "year", "mon"]).withColumn("pred", R("pred", 4))
 
 
 def variant_metrics(x):
-    return x.where("role = 1").groupBy("variant").agg(F.count("*").alias("n"), R(N.r2(col("obs"), col("pred"))).alias("r2"), N.rmse(col("obs"), col("pred")).alias("rmse"))
+    return x.groupBy("variant").agg(F.count("*").alias("n"), R(N.r2(col("obs"), col("pred"))).alias("r2"), N.rmse(col("obs"), col("pred")).alias("rmse"))
+
+
+def search(spark, d, variants, **fixed):
+    """Held-out predictions of all variants from one tuner, and the best one's name."""
+    return M.tuned(samples(spark, d), "obs", len(NAMES), variants, FOLDS, validation="early", **({"maxIter": 4, "maxDepth": 3} | fixed))[:2]
 
 
 @query("l10_sensitivity_sweep")
 def l10(spark, d):
-    groups, out = {"none": [], "terms": ["discount", "tax"], "season": ["mon"]}, None
-    for variant, without in groups.items():
-        names = I.select_channels(NAMES, exclude=without)
-        part = M.cross_validated(samples(spark, d), names, "obs", FOLDS, [(1992, 2002)], trees=3, depth=3).withColumn("variant", F.lit(variant))
-        part = part.select("variant", "role", "obs", "pred")
-        out = part if out is None else out.unionByName(part)
-    return variant_metrics(out)
+    """The same folds without groups of features; the name of the best variant is marked."""
+    groups = {"none": [], "satellite": ["sat"], "field": ["qty", "orders"], "place": ["lat", "lon"], "season": ["mon"]}
+    out, best = search(spark, d, {n: {"without": [NAMES.index(c) for c in g]} for n, g in groups.items()})
+    return variant_metrics(out).withColumn("best", col("variant") == best)
 
 
 @query("l11_parameter_search")
 def l11(spark, d):
-    out = None
-    for depth, step in ((2, 0.3), (3, 0.3), (3, 0.1)):
-        part = M.cross_validated(samples(spark, d), NAMES, "obs", FOLDS, [(1992, 2002)], trees=3, depth=depth, step=step)
-        part = part.select(F.lit(f"depth={depth},step={step}").alias("variant"), "role", "obs", "pred")
-        out = part if out is None else out.unionByName(part)
-    return variant_metrics(out)
+    sets = {f"depth={a},step={b}": {"maxDepth": a, "stepSize": b} for a, b in ((2, 0.3), (3, 0.3), (3, 0.1))}
+    out, best = search(spark, d, sets)
+    return variant_metrics(out).withColumn("best", col("variant") == best)
 
 
 _K, _SEEDS, _SEED, _NEAR = 3, 5, 20230130, 60.0

@@ -13,20 +13,71 @@ from skyloom.sources.fixtures import frame
 SF = "/root/testdata/sf0.001"
 
 
-def test_boosted_models(spark):
-    x = registry.QUERIES["m1_boosted_trees"](spark, SF).toPandas()
-    held = x[x.fold == 0]
-    assert len(held) and np.corrcoef(held.obs, held.pred)[0, 1] > 0.5
-    g = registry.QUERIES["m2_gain_importance"](spark, SF).toPandas()
-    assert abs(g.gain.sum() - 1) < 1e-5 and g.sort_values("gain").feature.iloc[-1] == "qty"
-    cv = registry.QUERIES["m3_cross_validated"](spark, SF).toPandas()
-    assert set(cv.role) == {1, -1} and (cv.groupby(["span", "site", "year", "mon"]).role.sum() == -1).all()
-    m = registry.QUERIES["m4_prediction_map"](spark, SF).toPandas()
+def test_patches(spark):
+    """Windows at the border, cells and values that are missing, and both layouts of the features."""
+    rng = np.random.default_rng(1)
+    grid = [(i, j, 2000, m, float(rng.normal()), None if (i + j) % 3 == 0 else float(i * 10 + j)) for i in range(4) for j in range(5) for m in (1, 2) if (i, j) != (1, 1)]
+    sites = [(7, 0, 0), (8, 2, 2), (9, 3, 4), (10, 9, 9)]
+    at = {(i, j, m): (a, b) for i, j, _, m, a, b in grid}
+    g, s = spark.createDataFrame(grid, "ilat long, ilon long, year int, mon int, a double, b double"), spark.createDataFrame(sites, "site long, ilat long, ilon long")
+    got = {(r.site, r.mon): r for r in learn.patches(s, g, ["a", "b"]).withColumn("mid", learn.flattened(["a", "b"])).withColumn("all", learn.flattened(["a", "b"], mode="flatten")).collect()}
+    assert set(got) == {(k, m) for k in (7, 8, 9) for m in (1, 2)}
+    for (site, m), r in got.items():
+        _, i, j = next(x for x in sites if x[0] == site)
+        want = [at.get((i + dy, j + dx, m), (None, None)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        assert list(r.a) == [x[0] for x in want] and list(r.b) == [x[1] for x in want]
+        assert list(r.mid) == list(want[4]) and list(r.all) == [*r.a, *r.b]
+
+
+def test_fill_and_early_stop(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.normal()), [float(x) if rng.random() > 0.1 else None, float(rng.normal())], bool(k % 4 == 0)) for k, x in enumerate(rng.normal(size=400))]
+    df = spark.createDataFrame(rows, "y double, values array<double>, early boolean")
+    v = learn.filled_vector(df, df.limit(200), 2)
+    mean = np.mean([r[1][0] for r in df.limit(200).collect() if r[1][0] is not None])
+    assert all(math.isclose(r.features[0], r["values"][0] if r["values"][0] is not None else mean) for r in v.collect())
+    none = learn.filled_vector(df.withColumn("values", F.array(F.lit(None).cast("double"), F.lit(1.0))), df.limit(0), 2)
+    assert {tuple(r.features) for r in none.collect()} == {(0.0, 1.0)}
+    # the label is noise: more trees only learn it by heart, and the marked rows end it
+    whole, short = learn.boosted(v, "y", trees=15), learn.boosted(v, "y", validation="early", trees=15)
+    assert whole.getNumTrees == 15 and short.getNumTrees < 15
+
+
+def test_boosted_models(spark, tmp_path):
+    """Held-out accuracy by DuckDB on saved predictions, and the tuner's metrics against the same."""
+    import duckdb
+
+    from skyloom.plans import learning
+
+    sf = "/root/testdata/sf0.01"
+
+    def r2(df, name, where="true", by="0"):
+        df.write.parquet(f"{tmp_path}/{name}")
+        out = duckdb.sql(f"select {by} as k, count(*) as n, power(corr(obs, pred), 2) as r2, sqrt(avg((obs - pred) * (obs - pred))) as rmse from '{tmp_path}/{name}/*.parquet' where {where} group by all").fetchall()
+        return {k: (n, r, e) for k, n, r, e in out}
+
+    for name in ("m1_boosted_trees", "m1_flattened_patches"):
+        assert r2(registry.QUERIES[name](spark, sf), name)[0][1] > 0.4
+    g = registry.QUERIES["m2_gain_importance"](spark, sf).toPandas()
+    assert abs(g.gain.sum() - 1) < 1e-5 and g.sort_values("gain").feature.iloc[-1] == "sat"
+    cv = registry.QUERIES["m3_cross_validated"](spark, sf)
+    for k, (n, r, _) in r2(cv, "m3", "role = 1", "span").items():
+        assert n and r > 0.4, k
+    pdf = cv.toPandas()
+    assert (pdf.groupby(["span", "site", "year", "mon"]).role.sum() == -1).all()
+    m = registry.QUERIES["m4_prediction_map"](spark, sf).toPandas()
     land = (m.ilat + m.ilon) % 3 != 0
     assert (m.pred[~land] == learn.NO_DATA).all() and (m.pred[land] > 0).all()
-    for name, variants in (("l10_sensitivity_sweep", 3), ("l11_parameter_search", 3)):
-        v = registry.QUERIES[name](spark, SF).toPandas()
-        assert len(v) == variants and (v.r2 > 0.2).all() and v.n.nunique() == 1
+    sets = {"none": {}, "blind": {"without": [0]}, "flat": {"maxDepth": 1}}
+    out, best = learning.search(spark, sf, sets)
+    want = r2(out, "tuned", by="variant")
+    got = {r.variant: (r.n, r.r2, r.rmse) for r in learning.variant_metrics(out).collect()}
+    assert set(got) == set(sets) and best == min(want, key=lambda k: want[k][2])
+    for k, (n, r, e) in want.items():
+        assert got[k][0] == n and math.isclose(got[k][1], r, abs_tol=2e-6) and math.isclose(got[k][2], e, abs_tol=0.006)
+    assert want["blind"][1] < 0.05 < want["none"][1]
+    l10, l11 = (registry.QUERIES[n](spark, SF).toPandas() for n in ("l10_sensitivity_sweep", "l11_parameter_search"))
+    assert len(l10) == 5 and len(l11) == 3 and l10.best.sum() == 1 == l11.best.sum() and l10.n.nunique() == 1
 
 
 def test_lowess():
