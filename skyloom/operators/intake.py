@@ -107,42 +107,6 @@ def fuzzy_sites(names: DataFrame, sites: DataFrame, group: str, least: float = 0
     return exact.unionByName(best.select(group, "name", "b.site_name", (-F.col("b.k")).alias("score")))
 
 
-def raster_cells(files: DataFrame, keys: list[str], lat0: float, step: float, low: float = -60.0, high: float = 70.0) -> DataFrame:
-    """Rasters in files (keys, ``content`` in NumPy's format, rows from ``lat0`` upwards) -> (keys, ilat, ilon, v) of the
-    latitudes in [low, high); NaN becomes null. A file is read by one task, its rows go out in batches."""
-    import io
-
-    import numpy as np
-
-    def read(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                a = np.load(io.BytesIO(row.content), allow_pickle=False)
-                for i in range(len(a)):
-                    if low <= lat0 + i * step < high:
-                        yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "ilat": i, "ilon": np.arange(a.shape[1]), "v": a[i].astype(float)})
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema if f.name in keys)
-    return files.select(*keys, "content").mapInPandas(read, f"{schema}, ilat long, ilon long, v double").withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-
-
-def rasters_of(cells: DataFrame, keys: list[str], rows: int, columns: int) -> DataFrame:
-    """The reverse: (keys, ilat, ilon, v) -> (keys, content), one raster of fixed size per key."""
-    import io
-
-    import numpy as np
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.full((rows, columns), np.nan)
-        a[pdf.ilat, pdf.ilon] = pdf.v
-        out = io.BytesIO()
-        np.save(out, a)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "content": [out.getvalue()]})
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in keys)
-    return cells.groupBy(*keys).applyInPandas(write, f"{schema}, content binary")
-
-
 def catalogued(grid: DataFrame, catalog: list[tuple[str, str, str]], months: DataFrame, switch: int) -> DataFrame:
     """(channel, year, mon, ilat, ilon, v) of a catalog of (channel, column, kind) for the wanted ``months`` (year, mon).
 

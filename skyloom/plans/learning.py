@@ -18,6 +18,7 @@ from skyloom.plans.fields import _CAND, _KM, _PAIRS, candidate_months, split_sit
 from skyloom.plans.model import _SEASON
 from skyloom.plans.registry import query
 from skyloom.sources import files as E
+from skyloom.sources import rasters as W
 from skyloom.sources.fixtures import frame, with_
 from skyloom.sources.tables import settled, shared_path
 
@@ -355,9 +356,12 @@ def a5(spark, d):
 
 @query("a6_raster_ingest", with_("grid") + "select year, mon, ilat, ilon, round_even(avg(gchp),6) as v from grid where ilat >= 2 and ilat < 15 group by all")
 def a6(spark, d):
-    cells = frame(spark, d, "grid").groupBy("year", "mon", "ilat", "ilon").agg(F.avg("gchp").alias("v"))
-    files = I.rasters_of(cells, ["year", "mon"], 20, 25)
-    return I.raster_cells(files, ["year", "mon"], -80.0, 10.0).where("v is not null").withColumn("v", R("v"))
+    """Monthly rasters on disk, read back in blocks of rows; the latitudes' bounds reach the scan."""
+    at = shared_path(spark, "rasters")
+    name = F.format_string("gchp_%04d%02d", "year", "mon").alias("file")
+    W.write_rasters(frame(spark, d, "grid").select(name, "ilat", "ilon", "year", "mon", col("gchp").alias("v")), at, "file", 20, 25)
+    cells = W.scan_rasters(spark, at, -80.0, 10.0, 2000).where("lat >= -60 and lat < 70 and v is not null")
+    return cells.select(F.substring("file", 6, 4).cast("int").alias("year"), F.substring("file", 10, 2).cast("int").alias("mon"), "ilat", "ilon", R("v").alias("v"))
 
 
 @query("a7_channel_catalog", with_("grid") + """, m as (select distinct year, mon from grid) select 'geo' as channel, year, mon, ilat, ilon, round_even(gchp,6) as v from grid
@@ -379,11 +383,27 @@ def a1(spark, d):
     return p.select("site", F.year("ts").alias("year"), F.month("ts").alias("mon"), R("no2").alias("no2"))
 
 
-@query("a2_csv_preamble", "select o_orderkey as id, o_totalprice as v from orders")
+@query("a2_csv_preamble", "select o_orderkey as id, concat(o_orderstatus, chr(10), '\"', o_orderpriority, '; ', o_custkey, '\"') as note, o_totalprice as v from orders")
 def a2(spark, d):
+    """Many files with seven lines of preamble (one with a lone quote) and a header, and quoted fields with line breaks,
+    separators and quotes in them."""
     at = shared_path(spark, "semicolon")
-    frame(spark, d, "orders").select(col("o_orderkey").alias("id"), col("o_totalprice").alias("v")).write.csv(at, sep=";", header=True)
-    return E.scan_csv(spark, at, "id long, v double", sep=";")
+    o = frame(spark, d, "orders").withColumn("part", col("o_orderkey") % 16)
+    note = F.concat(F.lit('"'), "o_orderstatus", F.lit('\n""'), "o_orderpriority", F.lit("; "), col("o_custkey").cast("string"), F.lit('"""'))
+    rows = o.select("part", col("o_orderkey").alias("k"), F.concat_ws(";", col("o_orderkey").cast("string"), note, col("o_totalprice").cast("string")).alias("value"))
+    head = F.transform(F.sequence(F.lit(-8), F.lit(-1)), lambda i: F.struct(i.cast("long").alias("k"), F.when(i == -1, "id;note;v").when(i == -4, 'a lone " quote').otherwise(F.concat(F.lit("line "), i.cast("string"))).alias("value")))
+    lines = o.select("part").distinct().select("part", F.inline(head)).unionByName(rows)
+    lines.repartition("part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").text(at)
+    return E.scan_csv(spark, at, "id long, note string, v double", ";", preamble=7, breaks=True)
+
+
+@query("a2_csv_utf16", "select p_partkey as id, concat('Żółć ', p_name) as name, p_retailprice as v from part")
+def a2_utf16(spark, d):
+    """Tab-separated UTF-16 (little-endian), split like any other text."""
+    at = shared_path(spark, "wide")
+    p = frame(spark, d, "part").select(col("p_partkey").alias("id"), F.concat(F.lit("Żółć "), "p_name").alias("name"), col("p_retailprice").alias("v"))
+    p.write.csv(at, sep="\t", header=True, encoding="UTF-16LE")
+    return E.scan_csv(spark, at, "id long, name string, v double", "\t", "UTF-16LE")
 
 
 @query("a3_csv_fallback", "select p_partkey as id, concat('Zürich ', p_partkey) as name from part")
