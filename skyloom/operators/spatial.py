@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.units import haversine
-from skyloom.sources.tables import settled
+from skyloom.functions.units import EARTH_KM, haversine, unit_vector
 
 KM_PER_DEGREE = 111.19492664455873
+#: Edge of the finest cubes, and levels until one cube is wider than the Earth.
+FINEST_KM, LEVELS = 0.25, 17
 
 
 def _band(cell_km: float) -> float:
@@ -41,28 +42,64 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, suffix: str = "2",
     return near.withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("lat" + suffix), F.col("lon" + suffix))).where(F.col("km") <= km)
 
 
-def knn_join(queries: DataFrame, sites: DataFrame, k: int, first_km: float = 50.0, not_closer: float = 0.0, most_km: float = math.pi * 6371.0, on: tuple[str, ...] = ()) -> DataFrame:
-    """The k nearest sites of each query point (among those of equal columns ``on``): radius joins whose radius grows
-    fourfold for those without k partners yet.
+def _cubes(lat: Column, lon: Column) -> list[Column]:
+    """Numbers, in x, y and z, of the finest cube around a place: the Earth is laid in cubes, so neither the poles nor the
+    date line are special. Twice as large cubes have half the numbers."""
+    return [F.floor((x * EARTH_KM + EARTH_KM) / FINEST_KM).cast("long") for x in unit_vector(lat, lon)]
 
-    ``not_closer``: partners at or under this distance do not count (0 keeps only other places). Each ring's pairs and
-    the points left over are tables, so no ring repeats the ones before it. The last radius is the whole sphere; it meets
-    only points with fewer than k sites within a quarter of it.
+
+def _key(level: Column, *at: Column) -> Column:
+    """One number for a cube of a level."""
+    key = level.cast("long")
+    for x in at:
+        key = key * (1 << 17) + x + 1
+    return key
+
+
+def _around(level: Column, *at: Column) -> Column:
+    """Keys of a cube of a level and of its 26 neighbours."""
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    return F.array(*[_key(level, *[x + d for x, d in zip(at, step)]) for step in steps])
+
+
+def knn_join(queries: DataFrame, sites: DataFrame, k: int, not_closer: float = 0.0, on: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest sites of each query point (among those of equal columns ``on``), by a pyramid of site counts.
+
+    Cubes from ``FINEST_KM`` on double their edge from level to level, up to one around the Earth. The number of sites in a
+    cube and its neighbours is known for each level, so every point finds the smallest level with k sites around it that
+    count: the k nearest lie within two diagonals of that cube, and cubes four times as large, with their neighbours, hold all
+    of that. One equi-join by cube then ends it, in dense places over short ways and in empty ones over long ways.
+
+    ``not_closer``: partners at or under this distance do not count (0 keeps only other places, less keeps all). Both
+    sides have site, lat, lon; the right side's other columns get the suffix 2. Points with fewer than k partners get
+    what there is.
     """
-    left, km, out, key = queries, first_km, None, ["site", *on]
-    w = Window.partitionBy(*key).orderBy("km", "site2")
-    while True:
-        last = km >= most_km
-        found = radius_join(left, sites, km, on=on).where(F.col("km") > not_closer).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        counted = found.withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
-        part = settled(counted.where((F.col("_n") >= k) | F.lit(last)).drop("_n"), "knn-ring")
-        out = part if out is None else out.unionByName(part)
-        if last:
-            return out
-        left = settled(left.join(part.select(*key).distinct(), key, "left_anti"), "knn-left")
-        if not left.take(1):
-            return out
-        km = km * 4 if km * 4 < most_km else most_km
+    names = [F.col(c).alias(c if c in on else c + "2") for c in sites.columns]
+    at = ["_x", "_y", "_z"]
+    of_level = lambda level: [F.call_function("shiftright", F.col(c), level) for c in at]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    known = lambda df, lat, lon: df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns(dict(zip(at, _cubes(F.col(lat), F.col(lon)))))
+    s = known(sites.select(*names), "lat2", "lon2").withColumn("_level", levels)
+    s = s.withColumns(dict(zip(at, of_level(F.col("_level")))))
+    counts = s.groupBy(*on, "_level", *at).agg(F.count("*").alias("_n"))
+    pyramid = counts.select(*on, F.explode(_around(F.col("_level"), *map(F.col, at))).alias("_key"), "_n").groupBy(*on, "_key").agg(F.sum("_n").alias("_n"))
+    q = known(queries, "lat", "lon")
+    cells = q.select(*on, *at).distinct().withColumn("_level", levels).withColumn("_key", _key(F.col("_level"), *of_level(F.col("_level"))))
+    lone = next(i for i in range(LEVELS) if FINEST_KM * 2**i >= not_closer)
+    close = F.coalesce(F.max(F.when(F.col("_level") == lone, F.col("_n"))), F.lit(0)) if not_closer >= 0 else F.lit(0)
+    seen = F.collect_list(F.struct("_level", "_n"))  # one of each level
+    each = cells.join(pyramid, [*on, "_key"], "left").groupBy(*on, *at).agg(seen.alias("_seen"), close.alias("_close"))
+    enough = F.array_min(F.transform(F.filter("_seen", lambda z: z["_n"] - F.col("_close") >= k), lambda z: z["_level"]))
+    each = each.select(*on, *at, F.coalesce(enough, F.lit(LEVELS)).alias("_enough"))
+    wide = F.least(F.col("_enough") + 2, F.lit(LEVELS - 1))
+    asked = q.join(each, [*on, *at]).withColumn("_wide", wide).withColumn("_key", F.explode(_around(F.col("_wide"), *of_level(F.col("_wide")))))
+    keyed = s.withColumn("_key", _key(F.col("_level"), *map(F.col, at))).drop("_level", *at)
+    chord = 2 * math.sqrt(3) * FINEST_KM * F.pow(F.lit(2.0), F.col("_enough")) / (2 * EARTH_KM)
+    within = F.when(chord < 1, 2 * EARTH_KM * F.asin(F.least(chord, F.lit(1.0))) * (1 + 1e-9) + 1e-6).otherwise(F.lit(4 * EARTH_KM))
+    found = asked.join(keyed, [*on, "_key"]).withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+    found = found.where((F.col("km") > not_closer) & (F.col("km") <= within)).drop("_key", "_enough", "_wide", *at)
+    w = Window.partitionBy("site", *on).orderBy("km", "site2")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def buffered_train(test: DataFrame, train: DataFrame, km: float) -> DataFrame:

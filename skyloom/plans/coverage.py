@@ -140,7 +140,7 @@ def h15(spark, d):
 @query("j7_land_distance", with_("grid", "sites") + f", {_CELLS} select a.site, round_even(case when a.ilat % 3 = 0 then 1000 else min({_KM2}) end,3) as km from cell a, sites b group by a.site, a.ilat")
 def j7(spark, d):
     c, s = cells(spark, d), frame(spark, d, "sites").select("site", "lat", "lon")
-    land = J.knn_join(c.where("ilat % 3 <> 0").select("site", "lat", "lon"), s, 1, 200.0, -1.0).select("site", R("km", 3).alias("km"))
+    land = J.knn_join(c.where("ilat % 3 <> 0").select("site", "lat", "lon"), s, 1, -1.0).select("site", R("km", 3).alias("km"))
     return land.unionByName(c.where("ilat % 3 = 0").select("site", F.lit(1000.0).alias("km")))
 
 
@@ -166,7 +166,7 @@ def l6(spark, d):
 def p2(spark, d):
     test, train = split_sites(spark, d)
     channel = frame(spark, d, "customer").select(col("c_custkey").alias("site2"), "c_acctbal")
-    return J.knn_join(test, train, 5, 200.0).join(channel, "site2").groupBy("site").agg(R(F.avg("c_acctbal"), 4).alias("mean"), R(F.percentile("c_acctbal", F.lit(0.5)), 4).alias("median"))
+    return J.knn_join(test, train, 5).join(channel, "site2").groupBy("site").agg(R(F.avg("c_acctbal"), 4).alias("mean"), R(F.percentile("c_acctbal", F.lit(0.5)), 4).alias("median"))
 
 
 @query("h4_profile_cell", with_("grid", "sites") + "select site, year, mon, round_even(gchp,6) as gchp from sites s join grid g on g.ilat = cast(round_even((s.lat-30)/1.6e0,0) as int) and g.ilon = cast(round_even((s.lon+10)/1.7e0,0) as int)")
@@ -236,7 +236,7 @@ def g24(spark, d):
     present = c.where("ilat % 4 = 0 and ilon % 5 = 0").select("site", "lat", "lon", F.lit("urban").alias("class"))
     every = c.select("site", "lat", "lon").crossJoin(classes)  # one row per cell and class
     has = every.join(F.broadcast(present.select("class").distinct()), "class", "left_semi")
-    near = J.knn_join(has, present, 1, 400.0, -1.0, on=("class",)).select("class", "site", R("km", 3).alias("km"))
+    near = J.knn_join(has, present, 1, -1.0, on=("class",)).select("class", "site", R("km", 3).alias("km"))
     return every.select("class", "site").join(near, ["class", "site"], "left")
 
 

@@ -225,25 +225,25 @@ def j1(spark, d):
 @query("j2_self_nearest", _PAIRS + "select site, round_even(min(km),3) as km from p where km > 0.1 group by site")
 def j2(spark, d):
     s = frame(spark, d, "sites").select("site", "lat", "lon")
-    return J.knn_join(s, s, 1, 100.0, 0.1).select("site", R("km", 3).alias("km"))
+    return J.knn_join(s, s, 1, 0.1).select("site", R("km", 3).alias("km"))
 
 
 @query("j3_test_train_nearest", _PAIRS + "select site, round_even(min(km),3) as km from p where km > 0.01 and site % 5 = 0 and site2 % 5 <> 0 group by site")
 def j3(spark, d):
     test, train = split_sites(spark, d)
-    return J.knn_join(test, train, 1, 100.0, 0.01).select("site", R("km", 3).alias("km"))
+    return J.knn_join(test, train, 1, 0.01).select("site", R("km", 3).alias("km"))
 
 
 @query("j4_knn", _PAIRS + "select site, site2, row_number() over (partition by site order by km, site2) as rank, round_even(km,3) as km from p where km > 0 and site % 5 = 0 and site2 % 5 <> 0 qualify rank <= 4")
 def j4(spark, d):
     test, train = split_sites(spark, d)
-    return J.knn_join(test, train, 4, 200.0).select("site", "site2", "rank", R("km", 3).alias("km"))
+    return J.knn_join(test, train, 4).select("site", "site2", "rank", R("km", 3).alias("km"))
 
 
 @query("j5_knn_distance", _PAIRS + ", k as (select site, km from p where km > 0 and site % 5 = 0 and site2 % 5 <> 0 qualify row_number() over (partition by site order by km, site2) <= 5) select site, round_even(avg(km),3) as mean, round_even(quantile_cont(km,0.5),3) as median from k group by site")
 def j5(spark, d):
     test, train = split_sites(spark, d)
-    return J.knn_join(test, train, 5, 200.0).groupBy("site").agg(R(F.avg("km"), 3).alias("mean"), R(F.percentile("km", F.lit(0.5)), 3).alias("median"))
+    return J.knn_join(test, train, 5).groupBy("site").agg(R(F.avg("km"), 3).alias("mean"), R(F.percentile("km", F.lit(0.5)), 3).alias("median"))
 
 
 @query("j6_local_density", _PAIRS + "select site, count(*) as n from p where km <= 200 group by site")
@@ -326,7 +326,7 @@ def j10(spark, d):
     s = frame(spark, d, "sites").select("site", "lat", "lon")
     test = s.withColumn("fold", col("site") % 3)
     other = s.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).where("fold <> site % 3")
-    near = J.knn_join(test, other, 1, 100.0, 0.01, on=("fold",)).groupBy("fold").agg(R(F.avg("km"), 3).alias("km"))
+    near = J.knn_join(test, other, 1, 0.01, on=("fold",)).groupBy("fold").agg(R(F.avg("km"), 3).alias("km"))
     gone = J.radius_join(other, test, 40.0, on=("fold",)).select("fold", "site").distinct().groupBy("fold").agg(F.count("*").alias("excluded"))
     counts = test.groupBy("fold").agg(F.count("*").alias("test")).join(other.groupBy("fold").agg(F.count("*").alias("other")), "fold")
     return counts.join(gone, "fold", "left").join(near, "fold", "left").select("fold", "test", (col("other") - F.coalesce("excluded", F.lit(0))).alias("train"), F.coalesce("excluded", F.lit(0)).alias("excluded"), "km")

@@ -159,7 +159,7 @@ _ISOLATED = f", nn as (select a.site, min({_KM}) as km from all_sites a, all_sit
 @query("l8_self_isolated", with_("sites").replace("with sites as", "with all_sites as", 1) + _ISOLATED + _cluster_sql() + f" select site, fold, 0 as isolated from folds union all select site, cast(concat('0x', substr(md5(concat('{_SEED}-', site)), 1, 8)) as bigint) % {_K}, 1 from alone")
 def l8(spark, d):
     sites = frame(spark, d, "sites").select("site", "lat", "lon")
-    near = J.knn_join(sites, sites, 1, _LONE, 0.1).select("site", "km")
+    near = J.knn_join(sites, sites, 1, 0.1).select("site", "km")
     alone = sites.join(near.where(col("km") >= _LONE), "site", "left_semi").select("site", fold_of(col("site"), _K, _SEED).alias("fold"), F.lit(1).alias("isolated"))
     rest = sites.join(alone, "site", "left_anti")
     return S.cluster_folds(rest, _K, _SEEDS, _SEED).select("site", col("fold").cast("long").alias("fold"), F.lit(0).alias("isolated")).unionByName(alone)
@@ -220,23 +220,23 @@ def located(spark, d, name, key, a, b):
  select site, round_even(ra,4) as ref_a, round_even(rb,4) as ref_b, round_even(sqrt(greatest(0, (bb*(pa-ra)*(pa-ra)-2*ab*(pa-ra)*(pb-rb)+aa*(pb-rb)*(pb-rb))/(aa*bb-ab*ab))),5) as distance from r, s""")
 def p7(spark, d):
     px, st = located(spark, d, "supplier", "s_suppkey", "s_acctbal", "s_nationkey"), located(spark, d, "customer", "c_custkey", "c_acctbal", "c_nationkey")
-    near = J.knn_join(px.select("site", "lat", "lon"), st, 5, 100.0, 0.01)
+    near = J.knn_join(px.select("site", "lat", "lon"), st, 5, 0.01)
     ref = near.groupBy("site").agg(F.avg("a2").alias("ra"), F.avg("b2").alias("rb"))
     inverse = V.inverse_of(V.covariance(st.select(F.array("a", "b").alias("v")), "v", 2))
     return px.join(ref, "site").select("site", R("ra", 4).alias("ref_a"), R("rb", 4).alias("ref_b"), R(V.mahalanobis(F.array("a", "b"), F.array("ra", "rb"), inverse), 5).alias("distance"))
 
 
-_J8 = with_("obs") + f""", px as ({_PIXELS}), v as (select distinct year, mon, site, lat, lon from obs where site % 4 <> 0),
- m as (select site, year, mon, avg(km) as km from (select a.site, b.year, b.mon, {_KM} as km from px a, v b where a.site % 4 = 0 qualify row_number() over (partition by a.site, b.year, b.mon order by {_KM}, b.site) <= 3) group by all),
+_J8 = with_("obs") + f""", px as ({_PIXELS}), v as (select distinct year, mon, site, lat, lon from obs),
+ m as (select site, year, mon, avg(km) as km from (select a.site, b.year, b.mon, {_KM} as km from px a, v b qualify row_number() over (partition by a.site, b.year, b.mon order by {_KM}, b.site) <= 3) group by all),
  e as (select site, year, km, unnest([cast(mon as varchar), {_SEASON}, 'Annual']) as period from m)"""
 
 
 @query("j8_period_neighbours", _J8 + " select site, year, period, round_even(avg(km),3) as km from e group by all")
 def j8(spark, d):
-    px = located(spark, d, "supplier", "s_suppkey", "s_acctbal", "s_nationkey").where("site % 4 = 0").select("site", "lat", "lon")
-    v = frame(spark, d, "obs").where("site % 4 <> 0").select("year", "mon", "site", "lat", "lon").distinct()
+    px = located(spark, d, "supplier", "s_suppkey", "s_acctbal", "s_nationkey").select("site", "lat", "lon")
+    v = frame(spark, d, "obs").select("year", "mon", "site", "lat", "lon").distinct()
     each = px.crossJoin(F.broadcast(v.select("year", "mon").distinct()))  # one row per month of the period
-    m = J.knn_join(each, v, 3, 400.0, -1.0, on=("year", "mon")).groupBy("site", "year", "mon").agg(F.avg("km").alias("km"))
+    m = J.knn_join(each, v, 3, -1.0, on=("year", "mon")).groupBy("site", "year", "mon").agg(F.avg("km").alias("km"))
     x = m.withColumn("period", F.explode(F.array(col("mon").cast("string"), season(col("mon")), F.lit("Annual"))))
     return x.groupBy("site", "year", "period").agg(R(F.avg("km"), 3).alias("km"))
 

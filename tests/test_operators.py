@@ -242,3 +242,30 @@ def test_corrected_column(spark):
     assert any(w[3] is None for w in want) and any(w[3] for w in want)
     for k, w in enumerate(want):
         assert got[k] == tuple(None if x is None else pytest.approx(x) for x in w)
+
+
+def km_between(p, r):
+    return 2 * 6371 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(r[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(r[1])) * math.sin(math.radians(r[2] - p[2]) / 2) ** 2)))
+
+
+@pytest.mark.parametrize(("k", "not_closer"), [(1, 0.0), (5, -1.0), (3, 0.1), (4, 30.0), (200, 0.0)])
+def test_knn_by_counts(spark, k, not_closer):
+    """Cities, empty regions, poles, the date line, sites on one spot and too few sites, against all distances."""
+    rng = np.random.default_rng(k)
+    places = [*rng.normal((48, 11), 0.02, (40, 2)), *rng.normal((48, 11), 3, (30, 2)), *zip(rng.uniform(-90, 90, 25), rng.uniform(-180, 180, 25)), *[(89.99, x) for x in (0, 90, -170)], *[(10, x) for x in (179.999, -179.999, 179.9)], *[(48.0, 11.0)] * 6]
+    sites = [(i, float(a), float(b), i % 2) for i, (a, b) in enumerate(places)]
+    asked = [*sites[::3], *[(1000 + i, float(a), float(b), i % 2) for i, (a, b) in enumerate([(-90, 0), (90, 10), (0, 180), (48, 11), (-48.0, -169.0), *zip(rng.uniform(-90, 90, 20), rng.uniform(-180, 180, 20))])]]
+    schema = "site long, lat double, lon double, half long"
+    q, s = spark.createDataFrame([*asked, (5000, None, 1.0, 0)], schema), spark.createDataFrame([*sites, (6000, 1.0, None, 0)], schema)
+    for on in ((), ("half",)):
+        want = {}
+        for p in asked:
+            order = sorted((round(km_between(p, r), 6), r[0]) for r in sites if (not on or r[3] == p[3]) and km_between(p, r) > not_closer)
+            want[p[0]] = [km for km, _ in order[:k]]
+        got: dict = {p[0]: [] for p in asked}
+        for r in spatial.knn_join(q, s, k, not_closer, on=on).orderBy("site", "rank").collect():
+            assert r.rank == len(got[r.site]) + 1
+            got[r.site].append(round(r.km, 6))
+        assert got.keys() == want.keys()
+        for i in want:
+            assert len(got[i]) == len(want[i]) and np.allclose(got[i], want[i], atol=2e-5), i
