@@ -93,17 +93,40 @@ def sensors_of(df: DataFrame, json: str = "json") -> DataFrame:
     return x.select(F.col("s.id").alias("sensor_id"), F.col("id").alias("location_id"), F.col("name").alias("location_name"), lat.alias("lat"), lon.alias("lon"), unit.alias("unit"), sensor_type(F.coalesce("isMobile", F.lit(False)), F.coalesce("isMonitor", F.lit(False))).alias("sensor_type")).where("unit is not null")
 
 
+def _grams(df: DataFrame, name: str, side: int) -> DataFrame:
+    """Adds ``_g``: the pairs of neighbouring characters of a name (marked at both ends), each with its how-manieth it is."""
+    padded = F.concat(F.lit("\x02"), F.col(name), F.lit("\x03"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.substr(padded, i, F.lit(2)))
+    nth = F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, 1, i + 1), lambda h: h == g)).cast("string")))
+    return df.withColumns({"_side": F.lit(side), "_g": nth})
+
+
 def fuzzy_sites(names: DataFrame, sites: DataFrame, group: str, least: float = 0.7) -> DataFrame:
     """(group, name, site_name, score): the site of equal name in the group, else the most similar one of at least
     ``least`` (1 - Levenshtein distance over the longer length; ties go to the smaller name), else no row.
 
-    Exact matches leave by an equi-join first, so only the distinct rest of a group meets its sites.
+    Exact matches leave by an equi-join first. The others meet over pairs of characters: each edit breaks two of them at
+    most, so two names, the longer of n characters, share n + 1 - 2 * edits, which is at least 1 + (2 * least - 1) * n. They
+    meet in the rarest pairs that either has over that number. Only these are joined; then the distance decides. ``least`` is over one half.
     """
+    if least <= 0.5:
+        raise ValueError("least")
     n, s = names.select(group, "name").distinct(), sites.select(group, F.col("name").alias("site_name")).distinct()
     exact = n.join(s, (n[group] == s[group]) & (n["name"] == s["site_name"])).select(n[group], "name", "site_name", F.lit(1.0).alias("score"))
-    rest = n.join(exact.select(group, "name"), [group, "name"], "left_anti").join(s, group)
-    score = 1 - F.levenshtein("name", "site_name") / F.greatest(F.length("name"), F.length("site_name"))
-    best = rest.withColumn("score", F.bround(score, 6)).where(F.col("score") >= least).groupBy(group, "name").agg(F.min(F.struct((-F.col("score")).alias("k"), "site_name")).alias("b"))
+    rest = n.join(exact.select(group, "name"), [group, "name"], "left_anti")
+    both = _grams(rest.withColumnRenamed("name", "_name"), "_name", 0).unionByName(_grams(s.withColumnRenamed("site_name", "_name"), "_name", 1))
+    each = both.withColumn("_h", F.explode("_g"))
+    rare = each.groupBy(group, "_h").agg(F.count("*").alias("_c"))
+    order = F.transform(F.sort_array(F.collect_list(F.struct("_c", "_h"))), lambda z: z["_h"])
+    ranked = each.join(rare, [group, "_h"]).groupBy(group, "_name", "_side").agg(order.alias("_g"))
+    shared = F.ceil(1 + (2 * (least - 1e-6) - 1) * F.length("_name"))
+    first = ranked.withColumn("_h", F.explode(F.slice("_g", 1, F.least(F.size("_g"), (F.size("_g") - shared + 1).cast("int")))))
+    left = first.where("_side = 0").select(group, "_h", F.col("_name").alias("name"))
+    right = first.where("_side = 1").select(group, "_h", F.col("_name").alias("site_name"))
+    longer = F.greatest(F.length("name"), F.length("site_name"))
+    met = left.join(right, [group, "_h"]).where(F.least(F.length("name"), F.length("site_name")) >= (least - 1e-6) * longer).select(group, "name", "site_name").distinct()
+    score = 1 - F.levenshtein("name", "site_name") / longer
+    best = met.withColumn("score", F.bround(score, 6)).where(F.col("score") >= least).groupBy(group, "name").agg(F.min(F.struct((-F.col("score")).alias("k"), "site_name")).alias("b"))
     return exact.unionByName(best.select(group, "name", "b.site_name", (-F.col("b.k")).alias("score")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +46,74 @@ def rma(x: Column, y: Column) -> tuple[Column, Column]:
     return slope, F.avg(y) - slope * F.avg(x)
 
 
-def concordance(df: DataFrame, time: str, risk: str, event: str) -> DataFrame:
+def pairs_above(u: np.ndarray, r: np.ndarray, event: np.ndarray) -> tuple[int, int]:
+    """(pairs, above): of rows j with an event and rows i of a larger ``u``, all pairs and those with r of j above r of i.
+
+    Bit by bit of the ranks of ``r``: of rows that share the higher bits, one with the bit stands above one without. Running
+    sums in the order of ``u`` count them, so the work is n log n a bit.
+    """
+    def earlier(group: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sum of the weights in a row's group at a smaller u, in the rows' order."""
+        order = np.lexsort((u, group))
+        g, v = group[order], u[order]
+        total = np.r_[0, np.cumsum(weight[order])]
+        new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+        begins = np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], np.arange(len(g)), 0))
+        out = np.empty(len(g), np.int64)
+        out[order] = total[first] - total[begins]
+        return out
+
+    if not len(u):
+        return 0, 0
+    event = event.astype(np.int64)
+    rank = np.unique(r, return_inverse=True)[1]
+    pairs, above = int(earlier(np.zeros(len(u), np.int64), event).sum()), 0
+    for bit in range(int(rank.max()).bit_length()):
+        one = (rank >> bit) & 1
+        above += int((earlier(rank >> (bit + 1), event * one) * (1 - one)).sum())
+    return pairs, above
+
+
+def _cuts(df: DataFrame, column: str, n: int) -> list[float]:
+    return sorted(set(df.approxQuantile(column, [k / n for k in range(n + 1)], 1 / (4 * n))))
+
+
+def _bucket(x: Column, cuts: list[float]) -> Column:
+    """Even numbers for values that are cuts, odd ones for those between two: a frequent value stands alone."""
+    at = F.lit(cuts)
+    return F.aggregate(at, F.lit(-1).cast("long"), lambda s, c: s + (c < x).cast("long") + (c <= x).cast("long"))
+
+
+def concordance(df: DataFrame, time: str, risk: str, event: str, rows: int = 100_000) -> DataFrame:
     """(pairs, c): over the pairs of an event and a later row, the share where the earlier one's risk is higher.
 
-    Pairs are counted, not made: rows become counts by (time, risk), every later time's risks are ranked against the
-    event's by a range join of those counts. Meant for one row per subject.
+    Pairs are counted, not made. Both columns are cut into at most 256 buckets of about ``rows`` rows; a frequent value is a
+    bucket of its own. Pairs in different buckets of both come from the counts by bucket (at most 513 x 513), pairs that
+    share a bucket of the one or the other from sorts inside it.
     """
-    j = df.where(event).groupBy(F.col(time).alias("_t"), F.col(risk).alias("_r")).agg(F.count("*").alias("_n"))
-    i = df.groupBy(F.col(time).alias("_u"), F.col(risk).alias("_q")).agg(F.count("*").alias("_m"))
-    n = F.col("_n") * F.col("_m")
-    both = j.join(i, F.col("_t") < F.col("_u")).agg(F.sum(n).alias("pairs"), F.sum(F.when(F.col("_r") > F.col("_q"), n).otherwise(0)).alias("_c"))
-    return both.select(F.coalesce("pairs", F.lit(0)).alias("pairs"), F.try_divide(F.col("_c"), F.col("pairs")).alias("c"))
+    x = df.select(F.col(time).cast("double").alias("t"), F.col(risk).cast("double").alias("r"), F.coalesce(F.col(event), F.lit(False)).alias("e")).where("t is not null and r is not null")
+    n = min(256, max(1, -(-x.count() // rows)))
+    x = x.withColumns({"tb": _bucket(F.col("t"), _cuts(x, "t", n)), "rb": _bucket(F.col("r"), _cuts(x, "r", n))})
+    found = x.groupBy("tb", "rb").agg(F.count("*").alias("n"), F.sum(F.col("e").cast("long")).alias("e")).toPandas()
+    tb, rb = (np.unique(found[c], return_inverse=True)[1] for c in ("tb", "rb"))
+    shape = (tb.max() + 1, rb.max() + 1) if len(found) else (0, 0)
+    all_rows, events = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+    all_rows[tb, rb], events[tb, rb] = found.n, found.e
+    before = np.vstack([np.zeros((1, shape[1]), np.int64), events.cumsum(0)[:-1]]) if len(found) else events
+    higher = before.sum(1, keepdims=True) - before.cumsum(1)
+    pairs, above = int((all_rows * before.sum(1, keepdims=True)).sum()), int((all_rows * higher).sum())
+
+    def inside(own: str, other: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([pairs_above(pdf[other].to_numpy(), pdf.r.to_numpy(), pdf.e.to_numpy())], columns=["pairs", "above"])
+
+        # in a bucket of one value no risk is above another, and no time is later
+        return x.where(F.col(own) % 2 != 0).select(own, other, "r", "e").groupBy(own).applyInPandas(run, "pairs long, above long")
+
+    times, risks = inside("tb", "t"), inside("rb", "tb").withColumn("pairs", F.lit(0).cast("long"))
+    sums = times.unionByName(risks).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("p"), F.coalesce(F.sum("above"), F.lit(0)).alias("a"))
+    return sums.select((F.col("p") + pairs).alias("pairs"), F.try_divide(F.col("a") + above, F.col("p") + pairs).alias("c"))
 
 
 def type_two(x: Column, y: Column) -> dict[str, Column]:

@@ -142,16 +142,26 @@ def backcast(annual: DataFrame, base: DataFrame, months: DataFrame, floor: float
 
 
 def inside_rings(cells: DataFrame, edges: DataFrame, lat0: float, step: float) -> DataFrame:
-    """Cells with ``land``: 1 if inside any ring, by the parity of the edges east of it.
+    """Cells (site, ilat, lon) with ``land``: 1 if inside any ring, by scan lines through the rows of the grid.
 
-    ``edges``: ring, y1, x1, y2, x2. An edge becomes one row for each grid row it may cross (``lat0 + i * step``), so
-    cells meet edges in an equi-join on their row.
+    ``edges``: ring, y1, x1, y2, x2. A cell is inside a ring if an odd number of its sides cross the cell's row east of it. An edge becomes one crossing for each grid row
+    (``lat0 + i * step``) between its ends; the crossings of a ring in a row, in their order, open and close it by turns.
+    Along each row a running sum of opened rings meets the cells, so the work is rows x (cells + crossings), not their product.
     """
     at = lambda y: F.floor((y - lat0) / step)
     rows = edges.withColumn("ilat", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")) + 1)))
-    crossed = cells.join(rows, "ilat").where(((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))))
-    inside = crossed.groupBy("site", "ring").agg(F.count("*").alias("c")).where("c % 2 = 1").select("site").distinct()
-    return cells.join(inside.withColumn("land", F.lit(1)), "site", "left").withColumn("land", F.coalesce("land", F.lit(0)))
+    lat = lat0 + F.col("ilat") * step
+    crossed = rows.where((F.col("y1") > lat) != (F.col("y2") > lat))
+    crossed = crossed.select("ring", "ilat", (F.col("x1") + (lat - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("x"))
+    turn = F.row_number().over(Window.partitionBy("ring", "ilat").orderBy(F.desc("x")))
+    turns = crossed.select("ilat", "x", F.when(turn % 2 == 0, 1).otherwise(-1).alias("d"))
+    # a ring with a missing side may have an odd number of crossings east of everything
+    odd = crossed.groupBy("ring", "ilat").agg(F.count("*").alias("c")).where("c % 2 = 1").select("ilat", F.lit(float("-inf")).alias("x"), F.lit(1).alias("d"))
+    opens = turns.unionByName(odd).withColumn("site", F.lit(None).cast(cells.schema["site"].dataType))
+    line = opens.unionByName(cells.select(F.col("ilat").cast("long").alias("ilat"), F.col("lon").alias("x"), "site", F.lit(0).alias("d")))
+    along = Window.partitionBy("ilat").orderBy("x", F.col("site").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    land = line.withColumn("_open", F.sum("d").over(along)).where("site is not null").select("site", (F.col("_open") > 0).cast("int").alias("land"))
+    return cells.join(land, "site")
 
 
 def cell_lengths(lines: DataFrame, keys: list[str], lat0: float, lon0: float, step: float) -> DataFrame:

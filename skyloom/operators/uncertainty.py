@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,11 +63,85 @@ def covariance(df: DataFrame, vector: str, n: int) -> np.ndarray:
 
 
 def inverse_of(covariance: np.ndarray) -> np.ndarray:
-    """Inverse, or pseudo-inverse where channels depend on each other."""
-    try:
-        return np.linalg.inv(covariance)
-    except np.linalg.LinAlgError:
-        return np.linalg.pinv(covariance)
+    """Inverse; raises ``numpy.linalg.LinAlgError`` where channels depend on each other, as distances mean nothing then."""
+    if len(covariance) and np.linalg.matrix_rank(covariance, hermitian=True) < len(covariance):
+        raise np.linalg.LinAlgError("singular covariance")
+    return np.linalg.inv(covariance)
+
+
+def group_shapes(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
+    """(key, rows, mean, inverse): mean and inverse sample covariance (row by row) of the vectors of every group.
+
+    Every task sums counts, vectors and their products by group with matrix products; what meets by key is one row of
+    n * n numbers per task and group. Rows with a missing value are left out; a singular group raises an error.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def sums(batches):
+        held: dict = {}
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            for k in dict.fromkeys(keys):
+                v = x[[i for i, other in enumerate(keys) if other == k]]
+                c, s, p = held.get(k, (0, 0.0, 0.0))
+                held[k] = c + len(v), s + v.sum(0), p + v.T @ v
+        cols = [list(held), [c for c, _, _ in held.values()], [s.tolist() for _, s, _ in held.values()], [p.ravel().tolist() for _, _, p in held.values()]]
+        types = [b.schema.field(0).type if held else pa.null(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[key, "_c", "_s", "_p"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, s, p = pdf["_c"].sum(), np.sum(np.stack(pdf["_s"]), 0), np.sum(np.stack(pdf["_p"]), 0).reshape(n, n)
+        mean = s / c
+        inverse = inverse_of((p - c * np.outer(mean, mean)) / max(1, c - 1))
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "rows": [c], "mean": [mean.tolist()], "inverse": [inverse.ravel().tolist()]})
+
+    v = F.transform(vector, lambda x: x.cast("double"))
+    ok = df.select(key, v.alias("_v")).where(F.col(key).isNotNull() & (F.size("_v") == n) & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x)))
+    parts = ok.mapInArrow(sums, f"{key} {kind}, _c long, _s array<double>, _p array<double>")
+    return parts.groupBy(key).applyInPandas(whole, f"{key} {kind}, rows long, mean array<double>, inverse array<double>")
+
+
+def mahalanobis_by_group(df: DataFrame, key: str, vector: str, shapes: DataFrame, n: int, reference: str | None = None, block_bytes: int = 64 << 20) -> DataFrame:
+    """Adds ``distance``: sqrt(max(0, d S^-1 d)) with the inverse of the row's own group; d is the way from ``reference`` (else
+    from the group's mean). Rows of unknown groups or with missing values have none.
+
+    Inverses are looked up by key in the tasks, which multiply whole batches; they are broadcast ``block_bytes`` at a time, and
+    a row meets the block that holds its key.
+    """
+    blocks = max(1, -(-shapes.count() * n * (n + 1) * 8 // block_bytes))
+    of = F.pmod(F.xxhash64(key), F.lit(blocks))
+    out, spark = None, df.sparkSession
+
+    def run(shared):
+        def go(batches):
+            known = shared.value
+            for b in batches:
+                x = [np.array(v.as_py() if v.is_valid else [], dtype=float) for v in b.column("_v")]
+                r = [np.array(v.as_py() if v.is_valid else [], dtype=float) for v in b.column("_r")]
+                keys = b.column(key).to_pylist()
+                d = np.full(len(keys), np.nan)
+                for k in set(keys) & known.keys():
+                    mean, inverse = known[k]
+                    at = [i for i, other in enumerate(keys) if other == k and len(x[i]) == n and (reference is None or len(r[i]) == n)]
+                    if at:
+                        w = np.stack([x[i] - (mean if reference is None else r[i]) for i in at])
+                        d[at] = np.sqrt(np.maximum(0, ((w @ inverse) * w).sum(1)))
+                names = [c for c in b.schema.names if c not in ("_v", "_r")]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(d, mask=np.isnan(d))], names=[*names, "distance"])
+
+        return go
+
+    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    made = df.withColumns({"_v": as_double(vector), "_r": as_double(reference) if reference else F.array().cast("array<double>")})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", distance double"
+    for i in range(blocks):
+        rows = shapes.where(of == i).select(key, "mean", "inverse").collect()  # ``block_bytes`` at most
+        shared = spark.sparkContext.broadcast({r[0]: (np.array(r[1]), np.array(r[2]).reshape(n, n)) for r in rows})
+        part = (made if blocks == 1 else made.where(F.coalesce(of, F.lit(0)) == i)).mapInArrow(run(shared), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def mahalanobis(a: Column, b: Column, inverse: np.ndarray) -> Column:

@@ -225,6 +225,18 @@ def p4(spark, d):
     return e.join(F.broadcast(mean), "label").select("vec_id", "label", R(V.mahalanobis(col("embedding"), col("m"), inv)).alias("distance"))
 
 
+_GROUPED = """with x as (select c_custkey as id, c_mktsegment as part, c_acctbal as a, cast(c_nationkey as double) as b from customer),
+ s as (select part, avg(a) as ma, avg(b) as mb, var_samp(a) as aa, covar_samp(a,b) as ab, var_samp(b) as bb from x group by part)
+ select id, part, round_even(sqrt(greatest(0, (bb*(a-ma)*(a-ma)-2*ab*(a-ma)*(b-mb)+aa*(b-mb)*(b-mb))/(aa*bb-ab*ab))),5) as distance from x join s using (part)"""
+
+
+@query("p4_group_inverse", _GROUPED)
+def p4_groups(spark, d):
+    """Every row with the inverse of its own group."""
+    x = frame(spark, d, "customer").select(col("c_custkey").alias("id"), col("c_mktsegment").alias("part"), F.array(col("c_acctbal").cast("double"), col("c_nationkey").cast("double")).alias("v"))
+    return V.mahalanobis_by_group(x, "part", "v", V.group_shapes(x, "part", "v", 2), 2).select("id", "part", R("distance", 5).alias("distance"))
+
+
 @query("p5_standardise", "with s as (select avg(embedding[1]::double) as a, stddev_pop(embedding[1]::double) as s from embeddings) select vec_id, round_even((embedding[1]::double-a)/s,5) as z from embeddings, s")
 def p5(spark, d):
     e = frame(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))

@@ -269,3 +269,110 @@ def test_knn_by_counts(spark, k, not_closer):
         assert got.keys() == want.keys()
         for i in want:
             assert len(got[i]) == len(want[i]) and np.allclose(got[i], want[i], atol=2e-5), i
+
+
+@pytest.mark.parametrize(("n", "rows"), [(300, 20), (300, 10**6), (1, 5), (0, 5)])
+def test_concordance_by_counts(spark, n, rows):
+    """Ties of times and risks, frequent values and missing ones, in many buckets and in one."""
+    from skyloom.operators import metrics
+
+    rng = np.random.default_rng(7)
+    t = np.where(rng.random(n) < 0.4, 5.0, np.round(rng.uniform(0, 10, n), 1))
+    r = np.where(rng.random(n) < 0.3, 1.0, np.round(rng.normal(0, 2, n), 1))
+    e = rng.random(n) < 0.6
+    data = [(float(a), float(b), bool(c)) for a, b, c in zip(t, r, e)]
+    pairs = sum(1 for a in data for b in data if a[2] and a[0] < b[0])
+    above = sum(1 for a in data for b in data if a[2] and a[0] < b[0] and a[1] > b[1])
+    df = spark.createDataFrame([*data, (None, 1.0, True), (1.0, None, True)], "t double, r double, e boolean")
+    got = metrics.concordance(df, "t", "r", "e", rows).first()
+    assert got.pairs == pairs and (got.c is None if not pairs else math.isclose(got.c, above / pairs))
+
+
+def test_scan_lines(spark):
+    """Overlapping, concave and open rings, and cells on a side's crossing, against counting sides one by one."""
+    rng = np.random.default_rng(11)
+    edges = []
+    for ring in range(6):
+        n = int(rng.integers(3, 9))
+        at = [(float(y), float(x)) for y, x in zip(rng.uniform(0, 10, n), rng.uniform(0, 12, n))]
+        sides = list(zip(at, at[1:] + at[:1]))
+        edges += [(ring, *a, *b) for a, b in (sides[:-1] if ring == 5 else sides)]
+    edges += [(9, 2.0, 3.0, 2.0, 6.0), (9, 2.0, 6.0, 8.0, 6.0), (9, 8.0, 6.0, 8.0, 3.0), (9, 8.0, 3.0, 2.0, 3.0)]
+    cells = [(i * 100 + j, i, i * 0.5 + 0.25, j * 0.5) for i in range(20) for j in range(24)]
+    want = {}
+    for site, _, lat, lon in cells:
+        n: dict = {}
+        for ring, y1, x1, y2, x2 in edges:
+            if (y1 > lat) != (y2 > lat) and lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1):
+                n[ring] = n.get(ring, 0) + 1
+        want[site] = int(any(c % 2 for c in n.values()))
+    df = raster.inside_rings(spark.createDataFrame(cells, "site long, ilat long, lat double, lon double"), spark.createDataFrame(edges, "ring long, y1 double, x1 double, y2 double, x2 double"), 0.25, 0.5)
+    assert {r.site: r.land for r in df.collect()} == want and 0 < sum(want.values()) < len(want)
+
+
+@pytest.mark.parametrize("least", [0.55, 0.7, 0.9])
+def test_fuzzy_names(spark, least):
+    """Every name against all of its group."""
+    import random
+
+    from skyloom.operators import intake
+
+    rng = random.Random(3)
+
+    def edited(w):
+        w = list(w)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randrange(2)] = rng.choice(["", "a", "b", "Station"[rng.randrange(7)]])
+        return "".join(w)
+
+    sites = [(g, f"Station {rng.choice('abc')}{rng.choice('xyz')}{'ab' * rng.randrange(5)}") for g in (1, 2) for _ in range(25)] + [(1, "a"), (2, ""), (2, "ab")]
+    names = [(g, edited(n)) for g, n in sites for _ in range(2)] + sites[:5] + [(1, "zzzz"), (3, "a"), (1, "")]
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {}
+    for g, n in set(names):
+        scored = [(-(1.0 if n == s else round(1 - far(n, s) / max(len(n), len(s)), 6)), s) for h, s in set(sites) if h == g]
+        best = min((x for x in scored if -x[0] >= least), default=None)
+        if best:
+            want[g, n] = (best[1], -best[0])
+    df = intake.fuzzy_sites(spark.createDataFrame(names, "state int, name string"), spark.createDataFrame(sites, "state int, name string"), "state", least)
+    assert {(r.state, r.name): (r.site_name, pytest.approx(r.score, abs=1e-6)) for r in df.collect()} == want
+    with pytest.raises(ValueError):
+        intake.fuzzy_sites(df, df, "state", 0.5)
+
+
+@pytest.mark.parametrize("block_bytes", [64 << 20, 200])
+def test_group_inverses(spark, block_bytes):
+    """Distances by each row's own group and by a reference, in one block of inverses and in several."""
+    rng = np.random.default_rng(13)
+    rows = [(k, f"g{k % 3}", rng.normal(k % 3, 1 + k % 3, 5).tolist(), rng.normal(0, 1, 5).tolist()) for k in range(120)]
+    rows += [(1000, "g0", None, [0.0] * 5), (1001, None, [0.0] * 5, [0.0] * 5), (1002, "g1", [1.0, None, 0.0, 0.0, 0.0], [0.0] * 5), (1003, "other", [0.0] * 5, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, part string, v array<double>, ref array<double>").repartition(3)
+    shapes = uncertainty.group_shapes(df.where("part <> 'other'"), "part", "v", 5)
+    for ref in (None, "ref"):
+        got = {r.id: r.distance for r in uncertainty.mahalanobis_by_group(df, "part", "v", shapes, 5, ref, block_bytes).collect()}
+        assert len(got) == len(rows) and all(got[k] is None for k in range(1000, 1004))
+        for g in range(3):
+            x = np.array([r[2] for r in rows[:120] if r[1] == f"g{g}"])
+            inverse, mean = np.linalg.inv(np.cov(x.T)), x.mean(0)
+            for r in rows[:120]:
+                if r[1] == f"g{g}":
+                    w = np.array(r[2]) - (mean if ref is None else np.array(r[3]))
+                    assert math.isclose(got[r[0]], math.sqrt(w @ inverse @ w), rel_tol=1e-9)
+
+
+def test_singular_covariance_raises(spark):
+    with pytest.raises(np.linalg.LinAlgError):
+        uncertainty.inverse_of(np.array([[1.0, 2.0], [2.0, 4.0]]))
+    df = spark.createDataFrame([("a", [float(k), 2.0 * k]) for k in range(9)], "part string, v array<double>")
+    with pytest.raises(Exception, match="singular"):
+        uncertainty.group_shapes(df, "part", "v", 2).collect()
