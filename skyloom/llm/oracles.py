@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skyloom.llm.decontam import K, LEAST
-from skyloom.llm.linededup import LAST, LONG_LINE
+from skyloom.llm.linededup import LAST, PRIME, REACH, STEP
 from skyloom.llm.quality import COMMON, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS
 from skyloom.llm.suffix import LENGTH
 
@@ -84,19 +84,27 @@ select doc_id, cast(n_words as bigint) as n_words, cast(n_chars - hc[2] as bigin
   round(dc, 6) as char_distance, round(dw, 6) as word_distance from j
 """
 
-#: op7: all pairs of neighbouring lines and long lines by their bytes; all but the first place of each go.
+#: op7: boundaries by a rolling hash of the lines' MD5, chunks by their bytes; all but the first place of each go.
 OP7 = f"""
 with d as (
   select row_number() over (order by coalesce(doc_id, {LAST})) as row, doc_id, text, string_split(text, chr(10)) as l from documents
 ), ln as (
   select row, unnest(l) as line, generate_subscripts(l, 1) - 1 as k from d
+), w as (
+  select row, k, ('0x' || substr(md5(line), 1, 8))::bigint as h from ln where regexp_matches(line, '{_WORD}')
+), r as (
+  select row, lag(k, 2) over o as k0, lag(k) over o as k1, k as k2, lead(k) over o as k3, (lag(h) over o * {STEP} + h) % {PRIME} as r from w window o as (partition by row order by k)
+), c as (
+  select *, greatest({", ".join(f"coalesce({f}(r, {d}) over o, -1)" for d in range(1, REACH + 1) for f in ("lag", "lead"))}) as largest from r where k1 is not null window o as (partition by row order by k2)
 ), p as (
-  select a.row, a.k, 2 as n, a.line || chr(10) || b.line as t from ln a join ln b on a.row = b.row and b.k = a.k + 1 where regexp_matches(a.line, '{_WORD}') or regexp_matches(b.line, '{_WORD}')
-  union all select row, k, 1, line from ln where length(line) >= {LONG_LINE} and regexp_matches(line, '{_WORD}')
+  select c.row, k0, k1, k2, k3, array_to_string(l[k1 + 1:k2 + 1], chr(10)) as t, case when k0 is not null then array_to_string(l[k0 + 1:k1], chr(10)) end as t0, case when k3 is not null then array_to_string(l[k2 + 2:k3 + 1], chr(10)) end as t3
+  from c join d using (row) where largest < 0 or r <= largest
 ), f as (
-  select *, first_value(row) over s as fr, first_value(k) over s as fk from p window s as (partition by n, t order by row, k)
+  select *, first_value(row) over s as fr, first_value(k1) over s as f1, first_value(k2) over s as f2, first_value(t0) over s as ft0, first_value(t3) over s as ft3 from p window s as (partition by t order by row, k1)
+), g as (
+  select row, case when t0 = ft0 then k0 else k1 end as low, case when t3 = ft3 then k3 else k2 end as high, case when row = fr then f2 + 1 else 0 end as least from f where row <> fr or k1 <> f1
 ), x as (
-  select distinct row, unnest(range(case when n = 2 and row = fr and k = fk + 1 then k + 1 else k end, k + n)) as k from f where row <> fr or k <> fk
+  select distinct row, unnest(range(greatest(low, least), high + 1)) as k from g
 ), m as (
   select ln.row, ln.k, line, x.k is not null as gone, lag(x.k is not null, 1, false) over (partition by ln.row order by ln.k) as before from ln left join x on x.row = ln.row and x.k = ln.k
 ), a as (

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, component_id long"
@@ -223,46 +224,76 @@ def test_line_dedup(spark, odd, empty):
     assert [r.n_removed_lines for r in out[0]] == [0, 0] and out[9][0].text is None and out[10][0].text == ""
     for i in range(1, 6):
         r = out[i][0]
-        assert r.n_removed_lines >= 13 and f"own start {i}" in r.text and f"own end {i}" in r.text
+        assert r.n_removed_lines == 30 and f"own start {i}" in r.text and f"own end {i}" in r.text
         assert len(r.text.split("\n")) == r.n_lines - r.n_removed_lines
     assert line_dedup(odd).count() == odd.count() and line_dedup(empty).count() == 0
 
 
 def lines_left(rows):
-    """Brute force of line dedup: pairs of lines (one with a word) and long lines, at their first places."""
-    out, seen = {}, {}
+    """Brute force of line dedup: chunks at boundaries, at their first places, and what stands beside them there."""
+    from skyloom.llm.linededup import PRIME, REACH, STEP
+
+    chunks, out, seen = [], {}, {}
     for i, t in sorted(rows):
-        x, gone = t.split("\n"), set()
-        for k in range(len(x)):
-            for n in (1, 2):
-                s = tuple(x[k : k + n])
-                if len(s) < n or not "".join(s).strip(" \t\n\v\f\r") or (n == 1 and len(x[k]) < 200):
-                    continue
-                if s in seen:
-                    gone |= {k + 1} if seen[s] == (i, k - 1) and n == 2 else set(range(k, k + n))
-                seen.setdefault(s, (i, k))
-        out[i] = "\n".join(v for k, v in enumerate(x) if k not in gone), len(gone), sum(k - 1 not in gone for k in gone)
-    return out
+        x = t.split("\n")
+        w = [k for k, v in enumerate(x) if v.strip(" \t\n\v\f\r")]
+        h = [int(hashlib.md5(x[k].encode()).hexdigest()[:8], 16) for k in w]
+        r = [(a * STEP + b) % PRIME for a, b in zip(h, h[1:])]
+        for j in range(len(r)):
+            others = [r[m] for m in range(max(0, j - REACH), min(len(r), j + REACH + 1)) if m != j]
+            if not others or r[j] <= max(others):
+                k1, k2 = w[j], w[j + 1]
+                k0, k3 = w[j - 1] if j else None, w[j + 2] if j + 2 < len(w) else None
+                chunks.append((i, k1, k2, k0, k3, x))
+        out[i] = x, set()
+    for i, k1, k2, k0, k3, x in chunks:
+        before = None if k0 is None else x[k0:k1]
+        after = None if k3 is None else x[k2 + 1 : k3 + 1]
+        first = seen.setdefault(tuple(x[k1 : k2 + 1]), (i, k1, k2, before, after))
+        if first[:2] != (i, k1):
+            low = k0 if before is not None and before == first[3] else k1
+            high = k3 if after is not None and after == first[4] else k2
+            out[i][1].update(range(max(low, first[2] + 1) if first[0] == i else low, high + 1))
+    return {i: ("\n".join(v for k, v in enumerate(x) if k not in gone), len(gone), sum(k - 1 not in gone for k in gone)) for i, (x, gone) in out.items()}
 
 
 def test_line_dedup_recall_by_length(spark, docs):
-    """Passages of L lines between different neighbours are removed whole; so are single long lines, short ones stay."""
+    """Passages of three lines or more between different neighbours are removed whole, most of two; single lines stay."""
     from skyloom.llm.linededup import line_dedup
 
     rows, lengths = [], [1, 2, 3, 4, 5, 6, 8, 10, 15, 30]
     for n in lengths:
         for c in range(20):
-            shared = [f"shared {n} {c} {j}" for j in range(n)]
-            rows += [(len(rows) + d, "\n".join([f"before {n} {c} {d}", *shared, "", f"after {n} {c} {d}"])) for d in range(2)]
+            shared = [f"shared {n} {c} {j}" + ("\n" if j % 4 == 1 else "") for j in range(n)]
+            for d in range(2):
+                around = [[f"{side} {n} {c} {d} {j}" for j in range(4)] for side in ("before", "after")]
+                rows.append((len(rows), "\n".join([*around[0], *shared, *around[1]])))
     got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # the empty line after the passage makes a pair with its last line
-    assert all(got[40 * k + 2 * c + 1].n_removed_lines == n + 1 for k, n in enumerate(lengths) for c in range(20))
-    odd = [(1, "x\n" + "long " * 50 + "\ny"), (2, "p\n" + "long " * 50 + "\nq"), (3, "same\nsame\nsame\nsame"), (4, "a\nshort\nb"), (5, "c\nshort\nd"), (6, "a\nb\n\nc\nd\n\na\nb"), (7, "\n\n\n\n"), (8, "only\nsame\nsame")]
+    whole = {n: sum(got[40 * k + 2 * c + 1].n_removed_lines >= n for c in range(20)) for k, n in enumerate(lengths)}
+    assert whole.pop(1) == 0 and whole.pop(2) >= 8 and set(whole.values()) == {20}
+    odd = [(1, "x\n" + "long " * 50 + "\ny"), (2, "p\n" + "long " * 50 + "\nq"), (3, "same\nsame\nsame\nsame"), (4, "a\nshort\nb"), (5, "c\nshort\nd"), (6, "a\nb\n\nc\nd\n\na\nb"), (7, "\n\n\n\n"), (8, "only\nsame\nsame"), (9, "u\nv\nu\nv\nu\nv"), (10, ""), (11, "one"), (12, "one\ntwo"), (13, "\none\n\ntwo\n"), (14, "one\n\ntwo")]
     for part in (rows, odd, texts(docs)):
         got = line_dedup(spark.createDataFrame(part, "doc_id long, text string")).collect()
         assert {r.doc_id: (r.text, r.n_removed_lines, r.n_removed_chunks) for r in got} == lines_left(part)
 
 
+def test_line_dedup_boundaries_decide(spark):
+    """Boundaries do not move with lines elsewhere, and a passage goes whole although not all its places are boundaries."""
+    from skyloom.llm.linededup import boundaries, line_dedup, with_lines
+
+    shared = [f"passage line {j}" for j in range(12)]
+    heads = [[f"other {d} {j}" for j in range(d)] for d in range(3, 9)]
+    df = spark.createDataFrame([(d, "\n".join(["## Summary", "", *h, *shared, "## Summary", "", f"end {d}"])) for d, h in enumerate(heads)], "doc_id long, text string")
+    found = {}
+    for r in df.select("doc_id", with_lines(F.col("text"), boundaries).alias("c")).collect():
+        skip = 2 + len(heads[r.doc_id])
+        found[r.doc_id] = {c.k1 - skip for c in r.c if 2 <= c.k1 - skip < 9}
+    assert len({frozenset(x) for x in found.values()}) == 1 and 3 < len(found[0]) < 7
+    for r in line_dedup(df).collect():
+        assert r.n_removed_lines == (0 if r.doc_id == 0 else 12 + 1) or r.doc_id == 0
+        assert r.text.startswith("## Summary\n\nother") and r.text.endswith(f"end {r.doc_id}")
+
+
 def test_packing(docs, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
