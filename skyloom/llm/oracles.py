@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skyloom.llm.decontam import K, LEAST
 from skyloom.llm.linededup import LAST, PRIME, REACH, STEP
-from skyloom.llm.quality import COMMON, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS
+from skyloom.llm.quality import COMMON, LEAST_DOCS, MAX_CHAR_DISTANCE, MAX_POOLED_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, POOLED
 from skyloom.llm.suffix import LENGTH
 
 _WORDS = r"list_filter(string_split_regex(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -49,6 +49,9 @@ _CLASSES = ["[a-z]", r"[\x20\x09-\x0D]", "[A-Z]", "[0-9]", r"[#*$%&|<>]", r"[\x0
 _COUNTS = ", ".join("cast(length(t) - length(regexp_replace(t, '{}', '', 'g')) as double)".format(c.replace("'", "''")) for c in _CLASSES)
 
 
+_POOL = "[" + ", ".join("+".join("{h}[" + str(i + 1) + "]" for i in part) for part in POOLED) + "]"
+
+
 def _distance(p: str, q: str) -> str:
     """Jensen-Shannon distance of two lists of counts; 0 if one of them is empty."""
     x, y = f"({p}[i]/list_sum({p}))", f"({q}[i]/list_sum({q}))"
@@ -74,13 +77,18 @@ with t as (
     list_transform({_LISTS}, lambda v: cast(len(list_filter(listed, lambda x: x = v)) as double)) as g from w left join cover using (row)
 ), f as (
   select *, list_concat(c, [n_chars - list_sum(c)]) as hc, case when len(g) > 0 then list_concat(g, [n_words - list_sum(g)]) else [] end as hw from h
-), r as (
-  select lang, [{", ".join(f"sum(hc[{i}])" for i in range(1, 8))}] as rc, [{", ".join(f"sum(hw[{i}])" for i in range(1, 14))}] as rw from f group by lang
+), p as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as failed, {_POOL.format(h="hc")} as mc from f
+), s as (
+  select lang, count(*) as docs, [{", ".join(f"sum(hc[{i}])" for i in range(1, 8))}] as rc, [{", ".join(f"sum(hw[{i}])" for i in range(1, 14))}] as rw from p where not failed group by lang
+), w1 as (
+  select [{", ".join(f"coalesce(sum(hc[{i}]), 0)" for i in range(1, 8))}] as wc from p where not failed
 ), j as (
-  select f.*, case when n_chars >= {MIN_CHARS} then {_distance("hc", "rc")} end as dc, case when n_words >= {MIN_WORDS} and len(hw) > 0 then {_distance("hw", "rw")} end as dw from f join r using (lang)
+  select p.*, s.lang is null as alone, case when n_chars >= {MIN_CHARS} and s.lang is null then {_distance("mc", "wp")} when n_chars >= {MIN_CHARS} then {_distance("hc", "rc")} end as dc, case when s.lang is not null and n_words >= {MIN_WORDS} and len(hw) > 0 then {_distance("hw", "rw")} end as dw
+  from p left join s on s.lang = p.lang and s.docs >= {LEAST_DOCS} cross join (select {_POOL.format(h="wc")} as wp from w1)
 )
 select doc_id, cast(n_words as bigint) as n_words, cast(n_chars - hc[2] as bigint) as word_chars, cast(hc[5] as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
-  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(dc, 0) <= {MAX_CHAR_DISTANCE} and coalesce(dw, 0) <= {MAX_WORD_DISTANCE} as kept,
+  failed as base_failed, not failed and coalesce(dc, 0) <= case when alone then {MAX_POOLED_DISTANCE} else {MAX_CHAR_DISTANCE} end and coalesce(dw, 0) <= {MAX_WORD_DISTANCE} as kept,
   round(dc, 6) as char_distance, round(dw, 6) as word_distance from j
 """
 

@@ -6,10 +6,11 @@ its words stand in 3-word windows that occur twice or more in it (the first occu
 Divergence: the histogram of character classes (lower case, upper case, digit, white space, symbol, other ASCII,
 other) and the histogram of the language's common words (each of the listed words, and all others) are compared with
 the reference of the document's language by Jensen-Shannon distance (base 2, 0 to 1). A language's reference is the
-sum over all its documents, so it covers the whole corpus. Every language has its own, null being one, too; the
-references of the ``LANGUAGES`` most frequent ones are broadcast, and documents of languages beyond have no verdict, like
-those a guard exempts. Guards: a text under ``MIN_CHARS`` characters has no character verdict, one under ``MIN_WORDS``
-words no word verdict; nor have languages without a word list the latter.
+sum over all its documents that pass the base rule, null being a language, too; how many languages there are does not matter.
+A language with fewer than ``LEAST_DOCS`` such documents would be compared with itself, and is compared with the pooled
+reference of all languages instead: with classes that do not depend on the script (letters of any kind as one), a wider
+threshold, and without a word verdict. Guards: a text under ``MIN_CHARS`` characters has no character verdict, one under
+``MIN_WORDS`` words no word verdict; nor have languages without a word list the latter.
 
 Nulls: a null text counts as empty (no words: it fails the base rule). A null doc_id or language is kept as it is.
 Ties: a distance equal to its threshold passes. Very long texts are counted whole. Rows are judged one by one, so
@@ -32,11 +33,13 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
 }
 MIN_CHARS, MIN_WORDS = 400, 120
-#: References that are broadcast (about 200 bytes each).
-LANGUAGES = 10_000
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.29
+#: Fewest documents of a language's own reference; most references that are broadcast (about 200 bytes each), more are joined.
+LEAST_DOCS, LANGUAGES = 20, 100_000
+MAX_CHAR_DISTANCE, MAX_POOLED_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.4, 0.29
 #: Character classes by what is deleted to count them.
 CLASSES = ["a-z", r"\x20\x09-\x0D", "A-Z", "0-9", r"#*$%&|<>", r"\x00-\x08\x0E-\x1F!\x22'-)+-/:;=?@\x5B-\x60{}~\x7F"]
+#: Classes (by their place, the last being all others) that the pooled reference takes together.
+POOLED = [[0, 2, 6], [1], [3], [4], [5]]
 
 
 def words_of(text: Column) -> Column:
@@ -138,22 +141,38 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def references(feats: DataFrame) -> DataFrame:
-    """A row per language: sums of both histograms over all its documents."""
+    """A row per language: its documents that pass the base rule, and the sums of both histograms over them."""
     n_c, n_w = len(CLASSES) + 1, max(map(len, COMMON.values())) + 1
     sums = [F.sum(F.get("hc", F.lit(i))).alias(f"c{i}") for i in range(n_c)] + [F.sum(F.get("hw", F.lit(i))).alias(f"w{i}") for i in range(n_w)]
-    s = feats.groupBy("g").agg(F.count("*").alias("docs"), *sums).orderBy(F.desc("docs"), "g").limit(LANGUAGES)
-    return s.select(F.col("g").alias("rg"), F.array(*[f"c{i}" for i in range(n_c)]).alias("rc"), F.filter(F.array(*[f"w{i}" for i in range(n_w)]), lambda x: x.isNotNull()).alias("rw"))
+    s = feats.where(~base_failed()).groupBy("g").agg(F.count("*").alias("docs"), *sums)
+    return s.select(F.col("g").alias("rg"), "docs", F.array(*[f"c{i}" for i in range(n_c)]).alias("rc"), F.filter(F.array(*[f"w{i}" for i in range(n_w)]), lambda x: x.isNotNull()).alias("rw"))
+
+
+def pooled(h: Column) -> Column:
+    """A character histogram by classes that do not depend on the script."""
+    return F.array(*[sum((F.get(h, F.lit(i)) for i in part), F.lit(0.0)) for part in POOLED])
 
 
 def judged(docs: DataFrame, *keep: str) -> DataFrame:
     """Two structs for every row: ``carried`` with the columns ``keep``, ``judged`` with the counts and verdicts."""
     feats = table(features(docs, *keep), "quality-features")
-    d = feats.join(F.broadcast(references(feats)), F.col("g") == F.col("rg"), "left")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    char = F.when(F.col("n_chars") >= MIN_CHARS, jensen_shannon(F.col("hc"), F.col("rc")))
-    word = F.when((F.col("n_words") >= MIN_WORDS) & (F.size("hw") > 0), jensen_shannon(F.col("hw"), F.col("rw")))
-    near = (F.coalesce(char, F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce(word, F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    refs = table(references(feats), "quality-references")
+    world = refs.agg(*[F.coalesce(F.sum(F.get("rc", F.lit(i))), F.lit(0.0)).alias(f"a{i}") for i in range(len(CLASSES) + 1)])
+    world = world.select(pooled(F.array(*world.columns)).alias("wc"))
+    own = refs.where(F.col("docs") >= LEAST_DOCS).select("rg", "rc", "rw")
+    own = F.broadcast(own) if own.limit(LANGUAGES + 1).count() <= LANGUAGES else own
+    d = feats.join(own, F.col("g") == F.col("rg"), "left").crossJoin(F.broadcast(world))  # one row
+    alone = F.col("rg").isNull()
+    long = F.col("n_chars") >= MIN_CHARS
+    char = F.when(long & alone, jensen_shannon(pooled(F.col("hc")), F.col("wc"))).when(long, jensen_shannon(F.col("hc"), F.col("rc")))
+    word = F.when(~alone & (F.col("n_words") >= MIN_WORDS) & (F.size("hw") > 0), jensen_shannon(F.col("hw"), F.col("rw")))
+    most = F.when(alone, MAX_POOLED_DISTANCE).otherwise(MAX_CHAR_DISTANCE)
+    near = (F.coalesce(char, F.lit(0.0)) <= most) & (F.coalesce(word, F.lit(0.0)) <= MAX_WORD_DISTANCE)
     return d.select(
         "carried",
         F.struct(
@@ -162,8 +181,8 @@ def judged(docs: DataFrame, *keep: str) -> DataFrame:
             F.get("hc", F.lit(4)).cast("long").alias("n_symbols"),
             "n_dup_lines",
             "n_repeat_words",
-            failed.alias("base_failed"),
-            (~failed & near).alias("kept"),
+            base_failed().alias("base_failed"),
+            (~base_failed() & near).alias("kept"),
             F.round(char, 6).alias("char_distance"),
             F.round(word, 6).alias("word_distance"),
         ).alias("judged"),

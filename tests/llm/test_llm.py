@@ -54,8 +54,9 @@ def test_quality(odd, empty):
 
 
 def test_quality_verdict(odd, docs, spark):
-    """Distances and verdicts against references summed up in Python; every language, null too, has its own."""
-    from skyloom.llm.quality import COMMON, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, quality
+    """Distances and verdicts against references summed up in Python: those of languages with enough documents that pass,
+    null too, and the pooled one for all others."""
+    from skyloom.llm.quality import COMMON, LEAST_DOCS, MAX_CHAR_DISTANCE, MAX_POOLED_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, POOLED, quality
 
     def histograms(t, lang):
         c = [0] * 7
@@ -74,24 +75,38 @@ def test_quality_verdict(odd, docs, spark):
         with np.errstate(divide="ignore", invalid="ignore"):
             return math.sqrt(max(0.0, (np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(q > 0, q * np.log2(q / m), 0).sum()) / 2))
 
-    other = spark.createDataFrame([(1, "ÄÖ " * 300, "xx"), (2, "word and " * 200, "xx"), (3, "word and " * 200, None)], "doc_id long, text string, lang string")
+    prose = [t for _, t in texts(docs) if t and len(t) > 500]
+    many = [(100 + i, prose[i % len(prose)], g) for g in (None, "zz") for i in range(30)]
+    other = spark.createDataFrame([(1, "ÄÖ " * 300, "xx"), (2, "word and " * 200, "xx"), (3, "word and " * 200, None), (4, " ".join("".join("#*$%&|<>"[k >> 3 * j & 7] for j in range(3)) for k in range(300)), "qq"), *many], "doc_id long, text string, lang string")
     for df in (docs, odd, other):
         rows = [(r.doc_id, r.text or "", r.lang or "") for r in df.select("doc_id", "text", "lang").collect()]
+        failed = Counter((r.doc_id, r.lang or "", r.base_failed) for r in quality(df, "doc_id", "lang").collect())
         made = [(i, t, g, *histograms(t, g)) for i, t, g in rows]
-        sums = {}
-        for _, _, g, c, w, _ in made:
-            a, b = sums.setdefault(g, (np.zeros(7), np.zeros(len(w))))
-            a += c
-            b += w
+        sums, world = {}, np.zeros(7)
+        for i, t, g, c, w, _ in made:
+            if not failed[i, g, True]:
+                a, b, n = sums.setdefault(g, [np.zeros(7), np.zeros(len(w)), 0])
+                a += c
+                b += w
+                world += c
+                sums[g][2] = n + 1
+        own = {g for g, (_, _, n) in sums.items() if n >= LEAST_DOCS}
+        pool = lambda c: [sum(c[k] for k in part) for part in POOLED]
         want = {}
         for i, t, g, c, w, n in made:
-            want.setdefault(i, []).append((distance(c, sums[g][0]) if len(t) >= MIN_CHARS else None, distance(w, sums[g][1]) if n >= MIN_WORDS and w else None))
+            char = distance(c, sums[g][0]) if g in own else distance(pool(c), pool(world))
+            word = distance(w, sums[g][1]) if g in own and n >= MIN_WORDS and w else None
+            want.setdefault(i, []).append((char if len(t) >= MIN_CHARS else None, word, MAX_CHAR_DISTANCE if g in own else MAX_POOLED_DISTANCE))
         got = quality(df, "doc_id", "lang").collect()
         assert len(got) == len(rows)
         same = lambda x, y: x is y if x is None or y is None else abs(x - y) < 2e-6
         for r in got:
-            want[r.doc_id].remove(next(p for p in want[r.doc_id] if same(p[0], r.char_distance) and same(p[1], r.word_distance)))
-        assert all(r.kept == (not r.base_failed and (r.char_distance or 0) <= MAX_CHAR_DISTANCE and (r.word_distance or 0) <= MAX_WORD_DISTANCE) for r in got)
+            found = next(p for p in want[r.doc_id] if same(p[0], r.char_distance) and same(p[1], r.word_distance))
+            want[r.doc_id].remove(found)
+            assert r.kept == (not r.base_failed and (found[0] or 0) <= found[2] and (found[1] or 0) <= MAX_WORD_DISTANCE)
+        if df is other:
+            assert "zz" in own and "" in own and "qq" not in own
+            assert [r.kept for r in got if r.lang == "qq"] == [False] and not next(r for r in got if r.lang == "qq").base_failed
 
 
 def components(rows, k, num=4, den=5):
@@ -482,16 +497,59 @@ def test_main_text_template(spark):
 
 
 def test_toxicity(spark, odd, empty):
+    """Held-out accuracy on the labels of sf0.1; ties, repeated rows, empty and very long texts."""
     from skyloom.llm.toxicity import toxicity
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = {r.doc_id: r for r in toxicity(docs, labels).collect()}
     assert len(got) == docs.count() and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for i, r in got.items())
     marks = [(got[r.doc_id].score, r.toxic) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out]
-    pos, neg = [s for s, t in marks if t], [s for s, t in marks if not t]
-    assert np.mean([p > n for p in pos for n in neg]) > 0.75
-    assert toxicity(odd, labels).count() == odd.count() and toxicity(empty, labels.limit(0)).count() == 0
+    pos, neg = np.array([s for s, t in marks if t]), np.array([s for s, t in marks if not t])
+    assert (pos[:, None] > neg).mean() > 0.95
+    assert (pos >= 0.5).mean() > 0.8 and (neg < 0.5).mean() > 0.97
+    small = spark.read.parquet(f"{SF}/labels.parquet")
+    out = toxicity(odd, small).collect()
+    assert len(out) == odd.count() and toxicity(empty, small.limit(0)).count() == 0
+    same = [r.score for r in out if r.doc_id in (901, 902)]
+    assert len(set(same)) == 1 and all(0 <= r.score <= 1 for r in out)
+    twice = Counter(r.doc_id for r in out).most_common(1)[0][0]
+    assert len({r.score for r in out if r.doc_id == twice}) == 1
+    assert max(r.score for r in toxicity(odd, small.limit(0)).collect()) < 1e-9
+
+
+def test_toxicity_leaves_out_only_rows_that_are_too_long(spark):
+    """A labelled text of any length costs no other row its place."""
+    from skyloom.llm.toxicity import train
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    first = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id")).first().doc_id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("long text "), 1_000_000)).otherwise(F.col("text")))
+    a, _ = train(long, labels)
+    b, _ = train(docs.where(F.col("doc_id") != first), labels)
+    assert all((a.p[k] == b.p[k]).all() for k in a.p) and a.shift == b.shift
+
+
+def test_toxicity_forward_pass():
+    """Scores against loops over texts, places, filters and n-grams."""
+    from skyloom.llm.toxicity import FILTERS, WIDTHS, Cnn, gram_rows
+
+    net, rng = Cnn(3), np.random.default_rng(5)
+    net.p["b"] = rng.normal(0, 0.1, net.p["b"].shape).astype(np.float32)
+    data = [[b""], [b"one"], [b"one", b"two"], "the quick brown fox jumps over the the lazy dog ünï".encode().split(), [b"x" * 300, b"ab"], [b"same"] * 7]
+    want = []
+    for text in data:
+        e = [net.p["e"][gram_rows([w])[0]].astype(float).sum(0) / math.sqrt(len(gram_rows([w])[0])) for w in text]
+        tops, col = [], 0
+        for i, width in enumerate(WIDTHS):
+            for f in range(FILTERS):
+                z = sorted((sum(float(e[t + j] @ net.p["k"][:, col + j * FILTERS + f]) for j in range(width) if t + j < len(e)) + float(net.p["b"][i * FILTERS + f]) for t in range(len(e))), reverse=True)
+                tops.append([max(0.0, v) for v in (*z[:2], 0.0)][:2])
+            col += width * FILTERS
+        h = np.array([t[0] for t in tops] + [t[1] for t in tops])
+        want.append(float(h @ net.p["o"] + net.p["c"][0]))
+    assert np.allclose(net.logits(data), want, atol=1e-4)
+    assert np.allclose(np.concatenate([net.logits([t]) for t in data]), want, atol=1e-4)
 
 
 def test_licenses(odd, docs, empty, spark):
