@@ -3,8 +3,8 @@
 Words are runs of a-z, 0-9 and characters from U+0080 on, after lower-casing A-Z. Every phrase and licence text below is
 a template: mandatory key phrases at relative positions. The document frequencies of all words of key phrases are counted
 over the whole corpus (a table of at most as many rows as there are such words). The ``RARE`` words of highest IDF of
-each template are indexed with their positions. In a file, every template is looked up by its words that the file holds,
-those of highest IDF first: the rarest one proposes where the template would start, the others must agree with a start
+each template are indexed: postings lead from a word to the templates and positions where it stands. In a file, its
+indexed words are looked up, those of highest IDF first, so only templates that a word leads to are looked at. The rarest word of each proposes where the template would start, the others must agree with a start
 within ``SLACK`` words, and then the key phrases are verified word by word. A licence text may gain or lose words between
 its key phrases, ``SLACK`` in all. As indexed words are parts of key phrases, no place of a template is lost: a label is
 there if and only if the key phrases stand at shifts that differ by ``SLACK`` at most (a test's brute force).
@@ -113,29 +113,38 @@ def _frequencies(vocabulary: frozenset):
     return run
 
 
-def index_of(templates: list[Template], idf: dict[bytes, float], rare: int) -> list[list[tuple[bytes, list[int]]]]:
-    """For each template its rare words, rarest first, with their positions."""
-    out = []
-    for t in templates:
-        spots = t.spots()
-        out.append([(w, spots[w]) for w in sorted(spots, key=lambda w: (-idf[w], spots[w][0]))[:rare]])
-    return out
+class Index:
+    """Postings of the templates' rare words: word -> (template, its positions there), and each word's rank by IDF."""
 
+    def __init__(self, templates: list[Template], idf: dict[bytes, float], rare: int):
+        self.templates, self.sizes, self.postings = templates, [], defaultdict(list)
+        for k, t in enumerate(templates):
+            spots = t.spots()
+            chosen = sorted(spots, key=lambda w: (-idf[w], spots[w][0], w))[:rare]
+            self.sizes.append(len(chosen))
+            for w in chosen:
+                self.postings[w].append((k, spots[w]))
+        self.rank = {w: i for i, w in enumerate(sorted(self.postings, key=lambda w: (-idf[w], w)))}
 
-def scan(w: list[bytes], templates: list[Template], index, wanted: frozenset) -> tuple:
+
+def scan(w: list[bytes], index: Index) -> tuple:
+    """One file: its indexed words, those of highest IDF first, gather places by template; only templates that a word of the
+    file leads to are looked at, however many there are."""
     places = defaultdict(list)
     for at, word in enumerate(w):
-        if word in wanted:
+        if word in index.rank:
             places[word].append(at)
+    led = defaultdict(list)
+    for word in sorted(places, key=index.rank.__getitem__):
+        for k, spots in index.postings[word]:
+            led[k].append((places[word], spots))
     labels, own, score, starts = set(), set(), 0.0, []
-    for t, rare in zip(templates, index) if places else ():
-        here = [(places[word], spots) for word, spots in rare if word in places]
-        if not here:
+    for k, here in led.items():
+        t, size = index.templates[k], index.sizes[k]
+        if len(here) < size:  # a key phrase lacks a word
+            score = max(score, 0.5 / size)
             continue
         rarest, spots = here[0]
-        if len(here) < len(rare):  # a key phrase lacks a word
-            score = max(score, 0.5 / len(rare))
-            continue
         others = [{at - i for at in found for i in spot} for found, spot in here[1:]]
         for start in sorted({at - i for at in rarest for i in spots}):
             agree = sum(any(s in o for s in range(start - t.slack, start + t.slack + 1)) for o in others)
@@ -147,18 +156,17 @@ def scan(w: list[bytes], templates: list[Template], index, wanted: frozenset) ->
                 own.add(t.label)
                 starts.append(start)
             else:
-                score = max(score, 0.5 * (agree + 1) / len(rare))
+                score = max(score, 0.5 * (agree + 1) / size)
     return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), score
 
 
-def _scan(templates, index):
+def _scan(index: Index):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    wanted = frozenset(word for rare in index for word, _ in rare)
 
     def run(batches):
         for b in batches:
-            out = [scan(words(t.as_py()), templates, index, wanted) for t in b.column(1)]
+            out = [scan(words(t.as_py()), index) for t in b.column(1)]
             columns = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=names)
 
@@ -173,4 +181,4 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, more: dict[str, s
     n = df.get(b"", 0)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary}
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select("doc_id", "text").mapInArrow(_scan(templates, index_of(templates, idf, rare)), schema)
+    return docs.select("doc_id", "text").mapInArrow(_scan(Index(templates, idf, rare)), schema)

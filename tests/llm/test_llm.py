@@ -552,6 +552,22 @@ def test_toxicity_forward_pass():
     assert np.allclose(np.concatenate([net.logits([t]) for t in data]), want, atol=1e-4)
 
 
+def test_license_postings():
+    """Templates without a word of the file are not looked at, however many there are; positions decide between others."""
+    from skyloom.llm import licenses
+    from skyloom.llm.licenses import Index, scan, templates_of
+
+    many = {f"alpha{k} beta{k} gamma{k} delta": f"l{k}" for k in range(600)}
+    templates = templates_of({}, many, {})
+    idf = {w: 1.0 if w == b"delta" else 5.0 for t in templates for _, p in t.phrases for w in p}
+    seen = []
+    for t in templates:
+        t.stands = lambda w, start, t=t, real=t.stands: seen.append(t.label) or real(w, start)
+    index = Index(templates, idf, 3)
+    assert scan(b"x alpha7 beta7 gamma7 delta alpha9 gamma9 beta9 delta".split(), index)[5] == "l7" and set(seen) == {"l7"}
+    assert scan(b"delta delta".split(), index)[5:] == ("", 0.0) and licenses.RARE == 3
+
+
 def test_licenses(odd, docs, empty, spark):
     """Base places and all labels against a search at every position, without an index."""
     from skyloom.llm.licenses import BASE, MORE, SLACK, TEXTS, license_scan
