@@ -72,6 +72,20 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_|_$", "")
 
 
+def station_name(header: Column, path: Column, pattern: str = r"Station Name:\s*([^,\n]+)") -> Column:
+    """Name in a header's text by a pattern, else the file's name without folder and ending."""
+    found = F.nullif(F.trim(F.regexp_extract(header, pattern, 1)), F.lit(""))
+    return F.coalesce(found, F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.[^.]*$", ""))
+
+
+def header_unit(header: Column, variable: str) -> Column:
+    """The cell under a variable's name in a header's block of separated lines; null if it is not there."""
+    rows = F.filter(F.transform(F.split(header, "\n"), lambda r: F.transform(F.split(r, ","), lambda c: F.trim(c))), lambda r: F.size(r) > 0)
+    at = F.array_position(F.transform(rows, lambda r: F.array_position(r, variable) > 0), True).cast("int")
+    column = F.array_position(F.get(rows, at - 1), variable).cast("int")
+    return F.when(at > 0, F.nullif(F.get(F.get(rows, at), column - 1), F.lit("")))
+
+
 def nearest_index(x: Column, low: float, step: float, n: int) -> Column:
     """Half-even index of the nearest cell centre, clipped to the grid."""
     return F.least(F.greatest(F.rint((x - F.lit(low)) / F.lit(step)), F.lit(0.0)), F.lit(float(n - 1))).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -136,15 +137,24 @@ def catalogued(grid: DataFrame, catalog: list[tuple[str, str, str]], months: Dat
     Kinds: ``static`` (mean of all time), ``annual`` (mean of the year), ``monthly``, and ``early`` or ``late`` (monthly,
     up to the month ``switch`` = year * 100 + month, or after it), so two products can share a channel's name.
     """
-    wanted, out = F.broadcast(months.distinct()), None  # one row per month
-    for channel, column, kind in catalog:
-        if kind == "static":
-            part = grid.groupBy("ilat", "ilon").agg(F.avg(column).alias("v")).crossJoin(wanted)
-        elif kind == "annual":
-            part = grid.groupBy("ilat", "ilon", "year").agg(F.avg(column).alias("v")).join(wanted, "year")
-        else:
-            at = F.col("year") * 100 + F.col("mon")
-            part = grid.where({"monthly": F.lit(True), "early": at <= switch, "late": at > switch}[kind]).join(wanted, ["year", "mon"]).withColumn("v", F.col(column))
-        part = part.select(F.lit(channel).alias("channel"), "year", "mon", "ilat", "ilon", "v")
-        out = part if out is None else out.unionByName(part)
-    return out
+    wanted = F.broadcast(months.distinct())  # one row per month
+    at = F.col("year") * 100 + F.col("mon")
+    when = {"monthly": F.lit(True), "early": at <= switch, "late": at > switch}
+    named = lambda c, v: F.struct(F.lit(c).alias("channel"), v.cast("double").alias("v"))
+    keys, parts = ["ilat", "ilon"], []
+    monthly = [F.when(when[kind], named(c, F.col(column))) for c, column, kind in catalog if kind in when]
+    if monthly:
+        # one scan for all of them; a channel that has no row in a month has none here
+        each = grid.join(wanted, ["year", "mon"]).select("year", "mon", *keys, F.explode(F.filter(F.array(*monthly), lambda x: x.isNotNull())).alias("_c"))
+        parts.append(each.select("_c.channel", "year", "mon", *keys, "_c.v"))
+    slow = sorted({column for _, column, kind in catalog if kind not in when})
+    if slow:
+        sums = [a.alias(f"_{n}_{c}") for c in slow for n, a in (("s", F.sum(c)), ("n", F.count(c)))]
+        yearly = grid.groupBy(*keys, "year").agg(*sums)  # one aggregation; the static means come from its sums
+        if annual := [(c, column) for c, column, kind in catalog if kind == "annual"]:
+            each = yearly.join(wanted, "year").select("year", "mon", *keys, F.explode(F.array(*[named(c, F.try_divide(f"_s_{x}", f"_n_{x}")) for c, x in annual])).alias("_c"))
+            parts.append(each.select("_c.channel", "year", "mon", *keys, "_c.v"))
+        if static := [(c, column) for c, column, kind in catalog if kind == "static"]:
+            mean = yearly.groupBy(*keys).agg(F.array(*[named(c, F.try_divide(F.sum(f"_s_{x}"), F.sum(f"_n_{x}"))) for c, x in static]).alias("_c"))
+            parts.append(mean.crossJoin(wanted).select(F.explode("_c").alias("_c"), "year", "mon", *keys).select("_c.channel", "year", "mon", *keys, "_c.v"))
+    return reduce(DataFrame.unionByName, parts)

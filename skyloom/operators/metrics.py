@@ -137,6 +137,34 @@ def type_two(x: Column, y: Column) -> dict[str, Column]:
     }
 
 
+def type_two_weighted(x: Column, y: Column, var_x: Column, var_y: Column) -> dict[str, Column]:
+    """Reduced major axis from two weighted first regressions: y ~ x with weights 1 / ``var_y``, x ~ y with 1 / ``var_x``.
+
+    slope, r (null where the two slopes differ in sign), and slope0 of the form without intercept. A weighted line's
+    intercept comes from medians, so ``icpt`` is the median of y less slope times the median of x (exact percentiles, which
+    hold a group's values: for groups of validation size). Rows with a missing value or a variance not over 0 are left out.
+    """
+    ok = x.isNotNull() & y.isNotNull() & (var_x > 0) & (var_y > 0)
+    x, y = F.when(ok, x), F.when(ok, y)
+
+    def line(a: Column, b: Column, w: Column) -> tuple[Column, Column]:
+        """Weighted slopes of b ~ a, with and without intercept."""
+        w = F.when(ok, 1 / w)
+        n, ma, mb = F.sum(w), F.sum(w * a), F.sum(w * b)
+        return F.try_divide(F.sum(w * a * b) - ma * mb / n, F.sum(w * a * a) - ma * ma / n), F.try_divide(F.sum(w * a * b), F.sum(w * a * a))
+
+    (a, a0), (b, b0) = line(x, y, var_y), line(y, x, var_x)
+    b, b0 = F.try_divide(F.lit(1.0), b), F.try_divide(F.lit(1.0), b0)
+    both = lambda p, q: F.when(p * q >= 0, F.signum(p) * F.sqrt(p * q))
+    slope = both(a, b)
+    return {
+        "slope": slope,
+        "icpt": F.percentile(y, F.lit(0.5)) - slope * F.percentile(x, F.lit(0.5)),
+        "r": F.when(a * b >= 0, F.signum(a) * F.sqrt(F.try_divide(a, b))),
+        "slope0": both(a0, b0),
+    }
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, q: float, buckets: int = 4096) -> DataFrame:
     """(by, q): exact, interpolated quantiles by rank. Values become counts, counts become bucket sums over the range of
     the group, and only the buckets that hold the wanted ranks are sorted; no task sees a whole group."""

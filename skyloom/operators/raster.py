@@ -101,10 +101,13 @@ def column_amount(vmr: Column, airden: Column, boxh: Column, pressure: Column |
     return F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
 
 
-def tiered_fill(value: Column, model: Column, tiers: list[tuple[Column, Column]], last: Column) -> tuple[Column, Column]:
+def tiered_fill(value: Column, model: Column, tiers: list[tuple[Column, Column]], last: Column, eta: Column | None = None) -> tuple[Column, Column]:
     """The value, else model / reference model * reference satellite of the first tier that has them, else ``last``;
-    and the label of the tier: 0 for the value itself, len(tiers) + 1 for the last resort."""
-    guesses = [F.try_divide(model, m) * s for m, s in tiers]
+    and the label of the tier: 0 for the value itself, len(tiers) + 1 for the last resort. With ``eta``, the surface over
+    the column, all guesses are columns brought to the surface; the value is there already."""
+    guesses = [F.when(m > 0, model / m) * s for m, s in tiers]
+    if eta is not None:
+        guesses, last = [g * eta for g in guesses], last * eta
     label = F.when(value.isNotNull(), 0)
     for k, g in enumerate(guesses, 1):
         label = label.when(g.isNotNull(), k)

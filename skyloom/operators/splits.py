@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.units import fold_of, haversine
+from skyloom.functions.units import fold_of, haversine, nearest_index
 from skyloom.sources.tables import settled
 
 
@@ -40,6 +40,29 @@ def roles(folds: DataFrame, k: int, key: str = "site") -> DataFrame:
     return folds.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(F.col("f").alias("fold"), key, F.when(F.col("f") == F.col("fold"), 1).otherwise(-1).alias("role"))
 
 
+def in_regions(sites: DataFrame, masks: DataFrame, names: list[str], lat0: float, lon0: float, step: float, rows: int, columns: int) -> DataFrame:
+    """Sites whose nearest cell lies in the union of the named masks (region, ilat, ilon); all sites if no region is named.
+    Names without a mask count nothing. (lat0, lon0) is the middle of the first cell."""
+    if not names:
+        return sites
+    wanted = masks.where(F.col("region").isin(names)).select(F.col("ilat").cast("int").alias("_i"), F.col("ilon").cast("int").alias("_j")).distinct()
+    at = sites.withColumns({"_i": nearest_index(F.col("lat"), lat0, step, rows), "_j": nearest_index(F.col("lon"), lon0, step, columns)})
+    return at.join(wanted, ["_i", "_j"], "left_semi").drop("_i", "_j")
+
+
+def isolated_folds(alone: DataFrame, k: int, seed: int = 20230130, key: str = "site") -> DataFrame:
+    """(key, fold) of sites that stand alone: folds by hash; with fewer sites than folds, the sites and as many blanks as are
+    missing are dealt one to a fold in hash order, so that no fold gets two and the folds of the blanks have none."""
+    few = alone.select(key).limit(k).count() < k
+    if not few:
+        return alone.select(key, fold_of(F.col(key), k, seed).alias("fold"))
+    named = alone.select(F.col(key), F.col(key).cast("string").alias("_n"))  # fewer than k rows
+    blank = alone.sparkSession.range(k - named.count()).select(F.lit(None).cast(alone.schema[key].dataType).alias(key), F.concat(F.lit("blank "), F.col("id").cast("string")).alias("_n"))
+    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col("_n"))), "_n")
+    dealt = named.unionByName(blank).withColumn("fold", (F.row_number().over(order) - 1).cast("long"))
+    return dealt.where(F.col(key).isNotNull()).select(key, "fold")
+
+
 def cluster_folds(sites: DataFrame, k: int, seeds: int, seed: int = 20230130, key: str = "site") -> DataFrame:
     """(key, fold) by leave-cluster-out: fold after fold, ``seeds`` unused sites in hash order become cluster seeds, and
     the unused sites nearest to a seed are its test sites, up to the distance of the fold's quota-th (ties included).

@@ -299,15 +299,17 @@ def h13(spark, d):
     return reference_means(spark, d).select("ilat", "ilon", "year", "mon", "tier", R("s").alias("s"), R("g").alias("g"))
 
 
+#: Sums of the same numbers in another order differ in their last bits; this much more, ties round the same way.
+_NUDGE = 1e-8
 _H14 = with_("grid") + _CAND + _REF + """, p as (select ilat, ilon, year, mon, max(case when tier=1 then s end) s1, max(case when tier=1 then m end) m1, max(case when tier=2 then s end) s2, max(case when tier=2 then m end) m2, max(case when tier=3 then s end) s3, max(case when tier=3 then m end) m3 from r group by all),
- f as (select y.ilat, y.ilon, y.year, y.mon, round_even(coalesce(sat, gchp/nullif(m1,0)*s1, gchp/nullif(m2,0)*s2, gchp/nullif(m3,0)*s3, gchp),6) as v, case when sat is not null then 0 when gchp/nullif(m1,0)*s1 is not null then 1 when gchp/nullif(m2,0)*s2 is not null then 2 when gchp/nullif(m3,0)*s3 is not null then 3 when gchp is not null then 4 end as tier from grid y left join p using (ilat, ilon, year, mon))"""
+ f as (select y.ilat, y.ilon, y.year, y.mon, round_even(coalesce(sat, gchp/nullif(m1,0)*s1, gchp/nullif(m2,0)*s2, gchp/nullif(m3,0)*s3, gchp)+1e-8,6) as v, case when sat is not null then 0 when gchp/nullif(m1,0)*s1 is not null then 1 when gchp/nullif(m2,0)*s2 is not null then 2 when gchp/nullif(m3,0)*s3 is not null then 3 when gchp is not null then 4 end as tier from grid y left join p using (ilat, ilon, year, mon))"""
 
 
 def filled(spark, d):
     p = reference_means(spark, d).groupBy("ilat", "ilon", "year", "mon").pivot("tier", [1, 2, 3]).agg(F.first("s").alias("s"), F.first("g").alias("g"))
     y = frame(spark, d, "grid").join(p, ["ilat", "ilon", "year", "mon"], "left")
     v, tier = G.tiered_fill(col("sat"), col("gchp"), [(col(f"{k}_g"), col(f"{k}_s")) for k in (1, 2, 3)], col("gchp"))
-    return y.select("ilat", "ilon", "year", "mon", R(v).alias("v"), tier.alias("tier"))
+    return y.select("ilat", "ilon", "year", "mon", R(v + _NUDGE).alias("v"), tier.alias("tier"))
 
 
 @query("h14_tiered_fill", _H14 + " select * from f")
@@ -320,6 +322,24 @@ def h14_counts(spark, d):
     return filled(spark, d).groupBy("year", "mon", "tier").agg(F.count("*").alias("n"))
 
 
+_H14_GEO = with_("grid") + _CAND + _REF + """, p as (select ilat, ilon, year, mon, max(case when tier=1 then s end) s1, max(case when tier=1 then m end) m1, max(case when tier=2 then s end) s2, max(case when tier=2 then m end) m2, max(case when tier=3 then s end) s3, max(case when tier=3 then m end) m3 from r group by all),
+ e as (select y.*, p.*, least(greatest(case when sat > 0 then gchp/sat else 0 end, 0.0003e0), 0.002e0) as eta, case when sat > 0 then sat * least(greatest(gchp/sat, 0.0003e0), 0.002e0) end as geo from grid y left join p using (ilat, ilon, year, mon)),
+ f as (select ilat, ilon, year, mon, geo, gchp/nullif(m1,0)*s1*eta as g1, gchp/nullif(m2,0)*s2*eta as g2, gchp/nullif(m3,0)*s3*eta as g3, gchp*eta as g4 from e)
+ select ilat, ilon, year, mon, round_even(coalesce(geo, g1, g2, g3, g4)+1e-8,6) as v, case when geo is not null then 0 when g1 is not null then 1 when g2 is not null then 2 when g3 is not null then 3 when g4 is not null then 4 end as tier from f"""
+
+
+@query("h14_geo_fill", _H14_GEO)
+def h14_geo(spark, d):
+    """Surface values: the satellite's column times the month's surface-to-column ratio, all tiers of the fill times it, too."""
+    p = reference_means(spark, d).groupBy("ilat", "ilon", "year", "mon").pivot("tier", [1, 2, 3]).agg(F.first("s").alias("s"), F.first("g").alias("g"))
+    y = frame(spark, d, "grid").join(p, ["ilat", "ilon", "year", "mon"], "left")
+    held = lambda x: F.least(F.greatest(x, F.lit(0.0003)), F.lit(0.002))
+    seen = col("sat") > 0
+    y = y.withColumns({"eta": held(F.when(seen, col("gchp") / col("sat")).otherwise(0.0)), "geo": F.when(seen, col("sat") * held(col("gchp") / col("sat")))})
+    v, tier = G.tiered_fill(col("geo"), col("gchp"), [(col(f"{k}_g"), col(f"{k}_s")) for k in (1, 2, 3)], col("gchp"), col("eta"))
+    return y.select("ilat", "ilon", "year", "mon", R(v + _NUDGE).alias("v"), tier.alias("tier"))
+
+
 @query("j10_fold_report", _PAIRS + ", s as (select site from sites), n as (select site % 3 as fold, site, min(km) as km from p where km > 0.01 and site2 % 3 <> site % 3 group by all), x as (select distinct site2 % 3 as fold, site from p where km <= 40 and site2 % 3 <> site % 3), t as (select f.f as fold, sum(case when site % 3 = f.f then 1 else 0 end) as test, sum(case when site % 3 <> f.f then 1 else 0 end) as other from s, range(3) f(f) group by all) select t.fold, cast(test as bigint) as test, cast(other - (select count(*) from x where x.fold = t.fold) as bigint) as train, (select count(*) from x where x.fold = t.fold) as excluded, (select round_even(avg(km),3) from n where n.fold = t.fold) as km from t")
 def j10(spark, d):
     """Per fold: test, training and excluded sites (within 40 km of a test site), and the mean distance to the nearest."""

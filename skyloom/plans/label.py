@@ -107,9 +107,18 @@ def b19(spark, d):
     return frame(spark, d, "nation").where(~col("n_nationkey").isin(1, 2)).select("n_nationkey", U.slug(col("n_name")).alias("slug"))
 
 
-@query("b20_pattern_metadata", "select c_custkey, coalesce(nullif(regexp_extract(c_name, '#0*([0-9]+)$', 1), ''), c_name) as station from customer")
+_HEADS = "concat(case when c_custkey % 3 = 0 then 'Report' else concat('Station Name: ', c_name, ', region ', c_nationkey) end, chr(10), 'Date Time,', case when c_custkey % 4 = 0 then 'SO2' else 'SO2,NO2' end, chr(10), ',ug/m3', case when c_custkey % 4 = 0 then '' when c_custkey % 2 = 0 then ',ppb' else ', ppm ' end)"
+
+
+@query("b20_pattern_metadata", f"with h as (select c_custkey, {_HEADS} as h from customer) select c_custkey, coalesce(nullif(trim(regexp_extract(h, 'Station Name:\\s*([^,\\n]+)', 1)), ''), concat('site_', c_custkey, '.v2')) as station, case when c_custkey % 4 = 0 then null when c_custkey % 2 = 0 then 'ppb' else 'ppm' end as unit from h")
 def b20(spark, d):
-    return frame(spark, d, "customer").select("c_custkey", F.coalesce(F.nullif(F.regexp_extract("c_name", "#0*([0-9]+)$", 1), F.lit("")), "c_name").alias("station"))
+    """Station from a header line, else from the file's name; unit from the cell under the variable's."""
+    k = col("c_custkey")
+    name = F.when(k % 3 == 0, "Report").otherwise(F.concat(F.lit("Station Name: "), "c_name", F.lit(", region "), col("c_nationkey").cast("string")))
+    columns = F.when(k % 4 == 0, "Date Time,SO2").otherwise("Date Time,SO2,NO2")
+    units = F.concat(F.lit(",ug/m3"), F.when(k % 4 == 0, "").when(k % 2 == 0, ",ppb").otherwise(", ppm "))
+    x = frame(spark, d, "customer").select("c_custkey", F.concat_ws("\n", name, columns, units).alias("h"), F.concat(F.lit("/data/2020/site_"), k.cast("string"), F.lit(".v2.xlsx")).alias("path"))
+    return x.select("c_custkey", U.station_name(col("h"), col("path")).alias("station"), U.header_unit(col("h"), "NO2").alias("unit"))
 
 
 @query("c2_melt", "select p_partkey, 'p_size' as name, cast(p_size as double) as v from part union all select p_partkey, 'p_retailprice', p_retailprice from part")

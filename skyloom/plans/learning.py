@@ -156,12 +156,13 @@ _LONE = 30.0
 _ISOLATED = f", nn as (select a.site, min({_KM}) as km from all_sites a, all_sites b where a.site <> b.site and {_KM} > 0.1 group by a.site), alone as (select site from nn where km >= {_LONE}), sites as (select * from all_sites where site not in (select site from alone))"
 
 
-@query("l8_self_isolated", with_("sites").replace("with sites as", "with all_sites as", 1) + _ISOLATED + _cluster_sql() + f" select site, fold, 0 as isolated from folds union all select site, cast(concat('0x', substr(md5(concat('{_SEED}-', site)), 1, 8)) as bigint) % {_K}, 1 from alone")
+@query("l8_self_isolated", with_("sites").replace("with sites as", "with all_sites as", 1) + _ISOLATED + _cluster_sql() + f" select site, fold, 0 as isolated from folds union all select site, case when (select count(*) from alone) >= {_K} then cast(concat('0x', substr(md5(concat('{_SEED}-', site)), 1, 8)) as bigint) % {_K} else (select count(*) from (select concat('{_SEED}-', site) as x from alone union all select concat('{_SEED}-blank ', b.i) from range({_K}) b(i) where b.i < {_K} - (select count(*) from alone)) where md5(x) < md5(concat('{_SEED}-', alone.site))) end, 1 from alone")
 def l8(spark, d):
     sites = frame(spark, d, "sites").select("site", "lat", "lon")
     near = J.knn_join(sites, sites, 1, 0.1).select("site", "km")
-    alone = sites.join(near.where(col("km") >= _LONE), "site", "left_semi").select("site", fold_of(col("site"), _K, _SEED).alias("fold"), F.lit(1).alias("isolated"))
-    rest = sites.join(alone, "site", "left_anti")
+    lone = sites.join(near.where(col("km") >= _LONE), "site", "left_semi")
+    alone = S.isolated_folds(lone, _K, _SEED).select("site", "fold", F.lit(1).alias("isolated"))
+    rest = sites.join(lone, "site", "left_anti")
     return S.cluster_folds(rest, _K, _SEEDS, _SEED).select("site", col("fold").cast("long").alias("fold"), F.lit(0).alias("isolated")).unionByName(alone)
 
 
@@ -364,13 +365,13 @@ def a6(spark, d):
     return cells.select(F.substring("file", 6, 4).cast("int").alias("year"), F.substring("file", 10, 2).cast("int").alias("mon"), "ilat", "ilon", R("v").alias("v"))
 
 
-@query("a7_channel_catalog", with_("grid") + """, m as (select distinct year, mon from grid) select 'geo' as channel, year, mon, ilat, ilon, round_even(gchp,6) as v from grid
- union all select 'annual_geo', m.year, m.mon, ilat, ilon, round_even(a.v,6) from (select ilat, ilon, year, avg(gchp) as v from grid group by all) a join m using (year) union all select 'base', m.year, m.mon, ilat, ilon, round_even(a.v,6) from (select ilat, ilon, avg(gchp) as v from grid group by all) a cross join m
- union all select 'no2', year, mon, ilat, ilon, round_even(case when year*100+mon <= 199806 then sat else gchp end,6) from grid""")
+@query("a7_channel_catalog", with_("grid") + """, m as (select distinct year, mon from grid) select 'geo' as channel, year, mon, ilat, ilon, round_even(gchp,9) as v from grid
+ union all select 'annual_geo', m.year, m.mon, ilat, ilon, round_even(a.v,9) from (select ilat, ilon, year, avg(gchp) as v from grid group by all) a join m using (year) union all select 'base', m.year, m.mon, ilat, ilon, round_even(a.v,9) from (select ilat, ilon, avg(gchp) as v from grid group by all) a cross join m
+ union all select 'no2', year, mon, ilat, ilon, round_even(case when year*100+mon <= 199806 then sat else gchp end,9) from grid""")
 def a7(spark, d):
     g = frame(spark, d, "grid")
     catalog = [("geo", "gchp", "monthly"), ("annual_geo", "gchp", "annual"), ("base", "gchp", "static"), ("no2", "sat", "early"), ("no2", "gchp", "late")]
-    return I.catalogued(g, catalog, g.select("year", "mon"), 199806).withColumn("v", R("v"))
+    return I.catalogued(g, catalog, g.select("year", "mon"), 199806).withColumn("v", R("v", 9))
 
 
 @query("a1_point_files", with_("obs") + "select concat('P', site) as site, year, mon, round_even(no2,6) as no2 from obs where year = 1996")

@@ -66,9 +66,22 @@ def l2(spark, d):
     return S.stratified_folds(frame(spark, d, "sites"), 5).select("site", "region", "fold")
 
 
-@query("l3_region_filter", with_("sites") + "select site from sites where region in (1, 3)")
+#: Overlapping region masks on a grid of one degree.
+_MASKS = ", mask as (select 'north' as region, y.i as ilat, x.i as ilon from range(20, 30) y(i), range(0, 40) x(i) union all select 'west', y.i, x.i from range(0, 30) y(i), range(0, 9) x(i) union all select 'south', y.i, x.i from range(0, 8) y(i), range(0, 40) x(i)), spot as (select site, least(greatest(round_even(lat-30.5e0,0),0),29) as ilat, least(greatest(round_even(lon+9.5e0,0),0),39) as ilon from sites)"
+
+
+def masks(spark):
+    """Rectangles of cells (region, ilat, ilon), as a region's raster would give them."""
+    box = lambda n, y0, y1, x1: spark.range(y0, y1).select(F.lit(n).alias("region"), col("id").alias("ilat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x1 - 1).cast("long"))).alias("ilon"))
+    return box("north", 20, 30, 40).unionByName(box("west", 0, 30, 9)).unionByName(box("south", 0, 8, 40))
+
+
+@query("l3_region_filter", with_("sites") + _MASKS + " select distinct 'two' as wanted, site from spot join mask using (ilat, ilon) where region in ('north', 'west') union all select 'all', site from sites")
 def l3(spark, d):
-    return frame(spark, d, "sites").where(col("region").isin(1, 3)).select("site")
+    """Sites in the union of two masks, and those for an empty list of regions: all."""
+    s, m = frame(spark, d, "sites"), masks(spark)
+    of = lambda names: S.in_regions(s, m, names, 30.5, -9.5, 1.0, 30, 40).select("site")
+    return of(["north", "west", "no such region"]).select(F.lit("two").alias("wanted"), "site").unionByName(of([]).select(F.lit("all").alias("wanted"), "site"))
 
 
 @query("l4_sample_folds", with_("obs") + f"select site, year, mon, {_FOLD.format(k='site*100000+year*12+mon', n=5)} as fold from obs")
@@ -325,6 +338,18 @@ def n7(spark, d):
     return frame(spark, d, "cv").groupBy("region").agg(*[R(x, digits.get(k, 6)).alias(k) for k, x in t.items()]).where("slope is not null")
 
 
+_WEIGHTED = with_("cv") + """, c as (select region, obs as x, pred as y, pop as vy, pop * 2 + 1 as vx from cv),
+ t as (select region, (sum(x*y/vy)-sum(x/vy)*sum(y/vy)/sum(1/vy))/(sum(x*x/vy)-sum(x/vy)*sum(x/vy)/sum(1/vy)) as a, (sum(y*y/vx)-sum(y/vx)*sum(y/vx)/sum(1/vx))/(sum(x*y/vx)-sum(x/vx)*sum(y/vx)/sum(1/vx)) as b, sum(x*y/vy)/sum(x*x/vy) as a0, sum(y*y/vx)/sum(x*y/vx) as b0, quantile_cont(y,0.5) as my, quantile_cont(x,0.5) as mx from c group by region)
+ select region, round_even(sign(a)*sqrt(a*b),6) as slope, round_even(my-sign(a)*sqrt(a*b)*mx,3) as icpt, round_even(sign(a)*sqrt(a/b),6) as r, round_even(sign(a0)*sqrt(a0*b0),6) as slope0 from t"""
+
+
+@query("n7_type_two_weighted", _WEIGHTED)
+def n7_weighted(spark, d):
+    """Reduced major axis of two weighted regressions; the variances come with the rows."""
+    t = N.type_two_weighted(col("obs"), col("pred"), col("pop") * 2 + 1, col("pop"))
+    return frame(spark, d, "cv").groupBy("region").agg(*[R(x, 3 if k == "icpt" else 6).alias(k) for k, x in t.items()])
+
+
 def _r2_sql(x, y):
     return f"case when regr_count({y},{x}) > 0 then case when regr_sxx({y},{x}) = 0 or regr_syy({y},{x}) = 0 then 0 else coalesce(pow(corr({x},{y}),2),0) end end"
 

@@ -376,3 +376,47 @@ def test_singular_covariance_raises(spark):
     df = spark.createDataFrame([("a", [float(k), 2.0 * k]) for k in range(9)], "part string, v array<double>")
     with pytest.raises(Exception, match="singular"):
         uncertainty.group_shapes(df, "part", "v", 2).collect()
+
+
+def test_isolated_folds_are_padded(spark):
+    """Fewer sites than folds: one to a fold; else folds by hash."""
+    from skyloom.operators import splits
+
+    few = spark.createDataFrame([(3,), (8,), (11,)], "site long")
+    got = {r.site: r.fold for r in splits.isolated_folds(few, 5).collect()}
+    assert set(got) == {3, 8, 11} and len(set(got.values())) == 3 and set(got.values()) <= set(range(5))
+    assert splits.isolated_folds(few.limit(0), 5).count() == 0
+    many = splits.isolated_folds(spark.range(40).withColumnRenamed("id", "site"), 5).collect()
+    assert len(many) == 40 and {r.fold for r in many} <= set(range(5))
+
+
+def test_weighted_type_two(spark):
+    from skyloom.operators import metrics
+
+    rng = np.random.default_rng(17)
+    x = rng.normal(5, 2, 60)
+    y, vx, vy = 1.7 * x + rng.normal(0, 1, 60), rng.uniform(0.5, 3, 60), rng.uniform(0.5, 3, 60)
+    rows = [*map(lambda r: tuple(map(float, r)), zip(x, y, vx, vy)), (1.0, None, 1.0, 1.0), (1.0, 2.0, 0.0, 1.0)]
+    t = metrics.type_two_weighted(*map(F.col, ("x", "y", "vx", "vy")))
+    got = spark.createDataFrame(rows, "x double, y double, vx double, vy double").agg(*[c.alias(k) for k, c in t.items()]).first()
+    a, b = np.polyfit(x, y, 1, w=1 / np.sqrt(vy))[0], 1 / np.polyfit(y, x, 1, w=1 / np.sqrt(vx))[0]
+    a0, b0 = (x * y / vy).sum() / (x * x / vy).sum(), (y * y / vx).sum() / (x * y / vx).sum()
+    assert math.isclose(got.slope, math.sqrt(a * b)) and math.isclose(got.r, math.sqrt(a / b)) and math.isclose(got.slope0, math.sqrt(a0 * b0))
+    assert math.isclose(got.icpt, np.median(y) - math.sqrt(a * b) * np.median(x))
+
+
+def test_fill_with_ratio(spark):
+    """Tiers and the last resort come to the surface by eta; a value is there already; a reference of 0 gives no guess."""
+    df = spark.createDataFrame([(7.0, 2.0, 4.0, 8.0, 0.5), (None, 2.0, 4.0, 8.0, 0.5), (None, 2.0, 0.0, 8.0, 0.5), (None, None, 4.0, 8.0, 0.5)], "v double, g double, m double, s double, eta double")
+    c = F.col
+    v, tier = raster.tiered_fill(c("v"), c("g"), [(c("m"), c("s"))], c("g"), c("eta"))
+    assert [tuple(r) for r in df.select(v, tier).collect()] == [(7.0, 0), (2.0, 1), (1.0, 2), (None, None)]
+
+
+def test_header_metadata(spark):
+    from skyloom.functions import units
+
+    rows = [("Station Name: A B, x\nDate Time,NO2\n,ppb", "/d/f.1.xlsx"), ("none\nNO2 , SO2\n ppm,ug", "f.csv"), ("x\nDate Time,NO2", "a/b"), (None, "a/b.txt")]
+    df = spark.createDataFrame(rows, "h string, p string")
+    got = df.select(units.station_name(F.col("h"), F.col("p")), units.header_unit(F.col("h"), "NO2")).collect()
+    assert [tuple(r) for r in got] == [("A B", "ppb"), ("f", "ppm"), ("b", None), ("b", None)]
