@@ -10,13 +10,17 @@ the innermost structural tag around it. The vectors of a host decide on the slot
 * a slot is boilerplate if most of its text are blocks of other pages, too, or links, and content if little of it is and
   it has ``LONG`` characters a page;
 * the article is where the template has an article (or main) tag: the one of the root class, if there is one, so that a
-  list of teasers in article tags is none; elsewhere all slots that are not dropped;
+  list of teasers in article tags is none;
+* without such a tag the article is in the content slots of the root class (once on every page), whatever they are called,
+  if they hold ``MOST`` of the host's new text; even a slot with a furniture word holds it, if it has so much of the text
+  alone. What stands outside, as slots that a page may have or not or have often, is left out: responses of readers vary
+  like an article, but are no part of the root;
+* else the text of all slots counts that are not dropped;
 * boilerplate slots are dropped, whatever they are called; compound class words (share-price, related-work) mark
   furniture only where the template does not say content and the slot is not in the article.
 
 Tags that mean furniture (nav, aside, footer; header outside the article, form around no article) and plain class words
-(ad, sidebar, comments) mark it on every page, with or without a template, as adverts and reader comments vary from page to
-page like an article does. On hosts with fewer pages names alone decide.
+(ad, sidebar, comments) mark it on every page, with or without a template, but for the slot of the article. On hosts with fewer pages names alone decide.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one
 space. Scripts, styles, comments and markup never count.
@@ -183,9 +187,21 @@ def templates(pages: DataFrame) -> DataFrame:
     boiler = seen & ((F.col("again") >= MOST * F.col("chars")) | (F.col("linked") >= MOST * F.col("chars")))
     content = seen & (F.col("again") <= LEAST * F.col("chars")) & (F.col("linked") <= LEAST * F.col("chars")) & (F.col("chars") >= LONG * F.col("pages"))
     pick = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("token"))))
-    said = valid.where(main | (boiler & F.col("named").isin("", "compound")) | (content & (F.col("named") == "compound")))
-    said = said.groupBy("host").agg(pick(main & root).alias("roots"), pick(main).alias("mains"), pick(boiler & ~main).alias("dropped"), pick(content & ~main).alias("content"))
-    return said.select("host", F.when(F.size("roots") > 0, F.col("roots")).otherwise(F.col("mains")).alias("main"), "dropped", "content")
+    whole = F.regexp_extract("token", r"(?:^|>)(html|body)(?:\.|$)", 1) != ""
+    slot = content & root & ~whole
+    # new text by who holds it: slots of the root class, a furniture word's slot alone, the page itself, others
+    fresh = F.greatest(F.col("chars") - F.greatest("again", "linked"), F.lit(0)).cast("double")
+    plain = F.col("named").isin("", "compound")
+    text = lambda c: F.coalesce(F.sum(F.when(c, fresh)), F.lit(0.0))
+    alone = F.max(F.when(slot & (F.col("named") == "word"), F.struct(fresh.alias("n"), F.col("token").alias("t"))))
+    said = valid.groupBy("host").agg(
+        pick(main & root).alias("roots"), pick(main).alias("mains"), pick(slot & plain).alias("slots"), pick(boiler & plain).alias("dropped"), pick(content & (F.col("named") == "compound")).alias("content"),
+        text(slot & plain).alias("n_slots"), text(content & whole).alias("n_page"), text(plain | whole).alias("n_plain"), text(F.lit(True)).alias("n_all"), alone.alias("alone"),
+    )
+    led = (F.col("n_slots") >= MOST * F.col("n_plain")) & (F.col("n_page") == 0) & (F.size("slots") > 0)
+    lone = (F.col("alone.n") >= MOST * F.col("n_all")) & (F.col("n_page") == 0)
+    place = F.when(F.size("roots") > 0, F.col("roots")).when(F.size("mains") > 0, F.col("mains")).when(lone, F.array("alone.t")).when(led, F.col("slots")).otherwise(F.array().cast("array<string>"))
+    return said.select("host", place.alias("main"), "dropped", "content").where("size(main) + size(dropped) + size(content) > 0")
 
 
 def standing(stack: list[tuple[str, str]], main: frozenset, dropped: frozenset, content: frozenset) -> tuple[bool, bool]:
@@ -194,7 +210,7 @@ def standing(stack: list[tuple[str, str]], main: frozenset, dropped: frozenset,
     inside = [i for i, (_, k) in enumerate(stack) if (k in main if main else names[i] == "main")]
     first, last = (inside[0], inside[-1]) if inside else (len(stack), -1)
     for i, name in enumerate(names):
-        if name in ("always", "word") or name == "header" and i < first or name == "around" and i > last:
+        if name == "always" or name == "word" and stack[i][1] not in main or name == "header" and i < first or name == "around" and i > last:
             return True, False
         if name == "compound" and i < first and stack[i][1] not in content and not inside:
             return True, False

@@ -496,6 +496,26 @@ def test_main_text_template(spark):
     assert len(got) == len(rows) + 1 and all(want[i] == t and len(t) == n for i, t, n in got)
 
 
+def test_main_text_unlisted_names(spark):
+    """Root slots against slots that vary: no name on these pages is in the list, or the list is wrong about it."""
+    from skyloom.llm.htmltext import extract, main_text
+
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    links = lambda: "".join(f"<a href=/{k}>{word(3)}</a> " for k in range(6))
+    rows, want = [], {}
+    for k in range(8):
+        a, lead = word(120), word(40)
+        answers = "".join(f"<section class=reader-responses>{word(30)}</section>" for _ in range(k % 3))
+        rows.append((k, "https://f.example/1", f"<body><div class=gdpr-bar>we store some things on your device</div><div class=lede>{lead}</div><div class=story><p>{a[:200]}<p>{a[200:]}<div class=zz9>{links()}</div></div>{answers}<div class=most-read>{links()}</div></body>"))
+        want[k] = " ".join([lead, a[:200].strip(), a[200:].strip()])
+        rows.append((10 + k, "https://g.example/1", f"<body><div class=top3>{links()}</div><div id=share><h1>{lead}</h1>{a}</div><div class=recommended>{links()}</div>{answers}</body>"))
+        want[10 + k] = f"{lead} {a}"
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert all(extract(h) != want[i] for i, _, h in rows)  # names alone do not give it
+
+
 def test_toxicity(spark, odd, empty):
     """Held-out accuracy on the labels of sf0.1; ties, repeated rows, empty and very long texts."""
     from skyloom.llm.toxicity import toxicity
