@@ -18,7 +18,9 @@ At similarity 0.8 a bit of two fingerprints differs with p = acos(8/9) / pi = 0.
 differ in 8e-7 of all cases (binomial).
 
 Nulls: a null text has no words; a null doc_id is reported like any other; an item with null text or item_id matches
-nothing. Repeated rows are reported once per (doc_id, item). Other columns are ignored.
+nothing. Repeated rows are reported once per (doc_id, item). Ties: of equally similar windows of a pair the one that starts
+first is reported. Very long texts are read whole; an empty table (or benchmark) gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations

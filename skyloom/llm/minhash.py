@@ -18,7 +18,8 @@ With ``bands=40, rows=5`` a pair at similarity 0.8 shares no bucket with probabi
 
 Nulls: a null text counts as no words; a null doc_id is returned, unlinked, with a null component and kept = true.
 Repeated rows are returned as often as they come, as members of one group; rows of one doc_id count as one document.
-Other columns are ignored. An empty table gives an empty result.
+Ties: of equal sets the smallest doc_id stands for all. Very long texts are shingled whole, in parts. Other columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Ids come from the rank file of the byte-level BPE vocabulary, whose path is a pa
 installed with the tokenizer package); the tests hold them against the vocabulary's other form, read by ``tokenizers``.
 
 Nulls: a null text counts as empty (one piece with the end id). A null doc_id is packed like any other. Repeated rows
-are packed as often as they come. Other columns are ignored; an empty table gives an empty result.
+are packed as often as they come. Very long texts are encoded whole and cut; ties: which of the pieces of one length takes
+which place is free, lengths and counts decide the plan. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
