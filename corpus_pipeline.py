@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
 stage's ``docs``; all but the last return the columns of documents.
+
+Every stage follows its operator in nulls, empty and very long texts, ties and repeated rows: a null or empty text fails the
+quality rules, rows with a null doc_id pass near-dedup and decontamination (no id can be named for them), rows with one
+doc_id share one fate in both, an empty table gives an empty result, and columns beside those of documents are carried
+through under their own names up to the last stage, whatever they are called.
 """
 
 from __future__ import annotations
