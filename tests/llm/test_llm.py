@@ -292,6 +292,19 @@ def test_line_dedup_recall_by_length(spark, docs):
         assert {r.doc_id: (r.text, r.n_removed_lines, r.n_removed_chunks) for r in got} == lines_left(part)
 
 
+def test_line_dedup_hot_chunks(spark, monkeypatch):
+    """A chunk that is met in parts gives the same rows."""
+    from skyloom.llm import linededup
+
+    rows = [(i, "\n".join([f"own {i}", *[f"everywhere {j}" for j in range(4)], f"end {i}", *[f"seldom {i // 2} {j}" for j in range(4)]])) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    want = lines_left(rows)
+    for hot in (256, 10, 1):
+        monkeypatch.setattr(linededup, "HOT", hot)
+        got = linededup.line_dedup(df).collect()
+        assert len(got) == 61 and {r.doc_id: (r.text, r.n_removed_lines, r.n_removed_chunks) for r in got} == want
+
+
 def test_line_dedup_boundaries_decide(spark):
     """Boundaries do not move with lines elsewhere, and a passage goes whole although not all its places are boundaries."""
     from skyloom.llm.linededup import boundaries, line_dedup, with_lines
