@@ -35,7 +35,7 @@ COMMON = {
 MIN_CHARS, MIN_WORDS = 400, 120
 #: Fewest documents of a language's own reference; most references that are broadcast (about 200 bytes each), more are joined.
 LEAST_DOCS, LANGUAGES = 20, 100_000
-MAX_CHAR_DISTANCE, MAX_POOLED_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.4, 0.29
+MAX_CHAR_DISTANCE, MAX_POOLED_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.4, 0.293
 #: Character classes by what is deleted to count them.
 CLASSES = ["a-z", r"\x20\x09-\x0D", "A-Z", "0-9", r"#*$%&|<>", r"\x00-\x08\x0E-\x1F!\x22'-)+-/:;=?@\x5B-\x60{}~\x7F"]
 #: Classes (by their place, the last being all others) that the pooled reference takes together.
