@@ -29,7 +29,8 @@ def k1_patches(spark, d):
     off = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
     s = frame(spark, d, "sites").select("site", F.explode(off).alias("dy")).withColumn("dx", F.explode(off))
     s = s.withColumns({"ilat": col("site") % 20 + col("dy"), "ilon": col("site") % 25 + col("dx")})
-    return s.join(g, ["ilat", "ilon"]).select("site", "dy", "dx", "v")
+    # estimates leave out that explode multiplies the sites, so without the hint they would be broadcast whole
+    return s.join(g.hint("merge"), ["ilat", "ilon"]).select("site", "dy", "dx", "v")
 
 
 @query("k3_append_channels", with_("obs", "obs2") + "select o.site, o.year, o.mon, round_even(o.no2,6) as no2, round_even(coalesce(b.no2,0),6) as extra from obs o left join obs2 b using (site, year, mon)")
