@@ -64,8 +64,10 @@ def overlap_report(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 
 def spikes(obs: DataFrame, ratio: float = 2.5, floor: float = 3.0) -> DataFrame:
-    """Adds ``spike``: over ``ratio`` times the mean of the adjacent months, where that mean is over ``floor``."""
-    w = Window.partitionBy("lat", "lon").orderBy("t")
+    """Adds ``spike``: over ``ratio`` times the mean of the adjacent months, where that mean is over ``floor``.
+
+    Months of several sites at one place follow each other by site, so that every run finds the same neighbours."""
+    w = Window.partitionBy("lat", "lon").orderBy("t", *[c for c in ("site",) if c in obs.columns])
     near = lambda f, d: F.when(f("t").over(w) == F.col("t") + d, f("no2").over(w))
     x = obs.withColumn("t", F.col("year") * 12 + F.col("mon")).withColumns({"_p": near(F.lag, -1), "_n": near(F.lead, 1)})
     mean = F.when(F.col("_p").isNull(), F.col("_n")).when(F.col("_n").isNull(), F.col("_p")).otherwise((F.col("_p") + F.col("_n")) / 2)

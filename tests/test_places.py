@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from test_queries import close, rows
 
+from skyloom.operators import label as label_ops
 from skyloom.operators import spatial, splits
 from skyloom.plans import coverage, fields, label, learning, model, registry  # noqa: F401
 
@@ -56,3 +57,11 @@ def test_counts_of_crowded_places(spark):
     s = spark.range(250000).selectExpr("id as site", "50.0D + id % 3 as lat", "5.0D as lon")
     got = {r.lat: (r.n, r["count"]) for r in spatial.radius_counts(s, s, 120.0).groupBy("lat", "n").count().collect()}
     assert got == {50.0: (166667, 83334), 51.0: (250000, 83333), 52.0: (166666, 83333)}
+
+
+def test_spikes_of_sites_at_one_place(spark):
+    """The last site of a month meets the next month, the first one the month before, in whatever order rows come."""
+    data = [(site, 50.0, 5.0, 1999, mon, 4.0 if mon != 2 else 90.0) for mon in (1, 2, 3) for site in range(1, 8)]
+    for order in (data, data[::-1]):
+        df = spark.createDataFrame(order, "site long, lat double, lon double, year int, mon int, no2 double").coalesce(1)
+        assert {r.site for r in label_ops.spikes(df).where("spike").collect()} == {1, 7}
