@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from skyloom.functions.units import sensor_type
+from skyloom.sources.tables import settled
 
 #: Byte order mark, zero-width characters and line ends that names are freed of.
 INVISIBLE = r"[\x{FEFF}\x{200B}\x{200C}\x{200D}\r\n]"
@@ -102,33 +103,69 @@ def _grams(df: DataFrame, name: str, side: int) -> DataFrame:
     return df.withColumns({"_side": F.lit(side), "_g": nth})
 
 
+#: Longest names whose one-edit neighbours are looked up by their variants.
+SHORT = 100
+
+
+def _alike(names: DataFrame, sites: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """(keys, name, site_name, score): all pairs of distinct names under equal keys with a score of at least ``least``.
+
+    Each edit breaks two pairs of characters at most, so two names, the longer of n characters, share n + 1 - 2 * edits of
+    them, which is at least 1 + (2 * least - 1) * n. They meet in the rarest pairs that either has over that number.
+    """
+    both = _grams(names.withColumnRenamed("name", "_name"), "_name", 0).unionByName(_grams(sites.withColumnRenamed("site_name", "_name"), "_name", 1))
+    each = both.withColumn("_h", F.explode_outer("_g"))  # outer: else Spark asks for its size as well, below the distinct
+    rare = each.groupBy(*keys, "_h").agg(F.count("*").alias("_c"))
+    order = F.transform(F.sort_array(F.collect_list(F.struct("_c", "_h"))), lambda z: z["_h"])
+    ranked = each.join(rare, [*keys, "_h"]).groupBy(*keys, "_name", "_side").agg(order.alias("_g"))
+    shared = F.ceil(1 + (2 * (least - 1e-6) - 1) * F.length("_name"))
+    first = ranked.withColumn("_h", F.explode_outer(F.slice("_g", 1, F.least(F.size("_g"), (F.size("_g") - shared + 1).cast("int")))))
+    left = first.where("_side = 0").select(*keys, "_h", F.col("_name").alias("name"))
+    right = first.where("_side = 1").select(*keys, "_h", F.col("_name").alias("site_name"))
+    longer = F.greatest(F.length("name"), F.length("site_name"))
+    met = left.join(right, [*keys, "_h"]).where(F.least(F.length("name"), F.length("site_name")) >= (least - 1e-6) * longer).select(*keys, "name", "site_name").distinct()
+    return met.withColumn("score", F.bround(1 - F.levenshtein("name", "site_name") / longer, 6)).where(F.col("score") >= least)
+
+
 def fuzzy_sites(names: DataFrame, sites: DataFrame, group: str, least: float = 0.7) -> DataFrame:
     """(group, name, site_name, score): the site of equal name in the group, else the most similar one of at least
     ``least`` (1 - Levenshtein distance over the longer length; ties go to the smaller name), else no row.
 
-    Exact matches leave by an equi-join first. The others meet over pairs of characters: each edit breaks two of them at
-    most, so two names, the longer of n characters, share n + 1 - 2 * edits, which is at least 1 + (2 * least - 1) * n. They
-    meet in the rarest pairs that either has over that number. Only these are joined; then the distance decides. ``least`` is over one half.
+    Exact matches leave by an equi-join first. A name's shape has 0 for each digit; shapes are no further apart than their
+    names, so only names of shapes that reach ``least`` can match, and names that merely differ in numbers are one shape.
+    Of the rest, names one edit apart share the name or a variant without one character: they meet by equi-joins, and as no
+    site with more edits scores as much, they leave next. The others meet over pairs of characters, under their shapes.
+    ``least`` is over one half.
     """
     if least <= 0.5:
         raise ValueError("least")
     n, s = names.select(group, "name").distinct(), sites.select(group, F.col("name").alias("site_name")).distinct()
     exact = n.join(s, (n[group] == s[group]) & (n["name"] == s["site_name"])).select(n[group], "name", "site_name", F.lit(1.0).alias("score"))
-    rest = n.join(exact.select(group, "name"), [group, "name"], "left_anti")
-    both = _grams(rest.withColumnRenamed("name", "_name"), "_name", 0).unionByName(_grams(s.withColumnRenamed("site_name", "_name"), "_name", 1))
-    each = both.withColumn("_h", F.explode("_g"))
-    rare = each.groupBy(group, "_h").agg(F.count("*").alias("_c"))
-    order = F.transform(F.sort_array(F.collect_list(F.struct("_c", "_h"))), lambda z: z["_h"])
-    ranked = each.join(rare, [group, "_h"]).groupBy(group, "_name", "_side").agg(order.alias("_g"))
-    shared = F.ceil(1 + (2 * (least - 1e-6) - 1) * F.length("_name"))
-    first = ranked.withColumn("_h", F.explode(F.slice("_g", 1, F.least(F.size("_g"), (F.size("_g") - shared + 1).cast("int")))))
-    left = first.where("_side = 0").select(group, "_h", F.col("_name").alias("name"))
-    right = first.where("_side = 1").select(group, "_h", F.col("_name").alias("site_name"))
+    shape = lambda c: F.translate(c, "123456789", "000000000")
+    rest = n.join(exact.select(group, "name"), [group, "name"], "left_anti").withColumn("_shape", shape(F.col("name")))
+    s = s.withColumn("_site_shape", shape(F.col("site_name")))
+    equal = F.col("name") == F.col("site_name")
+    a, b = rest.select(group, F.col("_shape").alias("name")).distinct(), s.select(group, F.col("_site_shape").alias("site_name")).distinct()
+    shapes = a.join(b.withColumn("name", F.col("site_name")), [group, "name"]).select(group, "name", "site_name").unionByName(_alike(a, b, [group], least).where(~equal).select(group, "name", "site_name"))
+    shapes = settled(shapes.select(group, F.col("name").alias("_shape"), F.col("site_name").alias("_site_shape")), "shapes")
+    rest = rest.join(shapes.select(group, "_shape"), [group, "_shape"], "left_semi")
+    s = s.join(shapes.select(group, "_site_shape"), [group, "_site_shape"], "left_semi")
     longer = F.greatest(F.length("name"), F.length("site_name"))
-    met = left.join(right, [group, "_h"]).where(F.least(F.length("name"), F.length("site_name")) >= (least - 1e-6) * longer).select(group, "name", "site_name").distinct()
-    score = 1 - F.levenshtein("name", "site_name") / longer
-    best = met.withColumn("score", F.bround(score, 6)).where(F.col("score") >= least).groupBy(group, "name").agg(F.min(F.struct((-F.col("score")).alias("k"), "site_name")).alias("b"))
-    return exact.unionByName(best.select(group, "name", "b.site_name", (-F.col("b.k")).alias("score")))
+
+    def variants(df: DataFrame, name: str) -> DataFrame:
+        cut = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
+        return df.where(F.length(name).between(1, SHORT)).select(group, name, F.explode_outer(F.array_distinct(F.array_append(cut, F.col(name)))).alias("_v"))
+
+    near = variants(rest, "name").join(variants(s, "site_name"), [group, "_v"]).where(F.levenshtein("name", "site_name", 1) == 1)
+    near = near.select(group, "name", "site_name", F.bround(1 - 1 / longer, 6).alias("score")).where(F.col("score") >= least)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        top = pairs.groupBy(group, "name").agg(F.min(F.struct((-F.col("score")).alias("k"), "site_name")).alias("b"))
+        return top.select(group, "name", "b.site_name", (-F.col("b.k")).alias("score"))
+
+    near = settled(best(near), "near-names")
+    far = rest.join(near.select(group, "name"), [group, "name"], "left_anti").join(shapes, [group, "_shape"]).select(group, "_site_shape", "name")
+    return exact.unionByName(near).unionByName(best(_alike(far, s.select(group, "_site_shape", "site_name"), [group, "_site_shape"], least)))
 
 
 def catalogued(grid: DataFrame, catalog: list[tuple[str, str, str]], months: DataFrame, switch: int) -> DataFrame:

@@ -310,6 +310,24 @@ def test_scan_lines(spark):
     assert {r.site: r.land for r in df.collect()} == want and 0 < sum(want.values()) < len(want)
 
 
+def test_fuzzy_names_of_numbers(spark):
+    """Names that differ in numbers alone: a neighbour by one edit, by two, ties, and none; pairs do not grow with their square."""
+    from skyloom.operators import intake
+
+    n = 20000
+    sites = spark.range(n).selectExpr("1 as state", "format_string('Site#%09d', id * 1010 + 1000000) as name")
+    names = spark.range(n).selectExpr("1 as state", "case id % 3 when 0 then format_string('Sit#%09d', id * 1010 + 1000000) when 1 then format_string('Station %09d', id) else format_string('Site#%09d', id * 1010 + 1000000) end as name")
+    more = spark.createDataFrame([(1, "St#001001010"), (1, "Site#00100x010"), (2, "Site#001000000")], "state int, name string")
+    df = intake.fuzzy_sites(names.unionByName(more), sites, "state")
+    got = df.collect()
+    by = {r.name: (r.site_name, r.score) for r in got}
+    assert len(got) == len(by) == n - n // 3 + 2 - (n % 3 == 2)
+    for r in got:
+        if r.name.startswith("Sit#"):
+            assert r.site_name == "Site" + r.name[3:] and math.isclose(r.score, 1 - 1 / 14, abs_tol=1e-6)
+    assert by["St#001001010"] == ("Site#001001010", pytest.approx(1 - 2 / 14, abs=1e-6)) and by["Site#00100x010"] == ("Site#001001010", pytest.approx(1 - 1 / 14, abs=1e-6))
+
+
 @pytest.mark.parametrize("least", [0.55, 0.7, 0.9])
 def test_fuzzy_names(spark, least):
     """Every name against all of its group."""
