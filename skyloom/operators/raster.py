@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,17 +198,20 @@ def _mean_clamped(a: Column, b: Column, top: float) -> Column:
     return F.when(F.abs(b - a) < 1e-7, level).otherwise((below(b) - below(a)) / (b - a))
 
 
-def overlap_area(edges: Column, lat: Column, lon: Column, step: float) -> Column:
-    """Area of a polygon inside the cell from (lat, lon); ``edges``: its sides in order (y, x, to: the next x, slope).
+def overlap_area(edges: list[tuple[Column, Column, Column, Column]], lat: Column, lon: Column, step: float) -> Column:
+    """Area of a polygon inside the cell from (lat, lon); ``edges``: its sides in order (y, x, the next x, slope).
 
     By Green's theorem the area is the sum over sides of the integral of the side's height above the cell's south, held
     between the cell's south and north. Each side is cut at the cell's west and east; what is left has a closed form, so no
-    polygon is clipped and nothing leaves the JVM.
+    polygon is clipped. The sides are plain columns: lambdas over arrays would be interpreted for each cell.
     """
     hold = lambda x: F.least(F.greatest(x - lon, F.lit(0.0)), F.lit(step))
-    cut = F.transform(edges, lambda e: F.struct(hold(e["x"]).alias("u"), hold(e["to"]).alias("v"), (e["y"] - lat + (lon - e["x"]) * e["slope"]).alias("y"), e["slope"].alias("slope")))
-    part = lambda c: (c["v"] - c["u"]) * _mean_clamped(c["y"] + c["u"] * c["slope"], c["y"] + c["v"] * c["slope"], step)
-    return F.abs(F.aggregate(cut, F.lit(0.0), lambda s, c: s + part(c)))
+
+    def part(y: Column, x: Column, to: Column, slope: Column) -> Column:
+        u, v, at = hold(x), hold(to), y - lat + (lon - x) * slope
+        return (v - u) * _mean_clamped(at + u * slope, at + v * slope, step)
+
+    return F.abs(reduce(lambda s, e: s + part(*e), edges, F.lit(0.0)))
 
 
 def tessellate(pixels: DataFrame, keys: list[str], values: list[str], lat0: float, lon0: float, step: float, rows: int | None = None) -> DataFrame:
@@ -218,26 +223,34 @@ def tessellate(pixels: DataFrame, keys: list[str], values: list[str], lat0: floa
     would be lost. So are pixels with a missing corner. Each pixel is exploded to the cells of its bounding box; values
     that are null take no area.
     """
-    known = lambda c: (F.size(c) == 4) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
-    p = pixels.where(known("lats") & known("lons")).withColumn("lons", F.transform("lons", lambda x: F.when(x > 180, x - 360).otherwise(x)))
+    four = lambda c: [F.get(c, F.lit(i)) for i in range(4)]
+    known = lambda c: (F.size(c) == 4) & reduce(Column.__and__, [x.isNotNull() & ~F.isnan(x) for x in four(c)])
+    # a small file is one task, whatever its number of pixels: they are dealt over all tasks. Pixels are left out by nulls up
+    # to the end, as filters would be pushed down into that one task
+    p = pixels.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    p = p.withColumns({"lats": F.when(known("lats") & known("lons"), F.col("lats")), "lons": F.array(*[F.when(x > 180, x - 360).otherwise(x) for x in four("lons")])})
     if rows is not None:
-        p = p.where((F.array_max("lats") < lat0 + rows * step) & (F.array_min("lats") > lat0))
+        p = p.withColumn("lats", F.when((F.array_max("lats") < lat0 + rows * step) & (F.array_min("lats") > lat0), F.col("lats")))
     span = F.array_max("lons") - F.array_min("lons")
-    p = p.withColumn("lons", F.when(span > 180, F.transform("lons", lambda x: F.when(x < 0, x + 360).otherwise(x))).otherwise(F.col("lons")))
+    p = p.withColumn("lons", F.when(span > 180, F.array(*[F.when(x < 0, x + 360).otherwise(x) for x in four("lons")])).otherwise(F.col("lons"))).withColumn("lons", F.when(F.col("lats").isNotNull(), F.col("lons")))
     middle = lambda c: (F.get(c, F.lit(0)) + F.get(c, F.lit(1)) + F.get(c, F.lit(2)) + F.get(c, F.lit(3))) / 4
     p = p.withColumns({"_my": middle("lats"), "_mx": middle("lons")})
-    around = F.array_sort(F.zip_with("lats", "lons", lambda y, x: F.struct(F.atan2(y - F.col("_my"), x - F.col("_mx")).alias("t"), y.alias("y"), x.alias("x"))))
-    turned = F.transform("_c", lambda c, i: F.struct(c.alias("a"), F.get("_c", (i + 1) % 4).alias("b")))
-    slope = lambda e: F.when(e["a"]["x"] == e["b"]["x"], 0.0).otherwise((e["b"]["y"] - e["a"]["y"]) / (e["b"]["x"] - e["a"]["x"]))
-    edges = F.transform(turned, lambda e: F.struct(e["a"]["y"].alias("y"), e["a"]["x"].alias("x"), e["b"]["x"].alias("to"), slope(e).alias("slope")))
+    around = F.sort_array(F.zip_with("lats", "lons", lambda y, x: F.struct(F.atan2(y - F.col("_my"), x - F.col("_mx")).alias("t"), y.alias("y"), x.alias("x"))))
+    p = p.withColumn("_c", around)
+    corner = [F.get("_c", F.lit(i)) for i in range(4)]
+    p = p.select(*keys, *values, "lats", "lons", *[c[k].alias(f"_{k}{i}") for i, c in enumerate(corner) for k in "yx"])
+    slope = lambda i, j: F.when(F.col(f"_x{i}") == F.col(f"_x{j}"), 0.0).otherwise((F.col(f"_y{j}") - F.col(f"_y{i}")) / (F.col(f"_x{j}") - F.col(f"_x{i}")))
+    p = p.withColumns({f"_s{i}": slope(i, (i + 1) % 4) for i in range(4)})
+    sides = [f"_{k}{i}" for i in range(4) for k in "yxs"]
     cells = lambda c, origin: F.sequence(F.floor((F.array_min(c) - origin) / F.lit(step)), F.floor((F.array_max(c) - origin) / F.lit(step)))
-    p = p.withColumn("_c", around).withColumn("_e", edges)
-    p = p.select(*keys, *values, "_e", F.explode(cells("lats", lat0)).alias("ilat"), "lons")
-    each = p.select(*keys, *values, "_e", "ilat", F.explode(cells("lons", lon0)).alias("ilon"))
-    each = each.withColumn("_a", overlap_area(F.col("_e"), lat0 + F.col("ilat") * step, lon0 + F.col("ilon") * step, step))
-    each = each.where(F.col("_a") > 1e-12 * step * step).withColumn("ilon", F.pmod(F.col("ilon"), F.lit(round(360 / step))))
+    p = p.select(*keys, *values, *sides, F.explode_outer(cells("lats", lat0)).alias("ilat"), "lons")
+    each = p.select(*keys, *values, *sides, "ilat", F.explode_outer(cells("lons", lon0)).alias("ilon"))
+    edges = [tuple(F.col(c) for c in (f"_y{i}", f"_x{i}", f"_x{(i + 1) % 4}", f"_s{i}")) for i in range(4)]
+    each = each.select(*keys, *values, "ilat", "ilon", overlap_area(edges, lat0 + F.col("ilat") * step, lon0 + F.col("ilon") * step, step).alias("_a"))
+    # as a null and not by a filter, which would be pushed down and have the area worked out twice
+    each = each.withColumns({"_a": F.when(F.col("_a") > 1e-12 * step * step, F.col("_a")), "ilon": F.pmod(F.col("ilon"), F.lit(round(360 / step)))})
     means = [F.try_divide(F.sum(F.col("_a") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("_a")))).alias(v) for v in values]
-    return each.groupBy(*keys, *CELL).agg(*means, F.sum("_a").alias("area"), F.count("*").alias("n"))
+    return each.groupBy(*keys, *CELL).agg(*means, F.sum("_a").alias("area"), F.count("_a").alias("n")).where("n > 0")
 
 
 def interpolated(at: Column, xs: Column, ys: Column, outside_zero: bool = False) -> Column:

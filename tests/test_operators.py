@@ -328,6 +328,18 @@ def test_fuzzy_names_of_numbers(spark):
     assert by["St#001001010"] == ("Site#001001010", pytest.approx(1 - 2 / 14, abs=1e-6)) and by["Site#00100x010"] == ("Site#001001010", pytest.approx(1 - 1 / 14, abs=1e-6))
 
 
+def test_cells_of_pixels_are_dealt(spark):
+    """All pixels in one task before: their cells are made after a shuffle, and no lambda runs for each cell."""
+    at = [(1, 3.0, [0.2, 0.2, 1.4, 1.4], [0.3, 1.7, 1.7, 0.3])]
+    p = spark.createDataFrame(at, "day int, v double, lats array<double>, lons array<double>").coalesce(1)
+    df = raster.tessellate(p, ["day"], ["v"], 0.0, 0.0, 1.0)
+    assert {(r.ilat, r.ilon): (round(r.area, 9), r.n) for r in df.collect()} == {(0, 0): (0.56, 1), (0, 1): (0.56, 1), (1, 0): (0.28, 1), (1, 1): (0.28, 1)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    kinds = [next((k for k in ("Generate", "Repartition", "Aggregate") if k in line), None) for line in plan]
+    assert kinds.index("Repartition") > max(i for i, k in enumerate(kinds) if k == "Generate")
+    assert not any("lambda" in line for line in plan[: kinds.index("Generate")])
+
+
 @pytest.mark.parametrize("least", [0.55, 0.7, 0.9])
 def test_fuzzy_names(spark, least):
     """Every name against all of its group."""
