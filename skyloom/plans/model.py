@@ -369,7 +369,8 @@ def n9(spark, d):
     cv = frame(spark, d, "cv")
     side = lambda s, c: F.when(col("split") == s, col(c))
     parts = (("o", "test", "obs"), ("p", "test", "pred"), ("g", "test", "geo"), ("w", "test", "pop"), ("fo", "train", "obs"), ("fp", "train", "pred"))
-    x = cv.withColumn("period", F.explode(F.array(col("mon").cast("string"), season(col("mon")), F.lit("Annual"))))
+    # rows of a site meet first: a task that read rows of all sites would hold a group for most of its exploded rows
+    x = cv.repartition("site").withColumn("period", F.explode(F.array(col("mon").cast("string"), season(col("mon")), F.lit("Annual"))))
     m = x.groupBy("site", "year", "period").agg(*[F.avg(side(s, c)).alias(n) for n, s, c in parts])
     m = m.unionByName(cv.select("site", "year", F.lit("AllPoints").alias("period"), *[side(s, c).alias(n) for n, s, c in parts]))
     o, p, g, w = (col(n) for n in "opgw")

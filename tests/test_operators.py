@@ -340,6 +340,15 @@ def test_cells_of_pixels_are_dealt(spark):
     assert not any("lambda" in line for line in plan[: kinds.index("Generate")])
 
 
+def test_metric_grid_meets_by_site(spark):
+    """Rows of a site meet before they are exploded; before, each task held groups of all sites."""
+    from skyloom.plans import model  # noqa: F401
+    from skyloom.plans import registry
+
+    plan = registry.QUERIES["n9_metric_grid"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("RepartitionByExpression [site")
+
+
 @pytest.mark.parametrize("least", [0.55, 0.7, 0.9])
 def test_fuzzy_names(spark, least):
     """Every name against all of its group."""
