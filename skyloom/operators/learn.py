@@ -19,19 +19,27 @@ NO_DATA = -999.0
 SEED = 20230130
 
 
-def patches(sites: DataFrame, grid: DataFrame, channels: list[str], reach: int = 1, when: tuple[str, ...] = ("year", "mon")) -> DataFrame:
-    """(site, when, a column per channel): the cells around each site's own as an array, row by row from the south-west.
+def windows(places: DataFrame, grid: DataFrame, channels: list[str], reach: int = 1, when: tuple[str, ...] = ("year", "mon")) -> DataFrame:
+    """(ilat, ilon, when, a column per channel): the cells around each distinct place (ilat, ilon) as an array, row by row
+    from the south-west.
 
-    ``sites``: site, ilat, ilon; ``grid``: ilat, ilon, when, channels. Cells that the grid does not have are null. Each
-    site asks for its window's cells in one equi-join, and a window's rows meet in one group of bounded size.
+    ``grid``: ilat, ilon, when, channels. Cells that the grid does not have are null. Each place asks for its window's cells
+    in one equi-join, and a window's rows meet in one group of bounded size.
     """
     side = 2 * reach + 1
     at = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("_i")
-    asked = sites.select("site", "ilat", "ilon", at).withColumns({"ilat": F.col("ilat") + F.floor(F.col("_i") / side) - reach, "ilon": F.col("ilon") + F.col("_i") % side - reach})
+    asked = places.select("ilat", "ilon").distinct().select(F.col("ilat").alias("_y"), F.col("ilon").alias("_x"), at)
+    asked = asked.withColumns({"ilat": F.col("_y") + F.floor(F.col("_i") / side) - reach, "ilon": F.col("_x") + F.col("_i") % side - reach})
     met = asked.join(grid.select("ilat", "ilon", *when, *channels), ["ilat", "ilon"])
-    window = met.groupBy("site", *when).agg(F.map_from_entries(F.collect_list(F.struct("_i", F.struct(*channels)))).alias("_m"))
+    window = met.groupBy("_y", "_x", *when).agg(F.map_from_entries(F.collect_list(F.struct("_i", F.struct(*channels)))).alias("_m"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.try_element_at("_m", i))
-    return window.withColumn("_c", cells).select("site", *when, *[F.col(f"_c.{c}").cast("array<double>").alias(c) for c in channels])
+    return window.withColumn("_c", cells).select(F.col("_y").alias("ilat"), F.col("_x").alias("ilon"), *when, *[F.col(f"_c.{c}").cast("array<double>").alias(c) for c in channels])
+
+
+def patches(sites: DataFrame, grid: DataFrame, channels: list[str], reach: int = 1, when: tuple[str, ...] = ("year", "mon")) -> DataFrame:
+    """(site, when, a column per channel): the windows of the sites (site, ilat, ilon). Sites in one cell share theirs."""
+    made = windows(sites, grid, channels, reach, when).hint("merge")
+    return sites.select("site", "ilat", "ilon").join(made, ["ilat", "ilon"]).select("site", *when, *channels)
 
 
 def flattened(channels: list[str], reach: int = 1, mode: str = "centre") -> Column:

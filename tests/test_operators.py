@@ -80,6 +80,15 @@ def test_boosted_models(spark, tmp_path):
     assert len(l10) == 5 and len(l11) == 3 and l10.best.sum() == 1 == l11.best.sum() and l10.n.nunique() == 1
 
 
+def test_sites_of_a_cell_share_their_patch(spark):
+    """The windows are made for two cells, not for 400 sites: rows of the join with the grid, at run time."""
+    grid = spark.createDataFrame([(y, x, 2000, 1, float(10 * y + x)) for y in range(3) for x in range(4) if (y, x) != (0, 0)], "ilat long, ilon long, year int, mon int, v double")
+    sites = spark.range(400).selectExpr("id as site", "1L as ilat", "1 + id % 2 as ilon")
+    assert learn.windows(sites, grid, ["v"]).count() == 2
+    got = {r.site: r.v for r in learn.patches(sites, grid, ["v"]).collect()}
+    assert len(got) == 400 and got[0] == got[2] == [None, 1.0, 2.0, 10.0, 11.0, 12.0, 20.0, 21.0, 22.0] and got[1] == [1.0, 2.0, 3.0, 11.0, 12.0, 13.0, 21.0, 22.0, 23.0]
+
+
 def test_lowess():
     x = np.linspace(0, 5, 21)
     assert np.allclose(uncertainty.lowess(x, 2 * x + 1, 0.4), 2 * x + 1)
