@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import U, connected_components, drop_table, merge_components, mix, table
 
 BANDS, ROWS = 40, 5
-#: 64-bit words of the parity sketch that bounds the difference of two sets from below.
+#: 64-bit words of the parity sketches that bound the difference of two sets from below.
 PARITY = 8
 #: Elements that are signed at once; their permutations take this many times BANDS * ROWS bytes.
 CHUNK = 150_000
@@ -153,40 +153,58 @@ def _grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).slice(at, 100).to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets))], names=["node", "n", "g"])
 
 
-def _parity(batches):
-    """One bit for each residue of the shingle hashes: is the number of shingles there odd?"""
-    for b in batches:
-        size, words = [], []
-        for x in b.column(1):
-            g = np.frombuffer(x.as_buffer(), U)
-            odd = np.bincount(((g >> U(17)) % U(64 * PARITY)).astype(np.intp), minlength=64 * PARITY) & 1
-            size.append(len(g))
-            words.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["node", "n", "w"])
+def _lead(num: int, den: int):
+    """Prefix entries of sets (node, n, g: the shingles that others have, rarest first): how many shingles stand before one,
+    and one bit for each residue of those after it: is their number odd?"""
 
+    def run(batches):
+        for b in batches:
+            for node, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                g = x.values.to_numpy().view(U)
+                alone = n - len(g)
+                k = min(len(g), max(0, n + (-num * n // den) + 1 - alone))
+                bit = ((g >> U(17)) % U(64 * PARITY)).astype(np.intp)
+                odd = (np.bincount(bit, minlength=64 * PARITY) & 1).astype(np.uint8)
+                for at in range(0, k, 1000):
+                    some = bit[at : min(k, at + 1000)]
+                    gone = np.zeros((len(some), 64 * PARITY), np.uint8)
+                    gone[np.arange(len(some)), some] = 1
+                    left = np.bitwise_xor.accumulate(gone, axis=0) ^ odd
+                    odd = left[-1]
+                    words = np.packbits(left, axis=1).view(np.int64)
+                    w = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, PARITY, dtype=np.int32)), pa.array(words.ravel()))
+                    fixed = [pa.array(np.full(len(some), v, np.int64)) for v in (node, n)]
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(g[at : at + len(some)].view(np.int64)), pa.array(alone + at + np.arange(len(some)), pa.int64()), w], names=["node", "n", "g", "before", "w"])
 
-def rare_first_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    return run
+
+
+def meetings(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components that can reach the similarity, b outside the largest one of a bucket.
 
     ``members`` (rep, component, top) are bucket entries, ``sets`` (node, s) their shingles. Sets with the similarity
     share at least ceil(similarity * n) of n shingles, so in any common order their first n - ceil(similarity * n) + 1
-    shingles meet. The order is by number of sets, rarest first; shingles of one set alone meet nothing. A meeting
-    counts only if the parity sketches allow the similarity: they differ in at most as many bits as the sets differ in
-    shingles, so this loses nothing.
+    shingles meet. The order is by number of sets, rarest first; shingles of one set alone meet nothing. A meeting counts
+    only if it can be the first one of a similar pair: there all shingles before it, in either set, are in one of the two
+    alone, and the parity sketches of those after it differ in at most as many bits as those do in shingles. The sum bounds
+    the difference from below, so this loses nothing, and later meetings of a pair seldom count again.
     """
     part = members.groupBy(F.col("rep").alias("node"), "component").agg(F.max(F.col("component") != F.col("top")).alias("out"))
     mine = sets.join(part.select("node"), "node", "left_semi")
     grams = mine.mapInArrow(_grams, "node long, n long, g long")
-    sketch = mine.mapInArrow(_parity, "node long, n long, w array<long>")
     common = grams.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    held = grams.join(common, "g").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("s"))
-    first = F.expr(f"cast(greatest(0, n - ({num} * n + {den - 1}) div {den} + 1 - (n - size(s))) as int)")
-    lead = table(held.select("node", "n", F.explode(F.slice("s", F.lit(1), first)).alias("x")).join(part, "node").join(sketch, ["node", "n"]).select("node", "n", "component", "out", "w", F.col("x.g").alias("g")), "mh-lead")
-    a, b = (lead.select("g", *[F.col(c).alias(c + "_" + side) for c in ("node", "n", "component", "out", "w")]) for side in "ab")
+    held = grams.join(common, "g").groupBy("node", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "g"))), lambda x: x["g"]).alias("s"))
+    lead = table(held.select("node", "n", "s").mapInArrow(_lead(num, den), "node long, n long, g long, before long, w array<long>").join(part, "node"), "mh-lead")
+    a, b = (lead.select("g", *[F.col(c).alias(c + "_" + side) for c in ("node", "n", "component", "out", "before", "w")]) for side in "ab")
     fits = f"component_a <> component_b and (not out_a or node_a < node_b) and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
     differ = " + ".join(f"bit_count(w_a[{i}] ^ w_b[{i}])" for i in range(PARITY))
-    near = f"{den + num} * ({differ}) <= {den - num} * (n_a + n_b)"
-    return a.join(b.where("out_b"), "g").where(fits).where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    near = f"{den + num} * (before_a + before_b + {differ}) <= {den - num} * (n_a + n_b)"
+    return a.join(b.where("out_b"), "g").where(fits).where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def rare_first_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct pairs of :func:`meetings`."""
+    return meetings(members, sets, num, den).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, bands: int = BANDS, rows: int = ROWS, stars: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from skyloom.llm.minhash import rare_first_pairs
+from skyloom.llm.minhash import meetings, rare_first_pairs
 
 
 def test_no_similar_pair_is_lost(spark):
@@ -26,3 +26,17 @@ def test_no_similar_pair_is_lost(spark):
             if comp[i] != comp[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
                 want.add((j, i))
     assert len(want) > 50 and want <= got
+
+
+def test_near_misses_seldom_meet(spark):
+    """60 large sets at similarity 0.67 to each other: their parity sketches are full, and they met in thousands of shingles."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 63, 2000).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        s = base.copy()
+        s[rng.choice(2000, 210, replace=False)] = rng.integers(1, 1 << 63, 210).astype(np.uint64)
+        sets.append(np.unique(s))
+    members = spark.createDataFrame([(1, i, i, 0) for i in range(60)], "key int, rep long, component long, top long")
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, s binary")
+    assert meetings(members, table, 4, 5).count() < 5 * 60 * 59 / 2
