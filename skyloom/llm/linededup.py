@@ -9,9 +9,11 @@ word) that the first place has at the same side: a place that is no boundary has
 grows over one line on either side is whole. Chunk hashes find candidates; only equal bytes are removed, and the first
 occurrence of a line never is, as what removes a line stands at an earlier place.
 
-A repeated passage of three lines with a word or more is removed whole, wherever it stands: the smaller of two neighbouring
-rolling hashes is a boundary in any surroundings. One of two lines is found if it is a boundary in both its places (about
-two in three). A line that repeats alone, with other lines around it, stays; so do the blank lines around a chunk.
+A passage that stands at two places between other lines goes whole from the second if it has three lines with a word or
+more: the smaller of two neighbouring rolling hashes is a boundary in any surroundings. It can lose less where a part of it
+stands still earlier between other lines, as a match grows by what its chunk's first place has. One of two lines is found if
+it is a boundary in both its places. With ``every``, each window is a chunk, a boundary or not: no two neighbouring lines with
+a word stay that stand earlier. A line that repeats alone, with other lines around it, stays; so do the blank lines around a chunk.
 
 Results: the columns of the input, with ``text`` rebuilt from the lines that stay and ``n_chars`` (if there is one)
 counted anew, plus n_lines, n_removed_lines and n_removed_chunks (long; runs of removed lines). Nulls: a null text stays
@@ -56,6 +58,11 @@ def line_hash(line: Column) -> Column:
 def boundaries(lines: Column) -> Column:
     """Array of (k0, k1, k2, k3) for each boundary: the lines of its chunk are k1 to k2, and k0 and k3 the next lines with a
     word before and after them (-1 if there is none)."""
+    return windows(lines, every=False)
+
+
+def windows(lines: Column, every: bool) -> Column:
+    """What :func:`boundaries` gives, for boundaries or for every window."""
     worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(_WORD), F.struct(i.alias("k"), line_hash(x).alias("h")))), lambda x: x.isNotNull())
 
     def rolled(w: Column) -> Column:
@@ -68,7 +75,7 @@ def boundaries(lines: Column) -> Column:
         largest = F.greatest(*[other(d) for d in range(-REACH, REACH + 1) if d])  # null without neighbours
         line = lambda i: F.coalesce(F.when(i >= 0, F.get(w, F.greatest(i, F.lit(0)))["k"]), F.lit(-1)).cast("int")
         place = F.struct(line(j - 2).alias("k0"), line(j - 1).alias("k1"), line(j).alias("k2"), line(j + 1).alias("k3"))
-        return F.when(largest.isNull() | (F.get(r, j - 1) <= largest), place)
+        return place if every else F.when(largest.isNull() | (F.get(r, j - 1) <= largest), place)
 
     return once(worded, rolled)
 
@@ -78,11 +85,12 @@ def joined(lines: Column, a: Column, b: Column) -> Column:
     return F.when(b > a, F.array_join(F.slice(lines, a + 1, F.greatest(b - a, F.lit(0))), "\n"))
 
 
-def line_dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) without repeated chunks, with or without the counts; see the module's text."""
+def line_dedup(docs: DataFrame, counts: bool = True, every: bool = False) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) without repeated chunks (at boundaries, or every window of two lines), with or
+    without the counts; see the module's text."""
     spark, names = docs.sparkSession, docs.columns
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_v"), F.struct(*names).alias("_doc"))
-    chunks = with_lines(F.col("_doc.text"), lambda x: once(boundaries(x), lambda c: F.transform(c, lambda c: F.struct(c.alias("_c"), F.xxhash64(joined(x, c["k1"], c["k2"] + 1)).alias("_h")))))
+    chunks = with_lines(F.col("_doc.text"), lambda x: once(windows(x, every), lambda c: F.transform(c, lambda c: F.struct(c.alias("_c"), F.xxhash64(joined(x, c["k1"], c["k2"] + 1)).alias("_h")))))
     each = rows.select("_id", "_v", F.explode_outer(chunks).alias("_s")).where("_s is not null")
     hashed = table(each.select("_id", "_v", "_s._c", "_s._h"), "lines-hashes")
     place = F.struct(F.col("_id").alias("a"), F.col("_v").alias("b"), F.col("_c.k1").alias("c"), F.col("_c.k2").alias("d"))
@@ -96,8 +104,8 @@ def line_dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
 
     def bytes_of(lines: Column) -> Column:
         def beside(c: Column, other: Column, line: Column, covers: Column, text: Column) -> Column:
-            """Bytes of the lines beside a chunk, but where another chunk removes all of them anyway."""
-            return F.when((line >= 0) & (c["own"] | ~F.coalesce(covers & ~other["own"], F.lit(False))), text)
+            """Bytes of the lines beside a chunk, but where another chunk removes all of them anyway (of every window, always)."""
+            return F.lit(None).cast("string") if every else F.when((line >= 0) & (c["own"] | ~F.coalesce(covers & ~other["own"], F.lit(False))), text)
 
         def one(c: Column, i: Column) -> Column:
             last, next_ = F.get("_want", F.when(i > 0, i - 1)), F.get("_want", i + 1)

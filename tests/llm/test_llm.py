@@ -322,6 +322,40 @@ def test_line_dedup_boundaries_decide(spark):
         assert r.text.startswith("## Summary\n\nother") and r.text.endswith(f"end {r.doc_id}")
 
 
+def windows_left(rows):
+    """Brute force over every window of two lines with a word: all but its first place goes."""
+    out, seen = {}, {}
+    for i, t in sorted(rows):
+        x = t.split("\n")
+        w = [k for k, v in enumerate(x) if v.strip(" \t\n\v\f\r")]
+        gone = set()
+        for a, b in zip(w, w[1:]):
+            d, first, last = seen.setdefault(tuple(x[a : b + 1]), (i, a, b))
+            if (d, first) != (i, a):
+                gone.update(range(max(a, last + 1) if d == i else a, b + 1))
+        out[i] = "\n".join(v for k, v in enumerate(x) if k not in gone), len(gone)
+    return out
+
+
+def test_line_dedup_every_window(spark, docs):
+    """The pipeline's stage loses no repeat of two lines or more, nor one of which a part stands earlier between other lines."""
+    import corpus_pipeline
+    from skyloom.llm.linededup import line_dedup
+
+    rows, sizes = [], [n for n in (1, 2, 3, 4, 6) for _ in range(20)]
+    for c, n in enumerate(sizes):
+        shared = [f"shared {c} {j}" + ("\n" if j % 3 == 1 else "") for j in range(n)]
+        for d, part in enumerate((shared[1 : max(3, n - 1)], shared, shared)):
+            rows.append((3 * c + d, "\n".join([f"before {c} {d}", "", *part, f"after {c} {d}"])))
+    odd = [(1, "same\nsame\nsame\nsame"), (2, "a\nb\n\nc\nd\n\na\nb"), (3, "\n\n\n\n"), (4, "only\nsame\nsame"), (5, "u\nv\nu\nv\nu\nv"), (6, ""), (7, "one"), (8, "one\ntwo"), (9, "\none\n\ntwo\n"), (10, "one\n\ntwo"), (11, "b\r\na\nb")]
+    for part in (rows, odd, texts(docs)):
+        df = spark.createDataFrame(part, "doc_id long, text string")
+        got, want = line_dedup(df, every=True).collect(), windows_left(part)
+        assert {r.doc_id: (r.text, r.n_removed_lines) for r in got} == want
+        assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, df, SF).collect()} == {i: t for i, (t, _) in want.items()}
+    assert all("shared" not in windows_left(rows)[3 * c + 2][0] for c, n in enumerate(sizes) if n > 1)
+
+
 def test_packing(docs, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
