@@ -105,7 +105,7 @@ def tuned(samples: DataFrame, label: str, size: int, variants: dict[str, dict],
     the way give the predictions, in one pass over the rows of each fold.
     """
     slicer = VectorSlicer(inputCol="features", outputCol="_used")
-    gbt = GBTRegressor(featuresCol="_used", labelCol=label, predictionCol="pred", seed=SEED, checkpointInterval=-1, **fixed)
+    gbt = GBTRegressor(featuresCol="_used", labelCol=label, predictionCol="pred", seed=SEED, **fixed)
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
     grid = []

@@ -80,6 +80,25 @@ def test_boosted_models(spark, tmp_path):
     assert len(l10) == 5 and len(l11) == 3 and l10.best.sum() == 1 == l11.best.sum() and l10.n.nunique() == 1
 
 
+def test_search_boosts_as_long_as_it_helps(spark, monkeypatch):
+    """A sum that needs many trees is learnt; labels that are all the same end boosting at once."""
+    from pyspark.ml.functions import array_to_vector
+
+    from skyloom.plans import learning
+
+    x = lambda k: f"pmod(xxhash64(id, {k}), 1000) / 1000.0D"
+    rows = spark.range(1500, numPartitions=1).selectExpr("id as site", "1999 as year", "1 as mon", "cast(id % 3 as int) as fold", "id % 7 = 0 as early", *[f"{x(k)} as x{k}" for k in range(7)])
+    made = rows.withColumn("features", array_to_vector(F.array(*[f"x{k}" for k in range(6)])))
+    for label in ("x0 + x1 + x6 / 4", "5.0D"):
+        monkeypatch.setattr(learning, "samples", lambda spark, d, label=label: made.withColumn("obs", F.expr(label)))
+        out, best = learning.search(spark, "", {"all": {}})
+        assert out.count() == 1500 and best == "all"
+        if label != "5.0D":
+            assert learning.variant_metrics(out).first().r2 > 0.92
+        else:
+            assert {r.pred for r in out.collect()} == {5.0}
+
+
 def test_sites_of_a_cell_share_their_patch(spark):
     """The windows are made for two cells, not for 400 sites: rows of the join with the grid, at run time."""
     grid = spark.createDataFrame([(y, x, 2000, 1, float(10 * y + x)) for y in range(3) for x in range(4) if (y, x) != (0, 0)], "ilat long, ilon long, year int, mon int, v double")
